@@ -1,0 +1 @@
+"""No streaming operators: every import of an assay is one batch read."""
