@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -55,7 +56,7 @@ def incomplete_beta(a, b, x) -> np.ndarray:
     return out
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) of Student's distribution; an infinite t gives 0."""
     squared = t.to_numpy(dtype=float) ** 2
@@ -65,7 +66,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(incomplete_beta(freedom / 2.0, 0.5, x))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """P(F >= f) of Fisher's distribution; an infinite f gives 0."""
     f, d1, d2 = (s.to_numpy(dtype=float) for s in (f, d1, d2))
@@ -88,7 +89,7 @@ def rank_sum_upper(n1: int, n2: int) -> np.ndarray:
     return np.cumsum(ways[::-1])[::-1] / ways.sum()
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def u_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series) -> pd.Series:
     """Two-sided p of the U statistic.
 
@@ -107,3 +108,31 @@ def u_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series)
         rows = exact & (a == pair[0]) & (b == pair[1])
         p[rows] = np.minimum(1.0, 2.0 * rank_sum_upper(*pair)[high[rows].round().astype(int)])
     return pd.Series(p)
+
+
+@pandas_udf(DoubleType())
+def overlap_upper(x: pd.Series, m: pd.Series, k: pd.Series, n: pd.Series) -> pd.Series:
+    """P(X >= x) when k of n genes are drawn and m of the n are marked (hypergeometric).
+
+    The probability of x itself comes from log factorials, the following ones
+    from the ratio of neighbours.
+    """
+    x, m, k, n = (s.to_numpy(dtype=float) for s in (x, m, k, n))
+    choose = lambda a, b: _lgamma(a + 1.0) - _lgamma(b + 1.0) - _lgamma(a - b + 1.0)
+    low = np.maximum(x, np.maximum(0.0, m + k - n))
+    high = np.minimum(m, k)
+    possible = low <= high
+    at = np.where(possible, low, 0.0)
+    term = np.zeros(len(x))
+    ok = possible & (n >= m) & (n >= k)
+    term[ok] = np.exp(choose(m[ok], at[ok]) + choose(n[ok] - m[ok], k[ok] - at[ok]) - choose(n[ok], k[ok]))
+    total, i, live = term.copy(), at.copy(), ok & (at < high)
+    while live.any():
+        j = i[live]
+        term[live] *= (m[live] - j) * (k[live] - j) / ((j + 1.0) * (n[live] - m[live] - k[live] + j + 1.0))
+        total[live] += term[live]
+        i[live] += 1.0
+        live &= (i < high) & ~((term < total * 1e-18) & (i * n > m * k))
+    # everything at or below the smallest possible overlap has probability 1
+    total = np.where(x <= np.maximum(0.0, m + k - n), 1.0, np.minimum(total, 1.0))
+    return pd.Series(np.where(n >= np.maximum(m, k), total, np.nan))
