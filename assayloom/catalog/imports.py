@@ -1 +1,253 @@
-"""Queries."""
+"""Readers and sinks, over files that Spark writes from the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from assayloom.catalog import views as v
+from assayloom.catalog.registry import query
+from assayloom.functions.identifiers import first_member, rejected_members
+from assayloom.plans.storage import scratch_path
+from assayloom.schema import FEATURE, SAMPLE, col
+from assayloom.sources import genesets, metadata, sinks, tables
+
+# The nations of the driver tables are the samples of the written files.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+
+
+def _write(df: DataFrame, label: str, separator: str = "\t", ending: str = "") -> str:
+    path = scratch_path(df.sparkSession, label) + ending
+    df.write.csv(path, sep=separator, header=True)
+    return path
+
+
+def _accession(part: str) -> Column:
+    return F.concat(F.lit("P"), F.lpad(F.col(part).cast("string"), 8, "0"), F.lit("X"))
+
+
+def _group(part: str = "l_partkey", size: str = "p_size") -> Column:
+    """An accession, sometimes with a decoy, an isoform or a contaminant next to it."""
+    own = _accession(part)
+    return (
+        F.when(F.col(size) % 10 == 0, F.concat(F.lit("REV__"), own, F.lit(";"), own))
+        .when(F.col(size) % 13 == 0, F.concat(own, F.lit(";CON__"), own))
+        .when(F.col(size) % 7 == 0, F.concat(own, F.lit("-2;NP_123456")))
+        .when(F.col(size) % 11 == 0, F.lit("REV__A;TAU-98"))
+        .otherwise(own)
+    )
+
+
+_GROUP = """case when p_size % 10 = 0 then 'REV__' || a || ';' || a when p_size % 13 = 0 then a || ';CON__' || a
+   when p_size % 7 = 0 then a || '-2;NP_123456' when p_size % 11 = 0 then 'REV__A;TAU-98' else a end"""
+_CLEAN = """case when p_size % 10 = 0 then a when p_size % 13 = 0 then null when p_size % 7 = 0 then a || '-2' when p_size % 11 = 0 then null else a end"""
+_CELLS = f"""w as (select n_name s, 'P' || lpad(cast(p_partkey as varchar), 8, '0') || 'X' a, p_size, sum({{x}}) x
+   from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2, 3),
+ k as (select s, {_CLEAN} p, x from w where {_CLEAN} is not null),
+ i as (select s, p, {{agg}}(x) x from k group by 1, 2),
+ g as (select a.s, b.p, i.x from (select n_name s from nation) a cross join (select distinct p from k) b left join i on i.s = a.s and i.p = b.p)"""
+
+
+def _wide(spark, folder, value: Column, prefix: str = "", suffix: str = "") -> DataFrame:
+    """part x nation sums, one column per nation (zero for an absent cell), with their groups."""
+    nations = v.suppliers(spark, folder).select("s_suppkey", "n_name")
+    cells = v.lines_with_parts(spark, folder).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+    wide = cells.groupBy("l_partkey", "p_size").pivot("n_name", NATIONS).agg(F.round(F.sum(value), 2))
+    return wide.select(
+        _group().alias("group"), *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"{prefix}{n}{suffix}") for n in NATIONS]
+    )
+
+
+def _out(found: tables.Imported, measure: str):
+    return v.tidy(found.table, 2, measure)
+
+
+@query("src1_maxquant_table", f"""with {_CELLS.format(x='l_extendedprice', agg='sum')} select s as sample, p as feature, round(x, 2) as value from g""")
+def src1(spark, folder):
+    wide = _wide(spark, folder, F.col("l_extendedprice"), "iBAQ ").withColumnRenamed("group", "Majority protein IDs")
+    path = _write(wide.withColumn("iBAQ peptides", F.lit(3)), "maxquant")
+    return _out(tables.read_maxquant(spark, path, "iBAQ"), "iBAQ")
+
+
+@query("src2_msfragger_table", f"""with {_CELLS.format(x='l_quantity', agg='sum')} select s as sample, p as feature, round(x, 2) as value from g""")
+def src2(spark, folder):
+    wide = _wide(spark, folder, F.col("l_quantity"), suffix=" Spectral Count").withColumnRenamed("group", "Protein ID")
+    decoys = {"NATION_0 Unique Spectral Count": F.lit(9), "NATION_0 Total Spectral Count": F.lit(9), "Combined Spectral Count": F.lit(9)}
+    return _out(tables.read_msfragger(spark, _write(wide.withColumns(decoys), "msfragger"), "Spectral Count"), "Spectral Count")
+
+
+@query("src3_diann_table", f"""with {_CELLS.format(x='l_tax', agg='avg')}
+ select s as sample, p as feature, nullif(round(x, 2), 0) as value from g""")
+def src3(spark, folder):
+    wide = _wide(spark, folder, F.col("l_tax"), "D:\\runs 1\\", ".raw").withColumnRenamed("group", "Protein.Ids")
+    notes = {n: F.lit("x") for n in tables.DIANN_ANNOTATIONS}
+    return _out(tables.read_diann(spark, _write(wide.withColumns(notes), "diann"), "Mean"), "Intensity")
+
+
+@query("src4_contaminants", f"""with g as (select p_size, 'P' || lpad(cast(p_partkey as varchar), 8, '0') || 'X' a from part where p_partkey in (select l_partkey from lineitem)),
+ h as (select {_GROUP} g from g) select g as protein_group, count(*) as n from h where contains(g, 'CON__') group by 1""")
+def src4(spark, folder):
+    wide = _wide(spark, folder, F.col("l_quantity"), "Intensity ").withColumnRenamed("group", "Majority protein IDs")
+    found = tables.read_maxquant(spark, _write(wide, "maxquant"), "Intensity").contaminants
+    return found.groupBy(col(FEATURE).alias("protein_group")).agg(F.count("*").alias("n"))
+
+
+@query("src4_median_of_duplicates", f"""with {_CELLS.format(x='l_quantity', agg='median')} select s as sample, p as feature, round(x, 2) as value from g""")
+def src4_median(spark, folder):
+    wide = _wide(spark, folder, F.col("l_quantity"), "Intensity ").withColumnRenamed("group", "Majority protein IDs")
+    return _out(tables.read_maxquant(spark, _write(wide, "maxquant"), "Intensity", "Median"), "Intensity")
+
+
+_GROUPS_OF_PARTS = f"""h as (select p_size, 'P' || lpad(cast(p_partkey as varchar), 8, '0') || 'X' a from part), g as (select p_size, a, {_GROUP} g from h)"""
+
+
+@query("src5_clean_groups", f"""with {_GROUPS_OF_PARTS} select g as protein_group, case when p_size % 10 = 0 then a when p_size % 13 = 0 then a
+   when p_size % 7 = 0 then a || '-2' when p_size % 11 = 0 then '' else a end as first_id from g""")
+def src5(spark, folder):
+    parts = v.table(spark, folder, "part").select(_group("p_partkey").alias("protein_group"))
+    return parts.select("protein_group", first_member(F.col("protein_group")).alias("first_id"))
+
+
+@query("src5_rejected_identifiers", f"""with {_GROUPS_OF_PARTS}, r as (select case when p_size % 10 = 0 then ['REV__' || a] when p_size % 13 = 0 then ['CON__' || a]
+   when p_size % 7 = 0 then [] when p_size % 11 = 0 then ['REV__A', 'TAU-98'] else [] end r from g)
+ select id, count(*) as n from (select unnest(r) id from r) group by 1""")
+def src5_rejected(spark, folder):
+    parts = v.table(spark, folder, "part").select(_group("p_partkey").alias("g"))
+    return parts.select(F.explode(rejected_members(F.col("g"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("src6_map_foreign_ids", """with t as (select p_partkey k, 'NP_' || lpad(cast(p_partkey as varchar), 6, '0') f, p_size z from part)
+ select f || ';P12321' as protein_group, case when z % 3 = 0 then 'Q' || lpad(cast(k as varchar), 8, '0') || 'A'
+   when z % 3 = 1 then 'Q' || lpad(cast(k as varchar), 8, '0') || 'B' else 'P12321' end as first_id from t""")
+def src6(spark, folder):
+    parts = v.table(spark, folder, "part")
+    foreign = F.concat(F.lit("NP_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    target = lambda end: F.concat(F.lit("Q"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(end))
+    # a third has a reviewed target, a third only an unreviewed one, a third none
+    mapping = parts.filter("p_size % 3 = 0").select(foreign.alias("source_id"), target("A").alias("uniprot_id"), F.lit(True).alias("reviewed")).unionByName(
+        parts.filter("p_size % 3 < 2").select(foreign.alias("source_id"), target("B").alias("uniprot_id"), F.lit(False).alias("reviewed"))
+    )
+    given = parts.select(F.concat(foreign, F.lit(";P12321")).alias("protein_group"), F.concat(foreign, F.lit(";P12321")).alias(FEATURE))
+    return tables.clean_feature_groups(given, mapping).select("protein_group", col(FEATURE).alias("first_id"))
+
+
+@query("src7_peptide_table", """with w as (select n_name s, p_partkey k, sum(l_extendedprice) x, min(p_retailprice) / 10000 e
+   from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2)
+ select a.s as sample, 'P' || lpad(cast(b.k as varchar), 8, '0') || 'X' as feature, p_name || p_partkey as sequence, round(w.x, 2) as value, round(p_retailprice / 10000, 6) as pep
+ from (select n_name s from nation) a cross join (select distinct l_partkey k from lineitem) b join part on p_partkey = b.k left join w on w.s = a.s and w.k = b.k""")
+def src7(spark, folder):
+    nations = v.suppliers(spark, folder).select("s_suppkey", "n_name")
+    cells = v.lines_with_parts(spark, folder).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+    wide = cells.groupBy("l_partkey", "p_name", "p_retailprice").pivot("n_name", NATIONS).agg(F.round(F.sum("l_extendedprice"), 2))
+    shaped = wide.select(
+        F.concat(F.col("p_name"), F.col("l_partkey").cast("string")).alias("Sequence"), _accession("l_partkey").alias("Leading razor protein"),
+        F.lit(1).alias("Missed cleavages"), (F.col("p_retailprice") / 10000).alias("PEP"), F.lit(0).alias("Intensity"),
+        *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"LFQ intensity {n}") for n in NATIONS],
+    )
+    found = tables.read_peptides(spark, _write(shaped, "peptides"), "iBAQ")
+    return found.select(
+        col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.col("Sequence").alias("sequence"), F.round("Intensity", 2).alias("value"), F.round("PEP", 6).alias("pep")
+    )
+
+
+@query("src8_evidence_table", """select nullif(cast(l_suppkey as varchar), '0') as sample, 'P' || lpad(cast(p_partkey as varchar), 8, '0') || 'X' as feature, p_name as sequence,
+   round(l_extendedprice, 2) as value, l_returnflag || ',' || l_linestatus as modifications, nullif(cast(l_linenumber - 1 as double), 0) as missed, nullif(l_discount, 0) as pep
+ from lineitem join part on l_partkey = p_partkey""")
+def src8(spark, folder):
+    rows = v.lines_with_parts(spark, folder).select(
+        F.col("l_suppkey").alias("Experiment"), _accession("p_partkey").alias("Leading razor protein"), F.col("p_name").alias("Sequence"),
+        F.col("l_extendedprice").alias("Intensity"), F.concat_ws(",", "l_returnflag", "l_linestatus").alias("Modifications"),
+        F.concat(F.lit("_"), F.col("p_name"), F.lit("_")).alias("Modified sequence"), (F.col("l_linenumber") - 1).alias("Missed cleavages"),
+        F.col("l_discount").alias("PEP"), F.lit("run").alias("Raw file"), F.col("l_tax").alias("Charge"),
+    )
+    found = tables.read_evidence(spark, _write(rows, "evidence"), "Intensity")
+    return found.select(
+        col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.col("Sequence").alias("sequence"), F.round("Intensity", 2).alias("value"),
+        F.col("Modifications").alias("modifications"), F.col("Missed cleavages").alias("missed"), F.col("PEP").alias("pep"),
+    )
+
+
+_SUPPLIERS = """select s_suppkey as sample, r_name as grp, s_acctbal as balance from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
+
+
+def _supplier_metadata(spark, folder):
+    return v.suppliers(spark, folder).select(
+        F.col("s_suppkey").alias("Sample"), F.concat(F.lit(" "), F.col("r_name")).alias("Group"), F.col("s_acctbal").alias("Balance")
+    )
+
+
+@query("src9_metadata", _SUPPLIERS)
+def src9(spark, folder):
+    path = _write(_supplier_metadata(spark, folder), "metadata", ",", ".csv")
+    found = metadata.read_metadata(spark, path).table
+    return found.select(F.col("Sample").alias("sample"), F.col("Group").alias("grp"), F.col("Balance").alias("balance"))
+
+
+@query("src10_metadata_by_rows", """select n_name as sample, r_name as grp, count(*) as suppliers from supplier join nation on s_nationkey = n_nationkey
+ join region on n_regionkey = r_regionkey group by 1, 2""")
+def src10(spark, folder):
+    per_nation = v.suppliers(spark, folder).groupBy("n_name", "r_name").agg(F.count("*").cast("string").alias("n"))
+    rows = per_nation.select("n_name", F.explode(F.create_map(F.lit("Group"), F.col("r_name"), F.lit("Suppliers"), F.col("n"))).alias("Sample", "x"))
+    turned = rows.groupBy("Sample").pivot("n_name", NATIONS).agg(F.first("x"))
+    present = [n for n, k in zip(NATIONS, turned.agg(*[F.count(F.col(n)) for n in NATIONS]).first()) if k]
+    found = metadata.read_metadata(spark, _write(turned.select("Sample", *present), "metadata", "\t", ".tsv"), "Rows (features in rows)").table
+    return found.select(F.col("Sample").alias("sample"), F.col("Group").alias("grp"), F.col("Suppliers").alias("suppliers"))
+
+
+@query("src11_medians_of_runs", f"""with {v.BY_BRAND}, {v.GROUPS} select b as sample, p as feature, round(quantile_cont(x, 0.5), 3) as value from i join m using (s) group by 1, 2""")
+def src11(spark, folder):
+    runs = v.groups(spark, folder).select(col(SAMPLE).alias("MS run"), F.col("Batch").alias("sample name"))
+    return v.tidy(metadata.medians_of_runs(v.by_brand(spark, folder), runs), 3)
+
+
+@query("src12_assign_metadata_column", _SUPPLIERS.replace("as sample", "as \"Sample\"").replace("as grp", "as \"Group\"").replace("as balance", "as \"Balance\""))
+def src12(spark, folder):
+    given = _supplier_metadata(spark, folder).withColumnRenamed("Group", "Class").withColumn("Class", F.ltrim("Class"))
+    return metadata.assign_column(given, "Group", "Class")
+
+
+@query("src13_gene_sets", """select distinct 'x' as library, p_brand as term, p_name as gene from part""")
+def src13(spark, folder):
+    lines = v.table(spark, folder, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_name")), "\t").alias("genes"))
+    path = scratch_path(spark, "sets") + ".gmt"
+    lines.select(F.concat_ws("\t", F.col("p_brand"), F.lit("note"), F.col("genes")).alias("value")).write.text(path)
+    return genesets.read_gene_sets(spark, path, "x")
+
+
+@query("src13_gene_sets_csv", """select distinct 'y' as library, p_type as term, p_name as gene from part""")
+def src13_csv(spark, folder):
+    lines = v.table(spark, folder, "part").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_name")), ",").alias("genes"))
+    path = scratch_path(spark, "sets") + ".csv"
+    lines.select(F.concat_ws(",", F.col("p_type"), F.col("genes"), F.lit("")).alias("value")).write.text(path)
+    return genesets.read_gene_sets(spark, path, "y")
+
+
+@query("src14_background", "select distinct p_name as gene from part")
+def src14(spark, folder):
+    path = scratch_path(spark, "background") + ".txt"
+    v.table(spark, folder, "part").select("p_name").distinct().write.text(path)
+    return genesets.read_background(spark, path)
+
+
+@query("src15_annotations", """select p_partkey as "Entry", p_name as "Gene Names", p_type as "Organism" from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49)""")
+def src15(spark, folder):
+    parts = v.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("Entry"), F.col("p_name").alias("Gene Names"), F.col("p_type").alias("Organism"), F.col("p_size").alias("Length")
+    )
+    path = _write(parts, "annotations")
+    wanted = v.lines(spark, folder).filter("l_quantity > 49").select(F.col("l_partkey").cast("string").alias("id"))
+    found = genesets.read_annotations(spark, path, wanted, ["Gene Names", "Organism"])
+    return found.withColumn("Entry", F.col("Entry").cast("long"))
+
+
+@query("src16_table_sink", f"with {v.BY_BRAND} select s as sample, p as feature, x as value from i")
+def src16(spark, folder):
+    paths = sinks.write_tables({"protein_df": v.by_brand(spark, folder)}, scratch_path(spark, "results"))
+    return v.tidy(spark.read.parquet(paths["protein_df"]), 2)
+
+
+@query("src16_csv_sink", f"with {v.BY_BRAND} select s as sample, p as feature, x as value from i")
+def src16_csv(spark, folder):
+    path = sinks.write_table(v.by_brand(spark, folder), scratch_path(spark, "results"), "csv")
+    read = spark.read.csv(path, header=True, schema=f"`{SAMPLE}` string, `{FEATURE}` string, Intensity double")
+    return v.tidy(read, 2)

@@ -158,10 +158,10 @@ def sta8(spark, folder):
 
 
 @query("sta9_significant_rows", f"""with {v.BY_BRAND}, {v.GROUPS}, {_SUMS}, {_POOLED}, {_BH.format(t='t2')}
- select s as sample, p as feature, round(x, 2) as value, round(adj, 8) as corrected_p_value from i join bh using (p) where adj <= 0.9""")
+ select s as sample, p as feature, round(x, 2) as value, round(adj, 8) as corrected_p_value from i join bh using (p) where adj <= 0.95""")
 def sta9(spark, folder):
     table = v.by_brand(spark, folder)
-    found = stats.t_test(table, v.groups(spark, folder), "Group", "EUROPE", "ASIA", alpha=0.9)
+    found = stats.t_test(table, v.groups(spark, folder), "Group", "EUROPE", "ASIA", alpha=0.95)
     rows = stats.with_results(table, stats.significant(found))
     return rows.select(col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.round("Intensity", 2).alias("value"), F.round("corrected_p_value", 8).alias("corrected_p_value"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from assayloom.functions.draws import normal
 from assayloom.plans.blocks import nearest_donors
 from assayloom.plans.prefix import group_quantiles
+from assayloom.plans.storage import cut
 from assayloom.schema import FEATURE, SAMPLE, col, measure_column
 
 
@@ -131,7 +132,7 @@ def by_nearest_samples(
     means = (
         df.groupBy(col(feature)).agg(F.avg(col(measure)).alias("__mean")).filter("__mean is not null")
     )
-    kept = df.join(means, feature)
+    kept = cut(df.join(means, feature))  # numbered, tiled and filled below
     donors = nearest_donors(kept.drop("__mean"), neighbours, sample, feature, measure)
     fills = donors.groupBy(col(sample), col(feature)).agg(F.avg("donor_value").alias("__near"))
     joined = kept.join(fills, [sample, feature], "left")
