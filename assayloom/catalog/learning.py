@@ -1 +1,263 @@
-"""Queries."""
+"""Neighbours, outliers, clustering, classification and embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assayloom.catalog import views as v
+from assayloom.catalog.registry import query
+from assayloom.operators import classify, cluster, embed, outliers
+from assayloom.operators.impute import by_min_per_feature
+from assayloom.operators.vectors import to_vectors
+
+_VECTORS = "e as (select vec_id id, cast(embedding as double[]) v, label from embeddings)"
+_PAIRS = {
+    "euclidean": "list_distance(a.v, b.v)",
+    "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))",
+    "cosine": "1 - list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(a.v, lambda z: z * z)) * list_sum(list_transform(b.v, lambda z: z * z)))",
+}
+
+
+def _near(metric: str, k: int) -> str:
+    return f"""d as (select a.id i, b.id j, {_PAIRS[metric]} d from e a join e b on a.id <> b.id),
+ n as (select i, j, d, row_number() over (partition by i order by round(d, 10), j) r from d qualify r <= {k})"""
+
+
+def _neighbours(spark, folder, metric, k):
+    found = embed.neighbour_graph(v.vectors(spark, folder), k, metric)
+    return found.select("id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("emb2_neighbours_euclidean", f"with {_VECTORS}, {_near('euclidean', 15)} select i as id, r as rank, round(d, 6) as distance from n")
+def emb2(spark, folder):
+    return _neighbours(spark, folder, "euclidean", 15)
+
+
+@query("emb2_neighbours_manhattan", f"with {_VECTORS}, {_near('manhattan', 10)} select i as id, r as rank, round(d, 6) as distance from n")
+def emb2_manhattan(spark, folder):
+    return _neighbours(spark, folder, "manhattan", 10)
+
+
+@query("emb2_neighbours_cosine", f"with {_VECTORS}, {_near('cosine', 10)} select i as id, r as rank, round(d, 6) as distance from n")
+def emb2_cosine(spark, folder):
+    return _neighbours(spark, folder, "cosine", 10)
+
+
+@query("emb1_principal_components")
+def emb1(spark, folder):
+    return embed.principal_components(v.vectors(spark, folder), 2).scores
+
+
+@query("emb1_principal_components_wide")
+def emb1_wide(spark, folder):
+    return embed.principal_components_wide(by_min_per_feature(v.nation_grid(spark, folder)), 2).scores
+
+
+# ------------------------------------------------------------------ outliers
+
+
+@query("out1_isolation_forest")
+def out1(spark, folder):
+    return outliers.by_isolation_forest(v.by_brand(spark, folder), n_estimators=50).scores
+
+
+@query("out2_local_outlier_factor", f"""with {_VECTORS}, {_near('euclidean', 20)},
+ k as (select i, max(round(d, 10)) kd from n group by i),
+ l as (select n.i, 1 / (avg(greatest(round(n.d, 10), k.kd)) + 1e-10) lrd from n join k on k.i = n.j group by n.i)
+ select n.i as id, round(-avg(b.lrd) / any_value(a.lrd), 6) as anomaly_score, -avg(b.lrd) / any_value(a.lrd) < -1.5 as outlier
+ from n join l a on a.i = n.i join l b on b.i = n.j group by n.i""")
+def out2(spark, folder):
+    found = outliers.local_outlier_factor(v.vectors(spark, folder), 20)
+    return found.withColumn("anomaly_score", F.round("anomaly_score", 6))
+
+
+@query("out2_samples_by_local_outlier_factor", f"""with {v.BY_BRAND}, e as (select s id, list(x order by p) v from i group by s), {_near('euclidean', 20)},
+ k as (select i, max(d) kd from n group by i), l as (select n.i, 1 / (avg(greatest(n.d, k.kd)) + 1e-10) lrd from n join k on k.i = n.j group by n.i)
+ select n.i as id, round(-avg(b.lrd) / any_value(a.lrd), 6) as anomaly_score, -avg(b.lrd) / any_value(a.lrd) < -1.5 as outlier
+ from n join l a on a.i = n.i join l b on b.i = n.j group by n.i""")
+def out2_samples(spark, folder):
+    found = outliers.by_local_outlier_factor(v.by_brand(spark, folder), number_of_neighbours=20).scores
+    return found.withColumn("anomaly_score", F.round("anomaly_score", 6))
+
+
+@query("out3_outside_ellipsoid", """with c as (select vec_id id, cast(embedding[1] as double) a, cast(embedding[2] as double) b from embeddings),
+ m as (select quantile_cont(a, 0.5) ma, stddev_samp(a) sa, quantile_cont(b, 0.5) mb, stddev_samp(b) sb from c)
+ select id, ((a - ma) / (2 * sa)) ** 2 + ((b - mb) / (2 * sb)) ** 2 > 1 as outlier from c, m""")
+def out3(spark, folder):
+    scores = v.vectors(spark, folder).select("id", F.get("vec", F.lit(0)).alias("a"), F.get("vec", F.lit(1)).alias("b"))
+    return outliers.outside_ellipsoid(scores, ["a", "b"], 2.0).select("id", "outlier")
+
+
+@query("out3_pca_outliers")
+def out3_pca(spark, folder):
+    return outliers.by_pca(v.by_brand(spark, folder), threshold=2.0, number_of_components=3).scores
+
+
+# ---------------------------------------------------------------- clustering
+
+
+@query("clu1_k_means")
+def clu1(spark, folder):
+    return cluster.k_means(v.vectors(spark, folder), 10, n_init=3, max_iter=50).labels
+
+
+@query("clu2_expectation_maximisation")
+def clu2(spark, folder):
+    rows = embed.principal_components(v.vectors(spark, folder), 3).scores
+    reduced = rows.select("id", F.array("component_1", "component_2", "component_3").alias("vec"))
+    return cluster.expectation_maximisation(reduced, 4, max_iter=30).labels
+
+
+@query("clu3_hierarchical")
+def clu3(spark, folder):
+    return cluster.hierarchical(to_vectors(v.by_brand(spark, folder)), 5).labels
+
+
+_LABELLED = """p as (select vec_id id, label truth, (case when embedding[1] > 0 then 2 else 0 end + case when embedding[2] > 0 then 1 else 0 end) pred from embeddings)"""
+_CONTINGENCY = f"""{_LABELLED}, n as (select truth, pred, count(*) n from p group by 1, 2), a as (select truth, sum(n) a from n group by 1), b as (select pred, sum(n) b from n group by 1),
+ t as (select sum(n)::double t from n),
+ s as (select sum(n * (n - 1) / 2.0) tp, sum(n / t * ln(n * t / (a * b))) mi, any_value(t) t from n join a using (truth) join b using (pred) cross join t),
+ ha as (select sum(a * (a - 1) / 2.0) pa, -sum(a / t * ln(a / t)) ht from a cross join t), hb as (select sum(b * (b - 1) / 2.0) pb, -sum(b / t * ln(b / t)) hp from b cross join t),
+ em as (select sum(list_sum(list_transform(range(greatest(1, a + b - t)::bigint, least(a, b)::bigint + 1), lambda k: k / t * ln(t * k / (a * b))
+   * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))))) emi
+   from a cross join b cross join t),
+ r as (select *, pb - tp fp, pa - tp fn, t * (t - 1) / 2 every from s, ha, hb, em),
+ x as (select unnest(['rand_score', 'adjusted_rand_score', 'mutual_info_score', 'normalized_mutual_info_score', 'adjusted_mutual_info_score', 'homogeneity_score',
+   'completeness_score', 'v_measure_score', 'fowlkes_mallows_score']) metric,
+  unnest([(every - fp - fn) / every, (tp - pa * pb / every) / ((pa + pb) / 2 - pa * pb / every), mi, mi / ((ht + hp) / 2), (mi - emi) / ((ht + hp) / 2 - emi), mi / ht, mi / hp,
+   2 * mi / (ht + hp), tp / sqrt(pa * pb)]) score from r)"""
+
+
+@query("clu4_external_indices", f"with {_CONTINGENCY} select metric, round(score, 6) as score from x")
+def clu4(spark, folder):
+    first, second = F.get("vec", F.lit(0)) > 0, F.get("vec", F.lit(1)) > 0
+    pairs = v.vectors(spark, folder).select(
+        F.col("label").alias("truth"), (F.when(first, 2).otherwise(0) + F.when(second, 1).otherwise(0)).alias("label")
+    )
+    return cluster.external_indices(pairs).withColumn("score", F.round("score", 6))
+
+
+@query("clu4_binary_indices", """with t as (select count(*) filter (where quality = 1 and toxic = 1) tp, count(*) filter (where quality <> 1 and toxic = 1) fp,
+   count(*) filter (where quality = 1 and toxic <> 1) fn from labels)
+ select 'jaccard_score' as metric, round(coalesce(tp::double / nullif(tp + fp + fn, 0), 0), 6) as score from t
+ union all select 'f1_score', round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) from t""")
+def clu4_binary(spark, folder):
+    found = cluster.binary_indices(v.table(spark, folder, "labels"), "quality", "toxic")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("clu5_silhouette", f"""with {_VECTORS}, s as (select label, count(*) n from e group by 1),
+ d as (select a.id, a.label l, b.label o, sum(list_distance(a.v, b.v)) t from e a cross join e b group by 1, 2, 3),
+ w as (select id, max(case when l = o then t / (n - 1) end) a, min(case when l <> o then t / n end) b from d join s on s.label = d.o group by id)
+ select round(avg((b - a) / greatest(a, b)), 6) as silhouette_score from w""")
+def clu5(spark, folder):
+    return cluster.silhouette(v.vectors(spark, folder)).select(F.round("silhouette_score", 6).alias("silhouette_score"))
+
+
+@query("clu5_davies_bouldin", f"""with {_VECTORS}, u as (select id, label, unnest(v) x, generate_subscripts(v, 1) k from e),
+ c0 as (select label, k, avg(x) m from u group by 1, 2), c as (select label, list(m order by k) c from c0 group by 1),
+ s as (select label, any_value(c.c) c, avg(list_distance(e.v, c.c)) s from e join c using (label) group by 1),
+ r as (select a.label, max((a.s + b.s) / list_distance(a.c, b.c)) r from s a join s b on a.label <> b.label group by 1)
+ select round(avg(r), 6) as davies_bouldin_score from r""")
+def clu5_db(spark, folder):
+    return cluster.davies_bouldin(v.vectors(spark, folder)).select(F.round("davies_bouldin_score", 6).alias("davies_bouldin_score"))
+
+
+@query("clu5_dunn", f"""with {_VECTORS} select round(min(list_distance(a.v, b.v)) filter (where a.label <> b.label) / max(list_distance(a.v, b.v)) filter (where a.label = b.label), 6) as dunn_score
+ from e a cross join e b""")
+def clu5_dunn(spark, folder):
+    return cluster.dunn(v.vectors(spark, folder)).select(F.round("dunn_score", 6).alias("dunn_score"))
+
+
+# ------------------------------------------------------------ classification
+
+
+@query("mlc1_encode_labels", """with c as (select o_orderpriority l, min(o_orderkey) f from orders group by 1), k as (select l, row_number() over (order by f, l) - 1 c from c)
+ select o_orderkey as id, k.c as code from orders join k on k.l = o_orderpriority""")
+def mlc1(spark, folder):
+    coded, _ = classify.encode_labels(v.table(spark, folder, "orders"), "o_orderpriority", order_by="o_orderkey", name="code")
+    return coded.select(F.col("o_orderkey").alias("id"), "code")
+
+
+@query("mlc1_decode_labels", "select o_orderkey as id, o_orderpriority as label from orders")
+def mlc1_decode(spark, folder):
+    coded, mapping = classify.encode_labels(v.table(spark, folder, "orders"), "o_orderpriority", order_by="o_orderkey", name="code")
+    return classify.decode_labels(coded.select(F.col("o_orderkey").alias("id"), "code"), mapping, code="code").select("id", "label")
+
+
+@query("mlc2_stratified_split_sizes", "select o_orderstatus as label, count(*) as n, cast(round(0.2 * count(*)) as bigint) as test from orders group by 1")
+def mlc2(spark, folder):
+    rows = v.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"))
+    train, test = classify.train_test_split(rows, "label", 0.2)
+    both = train.withColumn("t", F.lit(0)).unionByName(test.withColumn("t", F.lit(1)))
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.sum("t").alias("test"))
+
+
+@query("mlc3_fold_sizes", "with f as (select unnest(range(5)) fold) select cast(fold as int) as fold, (select count(*) from orders) // 5 + case when fold < (select count(*) from orders) % 5 then 1 else 0 end as n from f")
+def mlc3(spark, folder):
+    rows = v.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"))
+    return classify.with_folds(rows, "K-Fold", 5).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+def _binary(spark, folder):
+    return v.vectors(spark, folder).select("id", "vec", (F.col("label") < 5).cast("int").alias("label"))
+
+
+@query("mlc4_model_selection")
+def mlc4(spark, folder):
+    return classify.random_forest(_binary(spark, folder), {"maxDepth": [2, 4]}, n_estimators=10, max_depth=4, n_splits=3).evaluation
+
+
+@query("mlc5_random_forest")
+def mlc5(spark, folder):
+    found = classify.random_forest(_binary(spark, folder), n_estimators=20, max_depth=6, n_splits=2)
+    return classify.classification_scores(found.predictions, ["accuracy", "precision", "recall", "f1_score"])
+
+
+@query("mlc6_svm")
+def mlc6(spark, folder):
+    found = classify.svm(_binary(spark, folder), max_iter=20, n_splits=2)
+    return classify.classification_scores(found.predictions, ["accuracy", "matthews_corrcoef"])
+
+
+_CONFUSION = """t as (select count(*) filter (where quality = 1 and toxic = 0) tp, count(*) filter (where quality = 0 and toxic = 0) fp,
+   count(*) filter (where quality = 1 and toxic = 1) fn, count(*) filter (where quality = 0 and toxic = 1) tn from labels)"""
+
+
+@query("mlc7_classification_scores", f"""with {_CONFUSION}, x as (select unnest(['accuracy', 'precision', 'recall', 'matthews_corrcoef', 'f1_score', 'other']) metric,
+  unnest([(tp + tn)::double / (tp + tn + fp + fn), tp::double / (tp + fp), tp::double / (tp + fn),
+   coalesce((tp::double * tn - fp::double * fn) / nullif(sqrt((tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 2.0::double * tp / (2 * tp + fp + fn), null]) s from t)
+ select metric, round(s, 6) as score, case when s is null then 'Score not known' end as note from x""")
+def mlc7(spark, folder):
+    rows = v.table(spark, folder, "labels").select("quality", (1 - F.col("toxic")).alias("clean"))
+    names = ["accuracy", "precision", "recall", "matthews_corrcoef", "f1_score", "other"]
+    found = classify.classification_scores(rows, names, truth="quality", predicted="clean")
+    return found.select(F.col("Metric").alias("metric"), F.round("Score", 6).alias("score"), F.col("Note").alias("note"))
+
+
+_CURVE = """j as (select n_chars s, count(*) filter (where quality = 1) tp, count(*) filter (where quality <> 1) fp from documents join labels using (doc_id) group by 1),
+ k as (select s, tp, fp, sum(tp) over w ctp, sum(fp) over w cfp, sum(tp) over () p, sum(fp) over () n from j window w as (order by s desc rows unbounded preceding))"""
+
+
+def _scored(spark, folder):
+    return v.table(spark, folder, "documents").join(v.table(spark, folder, "labels"), "doc_id").select(F.col("n_chars").alias("score"), F.col("quality").alias("label"))
+
+
+@query("mlc8_roc_curve", f"with {_CURVE} select cast(s as double) as threshold, round(cfp / n, 9) as fpr, round(ctp / p, 9) as tpr from k union all select 'infinity'::double, 0, 0")
+def mlc8(spark, folder):
+    return classify.roc_curve(_scored(spark, folder)).select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@query("mlc8_roc_auc", f"with {_CURVE} select round(sum(fp * (ctp - tp / 2.0)) / (any_value(p) * any_value(n)), 9) as roc_auc from k")
+def mlc8_auc(spark, folder):
+    return classify.roc_auc(_scored(spark, folder)).select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query("mlc9_precision_recall_curve", f"""with {_CURVE} select cast(s as double) as threshold, round(ctp / (ctp + cfp), 9) as precision, round(ctp / p, 9) as recall from k union all select null, 1, 0""")
+def mlc9(spark, folder):
+    return classify.precision_recall_curve(_scored(spark, folder)).select("threshold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query("mlc9_average_precision", f"with {_CURVE} select round(sum(tp / p * ctp / (ctp + cfp)), 9) as average_precision from k")
+def mlc9_average(spark, folder):
+    return classify.average_precision(_scored(spark, folder)).select(F.round("average_precision", 9).alias("average_precision"))

@@ -28,6 +28,10 @@ def normal(seed: int, *keys: Column) -> Column:
     return radius * F.cos(2.0 * math.pi * uniform(seed, F.lit(2), *keys))
 
 
+_STEP = 0x9E3779B97F4A7C15  # SplitMix64 increment
+_TURNS = np.array([(i * _STEP) % 2**64 for i in range(4)], dtype=np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -44,14 +48,14 @@ def shuffled(position: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
     """
     x = position.to_numpy().astype(np.uint64)
     size = n.to_numpy().astype(np.uint64)
-    seed = _mix(key.to_numpy().astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    seed = _mix(key.to_numpy().astype(np.int64).view(np.uint64) + np.uint64(_STEP))
     half = np.maximum((np.ceil(np.log2(np.maximum(size.astype(float), 2.0))) + 1) // 2, 1).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     todo = np.ones(len(x), dtype=bool)
     while todo.any():
         left, right, h, mk = x[todo] >> half[todo], x[todo] & mask[todo], half[todo], mask[todo]
-        for step in range(4):
-            turn = _mix(right + seed[todo] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+        for step in _TURNS:
+            turn = _mix(right + seed[todo] + step)
             left, right = right, left ^ (turn & mk)
         x[todo] = (left << h) | right
         todo &= x >= size
