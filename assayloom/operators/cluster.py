@@ -30,13 +30,13 @@ class Clusters(NamedTuple):
 
 
 def _checked(vectors: DataFrame, k: int) -> DataFrame:
-    rows = cut(with_ml_vector(vectors).select("id", "vec", "features"))
-    row = rows.agg(F.count("*").alias("n"), F.count_if(F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("bad")).first()
+    given = cut(vectors.select("id", "vec"))
+    row = given.agg(F.count("*").alias("n"), F.count_if(F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("bad")).first()
     if row["bad"]:
         raise ValueError("The table has missing values. Consider filtering or imputing them first.")
     if k > row["n"]:
         raise ValueError(f"The number of clusters ({k}) must not exceed the number of samples ({row['n']}).")
-    return rows
+    return with_ml_vector(given)
 
 
 def _centres(rows: DataFrame, centres: Sequence) -> DataFrame:

@@ -178,9 +178,9 @@ def with_lists(result: Enrichment, *, feature: str = FEATURE) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("gene")), ";").alias("Genes"),
         F.array_join(F.array_sort(F.collect_set(col(feature))), ";").alias("Proteins"),
     )
-    return result.terms.join(lists, ["library", "term"], "left").withColumn(
-        "Overlap", F.concat_ws("/", F.col("overlap").cast("string"), F.col("set_size").cast("string"))
-    )
+    # column names ignore case: the text takes the place of the number
+    share = F.concat_ws("/", F.col("overlap").cast("string"), F.col("set_size").cast("string"))
+    return result.terms.join(lists, ["library", "term"], "left").withColumn("Overlap", share)
 
 
 def top_terms(

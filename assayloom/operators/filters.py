@@ -150,27 +150,25 @@ def peptides_containing(peptides: DataFrame, ids: list[str], *, feature: str = F
 def peptides_for_isoforms(
     peptides: DataFrame,
     protein_id: str,
-    groups: DataFrame,
-    selected: list[str],
+    groups: DataFrame | None = None,
+    selected: list[str] | None = None,
     *,
     grouping: str = "Group",
     value: str = "Intensity",
     sample: str = SAMPLE,
     feature: str = FEATURE,
 ) -> DataFrame:
-    """Distinct observed peptide sequences of a protein within the selected groups.
+    """Distinct observed peptide sequences of a protein, within the selected groups if given.
 
     Rows that belong to one named isoform (``id-<n>`` and nothing else) are left out.
     """
     isoform_only = col(feature).rlike("^" + _quoted(protein_id) + r"-\d+$")
-    members = groups.filter(col(grouping).isin(selected)).select(col(sample)).distinct()
-    return (
-        peptides.filter(F.contains(col(feature), F.lit(protein_id)) & ~isoform_only)
-        .filter(col(value).isNotNull() & (col(value) != 0))
-        .join(members, sample, "left_semi")
-        .select("Sequence")
-        .distinct()
+    found = peptides.filter(F.contains(col(feature), F.lit(protein_id)) & ~isoform_only).filter(
+        col(value).isNotNull() & (col(value) != 0)
     )
+    if groups is not None and selected:
+        found = restrict_to_groups(found, groups, grouping, selected, sample=sample)
+    return found.select("Sequence").distinct()
 
 
 def _quoted(text: str) -> str:

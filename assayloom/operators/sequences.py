@@ -37,7 +37,7 @@ def read_flat_files(spark: SparkSession, path: str) -> DataFrame:
     found = lambda p, g=1: F.nullif(F.regexp_extract("value", p, g), F.lit(""))
     letters = F.regexp_replace(found(r"(?s)(?:^|\n)SQ\s+SEQUENCE[^\n]*\n(.*)"), r"\s", "")
     return entries.select(
-        found(r"(?:^|\n)AC\s+([^;\s]+);").alias("protein_id"),
+        found(r"(?:^|\n)AC\s+([^;\s]+)").alias("protein_id"),
         F.nullif(letters, F.lit("")).alias("seq"),
         found(r"(?:^|\n)SQ\s+SEQUENCE\s+(\d+)").cast("int").alias("seq_len"),
         F.col("value").alias("text"),
@@ -247,10 +247,13 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
     """
     if allowed_mismatches < 0:
         raise ValueError("allowed mismatches must not be negative")
+    found = cut(found)
     placed = graph.nodes.withColumnRenamed("pos", "offset") if offsets is None else graph.nodes.join(offsets, ["protein_id", "node_id"])
+    placed = placed.join(found.select("protein_id"), "protein_id", "left_semi")
     letters = cut(placed.select("protein_id", "node_id", "offset", F.when(F.col("kind").isin("start", "end"), F.lit("")).otherwise(F.col("seq")).alias("seq"), "kind"))
-    edges = cut(graph.edges)
-    starting = position_index(graph, offsets).join(
+    edges = cut(graph.edges.join(found.select("protein_id"), "protein_id", "left_semi"))
+    seeded = Graph(graph.nodes.join(found.select("protein_id"), "protein_id", "left_semi"), graph.edges)
+    starting = position_index(seeded, offsets).join(
         found.select("protein_id", F.col("start").alias("position"), "peptide", F.substring("peptide", 1, 1).alias("letter")),
         ["protein_id", "position", "letter"],
     ).join(letters.select("protein_id", "node_id", "offset", "kind"), ["protein_id", "node_id"])

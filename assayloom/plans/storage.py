@@ -13,14 +13,18 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A folder of its own is made only for sessions that name none, such as tests.
+    A folder of its own is made only for local sessions that name none, such as
+    tests; a cluster without the setting is refused, for its machines share no
+    temporary folder.
     """
-    folder = spark.conf.get(_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="assayloom-")
-        spark.conf.set(_SETTING, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
