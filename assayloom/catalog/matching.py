@@ -13,7 +13,7 @@ KEYS = ["protein_id", "node_id"]
 
 
 def _sequences(spark, folder):
-    docs = v.table(spark, folder, "documents").filter("text <> ''")
+    docs = v.spread(v.table(spark, folder, "documents").select("doc_id", "text")).filter("text <> ''")
     return docs.select(F.col("doc_id").cast("string").alias("protein_id"), F.col("text").alias("seq"), F.length("text").alias("seq_len"))
 
 

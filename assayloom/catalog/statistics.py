@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayloom.catalog import views as v
 from assayloom.catalog.registry import query
 from assayloom.operators import filters, normalise, ptm, stats
+from assayloom.plans.storage import cut
 from assayloom.schema import FEATURE, SAMPLE, col
 
 _SUMS = """w as (select p, count(x) filter (where g = 'EUROPE') n1, count(x) filter (where g = 'ASIA') n2,
@@ -215,7 +216,8 @@ def ptm3(spark, folder):
  from t2 join bh using (p)""")
 def flagship(spark, folder):
     """Filter, median-normalise, log2, t-test, correct: the usual spine of an assay analysis."""
-    kept = filters.by_samples_missing(v.by_brand(spark, folder), percentage=0.5).kept
+    table = cut(v.by_brand(spark, folder))  # the imported table, read by every step
+    kept = filters.by_samples_missing(table, percentage=0.5).kept
     logged = normalise.by_log(normalise.by_median(kept).table, "log2")
     found = stats.t_test(logged, v.groups(spark, folder), "Group", "EUROPE", "MIDDLE EAST", log_base="log2").results
     return found.select(

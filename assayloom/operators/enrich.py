@@ -102,7 +102,7 @@ def over_representation(
     """Test the genes of the given features; ``mapping`` holds (feature, gene) pairs."""
     pairs = mapping.select(col(feature), col(gene).alias("gene")).distinct()
     wanted = features.select(col(feature)).distinct()
-    query = pairs.join(wanted, feature, "left_semi").select("gene").distinct()
+    query = cut(pairs.join(wanted, feature, "left_semi").select("gene").distinct())  # gene names, used below and in the test
     terms = overlap_test(query, gene_sets, background)
     hits = (
         gene_sets.select("library", "term", "gene").distinct()

@@ -46,6 +46,7 @@ def rank_genes(
     once = df.groupBy(col(feature)).agg(F.min(col(column)).alias("__x"))
     worst = F.max("__x") if up else F.min("__x")
     scored = once.join(mapping.select(col(feature), col(gene).alias("gene")), feature).groupBy("gene").agg(worst.alias("score"))
+    scored = cut(scored)  # one row per gene
     ranks = running_totals(scored, [], "score", {"__n": F.lit(1)}, descending=not up)
     return scored.join(ranks.select("score", (F.col("__n_upto") - F.col("__n") + 1).alias("rank")), "score").select("gene", "score", "rank")
 

@@ -24,18 +24,22 @@ def modification_counts(
 
     A token counts once per row, however often it is listed; an amount above one
     in the token multiplies it, and then the token goes by its bare name.
+
+    Equal texts of one key are counted before they are taken apart.
     """
-    tokens = F.filter(F.array_distinct(F.split(col(modifications), ",")), lambda t: t != "")
+    keys = [col(b) for b in by]
+    texts = peptides.groupBy(*keys, col(modifications).alias("text")).agg(F.count("*").alias("rows"))
+    tokens = F.filter(F.array_distinct(F.split("text", ",")), lambda t: t != "")
     amount, name = amount_and_name(F.col("token"))
     many = amount > 1
-    rows = peptides.select(*map(col, by), F.explode(tokens).alias("token"))
     return (
-        rows.select(
-            *map(col, by),
+        texts.select(*keys, "rows", F.explode(tokens).alias("token"))
+        .select(
+            *keys,
             F.when(many, name).otherwise(F.col("token")).alias("modification"),
-            F.when(many, amount).otherwise(F.lit(1)).alias("weight"),
+            (F.when(many, amount).otherwise(F.lit(1)) * F.col("rows")).alias("weight"),
         )
-        .groupBy(*map(col, by), "modification")
+        .groupBy(*keys, "modification")
         .agg(F.sum("weight").alias("amount"))
     )
 

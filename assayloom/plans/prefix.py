@@ -21,9 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayloom.schema import col
+from assayloom.schema import col, quoted
 
-RANGES = 64
+RANGES = 64  # a power of two
+
+
+def _range_of(df: DataFrame) -> DataFrame:
+    """Add ``__range``: how many of the sorted borders lie below the value (binary search)."""
+    steps, at, step = [], "0", RANGES // 2
+    while step:
+        name = "__range" if step == 1 else f"__at{step}"
+        steps.append(f"{at} + if(get(__borders, {at} + {step - 1}) < __order, {step}, 0) as {name}")
+        at, step = name, step // 2
+    return df.selectExpr("*", *steps).drop("__borders", *[f"__at{2**i}" for i in range(1, RANGES.bit_length() - 1)])
 
 
 def running_totals(
@@ -33,7 +43,7 @@ def running_totals(
     sums: Mapping[str, Column],
     *,
     descending: bool = False,
-    ranges: int = RANGES,
+    wanted: str | None = None,
 ) -> DataFrame:
     """One row per (group, distinct value) with cumulative and total sums.
 
@@ -41,7 +51,9 @@ def running_totals(
     ``name_upto`` (this and all earlier values) and ``name_total`` (the group).
 
     All three uses of the merged values read the same columns, so the plan holds
-    one shuffle of them and reuses it.
+    one shuffle of them and reuses it.  ``wanted`` is a condition on a range
+    (``before`` it, ``inside`` it and ``total`` of the group, for the first sum) that
+    drops whole ranges before any row of theirs is ordered.
     """
     keys = [col(b) for b in by]
     sign = -1 if descending else 1
@@ -51,15 +63,14 @@ def running_totals(
         .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
         .withColumn("__order", sign * col(order).cast("double"))
     )
-    cut_points = [i / ranges for i in range(1, ranges)]
+    cut_points = [i / RANGES for i in range(1, RANGES)]
     carried = F.when(F.coalesce(*[F.col(n) for n in sums]).isNotNull(), F.col("__order"))
-    borders = F.array_distinct(F.percentile_approx(carried, cut_points, 10_000)).alias("__borders")
+    borders = F.percentile_approx(carried, cut_points, 1_000).alias("__borders")
     if by:
         marked = cells.join(cells.groupBy(*keys).agg(borders), list(by))
     else:
         marked = cells.withColumn("__borders", cells.agg(borders).scalar())
-    below = F.size(F.filter("__borders", lambda b: b < F.col("__order")))
-    marked = marked.withColumn("__range", below).drop("__borders")
+    marked = _range_of(marked)
 
     per_range = marked.groupBy(*keys, "__range").agg(*[F.sum(n).alias(f"__{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +80,10 @@ def running_totals(
         "__range",
         *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}_before") for n in sums],
         *[F.sum(f"__{n}").over(whole).alias(f"{n}_total") for n in sums],
+        *[F.col(f"__{n}").alias("inside") for n in list(sums)[:1]],
     )
+    if wanted is not None:
+        shifts = shifts.filter(wanted)
     inside = (
         Window.partitionBy(*keys, "__range")
         .orderBy("__order")
@@ -114,21 +128,22 @@ def running_extreme(
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float]
 ) -> DataFrame:
-    """Exact quantiles per group, linear between neighbours: one row per group."""
-    totals = running_totals(df, by, value, {"__n": F.lit(1)})
-    first = F.col("__n_upto") - F.col("__n")
-    picks = []
-    for name, p in probabilities.items():
-        position = F.lit(float(p)) * (F.col("__n_total") - 1)
-        at = lambda k: F.max(F.when((first <= k) & (k < F.col("__n_upto")), col(value).cast("double")))
+    """Exact quantiles per group, linear between neighbours: one row per group.
+
+    Only the ranges that hold a wanted position are ordered.
+    """
+    n = "__n"
+    first, last = f"({n}_upto - {n})", f"{n}_upto"
+    spots, picks, names = [], [], []
+    for i, (name, p) in enumerate(probabilities.items()):
+        position = f"{float(p)!r}D * ({n}_total - 1)"
+        ends = (f"floor({position})", f"ceil({position})")
+        spots += [f"(__{n}_before <= {k} and {k} < __{n}_before + inside)" for k in ends]
         picks += [
-            at(F.floor(position)).alias(f"__lo_{name}"),
-            at(F.ceil(position)).alias(f"__hi_{name}"),
-            F.max(position - F.floor(position)).alias(f"__f_{name}"),
+            F.expr(f"max(case when {first} <= {k} and {k} < {last} then cast({quoted(value)} as double) end)").alias(f"__q{i}{side}")
+            for side, k in zip("ab", ends)
         ]
-    found = totals.groupBy(*map(col, by)).agg(*picks)
-    lo, hi, part = (lambda n: F.col(f"__lo_{n}")), (lambda n: F.col(f"__hi_{n}")), (lambda n: F.col(f"__f_{n}"))
-    return found.select(
-        *map(col, by),
-        *[(lo(n) * (1 - part(n)) + hi(n) * part(n)).alias(n) for n in probabilities],
-    )
+        picks.append(F.expr(f"max({position} - floor({position}))").alias(f"__q{i}f"))
+        names.append(f"__q{i}a * (1 - __q{i}f) + __q{i}b * __q{i}f as {quoted(name)}")
+    totals = running_totals(df, by, value, {n: F.lit(1)}, wanted=" or ".join(dict.fromkeys(spots)))
+    return totals.groupBy(*map(col, by)).agg(*picks).selectExpr(*map(quoted, by), *names)

@@ -29,9 +29,14 @@ MEASURE_NAMES = [
 ]
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text, whatever dots or blanks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """Reference a column literally, whatever dots or blanks its name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Reference a column literally."""
+    return F.col(quoted(name))
 
 
 def measure_column(df: DataFrame, name: str | None = None) -> str:

@@ -45,7 +45,7 @@ def test_the_usual_chain(spark, files):
     groups, meta, folder = files
     found = run_workflow(spark, _standard(groups, meta), folder=str(folder / "out"), keep=["results_df"])
     assert values(found["contaminants"], "Protein ID") == ["CON__P1"]
-    table = cells(found["protein_df"])
+    table = cells(found["protein_df"], "Normalised iBAQ")
     assert len(table) == 12 * 20 and all(v is not None for v in table.values())
     flagged = values(found["volcano_df"].filter("significant"), "Protein ID")
     assert flagged == ["P00000", "P00001", "P00002"]
