@@ -51,13 +51,30 @@ def rank_genes(
     return scored.join(ranks.select("score", (F.col("__n_upto") - F.col("__n") + 1).alias("rank")), "score").select("gene", "score", "rank")
 
 
+TIE_SLOTS = 256
+
+
 def positions(scored: DataFrame, keys: list[str] | None = None, *, best_first_descending: bool = True) -> DataFrame:
-    """Number the genes 0.. by score (per key); equal scores follow a hash of the gene."""
+    """Number the genes 0.. by score (per key); equal scores follow a hash of the gene.
+
+    Genes of one score are dealt into hash slots and numbered slot by slot, so a
+    score shared by many genes is no single group either.
+    """
     keys = keys or []
     ranks = running_totals(scored, keys, "score", {"__n": F.lit(1)}, descending=best_first_descending)
-    ties = Window.partitionBy(*map(col, keys), "score").orderBy(F.xxhash64("gene"), "gene")
-    placed = scored.join(ranks.select(*map(col, keys), "score", (F.col("__n_upto") - F.col("__n")).alias("__first")), [*keys, "score"])
-    return placed.withColumn("position", (F.col("__first") + F.row_number().over(ties) - 1).cast("long")).drop("__first")
+    first = ranks.select(*map(col, keys), "score", "__n", (F.col("__n_upto") - F.col("__n")).cast("long").alias("position"))
+    placed = scored.join(first, [*keys, "score"])
+    alone = placed.filter("__n = 1").drop("__n")
+    tied = placed.filter("__n > 1").withColumn("__slot", F.pmod(F.xxhash64("gene"), F.lit(TIE_SLOTS)))
+    tie = [*map(col, keys), F.col("score")]
+    sizes = tied.groupBy(*tie, "__slot").agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy(*tie).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*tie, "__slot", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy(*tie, "__slot").orderBy("gene")
+    spread = tied.join(shifts, [*keys, "score", "__slot"]).withColumn(
+        "position", (F.col("position") + F.col("__shift") + F.row_number().over(inside) - 1).cast("long")
+    )
+    return alone.unionByName(spread.select(*alone.columns))
 
 
 def gene_intensities(

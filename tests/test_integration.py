@@ -155,6 +155,13 @@ def test_scores_against_the_full_running_sum(ranked):
     assert [r["running_sum"] for r in curve] == pytest.approx(list(walk))
 
 
+def test_positions_with_many_ties(spark):
+    df = spark.createDataFrame([(f"g{i}", 1.0 if i % 3 else float(i)) for i in range(600)], "gene string, score double")
+    found = gsea.positions(df).orderBy("position").collect()
+    assert [r["position"] for r in found] == list(range(600))
+    assert all(a["score"] >= b["score"] for a, b in zip(found, found[1:]))
+
+
 def test_preranked(ranked):
     _, df, pairs, _, gene_sets = ranked
     found = gsea.gsea_preranked(df, "score", pairs, gene_sets, "descending", permutations=200)
