@@ -73,7 +73,7 @@ def _overlap_sql(query: str, background: str) -> str:
     if background == "sets":
         sizes = """bg as (select l, count(distinct gs.g) n, count(distinct q.g) k from gs left join q on q.g = gs.g group by l)"""
     else:
-        sizes = f"bg as (select l, {background} n, (select count(*) from q) k from (select distinct l from gs))"
+        sizes = f"bg as (select l, cast({background} as bigint) n, (select count(*) from q) k from (select distinct l from gs))"
     return f"""q as ({query}), {sizes},
  o as (select gs.l, gs.t, count(*) m, count(q.g) x, any_value(n) n, any_value(k) k from gs join bg on bg.l = gs.l left join q on q.g = gs.g group by 1, 2),
  pv as (select *, least(1, list_sum(list_transform(range(greatest(x, m + k - n), least(m, k) + 1), lambda j: exp(

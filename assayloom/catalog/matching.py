@@ -177,7 +177,7 @@ def seq8(spark, folder):
 
 
 @query("seq9_split_nodes", f"""with {_HITS}, z as (select d, count(*) n, sum(l - f + 1) m, max(case when f = 0 then 1 else 0 end) a, max(l) e from ct group by d)
- select cast(doc_id as varchar) as protein_id, coalesce(2 * z.n + 1 - a - case when e = length(text) - 1 then 1 else 0 end, 1) as pieces, coalesce(m, 0) as matched_letters,
+ select cast(doc_id as varchar) as protein_id, coalesce(2 * z.n + 1 - a - case when e = length(text) - 1 then 1 else 0 end, 1) as pieces, cast(coalesce(m, 0) as bigint) as matched_letters,
    coalesce(2 * z.n + 1 - a - case when e = length(text) - 1 then 1 else 0 end, 1) + 1 as edges
  from documents left join z on z.d = cast(doc_id as varchar) where text <> ''""")
 def seq9(spark, folder):
@@ -205,7 +205,7 @@ def seq10_range(spark, folder):
 
 
 @query("seq10_coverage", f"""with {_HITS}, z as (select d, sum(l - f + 1) m from ct group by d) select cast(doc_id as varchar) as protein_id, length(text) as length,
-   coalesce(m, 0) as covered, round(coalesce(m, 0)::double / length(text), 9) as coverage from documents left join z on z.d = cast(doc_id as varchar) where text <> ''""")
+   cast(coalesce(m, 0) as bigint) as covered, round(coalesce(m, 0)::double / length(text), 9) as coverage from documents left join z on z.d = cast(doc_id as varchar) where text <> ''""")
 def seq10_coverage(spark, folder):
     _, hits = _sentence_hits(spark, folder)
     found = sequences.coverage(sequences.contigs(hits, KEYS), _sequences(spark, folder))
