@@ -13,7 +13,9 @@ finds its sequence and offset from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,48 +23,84 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.bpe import SPACES
 from assayloom.llm.common import saved
 
 CAPACITY, SEPARATOR = 4096, 1
 #: Pieces of one length that one window ranks.
 SLOT_ROWS = 500
-#: Segments of text that a task remembers, and characters of the longest of those.
-REMEMBERED, SEGMENT = 400_000, 64
+#: Parts of texts that a task remembers, and characters of the longest of those.
+REMEMBERED, LONG = 600_000, 64
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in seen)
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
 
 
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes.
 
-    For tokenizers that drop white space and look at the text between it by
-    itself, the segments between white space are encoded one by one and short
-    ones remembered; what is new in a batch is encoded together.
+    For byte-level tokenizers that normalise, split by a pattern and merge each
+    part by itself. Parts that are new in a batch are given to the tokenizer's
+    model, short ones are remembered. A text with characters from ``PLAIN`` on goes
+    through the tokenizer as a whole, so no table of letters but its own decides.
     """
 
+    PLAIN = "\u0530"
+
     def __init__(self, path: str):
+        import json
+        import os
         import re
 
+        import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.segment = re.compile(f"[^{SPACES}]+")
+        with open(path, encoding="utf-8") as file:
+            pattern = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern)
+        # the same for ASCII alone, in lower case
+        self.ascii = re.compile(pattern.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"), re.ASCII)
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def _split(self, text: str) -> list[str] | None:
+        if text.isascii():
+            return self.ascii.findall(text.lower())
+        if max(text) < self.PLAIN:
+            # a final sigma aside, lower case goes letter by letter here
+            simple = "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
+            return self.pattern.findall(text.lower() if simple else self.tokenizer.normalizer.normalize_str(text))
+        return None
+
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
-        parts = [self.segment.findall(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({s for p in parts for s in p}.difference(self.known))
-        found = {
-            s: np.array(e.ids, dtype="<u4").tobytes()
-            for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-        }
-        self.known.update((s, ids) for s, ids in found.items() if len(s) <= SEGMENT)
-        get = {**found, **{s: self.known[s] for p in parts for s in p if s in self.known}}
-        return [b"".join(map(get.__getitem__, p)) for p in parts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        split = [self._split(t or "") for t in texts]
+        new = set().union(*(p for p in split if p is not None)).difference(known)
+        for part in new:
+            known[part] = self._part(part)
+        out = [self._whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, split)]
+        for part in new:
+            if len(part) > LONG:
+                del known[part]
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def cut(documents: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
