@@ -25,24 +25,40 @@ def _near(metric: str, k: int) -> str:
 
 def _neighbours(spark, folder, metric, k):
     found = embed.neighbour_graph(v.vectors(spark, folder), k, metric)
-    return found.select("id", "rank", F.round("distance", 6).alias("distance"))
+    return found.select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
-@query("emb2_neighbours_euclidean", f"with {_VECTORS}, {_near('euclidean', 15)} select i as id, r as rank, round(d, 6) as distance from n")
+@query("emb2_neighbours_euclidean", f"with {_VECTORS}, {_near('euclidean', 15)} select i as id, r as rank, j as neighbour, round(d, 6) as distance from n")
 def emb2(spark, folder):
     return _neighbours(spark, folder, "euclidean", 15)
 
 
-@query("emb2_neighbours_manhattan", f"with {_VECTORS}, {_near('manhattan', 10)} select i as id, r as rank, round(d, 6) as distance from n")
+@query("emb2_neighbours_manhattan", f"with {_VECTORS}, {_near('manhattan', 10)} select i as id, r as rank, j as neighbour, round(d, 6) as distance from n")
 def emb2_manhattan(spark, folder):
     return _neighbours(spark, folder, "manhattan", 10)
 
 
-@query("emb2_neighbours_cosine", f"with {_VECTORS}, {_near('cosine', 10)} select i as id, r as rank, round(d, 6) as distance from n")
+@query("emb2_neighbours_cosine", f"with {_VECTORS}, {_near('cosine', 10)} select i as id, r as rank, j as neighbour, round(d, 6) as distance from n")
 def emb2_cosine(spark, folder):
     return _neighbours(spark, folder, "cosine", 10)
 
 
+_RAW = """e as (select vec_id + 1000000 * copy id, list_transform(embedding, lambda x: 1000000000.0::double + round(x::double * 1000000)) v
+   from embeddings, (select unnest([0, 1]) copy) where copy = 0 or vec_id % 10 = 0)"""
+
+
+def raw_intensities(spark, folder):
+    """Vectors on the scale of raw intensities, far from zero; every tenth one is there twice."""
+    plain = v.vectors(spark, folder).select("id", F.transform("vec", lambda x: F.lit(1e9) + F.round(x.cast("double") * 1e6)).alias("vec"))
+    return plain.unionByName(plain.filter("id % 10 = 0").withColumn("id", F.col("id") + 1000000))
+
+
+@query("emb2_neighbours_of_raw_intensities", f"with {_RAW}, {_near('euclidean', 5)} select i as id, r as rank, j as neighbour, round(d, 3) as distance from n")
+def emb2_raw(spark, folder):
+    found = embed.neighbour_graph(raw_intensities(spark, folder), 5, "euclidean")
+    return found.select("id", "rank", "neighbour", F.round("distance", 3).alias("distance"))
+
+
 @query("emb1_principal_components")
 def emb1(spark, folder):
     return embed.principal_components(v.vectors(spark, folder), 2).scores

@@ -190,3 +190,35 @@ def test_scores_and_curves(spark):
     found = {r["Metric"]: r["Score"] for r in classify.classification_scores(rows, ["accuracy", "precision", "recall", "f1_score", "matthews_corrcoef", "odd"]).collect()}
     assert found["accuracy"] == pytest.approx(9 / 12) and found["precision"] == pytest.approx(6 / 8) and found["recall"] == pytest.approx(6 / 7)
     assert found["matthews_corrcoef"] == pytest.approx((6 * 3 - 2 * 1) / math.sqrt(8 * 7 * 5 * 4)) and found["odd"] is None
+
+
+def test_rows_without_label_are_split_and_folded_too(spark):
+    rows = spark.range(100).selectExpr("id", "case when id % 10 = 0 then null when id % 2 = 0 then 'a' else 'b' end as label")
+    train, test = classify.train_test_split(rows, test_size=0.2)
+    assert train.count() + test.count() == 100 and test.filter("label is null").count() == 2
+    for strategy in ("K-Fold", "Stratified K-Fold"):
+        assert classify.with_folds(rows, strategy, 5).groupBy("fold").count().agg({"count": "sum"}).first()[0] == 100
+
+
+def test_trees_deeper_than_spark_grows_them_raise():
+    assert classify.random_forest_estimator().getMaxDepth() == 30
+    with pytest.raises(ValueError):
+        classify.random_forest_estimator(max_depth=40)
+
+
+def test_neighbours_far_from_zero_are_those_of_brute_force(spark):
+    import numpy as np
+
+    from assayloom.plans.blocks import nearest_neighbours
+
+    rng = np.random.default_rng(4)
+    vecs = 1e9 + rng.integers(-20, 20, (120, 16)).astype(float)
+    vecs[100:] = vecs[:20]
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "id long, vec array<double>"), 3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["distance"], r["neighbour"]))
+    for i, v in enumerate(vecs):
+        d = np.sqrt(((vecs - v) ** 2).sum(axis=1)).round(10)
+        want = sorted((x, j) for j, x in enumerate(d) if j != i)[:3]
+        assert [(x, j) for _, x, j in sorted(got[i])] == want
