@@ -35,6 +35,10 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         total *= step
         if np.all(np.abs(step - 1.0) < 1e-15):
             break
+    else:
+        # rounding may keep a step from settling to the last digit
+        if not np.all(np.abs(step - 1.0) < 1e-12):
+            raise ArithmeticError("the incomplete beta function has not converged")
     return total
 
 

@@ -99,10 +99,10 @@ def similar_features(
     """
     if measure_of == "euclidean distance":
         if similarity < 0:
-            raise ValueError("Similarity for euclidean distance should be greater than or equal to 0.")
+            raise ValueError("a euclidean distance is 0 or more")
     elif measure_of == "cosine similarity":
         if not -1 <= similarity <= 1:
-            raise ValueError("Similarity for cosine similarity should be between -1 and 1")
+            raise ValueError("a cosine similarity is -1 to 1")
     else:
         raise ValueError(f"unknown similarity measure {measure_of!r}")
     measure = measure_column(df, value)

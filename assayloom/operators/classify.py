@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.draws import uniform
 from assayloom.operators.vectors import with_ml_vector
-from assayloom.plans.prefix import running_totals
+from assayloom.plans.prefix import running_totals, same_keys
 from assayloom.plans.storage import cut
 from assayloom.schema import col
 
 # Names of the scores and of Spark's metrics.
+DEEPEST = 30  # Spark's limit of a tree's depth
 SCORERS = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1_score": "f1"}
 
 
@@ -38,7 +39,7 @@ def encode_labels(df: DataFrame, column: str, positive: str | None = None, *, or
     if positive is not None:
         known = classes.agg(F.count("*").alias("n"), F.count_if(F.col("label") == positive).alias("hit")).first()
         if known["n"] < 2:
-            raise ValueError("the data must contain at least 2 different classes")
+            raise ValueError("a classifier needs two classes or more")
         if known["n"] == 2 and known["hit"] == 1:
             mapping = classes.select(F.when(F.col("label") == positive, 1).otherwise(0).alias("code"), "label")
             return df.join(mapping.select(F.col("label").alias(column), F.col("code").alias(name)), column), mapping
@@ -59,9 +60,8 @@ def _numbered_in_group(df: DataFrame, by: Sequence[str], key: str, seed: int) ->
     """Add ``__row`` 1.. in a random but repeatable order within each group, and ``__size``."""
     drawn = df.withColumn("__draw", uniform(seed, col(key)))
     totals = running_totals(drawn, list(by), "__draw", {"__n": F.lit(1)})
-    return drawn.join(
-        totals.select(*map(col, by), "__draw", F.col("__n_upto").alias("__row"), F.col("__n_total").alias("__size")), [*by, "__draw"]
-    ).drop("__draw")
+    places = totals.select(*map(col, by), "__draw", F.col("__n_upto").alias("__row"), F.col("__n_total").alias("__size"))
+    return same_keys(drawn, places, [*by, "__draw"]).drop("__draw")  # rows without a label are a group of their own
 
 
 def train_test_split(
@@ -110,9 +110,12 @@ class Fitted(NamedTuple):
 
 
 def random_forest_estimator(n_estimators: int = 100, criterion: str = "gini", max_depth: int | None = None, bootstrap: bool = True, seed: int = 6):
+    """A forest. Spark grows trees to ``DEEPEST`` levels: the default grows that deep, more raises."""
+    if max_depth is not None and not 0 <= max_depth <= DEEPEST:
+        raise ValueError(f"max_depth is 0 to {DEEPEST}, not {max_depth}")
     impurity = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy"}[criterion]
     return RandomForestClassifier(
-        numTrees=n_estimators, impurity=impurity, maxDepth=min(max_depth or 30, 30), bootstrap=bootstrap, seed=seed, labelCol="label", featuresCol="features"
+        numTrees=n_estimators, impurity=impurity, maxDepth=DEEPEST if max_depth is None else max_depth, bootstrap=bootstrap, seed=seed, labelCol="label", featuresCol="features"
     )
 
 

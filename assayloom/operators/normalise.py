@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.plans.prefix import group_quantiles
+from assayloom.plans.prefix import group_quantiles, same_keys
 from assayloom.schema import FEATURE, SAMPLE, col, measure_column
 
 
@@ -45,14 +45,14 @@ def by_z_score(df: DataFrame, *, value: str | None = None, sample: str = SAMPLE)
     stats = df.groupBy(col(sample)).agg(F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__sd"))
     centred = x - F.col("__mean")
     scaled = F.when(F.col("__sd") == 0, centred).otherwise(F.try_divide(centred, F.col("__sd")))
-    return _replace(df.join(stats, sample), measure, scaled, "__mean", "__sd")
+    return _replace(same_keys(df, stats, [sample]), measure, scaled, "__mean", "__sd")
 
 
 def _divide(df: DataFrame, measure: str, divisors: DataFrame, sample: str) -> Normalised:
     """Divide by the sample's divisor; a divisor of zero zeroes the sample."""
     zero = F.col("__d") == 0
     scaled = F.when(zero, F.lit(0.0)).otherwise(F.try_divide(col(measure), F.col("__d")))
-    table = _replace(df.join(divisors, sample, "left"), measure, scaled, "__d")
+    table = _replace(same_keys(df, divisors, [sample], "left"), measure, scaled, "__d")
     return Normalised(table, divisors.filter(zero).select(col(sample)))
 
 

@@ -167,7 +167,7 @@ def by_pca(
 ) -> PcaOutliers:
     """Drop samples far from the median in the first two or three components."""
     if number_of_components not in (2, 3):
-        raise ValueError(f"Wrong number of components. Should be 2 or 3, but is {number_of_components}.")
+        raise ValueError(f"two or three components can be used, not {number_of_components}")
     require_complete(df, value=value, sample=sample, feature=feature)
     found = principal_components(to_vectors(df, value=value, sample=sample, feature=feature), number_of_components)
     names = [f"component_{i + 1}" for i in range(number_of_components)]

@@ -21,6 +21,7 @@ from assayloom.schema import col
 
 START, END = "__start__", "__end__"
 CHUNK = 256  # letters that are cut into k-mers together
+BIN = 4096  # positions of a bin in which seeds meet nodes
 
 
 class Graph(NamedTuple):
@@ -104,25 +105,22 @@ def kmers(sequences: DataFrame, k: int, *, key: str = "protein_id", seq: str = "
         F.explode(F.sequence(F.lit(0), F.length(col(seq)) - 1, F.lit(CHUNK))).alias("__at"),
         col(seq).alias("__seq"),
     ).filter(F.length("__seq") > 0)
-    chunks = chunks.select(col(key), "__at", F.substring("__seq", F.col("__at") + 1, F.lit(CHUNK + k - 1)).alias("__part"))
+    part = F.substring("__seq", F.col("__at") + 1, F.lit(CHUNK + k - 1))
+    chunks = chunks.select(col(key), "__at", part.alias("__part"), (F.length("__seq") - F.col("__at")).alias("__left"))
     starts = F.sequence(F.lit(0), F.least(F.length("__part"), F.lit(CHUNK)) - 1)
-    return chunks.select(col(key), "__at", "__part", F.explode(starts).alias("__i")).select(
+    return chunks.select(col(key), "__at", "__part", "__left", F.explode(starts).alias("__i")).select(
         col(key),
         F.substring("__part", F.col("__i") + 1, F.lit(k)).alias("kmer"),
         (F.col("__at") + F.col("__i")).alias("pos"),
+        (F.col("__left") - F.col("__i")).alias("left"),
     )
 
 
 def seeds(sequences: DataFrame, peptides: DataFrame, k: int, *, key: str = "protein_id", seq: str = "seq") -> DataFrame:
     """(peptide, key, start): the first k letters match and the peptide fits into the sequence."""
     wanted = peptides.select("peptide").distinct().withColumn("kmer", F.substring("peptide", 1, k))
-    lengths = sequences.select(col(key), F.length(col(seq)).alias("__length"))
     hits = kmers(sequences, k, key=key, seq=seq).join(wanted, "kmer")
-    return (
-        hits.join(lengths, key)
-        .filter(F.col("pos") + F.length("peptide") <= F.col("__length"))
-        .select("peptide", col(key), F.col("pos").alias("start"))
-    )
+    return hits.filter(F.length("peptide") <= F.col("left")).select("peptide", col(key), F.col("pos").alias("start"))
 
 
 def without_match(peptides: DataFrame, matched: DataFrame) -> DataFrame:
@@ -179,16 +177,19 @@ def _letters(seq: Column, kind: Column) -> Column:
     return F.when(kind.isin("start", "end"), F.lit(0)).otherwise(F.length(seq))
 
 
-def node_offsets(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
+def node_offsets(graph: Graph) -> DataFrame:
     """(protein_id, node_id, offset): letters on the longest path from the start.
 
     For any graph, by rounds of joins along the edges; each round only follows
-    nodes whose offset grew.  Unreachable nodes have a null offset.
+    nodes whose offset grew.  Unreachable nodes have a null offset.  A path has no
+    more nodes than its protein, so offsets that still grow after that many rounds
+    run in a cycle.
     """
     sizes = cut(graph.nodes.select("protein_id", "node_id", _letters(F.col("seq"), F.col("kind")).alias("size"), "kind"))
     known = sizes.filter("kind = 'start'").select("protein_id", "node_id", F.lit(0).alias("offset"))
     moving = known
-    for _ in range(max_rounds):
+    longest = sizes.groupBy("protein_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest + 1):
         arrived = (
             moving.join(sizes.select("protein_id", "node_id", "size"), ["protein_id", "node_id"])
             .join(graph.edges.withColumnRenamed("src", "node_id"), ["protein_id", "node_id"])
@@ -234,7 +235,9 @@ def position_index(graph: Graph, offsets: DataFrame | None = None) -> DataFrame:
 
 
 def _differences(a: Column, b: Column, n: Column) -> Column:
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    """In how many of the first ``n`` letters two texts differ."""
+    letters = (F.split(F.substring(x, F.lit(1), n), "") for x in (a, b))
+    differ = F.filter(F.zip_with(*letters, lambda x, y: x != y), lambda d: d)
     return F.when(n > 0, F.size(differ)).otherwise(F.lit(0))
 
 
@@ -242,8 +245,10 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
     """(peptide, protein_id, start, mismatches, path) of the best way through the graph per seed.
 
     ``path`` lists (node_id, first, last) letters.  All seeds walk together: one
-    round of joins per node passed, and walks with too many mismatches stop.  The
-    walk with the fewest mismatches wins (the first by node names on ties).
+    round of joins per node passed, and walks with too many mismatches stop.  Of
+    walks that have come to the same node with the same letters done only the best
+    goes on, so their number is bounded by the states, not by the paths.  The walk
+    with the fewest mismatches wins (the first by node names on ties).
     """
     if allowed_mismatches < 0:
         raise ValueError("allowed mismatches must not be negative")
@@ -252,11 +257,14 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
     placed = placed.join(found.select("protein_id"), "protein_id", "left_semi")
     letters = cut(placed.select("protein_id", "node_id", "offset", F.when(F.col("kind").isin("start", "end"), F.lit("")).otherwise(F.col("seq")).alias("seq"), "kind"))
     edges = cut(graph.edges.join(found.select("protein_id"), "protein_id", "left_semi"))
-    seeded = Graph(graph.nodes.join(found.select("protein_id"), "protein_id", "left_semi"), graph.edges)
-    starting = position_index(seeded, offsets).join(
-        found.select("protein_id", F.col("start").alias("position"), "peptide", F.substring("peptide", 1, 1).alias("letter")),
-        ["protein_id", "position", "letter"],
-    ).join(letters.select("protein_id", "node_id", "offset", "kind"), ["protein_id", "node_id"])
+    # a seed meets the nodes that span its position; both are joined by bins of positions
+    last = F.floor((F.col("offset") + F.length("seq") - 1) / BIN)
+    spans = letters.filter(F.length("seq") > 0).withColumn("bin", F.explode(F.sequence(F.floor(F.col("offset") / BIN), last)))
+    seeded = found.select("protein_id", F.col("start").alias("position"), "peptide", F.floor(F.col("start") / BIN).alias("bin"))
+    at = F.col("position") - F.col("offset")
+    starting = spans.join(seeded, ["protein_id", "bin"]).filter((at >= 0) & (at < F.length("seq"))).filter(
+        F.expr("substring(seq, position - offset + 1, 1) = substring(peptide, 1, 1)")
+    )
     first = F.min(F.struct((F.col("kind") != "reference").alias("later"), F.col("node_id"), (F.col("position") - F.col("offset")).alias("at")))
     walks = starting.groupBy("peptide", "protein_id", F.col("position").alias("start")).agg(first.alias("f")).select(
         "peptide", "protein_id", "start", F.col("f.node_id").alias("node_id"), F.col("f.at").alias("at"),
@@ -283,7 +291,11 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
             )
             .select("peptide", "protein_id", "start", "node_id", "done", "mismatches", "path")
         )
-        stepped = cut(stepped)
+        lightest = F.min(F.struct("mismatches", "path"))
+        stepped = cut(
+            stepped.groupBy("peptide", "protein_id", "start", "node_id", "done").agg(lightest.alias("w"))
+            .select("peptide", "protein_id", "start", "node_id", "done", "w.mismatches", "w.path")
+        )
         complete = stepped.filter(F.col("done") >= F.length("peptide")).select("peptide", "protein_id", "start", "mismatches", "path")
         finished = complete if finished is None else finished.unionByName(complete)
         open_walks = stepped.filter(F.col("done") < F.length("peptide"))

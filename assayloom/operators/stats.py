@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.tails import f_upper, t_two_sided, u_two_sided
-from assayloom.plans.prefix import running_extreme, running_totals
+from assayloom.plans.prefix import running_extreme, running_totals, same_keys
 from assayloom.plans.storage import cut
 from assayloom.schema import FEATURE, SAMPLE, col, measure_column, require_columns
 
@@ -126,7 +126,7 @@ def correct_p_values(
     adjusted = running_extreme(totals, by, scaled, "__adj", lowest=True, backwards=True).select(
         *map(col, by), col(p), F.least(F.col("__adj"), F.lit(1.0)).alias(name)
     )
-    return df.join(adjusted, [*by, p])
+    return same_keys(df, adjusted, [*by, p], "left")  # rows without p-value or family stay
 
 
 def corrected_alpha(df: DataFrame, method: str, alpha: float) -> DataFrame:

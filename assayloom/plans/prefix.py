@@ -26,6 +26,13 @@ from assayloom.schema import col, quoted
 RANGES = 64  # a power of two
 
 
+def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``by``, where null is a key like any other; the keys appear once."""
+    named = right.select(*[col(b).alias(f"__key{i}") for i, b in enumerate(by)], *[col(c) for c in right.columns if c not in by])
+    same = [col(b).eqNullSafe(F.col(f"__key{i}")) for i, b in enumerate(by)]
+    return left.join(named, same, how).drop(*[f"__key{i}" for i in range(len(by))])
+
+
 def _range_of(df: DataFrame) -> DataFrame:
     """Add ``__range``: how many of the sorted borders lie below the value (binary search)."""
     steps, at, step = [], "0", RANGES // 2
@@ -67,7 +74,7 @@ def running_totals(
     carried = F.when(F.coalesce(*[F.col(n) for n in sums]).isNotNull(), F.col("__order"))
     borders = F.percentile_approx(carried, cut_points, 1_000).alias("__borders")
     if by:
-        marked = cells.join(cells.groupBy(*keys).agg(borders), list(by))
+        marked = same_keys(cells, cells.groupBy(*keys).agg(borders), by)
     else:
         marked = cells.withColumn("__borders", cells.agg(borders).scalar())
     marked = _range_of(marked)
@@ -89,7 +96,7 @@ def running_totals(
         .orderBy("__order")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return marked.join(shifts, [*by, "__range"]).select(
+    return same_keys(marked, shifts, [*by, "__range"]).select(
         *keys,
         col(order),
         "__order",
@@ -118,7 +125,7 @@ def running_extreme(
     )
     inside = Window.partitionBy(*keys, "__range").orderBy("__order").rowsBetween(*span)
     return (
-        cells.join(others, [*by, "__range"])
+        same_keys(cells, others, [*by, "__range"])
         .withColumn("__here", pick("__v").over(inside))
         .withColumn(name, best(F.col("__here"), F.coalesce("__other", "__here")))
         .drop("__v", "__here", "__other")
@@ -126,12 +133,22 @@ def running_extreme(
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float]
+    df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float], *, large: bool | None = None
 ) -> DataFrame:
     """Exact quantiles per group, linear between neighbours: one row per group.
 
-    Only the ranges that hold a wanted position are ordered.
+    A group's distinct values are counted in one aggregation, combined before the
+    shuffle; a group whose distinct values don't fit one task is ``large``, and so
+    is, by default, the whole table (``by`` empty). Large groups are cut into
+    ranges, and only those that hold a wanted position are ordered.
     """
+    if not (not by if large is None else large):
+        shares = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+        found = (
+            df.filter(col(value).isNotNull()).groupBy(*map(col, by))
+            .agg(F.percentile(col(value).cast("double"), shares).alias("__quantiles"))
+        )
+        return found.select(*map(col, by), *[F.col("__quantiles")[i].alias(name) for i, name in enumerate(probabilities)])
     n = "__n"
     first, last = f"({n}_upto - {n})", f"{n}_upto"
     spots, picks, names = [], [], []

@@ -37,10 +37,10 @@ def infer_types(cells: DataFrame) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str, orientation: str = "Columns") -> Metadata:
     """One row per sample.  With ``Rows`` orientation the file holds one row per property."""
     if path == "":
-        raise ValueError("The file upload is empty. Please select a metadata file.")
+        raise ValueError("no path to a metadata file")
     ending = next((e for e in DELIMITERS if path.endswith(e)), None)
     if ending is None:
-        raise ValueError(f"File format not supported. Supported file formats are {', '.join(DELIMITERS)}")
+        raise ValueError(f"metadata must end in {' or '.join(DELIMITERS)}: {path!r}")
     raw = spark.read.csv(
         path, sep=DELIMITERS[ending], header=True, inferSchema=False,
         ignoreLeadingWhiteSpace=ending == ".csv", ignoreTrailingWhiteSpace=False, escape='"',
@@ -51,7 +51,7 @@ def read_metadata(spark: SparkSession, path: str, orientation: str = "Columns")
     if orientation.startswith("Rows"):
         cells = turn(cells)
     table = infer_types(cells)
-    messages = ["Metadata file successfully imported."]
+    messages = [f"Read metadata from {path}."]
     if len(table.columns) > table.count():
         messages.append("The imported table is wider than tall; check its orientation.")
     return Metadata(table, messages)
@@ -84,5 +84,5 @@ def assign_column(metadata: DataFrame, required: str | None, unknown: str | None
     if not required or not unknown:
         return metadata
     if required in metadata.columns:
-        raise ValueError(f"Metadata already contains column {required!r}. Please rename the column or select another one.")
+        raise ValueError(f"column {required!r} exists; nothing can be renamed to it")
     return metadata.withColumnRenamed(unknown, required)

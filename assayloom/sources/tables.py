@@ -121,8 +121,7 @@ def tidy(
     elif how == "mean":
         table = long.groupBy(*keys).agg(F.avg(col(measure)).alias(measure))
     elif how == "median":
-        medians = group_quantiles(long, [SAMPLE, FEATURE], measure, {measure: 0.5})
-        table = long.select(*keys).distinct().join(medians, [SAMPLE, FEATURE], "left")
+        table = long.groupBy(*keys).agg(F.percentile(col(measure).cast("double"), 0.5).alias(measure))
     else:
         raise ValueError(f"unknown aggregation {aggregation!r}")
     return Imported(table.select(*keys, col(measure)), base.filter(foreign).select(col(FEATURE)), rejected_identifiers(own))

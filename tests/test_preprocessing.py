@@ -16,13 +16,12 @@ def gaps(long):
 
 @pytest.fixture
 def peptides(spark):
-    counts = {"Sample1": [1, 3, 3, 1, 1], "Sample2": [1] * 5, "Sample3": [1] * 5, "Sample4": [1, 1, 1, 1]}
-    rows, letter = [], iter("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    for sample, per_protein in counts.items():
-        for i, n in enumerate(per_protein):
-            for _ in range(n):
-                k = len(rows) + 1
-                rows.append((sample, f"Protein{i + 1}", "SEQ" + next(letter), k * 1e6, k * 1e-5))
+    """A peptide of every sample for each of three proteins, and one more of the last protein."""
+    rows = [
+        (f"Sample{i}", protein, sequence, 100.0 * i + j, 0.01 * j)
+        for i in range(1, 5)
+        for j, (protein, sequence) in enumerate([("Alpha", "LVK"), ("Beta", "MNPR"), ("Gamma", "TYQK"), ("Gamma", "WWER")])
+    ]
     return spark.createDataFrame(rows, "Sample string, `Protein ID` string, Sequence string, Intensity double, PEP double")
 
 
@@ -71,22 +70,22 @@ def test_pep_filter_removes_low_values_and_keeps_missing(spark):
 
 
 def test_peptides_of_features(peptides, spark):
-    assert values(filters.peptides_containing(peptides, ["Protein2"]), "Sequence") == ["SEQB", "SEQC", "SEQD", "SEQK", "SEQP", "SEQU"]
-    ids = spark.createDataFrame([("Protein2",), ("A1",)], "id string")
-    assert filters.peptides_of_features(peptides, ids).count() == 6
+    assert values(filters.peptides_containing(peptides, ["Beta"]), "Sequence") == ["MNPR"] * 4
+    ids = spark.createDataFrame([("Gamma",), ("nowhere",)], "id string")
+    assert filters.peptides_of_features(peptides, ids).count() == 8
 
 
 def test_peptides_for_isoforms(spark, metadata):
     rows = [
-        ("Sample1", "MadeUp", "COOLSEQ", 1.0), ("Sample2", "MadeUp-2", "SHOUDLNTAPPEAR", 2.0), ("Sample3", "MadeUp-1;MadeUp", "SHOULDAPPEAR", 3.0),
-        ("Sample1", "MadeDown", "V1", 4.0), ("Sample2", "MadeDown", "V2", None), ("Sample3", "MadeDown", "V3", 0.0),
+        ("Sample1", "Q1", "own", 5.0), ("Sample2", "Q1-3", "other isoform", 6.0), ("Sample3", "Q1-2;Q1", "own of a group", 7.0),
+        ("Sample1", "R7", "measured", 8.0), ("Sample2", "R7", "missing", None), ("Sample3", "R7", "zero", 0.0),
     ]
     table = spark.createDataFrame(rows, "Sample string, `Protein ID` string, Sequence string, Intensity double")
-    groups = metadata(["D", "CTR", "D"])
+    groups = metadata(["ill", "well", "ill"])
     find = lambda *a: values(filters.peptides_for_isoforms(table, *a), "Sequence")
-    assert find("MadeUp") == ["COOLSEQ", "SHOULDAPPEAR"]
-    assert find("MadeDown") == ["V1"]
-    assert find("MadeUp", groups, ["CTR"]) == []
+    assert find("Q1") == ["own", "own of a group"]
+    assert find("R7") == ["measured"]
+    assert find("Q1", groups, ["well"]) == []
 
 
 # ----------------------------------------------------------------- normalise
@@ -254,3 +253,14 @@ def test_schema_checks(spark, holes):
     assert schema.measure_column(both) == "LFQ intensity"
     with pytest.raises(ValueError):
         schema.measure_column(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_rows_without_sample_stay_in_their_own_group(spark):
+    rows = [(None, "A", 1.0), (None, "B", 3.0), ("S", "A", 2.0), ("S", "B", 2.0)]
+    table = spark.createDataFrame(rows, LONG)
+    scored = normalise.by_z_score(table).collect()
+    assert sorted((r["Sample"] or "", r["Protein ID"], r["Normalised Intensity"]) for r in scored) == [("", "A", -1), ("", "B", 1), ("S", "A", 0), ("S", "B", 0)]
+    shared = normalise.by_total_sum(table).table.collect()
+    assert sorted((r["Sample"] or "", r["Normalised Intensity"]) for r in shared) == [("", 0.25), ("", 0.75), ("S", 0.5), ("S", 0.5)]
+    halves = normalise.by_median(table).table.collect()
+    assert sorted((r["Sample"] or "", r["Normalised Intensity"]) for r in halves) == [("", 0.5), ("", 1.5), ("S", 1), ("S", 1)]

@@ -192,3 +192,21 @@ def test_similar_features(long):
     assert values(charts.similar_features(table, "A", -1.0, "cosine similarity"), "Protein ID") == ["B", "C"]
     with pytest.raises(ValueError):
         charts.similar_features(table, "A", 2.0, "cosine similarity")
+
+
+def test_p_values_without_a_family_are_a_family(spark):
+    rows = [("f", 0.01), (None, 0.02), (None, 0.04), ("f", None)]
+    df = spark.createDataFrame(rows, "family string, p_value double")
+    got = stats.correct_p_values(df, by=["family"]).collect()
+    assert sorted((r["family"] or "", r["p_value"] or 0, r["corrected_p_value"] or 0) for r in got) == [("", 0.02, 0.04), ("", 0.04, 0.04), ("f", 0, 0), ("f", 0.01, 0.01)]
+
+
+def test_a_beta_function_that_does_not_settle_raises(monkeypatch):
+    import builtins
+
+    from assayloom.functions import tails
+
+    assert abs(float(tails.incomplete_beta(3.0, 2.0, 0.5)) - 0.3125) < 1e-12
+    monkeypatch.setattr(tails, "range", lambda a, b: builtins.range(a, 3), raising=False)
+    with pytest.raises(ArithmeticError):
+        tails.incomplete_beta(500.0, 700.0, 0.4)
