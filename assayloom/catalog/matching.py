@@ -13,7 +13,7 @@ KEYS = ["protein_id", "node_id"]
 
 
 def _sequences(spark, folder):
-    docs = v.spread(v.table(spark, folder, "documents").select("doc_id", "text")).filter("text <> ''")
+    docs = v.table(spark, folder, "documents").select("doc_id", "text").filter("text <> ''")
     return docs.select(F.col("doc_id").cast("string").alias("protein_id"), F.col("text").alias("seq"), F.length("text").alias("seq_len"))
 
 
@@ -23,7 +23,7 @@ def _passages(spark, folder):
 
 def _sentences(spark, folder):
     parts = v.table(spark, folder, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("peptide"))
-    return parts.filter(F.length("peptide") >= 8).distinct()
+    return parts.distinct()
 
 
 def _commas(spark, folder):
@@ -152,9 +152,37 @@ def seq7(spark, folder):
     return found.select("peptide", "protein_id", F.col("start").cast("long").alias("start"), F.col("mismatches").cast("long").alias("mismatches"))
 
 
+def _first_comma(spark, folder):
+    """The first comma of every document may also be missing."""
+    at = F.instr("seq", ",").cast("int")
+    return _sequences(spark, folder).select(
+        "protein_id", at.alias("pos"), at.alias("end_pos"), F.lit(",").alias("ref"), F.lit("").alias("alt"), F.lit("gone").alias("note")
+    ).filter("pos > 0")
+
+
+@query("seq6_node_offsets", """with f as (select cast(doc_id as varchar) d, length(text) n, instr(text, ',') c from documents where text <> ''),
+ o as (select d, unnest(case when c = 0 then [0, 0, n] when c = 1 and n = 1 then [0, 0, 0, 1] when c = 1 then [0, 0, 0, 1, n] when c = n then [0, 0, c - 1, c - 1, n]
+   else [0, 0, c - 1, c - 1, c, n] end) as o from f)
+ select d as protein_id, o as "offset", count(*) as nodes from o group by 1, 2""")
+def seq6_offsets(spark, folder):
+    graph = sequences.variation_graph(_sequences(spark, folder), _first_comma(spark, folder))
+    found = sequences.node_offsets(graph).groupBy("protein_id", "offset").agg(F.count("*").alias("nodes"))
+    return found.select("protein_id", F.col("offset").cast("long").alias("offset"), "nodes")
+
+
+@query("seq6_check_graph", """select cast(doc_id as varchar) as protein_id, case when doc_id % 3 = 0 then 'the longest path is shorter than the sequence'
+   else 'the longest path is longer than the sequence' end as problem from documents where text <> '' and doc_id % 3 < 2""")
+def seq6_check(spark, folder):
+    docs = _sequences(spark, folder)
+    graph = sequences.variation_graph(docs, _first_comma(spark, folder))
+    number = F.col("protein_id").cast("long") % 3
+    claimed = F.when(number == 0, F.col("seq_len") + 1).when(number == 1, F.col("seq_len") - 1).otherwise(F.col("seq_len"))
+    return sequences.check_graph(graph, sequences.node_offsets(graph), docs.withColumn("seq_len", claimed))
+
+
 # ------------------------------------------------------------------- contigs
 
-_HITS = """sn as (select distinct p from (select unnest(string_split(text, '. ')) p from benchmark) where length(p) >= 8),
+_HITS = """sn as (select distinct p from (select unnest(string_split(text, '. ')) p from benchmark)),
  """ + _kmers_sql(8) + """, hi as (select d, i f, i + length(p) - 1 l, p from sn join ki on substr(p, 1, 8) = s join documents on cast(doc_id as varchar) = d
    where i + length(p) <= n and substr(text, i + 1, length(p)) = p),
  g0 as (select *, max(l) over (partition by d order by f, l rows between unbounded preceding and 1 preceding) pm from hi),

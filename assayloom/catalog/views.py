@@ -17,12 +17,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all tasks when they come from fewer files than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _summed(rows: DataFrame, sample: Column, feature: Column) -> DataFrame:
     return rows.groupBy(sample.cast("string").alias(SAMPLE), feature.cast("string").alias(FEATURE)).agg(
         F.round(F.sum("l_extendedprice"), 2).alias("Intensity")

@@ -166,3 +166,19 @@ def test_peptides_through_variants_and_deletions(spark, proteins):
     counts = sq.peptides_per_contig(found.peptides, KEYS)
     assert sq.peptide_range(counts).first()["max_peptides"] >= 3
     assert sq.coverage(sq.contigs(_hits(spark, [("p", 0, 2, "x"), ("p", 2, 5, "y")]), ["protein_id"]), proteins).first()["coverage"] == 0.5
+
+
+def test_deletions_in_a_repeat_do_not_multiply_walks(spark):
+    proteins = spark.createDataFrame([("P", "A" * 40 + "CDE", 43)], "protein_id string, seq string, seq_len int")
+    gone = spark.createDataFrame([("P", i, i, "A", "", "gone") for i in range(4, 34)], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
+    graph = sq.variation_graph(proteins, gone)
+    seeds = spark.createDataFrame([("A" * 10 + "CDE", "P", 0)], "peptide string, protein_id string, start int")
+    found = sq.match_on_graph(seeds, graph, 0).collect()
+    assert [(r["start"], r["mismatches"]) for r in found] == [(0, 0)]
+
+
+def test_a_cycle_is_found(spark):
+    nodes = spark.createDataFrame([("P", "s", 0, None, "start"), ("P", "a", 0, "AB", "reference"), ("P", "b", 2, "C", "reference")], "protein_id string, node_id string, pos int, seq string, kind string")
+    edges = spark.createDataFrame([("P", "s", "a"), ("P", "a", "b"), ("P", "b", "a")], "protein_id string, src string, dst string")
+    with pytest.raises(ValueError, match="cycle"):
+        sq.node_offsets(sq.Graph(nodes, edges))
