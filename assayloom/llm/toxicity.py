@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import fold, fresh, labelled_sample
+from assayloom.llm.common import fold, fresh, labelled_sample, newton
 
 #: Hash buckets of n-grams, length of a vector, shortest and longest n-gram, words of a window.
 BUCKETS, WIDTH, SHORTEST, LONGEST_GRAM, WINDOW = 1 << 17, 16, 3, 5, 2
 #: Labelled documents of each class that are used at most, and characters of the longest of them.
-PER_CLASS, LONGEST = 2500, 12_000
-ROUNDS, RATE, SEED = 60, 0.1, 7
+PER_CLASS, LONGEST = 2000, 10_000
+ROUNDS, RATE, EVERY, FEW, INIT, SEED = 20, 0.1, 4.0, 3.0, 0.01, 7
 FOLDS, THRESHOLD = 5, 0.5
 #: Words that a worker remembers, and characters of the longest of those; longer ones are cut into parts.
 REMEMBERED, PART = 400_000, 40
@@ -76,7 +76,22 @@ class _Sample:
         self.begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if kept else np.zeros(0, dtype=np.int64)
         # a window starts at every word; those at the end of a text are shorter
         ends = np.repeat(self.begin + lengths, lengths)
-        self.stop = np.minimum(np.arange(len(self.tokens)) + WINDOW, ends)
+        at = np.arange(len(self.tokens))
+        self.stop = np.minimum(at + WINDOW, ends)
+        # the first window that holds a word
+        self.earliest = np.maximum(at - WINDOW + 1, np.repeat(self.begin, lengths))
+
+
+    def documents(self, place, buckets: int, y):
+        """For each class in how many texts each bucket occurs; ``place`` numbers the buckets of ``flat``."""
+        import numpy as np
+
+        held = np.zeros((2, buckets), dtype=np.int64)
+        for start, stop, label in zip(self.begin, np.append(self.begin[1:], len(self.tokens)), y):
+            words_here = np.unique(self.tokens[start:stop])
+            spans = [place[self.starts[w]:self.starts[w] + self.sizes[w]] for w in words_here]
+            held[label, np.unique(np.concatenate(spans))] += 1
+        return held
 
 
 def _highest(values, begin):
@@ -89,7 +104,36 @@ def _highest(values, begin):
     return at[np.unique(runs[at], return_index=True)[1]]
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], rows: tuple[int, int] | None = None) -> Model:
+    """Train on all texts, and calibrate on what models of either half say of the other half.
+
+    ``rows`` tells how common the labels 0 and 1 are; without it they are as common as here.
+    A model that can't tell unseen texts apart so calls all of them the more common label.
+    """
+    import numpy as np
+
+    whole = _fit(texts, labels)
+    halves = [list(range(i, len(texts), 2)) for i in (0, 1)]
+    if min((labels[i] for i in halves[0]), default=0) == max((labels[i] for i in halves[0]), default=0):
+        return whole
+    z, y = [], []
+    for mine, other in (halves, halves[::-1]):
+        model = _fit([texts[i] for i in mine], [labels[i] for i in mine])
+        scorer = Scorer(evidence(model), model.bias)
+        z += [scorer.logit(texts[i]) for i in other]
+        y += [labels[i] for i in other]
+    z, y = np.array(z), np.array(y, dtype=float)
+    if y.min() == y.max():
+        return whole
+    rows = rows or (int((y == 0).sum()), int(y.sum()))
+    share = (rows[1] + 1) / (sum(rows) + 2)
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
+    slope, intercept = newton(z, y, weight)
+    slope = max(slope, 0.0)
+    return Model(whole.vectors, tuple(w * slope for w in whole.weights), whole.bias * slope + intercept)
+
+
+def _fit(texts: list[str], labels: list[int]) -> Model:
     """Train vectors and softmax together by full-batch Adagrad on the highest windows.
 
     Without texts of either class every text scores 0 or 1, whichever was seen, or 0 if none was.
@@ -97,7 +141,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
+    vectors = rng.normal(0, INIT, (BUCKETS, WIDTH)).astype(np.float32)
     weights = np.stack([-np.ones(WIDTH), np.ones(WIDTH)]).astype(np.float32) * 0.3
     bias = np.array([1.0, -1.0], dtype=np.float32)
     if len(set(labels)) < 2:
@@ -108,9 +152,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(np.zeros_like(vectors).tobytes(), (0.0,) * WIDTH, -20.0)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
-    used = np.unique(s.flat)
-    memory = [np.full((len(used), WIDTH), 1e-8, dtype=np.float32), np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)]
-    place = np.searchsorted(used, s.flat)
+    lengths = np.diff(np.append(s.begin, len(s.tokens)))
+    # every window of a clean text is clean; of a toxic one only the worst is known to be toxic
+    clean = np.flatnonzero(np.repeat(y == 0, lengths))
+    part = np.repeat(share / lengths, lengths)[clean]
+    used, place = np.unique(s.flat, return_inverse=True)
+    # vectors start along the softmax by how much more often toxic texts hold the n-gram
+    held = s.documents(place, len(used), y)
+    odds = [np.log((h + 1) / (n + 2)) for h, n in zip(held, ((y == 0).sum(), (y == 1).sum()))]
+    never = np.log(1 / ((y == 1).sum() + 2)) - np.log(1 / ((y == 0).sum() + 2))
+    direction = weights[1] - weights[0]
+    vectors[used] += ((odds[1] - odds[0] - never)[:, None] * direction[None, :] / (direction @ direction)).astype(np.float32)
+    # steps stay small until a few texts agree
+    unit = FEW * 0.5 / (y == 1).sum() / WINDOW / s.sizes.mean()
+    memory = [np.full((len(used), WIDTH), unit ** 2, dtype=np.float32), np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)]
     for _ in range(ROUNDS):
         direction = weights[1] - weights[0]
         per_word = np.add.reduceat((vectors[used] @ direction)[place], s.starts) / s.sizes
@@ -119,11 +174,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         windows = (running[s.stop] - running[here]) / (s.stop - here)
         top = _highest(windows, s.begin)
         p = 1 / (1 + np.exp(-np.clip(windows[top] + bias[1] - bias[0], -30, 30)))
-        error = share * (p - y)  # gradient by the logit of class 1 over class 0
-        # from the windows to words, n-grams and vectors
-        width = s.stop[top] - top
-        members = np.concatenate([np.arange(a, b) for a, b in zip(top, s.stop[top])])
-        by_word = np.bincount(s.tokens[members], np.repeat(error / width, width), len(s.sizes)) / s.sizes
+        error = np.zeros(len(here))
+        error[top] = share * (p - y)
+        error[clean] += EVERY * part / (1 + np.exp(-np.clip(windows[clean] + bias[1] - bias[0], -30, 30)))
+        # gradient by the logit of class 1 over class 0, from the windows to words, n-grams and vectors
+        each = error / (s.stop - here)
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        by_token = total[1:] - total[s.earliest]
+        by_word = np.bincount(s.tokens, by_token, len(s.sizes)) / s.sizes
         by_gram = np.bincount(place, np.repeat(by_word, s.sizes), len(used)).astype(np.float32)
         slopes = [by_gram[:, None] * direction[None, :], np.zeros_like(weights), np.array([-error.sum(), error.sum()], dtype=np.float32)]
         slopes[1][1] = by_gram @ vectors[used]
@@ -136,16 +194,22 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(vectors.tobytes(), tuple(map(float, weights[1] - weights[0])), float(bias[1] - bias[0]))
 
 
+def evidence(model: Model) -> bytes:
+    """What each vector adds to the logit: the softmax of a mean of vectors is that of the mean of these."""
+    import numpy as np
+
+    vectors = np.frombuffer(model.vectors, dtype=np.float32).reshape(-1, WIDTH)
+    return (vectors @ np.array(model.weights, dtype=np.float32)).tobytes()
+
+
 class Scorer:
     """Scores texts; remembers the evidence of the words it has met."""
 
-    def __init__(self, model: Model):
+    def __init__(self, evidence: bytes, bias: float):
         import numpy as np
 
-        vectors = np.frombuffer(model.vectors, dtype=np.float32).reshape(-1, WIDTH)
-        # the softmax of a mean of vectors is the mean of what each vector contributes
-        self.evidence = vectors @ np.array(model.weights, dtype=np.float32)
-        self.bias = model.bias
+        self.evidence = np.frombuffer(evidence, dtype=np.float32)
+        self.bias = bias
         self.known: dict[str, float] = {}
 
     def _word(self, word: str) -> float:
@@ -157,6 +221,12 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         """Of the worst window; a text without words has no evidence but the bias."""
+        import math
+
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.logit(text)))))
+
+    def logit(self, text: str | None) -> float:
+        """What ``score`` is the logistic function of."""
         import numpy as np
 
         known, add = self.known, self._word
@@ -172,24 +242,26 @@ class Scorer:
             running = np.concatenate([[0.0], np.cumsum(each)])
             worst = float((running[WINDOW:] - running[:-WINDOW]).max()) / WINDOW
             worst = max([worst, *(sum(each[-n:]) / n for n in range(1, WINDOW))])
-        return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -30, 30))))
+        return worst + self.bias
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
     """Fit on a bounded sample of labelled documents outside fold 0."""
     rows = labelled_sample(documents, labels, "toxic", per_class, longest, FOLDS).collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    total = [next((r["rows"] for r in rows if r["label"] == k), 0) for k in (0, 1)]
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], (total[0], total[1]))
 
 
 def probability(documents: DataFrame, model: Model, text: Column) -> Column:
     """Probability that a text is toxic; null and empty texts score by the bias alone."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x WIDTH numbers
+    # of fixed size: BUCKETS numbers
+    shared = documents.sparkSession.sparkContext.broadcast((evidence(model), model.bias))
     made: list[Scorer] = []
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         if not made:
-            made.append(Scorer(shared.value))
+            made.append(Scorer(*shared.value))
         return pd.Series([made[0].score(t) for t in texts], dtype="float64")
 
     return scored(text)
