@@ -108,7 +108,7 @@ def write(pages: DataFrame, folder: str, date: datetime | None = None) -> DataFr
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     system, name = _open(path)
                     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                    out = system.open_output_stream(name)
+                    out = system.open_output_stream(name, compression=None)  # members are compressed already
                 member = record(
                     None if page_id is pd.NA else int(page_id), url, bytes(payload), None if refers is pd.NA else int(refers), stamp
                 )
@@ -191,7 +191,7 @@ def read(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch["path"]:
                 system, name = _open(path)
-                with system.open_input_stream(name) as stream:
+                with system.open_input_stream(name, compression=None) as stream:
                     held, size = [], 0
                     for member in _members(stream):
                         held.append(parse(member))
