@@ -152,7 +152,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: A sentence ends at a mark before white space, at a colon before white space, or at an empty line.
 _END = re.compile(r"[.!?;:](?=\s)|\n[^\S\n]*\n")
 _LINE = re.compile(r"\n")
-_NOISE = re.compile(r"[^0-9a-z.+/-]+")
+_NOISE = re.compile(r"(?:[^0-9a-z.+/-]|\.(?![0-9a-z]))+")
 _DECORATION = re.compile(r"(?m)^[^\S\n]*(?:#+|//+|\*+|--+|;+|>+|(?:\d+|[a-z])[.)])(?=[^\S\n])")
 
 
