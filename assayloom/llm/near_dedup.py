@@ -21,6 +21,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,13 @@ from assayloom.llm.graph import components
 
 #: Words of a shingle, and the least similarity of a link in percent.
 SHINGLE, PERCENT = 5, 80
-#: Bands, hashes of a band, hashes of a batch, and the chance to drop a pair of the threshold at a batch.
-BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-7
-HASHES = BANDS * ROWS
+#: Bands and hashes of a band; hashes that are compared at most, of them in a batch, and the chance to drop a pair of the threshold at a batch.
+BANDS, ROWS = 32, 4
+HASHES, BATCH, MISS = 512, 32, 1e-7
 #: Members of a tile. A sure bound on ids that may be broadcast: 8 bytes each.
-TILE, BROADCAST_IDS = 128, 1_000_000
+TILE, BROADCAST_IDS = 256, 1_000_000
 #: Words whose hash a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def mixed(x: int) -> int:
@@ -80,12 +81,20 @@ class Shingles:
         return np.unique(h ^ h >> np.uint64(32))
 
 
+def _series(n: int):
+    """Factors and summands of the first ``n`` MinHash functions."""
+    import numpy as np
+
+    return np.array([mixed(2 * i) | 1 for i in range(n)], dtype=np.uint64), np.array([mixed(2 * i + 1) for i in range(n)], dtype=np.uint64)
+
+
 def _signature(hashes, a, b):
+    """32 bits of each function's least value; texts of any length in bounded memory."""
     import numpy as np
 
-    least = np.full(HASHES, 2 ** 64 - 1, dtype=np.uint64)
-    for i in range(0, len(hashes), 512):  # bounded memory for long texts
-        least = np.minimum(least, (hashes[i:i + 512, None] * a + b).min(axis=0))
+    least = np.full(len(a), 2 ** 64 - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), 256):
+        least = np.minimum(least, (hashes[i:i + 256, None] * a + b).min(axis=0))
     return (least >> np.uint64(32)).astype("<u4")
 
 
@@ -93,10 +102,7 @@ def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_key, signature) of every row; key and signature are null without words."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        a = np.array([mixed(2 * i) | 1 for i in range(HASHES)], dtype=np.uint64)
-        b = np.array([mixed(2 * i + 1) for i in range(HASHES)], dtype=np.uint64)
+        a, b = _series(BANDS * ROWS)
         shingles = Shingles(size)
         for batch in batches:
             rows = []
@@ -147,10 +153,10 @@ def _survivors(left, right, pa, pb, least):
 def _matrix(signatures):
     import numpy as np
 
-    return np.frombuffer(b"".join(signatures), dtype="<u4").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(-1, HASHES)
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
+def _pruned(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Of pairs (a, b) of ids those that survive the batches."""
     least = least_matches(percent, miss)
 
@@ -162,22 +168,26 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) ->
             stay, _ = _survivors(_matrix(batch["sa"]), _matrix(batch["sb"]), every, every, least) if len(batch) else (every, every)
             yield batch[["a", "b"]].iloc[stay]
 
-    a, b = (classes.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
+    a, b = (sets.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(kept, "a long, b long")
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, hashes): the shingle sets of the documents in ``ids`` (id)."""
+    """(id, hashes, signature): shingle sets, and 16 bits of each MinHash, of the documents in ``ids`` (id)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = _series(HASHES)
         shingles = Shingles(size)
         for batch in batches:
-            sets = [shingles.of(t).astype("int64") for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "hashes": sets})
+            sets = [shingles.of(t) for t in batch["text"]]
+            yield pd.DataFrame({
+                "id": batch["id"], "hashes": [h.astype("int64") for h in sets],
+                "signature": [_signature(h, a, b).astype("<u2").tobytes() for h in sets],
+            })
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    return texts.mapInPandas(made, "id long, hashes array<long>")
+    return texts.mapInPandas(made, "id long, hashes array<long>, signature binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +198,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * either).select("a", "b")
 
 
-def _tiles(members: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
+def _tiles(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Rows (key, ta, tb, id, component, partners): per pair of tiles, who must be verified with whom.
 
     ``members`` are (key, band, n, id, component) of buckets with several components.
@@ -196,42 +206,46 @@ def _tiles(members: DataFrame, classes: DataFrame, percent: int, miss: float) ->
     """
     least = least_matches(percent, miss)
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def side(members):
+        import numpy as np
+
+        ids, component = (members.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "component"))
+        return ids, component, _matrix(members.field("signature").to_pylist())
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for row in batch.itertuples():
-                left, right = (list(x) for x in (row.left, row.right))
-                ia, ib = (np.array([m["id"] for m in x], dtype=np.int64) for x in (left, right))
-                ca, cb = (np.array([m["component"] for m in x], dtype=np.int64) for x in (left, right))
-                sa, sb = (_matrix([m["signature"] for m in x]) for x in (left, right))
+            out = []
+            for i, (key, band, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "band", "ta", "tb")))):
+                ia, ca, sa = side(batch.column("left")[i].values)
+                ib, cb, sb = side(batch.column("right")[i].values)
                 across = ca[:, None] != cb[None, :]
-                if row.ta == row.tb:
+                if ta == tb:
                     across = np.triu(across, 1)
-                pa, pb = _survivors(sa, sb, *np.nonzero(across), least)
-                if not len(pa):
+                pa_, pb = _survivors(sa, sb, *np.nonzero(across), least)
+                if not len(pa_):
                     continue
-                shared = (sa[pa] == sb[pb]).reshape(-1, BANDS, ROWS).all(axis=2)
-                here = shared[:, row.band] & (shared.argmax(axis=1) == row.band)
-                pa, pb = pa[here], pb[here]
-                rows = {}
-                for x in np.unique(pa):
-                    rows[int(ia[x])] = (int(ca[x]), ib[pb[pa == x]].tolist())
+                shared = (sa[pa_, :BANDS * ROWS] == sb[pb, :BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                here = shared[:, band] & (shared.argmax(axis=1) == band)
+                pa_, pb = pa_[here], pb[here]
+                rows = {int(ia[x]): (int(ca[x]), ib[pb[pa_ == x]].tolist()) for x in np.unique(pa_)}
                 for x in np.unique(pb):
                     rows.setdefault(int(ib[x]), (int(cb[x]), []))
-                if rows:
-                    yield pd.DataFrame(
-                        [(row.key, row.ta, row.tb, i, c, p) for i, (c, p) in rows.items()],
-                        columns=["key", "ta", "tb", "id", "component", "partners"],
-                    )
+                out += [(key, ta, tb, member, c, partners) for member, (c, partners) in rows.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
+    schema = pa.schema([
+        ("key", pa.int64()), ("ta", pa.int32()), ("tb", pa.int32()), ("id", pa.int64()), ("component", pa.int64()), ("partners", pa.list_(pa.int64())),
+    ])
     tiles = F.ceil(F.col("n") / TILE)
-    dealt = members.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).join(classes.select("id", "signature"), "id")
+    dealt = members.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).join(sets.select("id", "signature"), "id")
     # a tile has about TILE members, whatever the size of its bucket
     packed = dealt.groupBy("key", "band", "tile").agg(F.collect_list(F.struct("id", "component", "signature")).alias("members"))
     left = packed.select("key", "band", F.col("tile").alias("ta"), F.col("members").alias("left"))
     right = packed.select("key", F.col("tile").alias("tb"), F.col("members").alias("right"))
-    return left.join(right, "key").filter("ta <= tb").mapInPandas(
+    return left.join(right, "key").filter("ta <= tb").mapInArrow(
         compared, "key long, ta int, tb int, id long, component long, partners array<long>"
     )
 
@@ -266,7 +280,7 @@ def _linked_tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     root[max(p, q)] = min(p, q)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.join(sets, "id").groupBy("key", "ta", "tb").applyInPandas(linked, "a long, b long")
+    return rows.join(sets.select("id", "hashes"), "id").groupBy("key", "ta", "tb").applyInPandas(linked, "a long, b long")
 
 
 def classes(
@@ -287,11 +301,9 @@ def classes(
     distinct = saved(
         sound.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes"
     )
-    bands = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(signature, {4 * ROWS * i + 1}, {4 * ROWS})")).alias("key"))
-        for i in range(BANDS)
-    ]))
-    keys = distinct.select("id", bands.alias("at")).select("id", "at.band", "at.key")
+    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+    part = F.expr(f"substring(signature, {4 * ROWS} * band + 1, {4 * ROWS})")
+    keys = distinct.select("id", "signature", band).select("id", "band", F.xxhash64("band", part).alias("key"))
     # counted within tasks first; members of a large bucket aren't brought together
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = saved(keys.join(buckets, "key"), "members")
@@ -299,11 +311,11 @@ def classes(
     sets = saved(sets_of(documents, ids, size), "sets")
 
     stars = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = components(_linked(_pruned(stars, distinct, percent, miss), sets, percent))
+    first = components(_linked(_pruned(stars, sets, percent, miss), sets, percent))
     placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     left = placed.join(split.select("key"), "key", "left_semi").select("key", "band", "n", "id", "component")
-    more = saved(_linked_tiles(_tiles(left, distinct, percent, miss), sets, percent), "more")
+    more = saved(_linked_tiles(_tiles(left, sets, percent, miss), sets, percent), "more")
     across = more.join(first.withColumnRenamed("id", "a").withColumnRenamed("component", "ca"), "a", "left").join(
         first.withColumnRenamed("id", "b").withColumnRenamed("component", "cb"), "b", "left"
     ).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
