@@ -13,6 +13,7 @@ from assayloom.catalog import (  # noqa: F401  (they register their queries)
     matching,
     preprocessing,
     statistics,
+    workflows,
 )
 
 __all__ = ["QUERIES", "SQL"]

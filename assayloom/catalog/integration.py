@@ -201,11 +201,12 @@ def int9_ascending(spark, folder):
     return found.select("gene", F.round("score", 6).alias("score"), "rank")
 
 
-_SCORED = f"""{_RANKED}, {v.GENE_SETS}, ps as (select g, c, row_number() over (order by c desc) - 1 i from rk), nn as (select count(*) n from ps),
+_WALK = f"""{v.GENE_SETS}, ps as (select g, c, row_number() over (order by c desc) - 1 i from rk), nn as (select count(*) n from ps),
  h as (select l, t, ps.g, i, abs(c) w, sum(abs(c)) over z / sum(abs(c)) over (partition by l, t) up, abs(c) / sum(abs(c)) over (partition by l, t) own,
    (i + 1 - count(*) over z) / ((select n from nn) - count(*) over (partition by l, t))::double miss, count(*) over (partition by l, t) m
    from gs join ps on ps.g = gs.g window z as (partition by l, t order by i rows unbounded preceding)),
  es as (select l, t, m, case when abs(max(up - miss)) > abs(min(up - own - miss)) then max(up - miss) else min(up - own - miss) end es from h where m between 5 and 500 group by 1, 2, 3)"""
+_SCORED = f"{_RANKED}, {_WALK}"
 
 
 def _ranking(spark, folder):
@@ -220,12 +221,18 @@ def int10_scores(spark, folder):
     return gsea.observed_scores(sets, ranking, 1.0)[0].select("library", "term", "size", F.round("es", 6).alias("es"))
 
 
-@query("int10_preranked")
+def _judged(terms):
+    """The score of each term, and whether all that random permutations give obeys the rules they must."""
+    share = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
+    return terms.select("library", "term", F.round("es", 6).alias("es"), (share("p_value") & share("fdr") & (F.col("nes").isNull() | (F.signum("nes") == F.signum("es")))).alias("sound"))
+
+
+@query("int10_preranked", f"with {_SCORED} select l as library, t as term, round(es, 6) as es, true as sound from es")
 def int10(spark, folder):
     found = gsea.gsea_preranked(
         v.changes(spark, folder), "log2_fold_change", v.gene_pairs(spark, folder), v.gene_sets(spark, folder), "descending", min_size=5, permutations=100
     )
-    return found.terms
+    return _judged(found.terms)
 
 
 @query("int11_gene_intensities", f"""with {v.BY_PART}, {v.GENE_PAIRS} select g as gene, s as sample, round(avg(x), 6) as value from i join gp using (p) group by 1, 2""")
@@ -255,13 +262,14 @@ def int12_scores(spark, folder):
     return out
 
 
-@query("int12_gsea_phenotype")
+@query("int12_gsea_phenotype", f"""with {_CELLS}, rk as (select g, (m1 - m2) / (s1 + s2) c from st where (m1 - m2) / (s1 + s2) is not null), {_WALK}
+ select l as library, t as term, round(es, 6) as es, true as sound from es""")
 def int12(spark, folder):
     found = gsea.gsea(
         v.by_part(spark, folder), v.groups(spark, folder), "Group", "EUROPE", "ASIA", v.gene_pairs(spark, folder), v.gene_sets(spark, folder),
         min_size=5, permutations=50,
     )
-    return found.terms
+    return _judged(found.terms)
 
 
 @query("int14_term_curve", f"""with {_RANKED}, {v.GENE_SETS}, mb as (select g from gs where l = 'brand' and t = 'Brand#12'),

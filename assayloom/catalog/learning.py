@@ -9,6 +9,8 @@ from assayloom.catalog.registry import query
 from assayloom.operators import classify, cluster, embed, outliers
 from assayloom.operators.impute import by_min_per_feature
 from assayloom.operators.vectors import to_vectors
+from assayloom.plans.storage import cut
+from assayloom.schema import FEATURE, SAMPLE, col
 
 _VECTORS = "e as (select vec_id id, cast(embedding as double[]) v, label from embeddings)"
 _PAIRS = {
@@ -59,22 +61,54 @@ def emb2_raw(spark, folder):
     return found.select("id", "rank", "neighbour", F.round("distance", 3).alias("distance"))
 
 
-@query("emb1_principal_components")
+def _length(scores):
+    """Distance of each row from the centre: all components together keep it."""
+    names = [c for c in scores.columns if c != "id"]
+    return scores.select("id", F.round(F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0))), 4).alias("from_centre"))
+
+
+@query("emb1_principal_components", f"""with {_VECTORS}, u as (select id, unnest(v) x, generate_subscripts(v, 1) k from e), m as (select k, avg(x) m from u group by k)
+ select id, round(sqrt(sum((x - m) ** 2)), 4) as from_centre from u join m using (k) group by id""")
 def emb1(spark, folder):
-    return embed.principal_components(v.vectors(spark, folder), 2).scores
+    return _length(embed.principal_components(v.vectors(spark, folder), 64).scores)
 
 
-@query("emb1_principal_components_wide")
+@query("emb1_principal_components_wide", f"""with {v.NATION_GRID}, f as (select p, min(x) v from i group by p having count(x) > 0), g as (select i.s, i.p, coalesce(x, v) x from i join f on f.p = i.p),
+ m as (select p, avg(x) m from g group by p) select s as id, round(sqrt(sum((x - m) ** 2)), 4) as from_centre from g join m using (p) group by s""")
 def emb1_wide(spark, folder):
-    return embed.principal_components_wide(by_min_per_feature(v.nation_grid(spark, folder)), 2).scores
+    return _length(embed.principal_components_wide(by_min_per_feature(v.nation_grid(spark, folder)), 25).scores)
+
+
+@query("emb1_explained_variance", f"""with {_VECTORS}, u as (select unnest(v) x, generate_subscripts(v, 1) k from e), t as (select sum(z) z from (select var_pop(x) z from u group by k))
+ select round(z, 6) as total, true as falling, true as whole from t""")
+def emb1_explained(spark, folder):
+    found = embed.principal_components(v.vectors(spark, folder), 64)
+    names = [c for c in found.scores.columns if c != "id"]
+    spread = found.scores.agg(*[F.var_pop(c).alias(c) for c in names]).select(F.array(*names).alias("s"))
+    ratios = found.explained.agg(F.array_sort(F.collect_list(F.struct(F.length("component").alias("n"), "component", "variance_ratio"))).alias("r")).select("r.variance_ratio")
+    both = spread.crossJoin(ratios)  # two single rows
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    return both.select(
+        F.round(total, 6).alias("total"),
+        F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i) <= F.get("s", i - 1) + 1e-9).alias("falling"),
+        (F.abs(F.aggregate("variance_ratio", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6).alias("whole"),
+    )
 
 
 # ------------------------------------------------------------------ outliers
 
 
-@query("out1_isolation_forest")
+@query("out1_isolation_forest", f"""with {v.BY_BRAND}, s as (select distinct s from i union all select 'planted')
+ select s as id, s = 'planted' as lowest, true as in_range, true as marked from s""")
 def out1(spark, folder):
-    return outliers.by_isolation_forest(v.by_brand(spark, folder), n_estimators=50).scores
+    """Next to all samples a planted one, far off in every feature, that must score lowest."""
+    table = v.by_brand(spark, folder)
+    planted = table.groupBy(col(FEATURE)).agg((F.max("Intensity") * 50).alias("Intensity")).select(F.lit("planted").alias(SAMPLE), col(FEATURE), "Intensity")
+    scores = cut(outliers.by_isolation_forest(table.unionByName(planted), n_estimators=100).scores)
+    return scores.select(
+        "id", (F.col("anomaly_score") == scores.agg(F.min("anomaly_score")).scalar()).alias("lowest"),
+        F.abs("anomaly_score").between(0, 0.5).alias("in_range"), (F.col("outlier") == (F.col("anomaly_score") < 0)).alias("marked"),
+    )
 
 
 @query("out2_local_outlier_factor", f"""with {_VECTORS}, {_near('euclidean', 20)},
@@ -104,29 +138,67 @@ def out3(spark, folder):
     return outliers.outside_ellipsoid(scores, ["a", "b"], 2.0).select("id", "outlier")
 
 
-@query("out3_pca_outliers")
+@query("out3_pca_outliers", f"with {v.BY_BRAND} select s as id, true as centred, true as marked, true as split from i group by s")
 def out3_pca(spark, folder):
-    return outliers.by_pca(v.by_brand(spark, folder), threshold=2.0, number_of_components=3).scores
+    """Scores lie around zero, the flag is the ellipsoid's, and a sample is kept unless it is flagged."""
+    found = outliers.by_pca(v.by_brand(spark, folder), threshold=2.0, number_of_components=3)
+    names = ["component_1", "component_2", "component_3"]
+    scores = cut(found.scores)
+    about = scores.agg(*[F.struct(F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("middle"), F.stddev(c).alias("spread")).alias(c) for c in names])
+    about = about.select(F.struct(*names)).scalar()
+    kept = found.kept.select(col(SAMPLE).alias("id")).distinct().withColumn("kept", F.lit(True))
+    rows = scores.withColumn("a", about).join(kept, "id", "left")
+    far = sum((((F.col(c) - F.col(f"a.{c}.middle")) / (2 * F.col(f"a.{c}.spread"))) ** 2 for c in names), F.lit(0.0))
+    return rows.select(
+        "id", (F.abs("a.component_1.mean") < 1e-6 * F.col("a.component_1.spread")).alias("centred"),
+        (F.col("outlier") == (far > 1)).alias("marked"), (F.coalesce("kept", F.lit(False)) != F.col("outlier")).alias("split"),
+    )
 
 
 # ---------------------------------------------------------------- clustering
 
 
-@query("clu1_k_means")
+def _at_nearest(vectors, found):
+    """(id, at_nearest): whether each row has the label of its nearest centre."""
+    centres = found.centres.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("c")).select("label", F.col("c.value").alias("c"))
+    everyone = centres.agg(F.collect_list(F.struct("label", "c")).alias("all")).scalar()
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    rows = vectors.select("id", "vec").join(found.labels, "id").withColumn("all", everyone)
+    rows = rows.withColumn("d", F.transform("all", lambda c: F.struct(c["label"].alias("label"), far(F.col("vec"), c["c"]).alias("d"))))
+    own = F.get(F.filter("d", lambda d: d["label"] == F.col("label")), F.lit(0))["d"]
+    return rows.select("id", (own <= F.array_min(F.transform("d", lambda d: d["d"])) * (1 + 1e-9) + 1e-12).alias("at_nearest"))
+
+
+@query("clu1_k_means", "select vec_id as id, true as at_nearest from embeddings")
 def clu1(spark, folder):
-    return cluster.k_means(v.vectors(spark, folder), 10, n_init=3, max_iter=50).labels
+    rows = v.vectors(spark, folder)
+    return _at_nearest(rows, cluster.k_means(rows, 10, n_init=3, max_iter=200, tolerance=0.0))
+
+
+@query("clu1_search", "select cast(k as varchar) as param_n_clusters, true as between from (select unnest([2, 4]) k)")
+def clu1_search(spark, folder):
+    """Settings that were tried, with a silhouette between -1 and 1."""
+    rows = v.vectors(spark, folder).select("id", "vec")
+    _, table = cluster.search(rows, "k_means", {"n_clusters": [2, 4]}, ["silhouette_score", "davies_bouldin_score"], n_init=2, max_iter=20)
+    return table.select("param_n_clusters", (F.col("silhouette_score").between(-1, 1) & (F.col("davies_bouldin_score") > 0)).alias("between"))
 
 
-@query("clu2_expectation_maximisation")
+@query("clu2_expectation_maximisation", "select vec_id as id, 4 as components, true as whole, true as likeliest from embeddings")
 def clu2(spark, folder):
     rows = embed.principal_components(v.vectors(spark, folder), 3).scores
-    reduced = rows.select("id", F.array("component_1", "component_2", "component_3").alias("vec"))
-    return cluster.expectation_maximisation(reduced, 4, max_iter=30).labels
+    reduced = cut(rows.select("id", F.array("component_1", "component_2", "component_3").alias("vec")))
+    found = cluster.expectation_maximisation(reduced, 4, max_iter=30)
+    share = found.probabilities.join(found.labels, "id").groupBy("id").agg(
+        F.count("*").cast("int").alias("components"), F.sum("probability").alias("sum"), F.max("probability").alias("most"),
+        F.max(F.when(F.col("component") == F.col("label"), F.col("probability"))).alias("own"),
+    )
+    return share.select("id", "components", (F.abs(F.col("sum") - 1) < 1e-6).alias("whole"), (F.col("own") == F.col("most")).alias("likeliest"))
 
 
-@query("clu3_hierarchical")
+@query("clu3_hierarchical", f"with {v.BY_BRAND} select count(distinct s) as samples, 5 as clusters, true as none_empty from i")
 def clu3(spark, folder):
-    return cluster.hierarchical(to_vectors(v.by_brand(spark, folder)), 5).labels
+    sizes = cluster.hierarchical(to_vectors(v.by_brand(spark, folder)), 5).labels.groupBy("label").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("samples"), F.count("*").cast("int").alias("clusters"), (F.min("n") > 0).alias("none_empty"))
 
 
 _LABELLED = """p as (select vec_id id, label truth, (case when embedding[1] > 0 then 2 else 0 end + case when embedding[2] > 0 then 1 else 0 end) pred from embeddings)"""
@@ -219,21 +291,45 @@ def _binary(spark, folder):
     return v.vectors(spark, folder).select("id", "vec", (F.col("label") < 5).cast("int").alias("label"))
 
 
-@query("mlc4_model_selection")
+@query("mlc3_repeated_folds", "select r as repeat, count(*) as n, count(distinct o_orderkey) as rows, 3 as folds from orders cross join (select unnest([0, 1]) r) group by 1")
+def mlc3_repeated(spark, folder):
+    """Each row is in one fold of each repeat, and repeats differ."""
+    rows = v.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"))
+    tables = [t.withColumn("repeat", F.lit(i)) for i, t in enumerate(classify.repeated_folds(rows, 3, 2))]
+    return tables[0].unionByName(tables[1]).groupBy("repeat").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("rows"), F.count_distinct("fold").cast("int").alias("folds")
+    )
+
+
+@query("mlc4_model_selection", "select unnest(['2', '4']) as \"param_maxDepth\", true as scored, true as fits_training_better")
 def mlc4(spark, folder):
-    return classify.random_forest(_binary(spark, folder), {"maxDepth": [2, 4]}, n_estimators=10, max_depth=4, n_splits=3).evaluation
+    table = classify.random_forest(
+        _binary(spark, folder), {"maxDepth": [2, 4]}, n_estimators=10, max_depth=4, n_splits=3, n_repeats=2, validation="Repeated K-Fold",
+        score=["accuracy", "matthews_corrcoef"],
+    ).evaluation
+    scored = F.col("mean_test_accuracy").between(0, 1) & F.col("mean_test_matthews_corrcoef").between(-1, 1) & (F.col("std_test_accuracy") >= 0)
+    return table.select("param_maxDepth", scored.alias("scored"), (F.col("mean_train_accuracy") >= F.col("mean_test_accuracy")).alias("fits_training_better"))
 
 
-@query("mlc5_random_forest")
+_CLASSES = """n as (select label < 5 l, count(*) n from embeddings group by 1), t as (select sum(round(0.2 * n)) t from n)"""
+
+
+@query("mlc5_random_forest", f"with {_CLASSES} select unnest(['accuracy', 'f1_score', 'precision', 'recall']) as metric, cast(t as bigint) as rows, true as above from t")
 def mlc5(spark, folder):
     found = classify.random_forest(_binary(spark, folder), n_estimators=20, max_depth=6, n_splits=2)
-    return classify.classification_scores(found.predictions, ["accuracy", "precision", "recall", "f1_score"])
+    return _above(found, ["accuracy", "precision", "recall", "f1_score"], 0.4)
 
 
-@query("mlc6_svm")
+@query("mlc6_svm", f"with {_CLASSES} select unnest(['accuracy', 'matthews_corrcoef']) as metric, cast(t as bigint) as rows, true as above from t")
 def mlc6(spark, folder):
-    found = classify.svm(_binary(spark, folder), max_iter=20, n_splits=2)
-    return classify.classification_scores(found.predictions, ["accuracy", "matthews_corrcoef"])
+    return _above(classify.svm(_binary(spark, folder), max_iter=20, n_splits=2), ["accuracy", "matthews_corrcoef"], 0.0)
+
+
+def _above(found, names, floor):
+    """Scores of a test table of the right size, and whether each passes a floor."""
+    rows = found.predictions.agg(F.count("*")).scalar()
+    scores = classify.classification_scores(found.predictions, names)
+    return scores.select(F.col("Metric").alias("metric"), rows.alias("rows"), (F.col("Score") > floor).alias("above"))
 
 
 _CONFUSION = """t as (select count(*) filter (where quality = 1 and toxic = 0) tp, count(*) filter (where quality = 0 and toxic = 0) fp,

@@ -250,14 +250,30 @@ def imp5(spark, folder):
     return v.tidy(impute.by_min_per_dataset(v.nation_grid(spark, folder), 0.1), 4)
 
 
-@query("imp6_normal_draws_per_feature")
+def _drawn(spark, folder, strategy):
+    """Observed cells, and of drawn ones whether they lie within eight deviations of where draws are centred."""
+    grid = v.nation_grid(spark, folder)
+    filled = impute.by_normal_draws(grid, strategy, -1.0, 0.5)
+    by = [col(FEATURE)] if strategy == "perProtein" else []
+    logs = grid.groupBy(*by).agg(F.avg(F.log10("Intensity")).alias("m"), F.coalesce(F.stddev(F.log10("Intensity")), F.lit(0.0)).alias("d"))
+    both = filled.withColumnRenamed("Intensity", "now").join(grid, [SAMPLE, FEATURE])
+    both = both.join(logs, FEATURE) if by else both.crossJoin(logs)  # one row
+    centre, width = F.col("m") - F.col("d"), 8 * 0.5 * F.col("d") + 1e-6
+    near = F.abs(F.log10("now") - centre) <= width
+    return both.select(
+        col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.round("Intensity", 2).alias("observed"),
+        F.when(F.col("Intensity").isNull(), F.col("now").isNull() | near).otherwise(F.col("now") == F.col("Intensity")).alias("sound"),
+    )
+
+
+@query("imp6_normal_draws_per_feature", f"with {v.NATION_GRID} select s as sample, p as feature, round(x, 2) as observed, true as sound from i")
 def imp6(spark, folder):
-    return v.tidy(impute.by_normal_draws(v.nation_grid(spark, folder), "perProtein", -1.0, 0.5), 4)
+    return _drawn(spark, folder, "perProtein")
 
 
-@query("imp7_normal_draws_per_dataset")
+@query("imp7_normal_draws_per_dataset", f"with {v.NATION_GRID} select s as sample, p as feature, round(x, 2) as observed, true as sound from i")
 def imp7(spark, folder):
-    return v.tidy(impute.by_normal_draws(v.nation_grid(spark, folder), "perDataset", -1.0, 0.5), 4)
+    return _drawn(spark, folder, "perDataset")
 
 
 @query("imp8_missing_values", f"with {v.NATION_GRID} select count(*) - count(x) as missing from i")

@@ -57,9 +57,19 @@ def sta2_welch(spark, folder):
     return found.select(col(FEATURE).alias("feature"), F.round("t_statistic", 6).alias("t_statistic"), F.round("df", 6).alias("df"))
 
 
-@query("sta2_welch_p_values")
+# two-sided p for any degrees of freedom: Simpson's rule over the angle whose tangent is t / sqrt(df)
+_SIMPSON = """exp(lgamma((df + 1) / 2) - lgamma(df / 2)) * 2 / sqrt(pi()) * (pi() / 2 - th) / 6000
+   * list_sum(list_transform(range(0, 2001), lambda j: case when j = 0 or j = 2000 then 1 when j % 2 = 1 then 4 else 2 end
+     * greatest(cos(th + (pi() / 2 - th) * j / 2000), 0) ** (df - 1)))"""
+
+
+@query("sta2_welch_p_values", f"""with {v.BY_BRAND}, {v.GROUPS}, {_SUMS},
+ t0 as (select *, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) df, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) t, log2(m2 / m1) fc from w where n1 >= 2 and n2 >= 2),
+ t1 as (select *, atan(abs(t) / sqrt(df)) th from t0), t2 as (select *, {_SIMPSON} pv from t1), {_BH.format(t='t2')}
+ select p as feature, round(t, 6) as t_statistic, round(df, 6) as df, round(pv, 6) as p_value, round(adj, 6) as corrected_p_value, round(fc, 6) as log2_fold_change from t2 join bh using (p)""")
 def sta2_welch_p(spark, folder):
-    return _tested(stats.t_test(v.by_brand(spark, folder), v.groups(spark, folder), "Group", "EUROPE", "ASIA", equal_var=False).results, "t_statistic", "df")
+    found = _tested(stats.t_test(v.by_brand(spark, folder), v.groups(spark, folder), "Group", "EUROPE", "ASIA", equal_var=False).results, "t_statistic", "df")
+    return found.withColumns({c: F.round(c, 6) for c in ("p_value", "corrected_p_value")})
 
 
 @query("sta3_anova", f"""with {v.BY_BRAND}, {v.GROUPS},

@@ -5,12 +5,11 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 from itertools import product
+from statistics import fmean, pstdev
 from typing import NamedTuple
 
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +19,9 @@ from assayloom.plans.prefix import running_totals, same_keys
 from assayloom.plans.storage import cut
 from assayloom.schema import col
 
-# Names of the scores and of Spark's metrics.
+# Names of the scores.
 DEEPEST = 30  # Spark's limit of a tree's depth
-SCORERS = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1_score": "f1"}
+SCORERS = ("accuracy", "precision", "recall", "f1_score", "matthews_corrcoef")
 
 
 # -------------------------------------------------------------------- labels
@@ -134,57 +133,127 @@ def parameter_grid(estimator, grid: Mapping[str, Sequence], *, sampled: int | No
     return [{estimator.getParam(n): v for n, v in combo.items()} for combo in combos]
 
 
-def select_model(
-    rows: DataFrame, estimator, grid: Sequence[dict], *, score: str = "accuracy", validation: str = "K-Fold", n_splits: int = 5,
-    train_share: float = 0.8, key: str = "id", seed: int = 42,
-) -> tuple[object, DataFrame]:
-    """(best model refitted on all rows, table of settings with their mean score)."""
-    evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=SCORERS[score])
-    maps = list(grid) or ParamGridBuilder().build()
+def scores_of(predictions: DataFrame, scoring: Sequence[str], *, truth: str = "label", predicted: str = "prediction") -> dict[str, float]:
+    """Scores over all classes; precision, recall and F1 are weighted by the size of the true class.
+
+    Only the table of label pairs, as large as the square of the classes, reaches the driver.
+    """
+    unknown = [s for s in scoring if s not in SCORERS]
+    if unknown:
+        raise ValueError(f"unknown scores {unknown}; known are {list(SCORERS)}")
+    cells = {(r[0], r[1]): r[2] for r in predictions.groupBy(col(truth), col(predicted)).count().collect()}
+    classes = {c for pair in cells for c in pair}
+    n = sum(cells.values())
+    true = {c: sum(v for (t, _), v in cells.items() if t == c) for c in classes}
+    said = {c: sum(v for (_, q), v in cells.items() if q == c) for c in classes}
+    hit = {c: cells.get((c, c), 0) for c in classes}
+    share = lambda a, b: a / b if b else 0.0
+    weighted = lambda f: share(sum(true[c] * f(c) for c in classes), n)
+    right = sum(hit.values())
+    spread = lambda margin: n * n - sum(v * v for v in margin.values())
+    found = {
+        "accuracy": share(right, n),
+        "precision": weighted(lambda c: share(hit[c], said[c])),
+        "recall": weighted(lambda c: share(hit[c], true[c])),
+        "f1_score": weighted(lambda c: share(2 * hit[c], said[c] + true[c])),
+        "matthews_corrcoef": share(right * n - sum(true[c] * said[c] for c in classes), (spread(true) * spread(said)) ** 0.5),
+    }
+    return {s: float(found[s]) for s in scoring}
+
+
+def splits(
+    rows: DataFrame, validation: str = "K-Fold", n_splits: int = 5, *, n_repeats: int = 10, train_share: float = 0.8,
+    label: str = "label", key: str = "id", seed: int = 42,
+) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, test) pairs of a validation strategy.
+
+    ``K-Fold``, ``Stratified K-Fold``, ``Repeated K-Fold``, ``Leave one out``, or
+    ``Manual``: one random split with ``train_share`` of the rows in training.
+    """
     if validation == "Manual":
-        fitted = TrainValidationSplit(
-            estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, trainRatio=train_share, seed=seed
-        ).fit(rows)
-        means = fitted.validationMetrics
+        return [tuple(cut(part) for part in train_test_split(rows, label, 1 - train_share, stratify=False, key=key, seed=seed))]
+    if validation == "Repeated K-Fold":
+        tables = repeated_folds(rows, n_splits, n_repeats, key=key, seed=seed)
     else:
         if validation == "Leave one out":
             n_splits = rows.count()
-        folded = cut(with_folds(rows, validation, n_splits, key=key, seed=seed))
-        fitted = CrossValidator(
-            estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=n_splits, foldCol="fold", seed=seed
-        ).fit(folded)
-        means = fitted.avgMetrics
-    table = [(*[str(v) for v in m.values()], float(s)) for m, s in zip(maps, means)]
-    names = [f"param_{p.name}" for p in maps[0]]
-    schema = ", ".join([*[f"`{n}` string" for n in names], f"mean_test_{score} double"])
-    return fitted.bestModel, rows.sparkSession.createDataFrame(table, schema)
-
-
-def _classify(labelled: DataFrame, make, grid, *, score, validation, n_splits, test_size, stratify, search, n_iter, seed) -> Fitted:
+        tables = [with_folds(rows, validation, n_splits, label=label, key=key, seed=seed)]
+    found = []
+    for table in map(cut, tables):
+        found += [(table.filter(F.col("fold") != i).drop("fold"), table.filter(F.col("fold") == i).drop("fold")) for i in range(n_splits)]
+    return found
+
+
+def select_model(
+    rows: DataFrame, estimator, grid: Sequence[dict], *, score: str | Sequence[str] = "accuracy", validation: str = "K-Fold", n_splits: int = 5,
+    n_repeats: int = 10, train_share: float = 0.8, key: str = "id", seed: int = 42,
+) -> tuple[object, DataFrame]:
+    """(best model refitted on all rows, table of settings with their scores).
+
+    The table has ``param_*`` and, for each score, its mean and deviation over the
+    test parts and its mean over the training parts. The first score decides; of
+    equal settings the first listed wins. Parts without a row are not scored.
+    """
+    scoring = [score] if isinstance(score, str) else list(score)
+    maps = list(grid) or [{}]
+    parts = splits(rows, validation, n_splits, n_repeats=n_repeats, train_share=train_share, key=key, seed=seed)
+    table, best = [], None
+    for setting in maps:
+        test, train = [], []
+        for train_rows, test_rows in parts:
+            if train_rows.isEmpty() or test_rows.isEmpty():
+                continue
+            model = estimator.fit(train_rows, setting)
+            test.append(scores_of(model.transform(test_rows), scoring))
+            train.append(scores_of(model.transform(train_rows), scoring))
+        row = [str(v) for v in setting.values()]
+        for name in scoring:
+            values = [t[name] for t in test]
+            row += [fmean(values) if values else None, pstdev(values) if values else None, fmean(t[name] for t in train) if train else None]
+        table.append(tuple(row))
+        first = row[len(setting)]
+        if best is None or (first is not None and (best[0] is None or first > best[0])):
+            best = (first, setting)
+    columns = [f"`param_{p.name}` string" for p in maps[0]]
+    columns += [f"{kind}_{name} double" for name in scoring for kind in ("mean_test", "std_test", "mean_train")]
+    return estimator.fit(rows, best[1]), rows.sparkSession.createDataFrame(table, ", ".join(columns))
+
+
+SEARCHES = ("Grid search", "Randomized search", "Manual")
+
+
+def _tried(search: str, n_iter: int) -> int | None:
+    """How many settings are drawn; all of them in a grid, the first alone if set by hand."""
+    if search not in SEARCHES:
+        raise ValueError(f"unknown search {search!r}; known are {SEARCHES}")
+    return {"Grid search": None, "Randomized search": n_iter, "Manual": 1}[search]
+
+
+def _classify(labelled: DataFrame, make, grid, *, score, validation, n_splits, n_repeats, test_size, stratify, search, n_iter, seed) -> Fitted:
     """``labelled`` holds (id, vec, label) with codes 0, 1, ..."""
     rows = with_ml_vector(labelled).select("id", "features", F.col("label").cast("double").alias("label"))
     train, test = (cut(part) for part in train_test_split(rows, "label", test_size, stratify=stratify, seed=seed))
     estimator = make(train)
     base = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    settings = parameter_grid(base, grid or {}, sampled=n_iter if search == "Randomized search" else None, seed=seed)
-    model, table = select_model(train, estimator, settings, score=score, validation=validation, n_splits=n_splits, seed=seed)
+    settings = parameter_grid(base, grid or {}, sampled=_tried(search, n_iter), seed=seed)
+    model, table = select_model(train, estimator, settings, score=score, validation=validation, n_splits=n_splits, n_repeats=n_repeats, seed=seed)
     return Fitted(model, table, train, test, model.transform(test))
 
 
 def random_forest(
     labelled: DataFrame, grid: Mapping[str, Sequence] | None = None, *, n_estimators: int = 100, criterion: str = "gini",
-    max_depth: int | None = None, bootstrap: bool = True, score: str = "accuracy", validation: str = "K-Fold", n_splits: int = 5,
+    max_depth: int | None = None, bootstrap: bool = True, score: str | Sequence[str] = "accuracy", validation: str = "K-Fold", n_splits: int = 5, n_repeats: int = 10,
     test_size: float = 0.2, stratify: bool = True, search: str = "Grid search", n_iter: int = 10, seed: int = 42,
 ) -> Fitted:
     """Random forest with the chosen validation and parameter search."""
     make = lambda train: random_forest_estimator(n_estimators, criterion, max_depth, bootstrap, seed)
-    return _classify(labelled, make, grid, score=score, validation=validation, n_splits=n_splits, test_size=test_size,
+    return _classify(labelled, make, grid, score=score, validation=validation, n_splits=n_splits, n_repeats=n_repeats, test_size=test_size,
                      stratify=stratify, search=search, n_iter=n_iter, seed=seed)
 
 
 def svm(
     labelled: DataFrame, grid: Mapping[str, Sequence] | None = None, *, c: float = 1.0, tolerance: float = 1e-4, max_iter: int = 100,
-    score: str = "accuracy", validation: str = "K-Fold", n_splits: int = 5, test_size: float = 0.2, stratify: bool = True,
+    score: str | Sequence[str] = "accuracy", validation: str = "K-Fold", n_splits: int = 5, n_repeats: int = 10, test_size: float = 0.2, stratify: bool = True,
     search: str = "Grid search", n_iter: int = 10, seed: int = 42,
 ) -> Fitted:
     """Linear support vector machine, one against the rest for more than two labels."""
@@ -193,7 +262,7 @@ def svm(
         row = train.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
         return svm_estimator(c, row["n"], tolerance, max_iter, row["k"])
 
-    return _classify(labelled, make, grid, score=score, validation=validation, n_splits=n_splits, test_size=test_size,
+    return _classify(labelled, make, grid, score=score, validation=validation, n_splits=n_splits, n_repeats=n_repeats, test_size=test_size,
                      stratify=stratify, search=search, n_iter=n_iter, seed=seed)
 
 

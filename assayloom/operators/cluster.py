@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -33,9 +35,9 @@ def _checked(vectors: DataFrame, k: int) -> DataFrame:
     given = cut(vectors.select("id", "vec"))
     row = given.agg(F.count("*").alias("n"), F.count_if(F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("bad")).first()
     if row["bad"]:
-        raise ValueError("The table has missing values. Consider filtering or imputing them first.")
+        raise ValueError("vectors must not hold missing values")
     if k > row["n"]:
-        raise ValueError(f"The number of clusters ({k}) must not exceed the number of samples ({row['n']}).")
+        raise ValueError(f"{row['n']} rows can't make {k} clusters")
     return with_ml_vector(given)
 
 
@@ -94,16 +96,25 @@ def contingency(pairs: DataFrame, truth: str = "truth", predicted: str = "label"
 @pandas_udf(DoubleType())
 def _chance_information(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
     """Expected contribution of one row and one column total to the mutual information."""
-    out = []
-    for x, y, total in zip(a.astype(int), b.astype(int), n.astype(int)):
-        k = np.arange(max(1, x + y - total), min(x, y) + 1, dtype=float)
-        log = np.vectorize(math.lgamma, otypes=[float])
-        weight = (
-            math.lgamma(x + 1) + math.lgamma(y + 1) + math.lgamma(total - x + 1) + math.lgamma(total - y + 1) - math.lgamma(total + 1)
-            - log(k + 1) - log(x - k + 1) - log(y - k + 1) - log(total - x - y + k + 1)
-        ) if len(k) else np.zeros(0)
-        out.append(float(np.sum(k / total * np.log(total * k / (x * y)) * np.exp(weight))))
-    return pd.Series(out, dtype=float)
+    return pd.Series([_expected(*cell) for cell in zip(a.astype(int), b.astype(int), n.astype(int))], dtype=float)
+
+
+def _expected(x: int, y: int, total: int) -> float:
+    """Mean of k/n log(n k / (x y)) when k of x marked rows fall among y drawn of n.
+
+    Only counts near the mean matter: twelve deviations away the weight is below
+    1e-30. Weights follow from the ratio of neighbours and sum to one.
+    """
+    mean = x * y / total
+    spread = math.sqrt(max(x * y * (total - x) * (total - y), 0) / (total * total * max(total - 1, 1)))
+    far = 12 * spread + 30
+    low, high = max(0, x + y - total, math.floor(mean - far)), min(x, y, math.ceil(mean + far))
+    k = np.arange(low, high + 1, dtype=float)
+    ratio = (x - k[:-1]) * (y - k[:-1]) / ((k[:-1] + 1) * (total - x - y + k[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+    weight = np.exp(logs - logs.max())
+    some = k > 0
+    return float(np.sum(k[some] / total * np.log(total * k[some] / (x * y)) * weight[some]) / weight.sum())
 
 
 def external_indices(pairs: DataFrame, truth: str = "truth", predicted: str = "label") -> DataFrame:
@@ -190,11 +201,11 @@ def silhouette(labelled: DataFrame) -> DataFrame:
     block pair leaves them.
     """
     sizes = labelled.groupBy("label").agg(F.count("*").alias("size"))
-    id_type = labelled.schema["id"].dataType.simpleString()
+    id_type, label_type = (labelled.schema[c].dataType.simpleString() for c in ("id", "label"))
     sums = (
         every_block_pair(pack_vectors(labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "label"))
         .select("q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label")
-        .mapInPandas(_label_sums, f"id {id_type}, label int, other_label int, total double")
+        .mapInPandas(_label_sums, f"id {id_type}, label {label_type}, other_label {label_type}, total double")
         .groupBy("id", "label", "other_label").agg(F.sum("total").alias("total"))
         .join(sizes.withColumnRenamed("label", "other_label"), "other_label")
     )
@@ -269,3 +280,39 @@ def evaluate(labelled: DataFrame, scoring: Sequence[str], truth: str | None = No
     if found is None:
         return wanted.withColumn("score", F.lit(None).cast("double"))
     return wanted.join(found, "metric", "left")
+
+
+METHODS = {"k_means": k_means, "expectation_maximisation": expectation_maximisation, "hierarchical": hierarchical}
+LOWER_IS_BETTER = ("davies_bouldin_score",)
+
+
+def search(
+    vectors: DataFrame, method: str, grid: Mapping[str, Sequence], scoring: Sequence[str] = ("silhouette_score",), *,
+    truth: DataFrame | None = None, sampled: int | None = None, seed: int = 42, **fixed,
+) -> tuple[Clusters, DataFrame]:
+    """(best clusters, table of settings with their scores).
+
+    Every combination of the listed parameters is tried, or ``sampled`` of them.
+    The table has ``param_*`` and a column per score; the first score decides.
+    ``truth`` (id, truth) is needed for scores against known labels.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; known are {list(METHODS)}")
+    names = list(grid)
+    settings = [dict(zip(names, values)) for values in product(*[v if isinstance(v, (list, tuple)) else [v] for v in grid.values()])]
+    if sampled is not None and sampled < len(settings):
+        settings = random.Random(seed).sample(settings, sampled)
+    table, best = [], None
+    for setting in settings:
+        found = METHODS[method](vectors, **{**fixed, **setting})
+        labelled = cut(found.labels.join(vectors.select("id", "vec"), "id"))
+        if truth is not None:
+            labelled = labelled.join(truth, "id")
+        scores = {r["metric"]: r["score"] for r in evaluate(labelled, scoring, None if truth is None else "truth").collect()}
+        table.append((*[str(v) for v in setting.values()], *[scores.get(s) for s in scoring]))
+        first = scores.get(scoring[0])
+        rank = -math.inf if first is None else -first if scoring[0] in LOWER_IS_BETTER else first
+        if best is None or rank > best[0]:
+            best = (rank, found)
+    columns = [f"`param_{n}` string" for n in names] + [f"`{s}` double" for s in scoring]
+    return best[1], vectors.sparkSession.createDataFrame(table, ", ".join(columns))

@@ -329,14 +329,14 @@ def gsea(
     """Enrichment along a class difference computed from the intensities."""
     known = {r[0] for r in metadata.filter(col(grouping).isin(group1, group2)).select(col(grouping)).distinct().collect()}
     if known != {group1, group2}:
-        raise ValueError("Group names should be in the metadata but are not")
+        raise ValueError("both groups must occur in the metadata")
     if permutation_type not in ("phenotype", "gene_set"):
         raise ValueError(f"unknown permutation type {permutation_type!r}")
     wanted = metadata.filter(col(grouping).isin(group1, group2)).select(col(sample), (col(grouping) == group1).alias("first"))
     used = df.join(wanted.select(col(sample)), sample, "left_semi")
     measure = measure_column(df, value)
     if method == "log2_ratio_of_classes" and used.filter(col(measure) < 0).limit(1).count():
-        raise ValueError("Negative values in the table. Please use a different ranking method.")
+        raise ValueError("a log ratio of classes needs values of zero or more")
     cells = cut(gene_intensities(used, mapping, value=measure, sample=sample, feature=feature, gene=gene))
     labelled = cells.join(wanted, sample)
     ranking = cut(positions(class_scores(labelled, F.col("first"), method, [])))

@@ -49,12 +49,12 @@ def load_workflow(path: str) -> list[dict]:
 
 def run_workflow(
     spark: SparkSession, steps: Sequence[Mapping], inputs: Mapping[str, object] | None = None,
-    *, folder: str | None = None, keep: Sequence[str] = (),
+    *, folder: str | None = None, keep: Sequence[str] = (), strict: bool = True,
 ) -> dict[str, object]:
     """Run the steps in order and return all named results, the newest of each name.
 
-    Arguments a step does not know are ignored, missing ones raise before it
-    runs.  Results named in ``keep`` are written below ``folder``.
+    Arguments a step does not know raise before it runs, or are ignored unless
+    ``strict``; missing ones raise.  Results named in ``keep`` are written below ``folder``.
     """
     results: dict[str, object] = dict(inputs or {})
     results["spark"] = spark
@@ -65,6 +65,10 @@ def run_workflow(
         function, outputs = STEPS[name]
         given = {**results, **(entry.get("form_inputs") or {}), **(entry.get("inputs") or {})}
         known = inspect.signature(function).parameters
+        asked = {**(entry.get("form_inputs") or {}), **(entry.get("inputs") or {})}
+        unknown = [p for p in asked if p not in known]
+        if unknown and strict:
+            raise ValueError(f"step {number} ({name}): unknown {unknown}; known are {[p for p in known if p != 'spark']}")
         missing = [p for p, q in known.items() if p not in given and q.default is inspect.Parameter.empty]
         if missing:
             raise ValueError(f"step {number} ({name}): missing {missing}")
@@ -330,19 +334,39 @@ def _clusters(found: cluster.Clusters) -> dict:
     return out
 
 
+def _only(name: str, value, *supported) -> None:
+    if value not in supported:
+        raise ValueError(f"{name} can be {' or '.join(map(repr, supported))} here, not {value!r}")
+
+
+def _searched(rows, method, grid, model_selection, scoring, n_iter, fixed) -> dict:
+    """Clusters of the best setting and, but for a single one set by hand, the table of all that were tried."""
+    _only("model_selection", model_selection, *classify.SEARCHES)
+    if model_selection == "Manual" and not any(isinstance(v, (list, tuple)) for v in grid.values()):
+        return _clusters(cluster.METHODS[method](rows, **grid, **fixed))
+    scores = [scoring] if isinstance(scoring, str) else list(scoring)
+    sampled = {"Grid search": None, "Randomized search": n_iter, "Manual": 1}[model_selection]
+    found, table = cluster.search(rows, method, grid, scores, sampled=sampled, **fixed)
+    return {**_clusters(found), "model_evaluation_df": table}
+
+
 @step("ClusteringKMeans", "cluster_labels_df")
-def _kmeans(protein_df, n_clusters=8, n_init=10, max_iter=300, tolerance=1e-4, random_state=6):
-    return _clusters(cluster.k_means(_vectors(protein_df), n_clusters, n_init=n_init, max_iter=max_iter, tolerance=tolerance, seed=random_state))
+def _kmeans(protein_df, n_clusters=8, n_init=10, max_iter=300, tolerance=1e-4, random_state=6, init="k-means||", model_selection="Manual",
+            model_selection_scoring="silhouette_score", n_iter=10):
+    rows, fixed = _vectors(protein_df), {"n_init": n_init, "max_iter": max_iter, "tolerance": tolerance, "seed": random_state, "init": init}
+    return _searched(rows, "k_means", {"n_clusters": n_clusters}, model_selection, model_selection_scoring, n_iter, fixed)
 
 
 @step("ClusteringExpectationMaximisation", "cluster_labels_df")
-def _em(protein_df, n_components=1, max_iter=100, random_state=42):
-    return _clusters(cluster.expectation_maximisation(_vectors(protein_df), n_components, max_iter=max_iter, seed=random_state))
+def _em(protein_df, n_components=1, max_iter=100, random_state=42, model_selection="Manual", model_selection_scoring="silhouette_score", n_iter=10):
+    fixed = {"max_iter": max_iter, "seed": random_state}
+    return _searched(_vectors(protein_df), "expectation_maximisation", {"n_components": n_components}, model_selection, model_selection_scoring, n_iter, fixed)
 
 
 @step("ClusteringHierarchicalAgglomerative", "cluster_labels_df")
-def _hac(protein_df, n_clusters=2, metric="euclidean"):
-    return _clusters(cluster.hierarchical(_vectors(protein_df), n_clusters, metric=metric))
+def _hac(protein_df, n_clusters=2, metric="euclidean", linkage="bisecting", model_selection="Manual", model_selection_scoring="silhouette_score", n_iter=10):
+    _only("linkage", linkage, "bisecting")  # clusters are split from the top, not joined by a linkage
+    return _searched(_vectors(protein_df), "hierarchical", {"n_clusters": n_clusters}, model_selection, model_selection_scoring, n_iter, {"metric": metric})
 
 
 def _labelled(protein_df, metadata_df, labels_column, positive_label):
@@ -358,21 +382,32 @@ def _fitted(found: classify.Fitted, codes) -> dict:
 
 @step("ClassificationRandomForest", "model", "model_evaluation_df")
 def _rf(protein_df, metadata_df, labels_column="Group", positive_label=None, test_size=0.2, n_estimators=100, criterion="gini",
-        max_depth=None, validation_strategy="K-Fold", n_splits=5, model_selection_scoring="accuracy"):
+        max_depth=None, bootstrap=True, validation_strategy="K-Fold", n_splits=5, n_repeats=10, model_selection="Grid search", grid=None, n_iter=10,
+        model_selection_scoring="accuracy", split_stratify=True, random_state=42):
     rows, codes = _labelled(protein_df, metadata_df, labels_column, positive_label)
-    return _fitted(classify.random_forest(rows, n_estimators=n_estimators, criterion=criterion, max_depth=max_depth, test_size=test_size,
-                                          validation=validation_strategy, n_splits=n_splits, score=model_selection_scoring), codes)
+    return _fitted(classify.random_forest(rows, grid, n_estimators=n_estimators, criterion=criterion, max_depth=max_depth, bootstrap=bootstrap,
+                                          test_size=test_size, validation=validation_strategy, n_splits=n_splits, n_repeats=n_repeats,
+                                          score=model_selection_scoring, stratify=split_stratify, search=model_selection, n_iter=n_iter, seed=random_state), codes)
 
 
 @step("ClassificationSVM", "model", "model_evaluation_df")
 def _svm(protein_df, metadata_df, labels_column="Group", positive_label=None, test_size=0.2, C=1.0,  # noqa: N803
-         validation_strategy="K-Fold", n_splits=5, model_selection_scoring="accuracy"):
+         kernel="linear", tolerance=1e-4, max_iter=100, validation_strategy="K-Fold", n_splits=5, n_repeats=10, model_selection="Grid search", grid=None, n_iter=10,
+         model_selection_scoring="accuracy", split_stratify=True, random_state=42):
+    _only("kernel", kernel, "linear")
     rows, codes = _labelled(protein_df, metadata_df, labels_column, positive_label)
-    return _fitted(classify.svm(rows, c=C, test_size=test_size, validation=validation_strategy, n_splits=n_splits, score=model_selection_scoring), codes)
+    return _fitted(classify.svm(rows, grid, c=C, tolerance=tolerance, max_iter=max_iter, test_size=test_size, validation=validation_strategy, n_splits=n_splits,
+                                n_repeats=n_repeats, score=model_selection_scoring, stratify=split_stratify, search=model_selection, n_iter=n_iter,
+                                seed=random_state), codes)
 
 
 @step("ModelEvaluationClassificationModel", "scores_df")
-def _scores(predictions_df, scoring):
+def _scores(scoring, model=None, test_df=None, predictions_df=None):
+    """Of a model on a test table, or of predictions that are there already."""
+    if model is not None and test_df is not None:
+        predictions_df = model.transform(test_df)
+    if predictions_df is None:
+        raise ValueError("scores need a model and its test table, or predictions")
     return {"scores_df": classify.classification_scores(predictions_df, [scoring] if isinstance(scoring, str) else scoring)}
 
 
@@ -381,12 +416,16 @@ def _embedded(protein_df, n_components):
 
 
 @step("DimensionReductionTSNE", "embedded_data")
-def _tsne(protein_df, n_components=2):
+def _tsne(protein_df, method, n_components=2):
+    """t-SNE layouts aren't offered: the step runs only if principal components are asked for."""
+    _only("method", method, "principal components")
     return _embedded(protein_df, n_components)
 
 
 @step("DimensionReductionUMAP", "embedded_data", "neighbour_df")
-def _umap(protein_df, n_components=2, n_neighbors=15, metric="euclidean"):
+def _umap(protein_df, method, n_components=2, n_neighbors=15, metric="euclidean"):
+    """UMAP layouts aren't offered: the step runs only if principal components are asked for; the neighbour graph is exact."""
+    _only("method", method, "principal components")
     return {**_embedded(protein_df, n_components), "neighbour_df": embed.neighbour_graph(_vectors(protein_df), n_neighbors, metric)}
 
 

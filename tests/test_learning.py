@@ -36,9 +36,9 @@ def test_clusters(samples):
 
 
 def test_cluster_errors(samples, long):
-    with pytest.raises(ValueError, match="must not exceed"):
+    with pytest.raises(ValueError, match="can.t make"):
         cluster.k_means(to_vectors(samples), 8)
-    with pytest.raises(ValueError, match="missing values"):
+    with pytest.raises(ValueError, match="missing"):
         cluster.k_means(to_vectors(long({"A": [1, None], "B": [1, 2]})), 2)
 
 
@@ -84,7 +84,7 @@ def two_pairs(long):
 def test_outlier_methods_refuse_missing_values(long):
     table = long({"A": [None, 1, 2], "B": [1, 2, 3]})
     for method in (outliers.by_isolation_forest, outliers.by_local_outlier_factor, outliers.by_pca):
-        with pytest.raises(ValueError, match="missing values"):
+        with pytest.raises(ValueError, match="missing"):
             method(table)
 
 
@@ -222,3 +222,67 @@ def test_neighbours_far_from_zero_are_those_of_brute_force(spark):
         d = np.sqrt(((vecs - v) ** 2).sum(axis=1)).round(10)
         want = sorted((x, j) for j, x in enumerate(d) if j != i)[:3]
         assert [(x, j) for _, x, j in sorted(got[i])] == want
+
+
+def test_several_scores_over_repeated_folds(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(3.0 * (i % 2), 1.0), rng.gauss(0.0, 1.0)], i % 2) for i in range(80)]
+    labelled = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    found = classify.random_forest(labelled, {"maxDepth": [1, 3]}, n_estimators=5, max_depth=3, validation="Repeated K-Fold", n_splits=2, n_repeats=2,
+                                   score=["matthews_corrcoef", "accuracy"])
+    table = found.evaluation.collect()
+    assert found.evaluation.columns == [
+        "param_maxDepth", "mean_test_matthews_corrcoef", "std_test_matthews_corrcoef", "mean_train_matthews_corrcoef",
+        "mean_test_accuracy", "std_test_accuracy", "mean_train_accuracy",
+    ]
+    assert len(table) == 2 and all(r["mean_test_accuracy"] > 0.7 and r["mean_train_accuracy"] >= 0.7 for r in table)
+    by_hand = classify.random_forest(labelled, {"maxDepth": [1, 3]}, n_estimators=3, max_depth=3, validation="Manual", search="Manual")
+    assert by_hand.evaluation.count() == 1
+    for wrong in ({"score": "kappa"}, {"validation": "holdout"}, {"search": "all"}):
+        with pytest.raises(ValueError):
+            classify.random_forest(labelled, n_estimators=2, max_depth=2, **wrong)
+
+
+def test_scores_over_classes_are_those_of_the_confusion_table(spark):
+    pairs = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 3 + [(2, 1)] + [(2, 2)] * 4
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "label double, prediction double")
+    got = classify.scores_of(df, ["accuracy", "precision", "recall", "f1_score", "matthews_corrcoef"])
+    assert got["accuracy"] == got["recall"] == pytest.approx(12 / 15)
+    assert got["precision"] == pytest.approx((7 * 1 + 3 * 0.5 + 5 * 1) / 15)
+    assert got["f1_score"] == pytest.approx((7 * 10 / 12 + 3 * 6 / 9 + 5 * 8 / 9) / 15)
+    assert got["matthews_corrcoef"] == pytest.approx((12 * 15 - (7 * 5 + 3 * 6 + 5 * 4)) / math.sqrt((225 - 49 - 9 - 25) * (225 - 25 - 36 - 16)))
+
+
+def test_clusterings_are_searched(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [10.0 * (i % 3) + rng.random(), rng.random()]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    truth = spark.createDataFrame([(i, i % 3) for i, _ in rows], "id long, truth int")
+    best, table = cluster.search(vectors, "k_means", {"n_clusters": [2, 3, 5]}, ["adjusted_rand_score", "silhouette_score"], truth=truth, n_init=3)
+    scores = {r["param_n_clusters"]: r["adjusted_rand_score"] for r in table.collect()}
+    assert scores["3"] == pytest.approx(1.0) and max(scores, key=scores.get) == "3"
+    assert best.labels.select("label").distinct().count() == 3
+    with pytest.raises(ValueError):
+        cluster.search(vectors, "spectral", {"n_clusters": [2]})
+
+
+def test_chance_information_of_large_labels_takes_no_large_array():
+    import time
+
+    def slow(a, b, n):
+        log = math.lgamma
+        total = 0.0
+        for k in range(max(1, a + b - n), min(a, b) + 1):
+            w = log(a + 1) + log(b + 1) + log(n - a + 1) + log(n - b + 1) - log(n + 1) - log(k + 1) - log(a - k + 1) - log(b - k + 1) - log(n - a - b + k + 1)
+            total += k / n * math.log(n * k / (a * b)) * math.exp(w)
+        return total
+
+    for a, b, n in ((5, 7, 20), (1, 1, 2), (90, 40, 100), (300, 500, 1000), (1000, 1000, 1000)):
+        assert cluster._expected(a, b, n) == pytest.approx(slow(a, b, n), abs=1e-10)
+    start = time.time()
+    assert 0 <= cluster._expected(10 ** 8, 10 ** 8, 10 ** 9) < 1e-6
+    assert time.time() - start < 2
