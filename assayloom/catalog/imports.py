@@ -12,8 +12,10 @@ from assayloom.plans.storage import scratch_path
 from assayloom.schema import FEATURE, SAMPLE, col
 from assayloom.sources import genesets, metadata, sinks, tables
 
-# The nations of the driver tables are the samples of the written files.
-NATIONS = [f"NATION_{i}" for i in range(25)]
+
+def _nations(spark, folder):
+    """Names of all nations, which become columns."""
+    return [r["n_name"] for r in v.table(spark, folder, "nation").select("n_name").distinct().orderBy("n_name").collect()]
 
 
 def _write(df: DataFrame, label: str, separator: str = "\t", ending: str = "") -> str:
@@ -52,9 +54,10 @@ def _wide(spark, folder, value: Column, prefix: str = "", suffix: str = "") -> D
     """part x nation sums, one column per nation (zero for an absent cell), with their groups."""
     nations = v.suppliers(spark, folder).select("s_suppkey", "n_name")
     cells = v.lines_with_parts(spark, folder).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-    wide = cells.groupBy("l_partkey", "p_size").pivot("n_name", NATIONS).agg(F.round(F.sum(value), 2))
+    names = _nations(spark, folder)
+    wide = cells.groupBy("l_partkey", "p_size").pivot("n_name", names).agg(F.round(F.sum(value), 2))
     return wide.select(
-        _group().alias("group"), *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"{prefix}{n}{suffix}") for n in NATIONS]
+        _group().alias("group"), *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"{prefix}{n}{suffix}") for n in names]
     )
 
 
@@ -138,11 +141,12 @@ def src6(spark, folder):
 def src7(spark, folder):
     nations = v.suppliers(spark, folder).select("s_suppkey", "n_name")
     cells = v.lines_with_parts(spark, folder).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-    wide = cells.groupBy("l_partkey", "p_name", "p_retailprice").pivot("n_name", NATIONS).agg(F.round(F.sum("l_extendedprice"), 2))
+    names = _nations(spark, folder)
+    wide = cells.groupBy("l_partkey", "p_name", "p_retailprice").pivot("n_name", names).agg(F.round(F.sum("l_extendedprice"), 2))
     shaped = wide.select(
         F.concat(F.col("p_name"), F.col("l_partkey").cast("string")).alias("Sequence"), _accession("l_partkey").alias("Leading razor protein"),
         F.lit(1).alias("Missed cleavages"), (F.col("p_retailprice") / 10000).alias("PEP"), F.lit(0).alias("Intensity"),
-        *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"LFQ intensity {n}") for n in NATIONS],
+        *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"LFQ intensity {n}") for n in names],
     )
     found = tables.read_peptides(spark, _write(shaped, "peptides"), "iBAQ")
     return found.select(
@@ -188,8 +192,9 @@ def src9(spark, folder):
 def src10(spark, folder):
     per_nation = v.suppliers(spark, folder).groupBy("n_name", "r_name").agg(F.count("*").cast("string").alias("n"))
     rows = per_nation.select("n_name", F.explode(F.create_map(F.lit("Group"), F.col("r_name"), F.lit("Suppliers"), F.col("n"))).alias("Sample", "x"))
-    turned = rows.groupBy("Sample").pivot("n_name", NATIONS).agg(F.first("x"))
-    present = [n for n, k in zip(NATIONS, turned.agg(*[F.count(F.col(n)) for n in NATIONS]).first()) if k]
+    names = _nations(spark, folder)
+    turned = rows.groupBy("Sample").pivot("n_name", names).agg(F.first("x"))
+    present = [n for n, k in zip(names, turned.agg(*[F.count(F.col(n)) for n in names]).first()) if k]
     found = metadata.read_metadata(spark, _write(turned.select("Sample", *present), "metadata", "\t", ".tsv"), "Rows (features in rows)").table
     return found.select(F.col("Sample").alias("sample"), F.col("Group").alias("grp"), F.col("Suppliers").alias("suppliers"))
 

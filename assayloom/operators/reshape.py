@@ -24,9 +24,15 @@ def long_to_wide(
     sample: str = SAMPLE,
     feature: str = FEATURE,
 ) -> DataFrame:
-    """One row per sample, one column per listed feature.  For a short list of features."""
+    """One row per sample, one column per listed feature.  For a short list of features.
+
+    A feature that a sample holds twice raises when the rows are read;
+    ``duplicate_keys`` lists such keys.
+    """
     measure = measure_column(df, value)
-    return df.groupBy(col(sample)).pivot(feature, list(features)).agg(F.first(col(measure), ignorenulls=True))
+    twice = F.raise_error(F.lit("a sample holds a feature twice: see duplicate_keys")).cast(df.schema[measure].dataType)
+    cell = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(col(measure), ignorenulls=True))
+    return df.groupBy(col(sample)).pivot(feature, list(features)).agg(cell)
 
 
 def wide_to_long(
@@ -42,9 +48,9 @@ def numbered(df: DataFrame, key: str, number: str) -> DataFrame:
     """The distinct keys with a dense number 0..n-1, stable under retries.
 
     Keys are hashed into slots; slot totals give the shift, so no task orders
-    more than one slot.
+    more than one slot. There are several slots for each task of a shuffle.
     """
-    slots = 1024
+    slots = max(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = df.select(col(key)).distinct().withColumn("__slot", F.pmod(F.xxhash64(col(key)), F.lit(slots)))
     per_slot = keys.groupBy("__slot").agg(F.count("*").alias("__size"))
     shift = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)

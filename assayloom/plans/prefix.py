@@ -23,7 +23,16 @@ from pyspark.sql.window import Window
 
 from assayloom.schema import col, quoted
 
-RANGES = 64  # a power of two
+RANGES = 64  # of a group; a power of two
+MOST_RANGES = 1 << 14  # of a whole table
+
+
+def _ranges(df: DataFrame, by: Sequence[str]) -> int:
+    """Ranges of a group, or for a whole table as many as a shuffle has tasks; a power of two."""
+    if by:
+        return RANGES
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_RANGES, max(RANGES, 1 << (tasks - 1).bit_length()))
 
 
 def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -33,14 +42,14 @@ def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "
     return left.join(named, same, how).drop(*[f"__key{i}" for i in range(len(by))])
 
 
-def _range_of(df: DataFrame) -> DataFrame:
+def _range_of(df: DataFrame, ranges: int) -> DataFrame:
     """Add ``__range``: how many of the sorted borders lie below the value (binary search)."""
-    steps, at, step = [], "0", RANGES // 2
+    steps, at, step = [], "0", ranges // 2
     while step:
         name = "__range" if step == 1 else f"__at{step}"
         steps.append(f"{at} + if(get(__borders, {at} + {step - 1}) < __order, {step}, 0) as {name}")
         at, step = name, step // 2
-    return df.selectExpr("*", *steps).drop("__borders", *[f"__at{2**i}" for i in range(1, RANGES.bit_length() - 1)])
+    return df.selectExpr("*", *steps).drop("__borders", *[f"__at{2**i}" for i in range(1, ranges.bit_length() - 1)])
 
 
 def running_totals(
@@ -70,14 +79,15 @@ def running_totals(
         .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
         .withColumn("__order", sign * col(order).cast("double"))
     )
-    cut_points = [i / RANGES for i in range(1, RANGES)]
+    ranges = _ranges(df, by)
+    cut_points = [i / ranges for i in range(1, ranges)]
     carried = F.when(F.coalesce(*[F.col(n) for n in sums]).isNotNull(), F.col("__order"))
-    borders = F.percentile_approx(carried, cut_points, 1_000).alias("__borders")
+    borders = F.percentile_approx(carried, cut_points, max(1_000, 16 * ranges)).alias("__borders")
     if by:
         marked = same_keys(cells, cells.groupBy(*keys).agg(borders), by)
     else:
         marked = cells.withColumn("__borders", cells.agg(borders).scalar())
-    marked = _range_of(marked)
+    marked = _range_of(marked, ranges)
 
     per_range = marked.groupBy(*keys, "__range").agg(*[F.sum(n).alias(f"__{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

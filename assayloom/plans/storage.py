@@ -28,9 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path for one run below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path for one run below the shared folder. ``clear`` removes what was written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all scratch paths of this process, once no table that reads them is needed; returns their number."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(configuration).delete(path, True)
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ from assayloom.schema import col
 
 def _ending(path: str, allowed: Sequence[str], what: str) -> str:
     if not path:
-        raise ValueError(f"No file given for {what}.")
+        raise ValueError(f"no path to {what}")
     for ending in allowed:
         if path.endswith(ending):
             return ending
-    raise ValueError(f"Invalid file type for {what}. Must be one of {', '.join(allowed)}")
+    raise ValueError(f"{what} are read from {' or '.join(allowed)}: {path!r}")
 
 
 def _members(parts: Column, skip: int) -> DataFrame:
@@ -25,19 +25,23 @@ def _members(parts: Column, skip: int) -> DataFrame:
 
 
 def read_gene_sets(spark: SparkSession, path: str, library: str = "") -> DataFrame:
-    """(library, term, gene) rows of a csv, txt, json or gmt file; blank members are dropped."""
-    ending = _ending(path, (".csv", ".txt", ".json", ".gmt"), "gene sets")
-    if ending == ".json":
-        text = spark.read.text(path, wholetext=True)
+    """(library, term, gene) rows of a csv, txt, json, jsonl or gmt file; blank members are dropped.
+
+    A ``.json`` file is one document and one task reads it; large libraries belong
+    into a ``.jsonl`` file with an object of one or more sets per line.
+    """
+    ending = _ending(path, (".csv", ".txt", ".json", ".jsonl", ".gmt"), "gene sets")
+    if ending in (".json", ".jsonl"):
+        text = spark.read.text(path, wholetext=ending == ".json")
         sets = text.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("term", "genes"))
         rows = sets.select("term", F.explode("genes").alias("gene")).filter(F.trim("gene") != "")
     else:
         lines = spark.read.text(path)
         if ending == ".csv":
-            # a quoted cell may hold commas: cut at commas outside quotes, then drop the quotes
+            # a cell, quoted or not, from the start or a comma on; nothing is looked at twice
+            cells = F.regexp_extract_all("value", F.lit(r'(?:^|,)(?:"(?:[^"]++|"")*+"(?=,|$)|[^,]*+)'), F.lit(0))
             parts = F.transform(
-                F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
-                lambda c: F.regexp_replace(F.regexp_replace(c, r'^"(.*)"$', "$1"), '""', '"'),
+                cells, lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^,", ""), '^"(.*)"$', "$1"), '""', '"')
             )
         else:
             parts = F.split(F.trim("value"), "\t")

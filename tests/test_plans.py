@@ -109,3 +109,15 @@ def test_storage_uses_the_folder_the_session_names(spark):
     assert folder == (named or spark.sparkContext.getCheckpointDir())
     assert storage.scratch_path(spark, "x").startswith(folder)
     assert storage.cut(spark.range(5)).count() == 5
+
+
+def test_scratch_tables_are_cleared(spark):
+    from assayloom.plans import storage
+
+    storage.clear(spark)
+    path = storage.scratch_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert storage.clear(spark) == 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

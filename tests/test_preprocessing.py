@@ -264,3 +264,11 @@ def test_rows_without_sample_stay_in_their_own_group(spark):
     assert sorted((r["Sample"] or "", r["Normalised Intensity"]) for r in shared) == [("", 0.25), ("", 0.75), ("S", 0.5), ("S", 0.5)]
     halves = normalise.by_median(table).table.collect()
     assert sorted((r["Sample"] or "", r["Normalised Intensity"]) for r in halves) == [("", 0.5), ("", 1.5), ("S", 1), ("S", 1)]
+
+
+def test_a_feature_twice_in_a_sample_has_no_wide_form(spark):
+    table = spark.createDataFrame([("S", "A", 1.0), ("S", "A", 2.0), ("T", "A", 3.0)], LONG)
+    assert reshape.duplicate_keys(table).count() == 1
+    with pytest.raises(Exception, match="twice"):
+        reshape.long_to_wide(table, ["A"]).collect()
+    assert reshape.long_to_wide(table.filter("Sample = 'T'"), ["A"]).first()["A"] == 3.0

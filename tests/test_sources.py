@@ -122,12 +122,23 @@ def test_medians_of_runs(spark):
 @pytest.mark.parametrize("name, lines", [
     ("s.csv", ["Set1,G1,G2, ,", "Set2,G1"]), ("s.txt", ["Set1\tG1\tG2\t", "Set2\tG1"]),
     ("s.json", ['{"Set1": ["G1", "G2", ""],', ' "Set2": ["G1"]}']), ("s.gmt", ["Set1\tnote\tG1\tG2", "Set2\tnote\tG1"]),
+    ("s.jsonl", ['{"Set1": ["G1", "G2"]}', '{"Set2": ["G1"]}']),
 ])
 def test_gene_sets(spark, tmp_path, name, lines):
     found = genesets.read_gene_sets(spark, _file(tmp_path, name, lines), "lib")
     assert sorted(tuple(r) for r in found.collect()) == [("lib", "Set1", "G1"), ("lib", "Set1", "G2"), ("lib", "Set2", "G1")]
 
 
+def test_quoted_and_very_long_lines_of_gene_sets(spark, tmp_path):
+    many = [f'"gene ""{i}"", of many"' for i in range(30_000)]
+    lines = ['"Set, one",G1,"G ""2""",,G3', ",".join(["Long", *many]), 'Odd,a"b,c']
+    found = genesets.read_gene_sets(spark, _file(tmp_path, "q.csv", lines), "lib")
+    assert sorted(r["gene"] for r in found.filter("term = 'Set, one'").collect()) == ['G "2"', "G1", "G3"]
+    assert found.filter("term = 'Long'").select("gene").distinct().count() == 30_000
+    assert found.filter("term = 'Long'").filter("gene = 'gene \"7\", of many'").count() == 1
+    assert sorted(r["gene"] for r in found.filter("term = 'Odd'").collect()) == ['a"b', "c"]
+
+
 def test_backgrounds_and_annotations(spark, tmp_path):
     assert values(genesets.read_background(spark, _file(tmp_path, "b.csv", ["G1,x", "G2,y", ",z"])), "gene") == ["G1", "G2"]
     assert values(genesets.read_background(spark, _file(tmp_path, "b.txt", ["G1", " ", "G2 "])), "gene") == ["G1", "G2"]
