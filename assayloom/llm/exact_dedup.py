@@ -70,7 +70,7 @@ def directory(rows: DataFrame, bucket: int = BUCKET, deepest: int = DEEPEST) ->
     at = leaves.select("leaf", "n", depths).withColumn("prefix", prefix)
     sums = at.groupBy("depth", "prefix").agg(F.sum("n").alias("total"))
     return (
-        at.join(sums, ["depth", "prefix"])
+        at.join(F.broadcast(sums), ["depth", "prefix"])  # fewer than 2 ** (deepest + 1) rows
         .filter((F.col("total") <= bucket) | (F.col("depth") == deepest))
         .groupBy("leaf").agg(F.min("depth").alias("depth"))
         .withColumn("bucket", F.expr(f"shiftleft(shiftright(leaf, {deepest} - depth), {deepest} - depth)"))
