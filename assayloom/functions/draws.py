@@ -39,16 +39,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@pandas_udf(LongType())
-def shuffled(position: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
+def shuffled_positions(position: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Where a key's permutation of 0..n-1 sends a position.
 
     A four-round Feistel network on the next even number of bits, walked until it
     lands below n: every row is computed by itself, and no list is ever shuffled.
     """
-    x = position.to_numpy().astype(np.uint64)
-    size = n.to_numpy().astype(np.uint64)
-    seed = _mix(key.to_numpy().astype(np.int64).view(np.uint64) + np.uint64(_STEP))
+    x = position.astype(np.uint64)
+    size = n.astype(np.uint64)
+    seed = _mix(key.astype(np.int64).view(np.uint64) + np.uint64(_STEP))
     half = np.maximum((np.ceil(np.log2(np.maximum(size.astype(float), 2.0))) + 1) // 2, 1).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     todo = np.ones(len(x), dtype=bool)
@@ -59,4 +58,10 @@ def shuffled(position: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
             left, right = right, left ^ (turn & mk)
         x[todo] = (left << h) | right
         todo &= x >= size
-    return pd.Series(x.astype(np.int64))
+    return x.astype(np.int64)
+
+
+@pandas_udf(LongType())
+def shuffled(position: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
+    """``shuffled_positions`` of columns."""
+    return pd.Series(shuffled_positions(position.to_numpy(), key.to_numpy(), n.to_numpy()))

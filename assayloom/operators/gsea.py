@@ -7,13 +7,16 @@ keyed bijection of positions, computed row by row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayloom.functions.draws import shuffled
+from assayloom.functions.draws import shuffled, shuffled_positions
 from assayloom.operators.reshape import numbered
 from assayloom.plans.prefix import running_totals
 from assayloom.plans.storage import cut
@@ -176,20 +179,69 @@ def set_permutation_null(sets: DataFrame, ranking: DataFrame, permutations: int,
     return enrichment_scores(hit_sums(hits, keys), keys).drop("peak")
 
 
+#: Labels that a task holds at once: samples x permutations.
+LABELS = 4_000_000
+
+
+def _shuffled_scores(keys: list[int], n: int, first: int, method: str):
+    """Scores of genes (gene, i[], x[]) under every shuffled labelling of ``n`` samples, ``first`` of them in the first class."""
+    step = max(1, LABELS // max(n, 1))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(g, np.asarray(i, dtype=np.int64), np.asarray(x, dtype=float)) for g, i, x in zip(batch["gene"], batch["i"], batch["x"])]
+            if not rows:
+                continue
+            for start in range(0, len(keys), step):
+                some = np.array(keys[start:start + step], dtype=np.int64)
+                labels = shuffled_positions(np.tile(np.arange(n), len(some)), np.repeat(some, n), np.full(n * len(some), n))
+                labels = (labels < first).reshape(len(some), n).astype(float)
+                scores = np.array([_class_scores(x, labels[:, i], method) for _, i, x in rows])
+                gene, at = np.nonzero(~np.isnan(scores))
+                names = np.array([g for g, _, _ in rows], dtype=object)
+                yield pd.DataFrame({"permutation": (start + 1 + at).astype("int32"), "gene": names[gene], "score": scores[gene, at]})
+
+    return scored
+
+
+def _class_scores(x: np.ndarray, labels: np.ndarray, method: str) -> np.ndarray:
+    """``class_scores`` of one gene for each row of labels (1: first class); nan where there is none."""
+    middle = x.mean()
+    away = x - middle  # deviations are summed around the gene's own mean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n1 = labels.sum(axis=1)
+        n2 = len(x) - n1
+        d1, d2 = (labels @ away) / n1, ((1 - labels) @ away) / n2
+        m1, m2 = d1 + middle, d2 + middle
+        if method == "diff_of_classes":
+            score = m1 - m2
+        elif method == "ratio_of_classes":
+            score = m1 / m2
+        elif method == "log2_ratio_of_classes":
+            score = np.log2(m1 / m2)
+        else:
+            v1, v2 = ((k @ (away * away) - c * d * d) / (c - 1) for k, c, d in ((labels, n1, d1), (1 - labels, n2, d2)))
+            v1, v2 = np.maximum(v1, 0.0), np.maximum(v2, 0.0)
+            spread = np.sqrt(v1) + np.sqrt(v2) if method == "signal_to_noise" else np.sqrt(v1 / n1 + v2 / n2)
+            score = np.where(spread > 0, (m1 - m2) / spread, np.nan)
+    return np.where(np.isfinite(score), score, np.nan)
+
+
 def phenotype_null(
     cells: DataFrame, sets: DataFrame, first_size, permutations: int, method: str, weighted_score: float, seed: int, *, sample: str = SAMPLE
 ) -> DataFrame:
     """(library, term, permutation, es) with the class labels shuffled among the samples."""
-    samples = numbered(cells, sample, "__i")
-    n_samples = cells.agg(F.count_distinct(col(sample)).alias("n")).scalar()
-    labels = (
-        samples.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-        .withColumn("n", n_samples)
-        .withColumn("key", F.xxhash64(F.lit(seed), "permutation"))
-        .withColumn("first", shuffled("__i", "key", "n") < first_size)
-        .select(col(sample), "permutation", "first")
+    spark = cells.sparkSession
+    samples = cut(numbered(cells, sample, "__i"))
+    n = samples.count()
+    first = spark.range(1).select(first_size).first()[0]
+    keys = [r["k"] for r in spark.range(1, permutations + 1).orderBy("id").select(F.xxhash64(F.lit(seed), F.col("id").cast("int")).alias("k")).collect()]
+    # a gene's values meet all shuffled labels in one task: cells aren't multiplied by the permutations
+    genes = cells.join(samples, sample).filter("value is not null").groupBy("gene").agg(F.collect_list(F.struct("__i", "value")).alias("v"))
+    scored = genes.select("gene", F.col("v.__i").alias("i"), F.col("v.value").alias("x")).mapInPandas(
+        _shuffled_scores(keys, n, first, method), "permutation int, gene string, score double"
     )
-    scored = class_scores(cells.join(labels, sample), F.col("first"), method, ["permutation"])
+    scored = cut(scored)
     ranked = positions(scored, ["permutation"])
     sizes = scored.groupBy("permutation").agg(F.count("*").alias("n_genes"))
     hits = (

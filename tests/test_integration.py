@@ -187,3 +187,29 @@ def test_class_gsea(spark, metadata):
         gsea.gsea(df, groups, "Group", "A", "X", pairs, sets)
     with pytest.raises(ValueError):
         gsea.gsea(df.withColumn("Intensity", -F.col("Intensity")), groups, "Group", "A", "B", pairs, sets, method="log2_ratio_of_classes")
+
+
+def test_scores_of_shuffled_labels_are_those_of_the_table(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [(f"g{g}", f"s{i:02}", float(rng.gamma(3.0) * 1e6)) for g in range(6) for i in range(11) if rng.random() > 0.1]
+    cells = spark.createDataFrame(rows, "gene string, Sample string, value double")
+    first = {f"s{i:02}": bool(rng.random() < 0.5) for i in range(11)}
+    labelled = cells.join(spark.createDataFrame(list(first.items()), "Sample string, first boolean"), "Sample")
+    for method in gsea.RANKING_METHODS:
+        want = {r["gene"]: r["score"] for r in gsea.class_scores(labelled, F.col("first"), method, []).collect()}
+        for gene in {r[0] for r in rows}:
+            x = np.array([v for g, _, v in rows if g == gene])
+            labels = np.array([[float(first[s]) for g, s, _ in rows if g == gene]])
+            got = gsea._class_scores(x, labels, method)[0]
+            assert (gene not in want and np.isnan(got)) or got == pytest.approx(want[gene], rel=1e-9)
+
+
+def test_shuffled_labels_keep_the_class_sizes(spark):
+    from assayloom.functions.draws import shuffled_positions
+
+    import numpy as np
+
+    for n in (1, 2, 7, 64, 100):
+        assert sorted(shuffled_positions(np.arange(n), np.full(n, 12345), np.full(n, n))) == list(range(n))
