@@ -161,7 +161,7 @@ def enrich_regulated(
     gene: str = GENE,
 ) -> Enrichment:
     """Over-representation of up- and downregulated features, merged per term."""
-    labelled = regulated(df, column, threshold, feature=feature)
+    labelled = cut(regulated(df, column, threshold, feature=feature))  # counted, then read once per direction
     parts = [
         over_representation(labelled.filter(F.col("direction") == d), mapping, gene_sets, background, feature=feature, gene=gene)
         for d in usable_directions(labelled, direction)

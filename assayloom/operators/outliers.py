@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.draws import shuffled, uniform
-from assayloom.operators.embed import principal_components
+from assayloom.operators.embed import principal_components, principal_components_wide
 from assayloom.operators.reshape import numbered
 from assayloom.operators.vectors import require_complete, to_vectors, with_ml_vector
 from assayloom.plans.blocks import nearest_neighbours
@@ -162,14 +162,20 @@ def outside_ellipsoid(scores: DataFrame, components: list[str], threshold: float
 
 
 def by_pca(
-    df: DataFrame, peptides: DataFrame | None = None, threshold: float = 2.0, number_of_components: int = 3, *,
+    df: DataFrame, peptides: DataFrame | None = None, threshold: float = 2.0, number_of_components: int = 3, *, wide: bool = False,
     value: str | None = None, sample: str = SAMPLE, feature: str = FEATURE,
 ) -> PcaOutliers:
-    """Drop samples far from the median in the first two or three components."""
+    """Drop samples far from the median in the first two or three components.
+
+    ``wide`` takes the form for very many features, which builds no features x features table.
+    """
     if number_of_components not in (2, 3):
         raise ValueError(f"two or three components can be used, not {number_of_components}")
     require_complete(df, value=value, sample=sample, feature=feature)
-    found = principal_components(to_vectors(df, value=value, sample=sample, feature=feature), number_of_components)
+    if wide:
+        found = principal_components_wide(df, number_of_components, value=value, sample=sample, feature=feature)
+    else:
+        found = principal_components(to_vectors(df, value=value, sample=sample, feature=feature), number_of_components)
     names = [f"component_{i + 1}" for i in range(number_of_components)]
     scores = outside_ellipsoid(cut(found.scores), names, threshold)
     split = _without(df, peptides, scores, sample)

@@ -127,6 +127,8 @@ def test_both_forms_of_principal_components_agree(spark):
     assert np.allclose(a.mean(axis=0), 0, atol=1e-9)
     ratios = [f.explained.orderBy("component").toPandas().variance_ratio.to_numpy() for f in (tall, wide)]
     assert np.allclose(*ratios)
+    flags = [{r["id"]: r["outlier"] for r in outliers.by_pca(df, threshold=1.0, number_of_components=2, wide=w).scores.collect()} for w in (False, True)]
+    assert flags[0] == flags[1] and any(flags[0].values())
 
 
 # ------------------------------------------------------------ classification
