@@ -20,6 +20,8 @@ from assayloom.llm.common import fold, saved
 LONGEST, PROFILE = 3, 400
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
+#: What marks the end of a word.
+END = 1
 #: Counts that a task holds before it passes them on.
 GRAMS_KEPT = 2_000_000
 
@@ -36,7 +38,7 @@ def gram_codes(text: str | None, table):
     """All n-grams of one to LONGEST characters, each as one number; None without a letter.
 
     ``table`` comes from ``letters()``. Text is lower-cased; whatever is not a letter separates words. Longer n-grams
-    may hold one word end, marked 0. Equal n-grams have equal numbers.
+    may hold word ends, marked by code point 1. Only equal n-grams have equal numbers.
     """
     import numpy as np
 
@@ -44,13 +46,13 @@ def gram_codes(text: str | None, table):
     letter = table[points]
     if not letter.any():
         return None
-    padded = np.zeros(len(points) + 2, dtype=np.int64)
-    padded[1:-1] = np.where(letter, points, 0)
-    ends = padded == 0
+    padded = np.full(len(points) + 2, END, dtype=np.int64)
+    padded[1:-1] = np.where(letter, points, END)
+    ends = padded == END
     a = padded[~(ends & np.concatenate([[False], ends[:-1]]))]
     two = a[:-1] << 21 | a[1:]
     three = two[:-1] << 21 | a[2:]
-    return np.concatenate([a[a > 0], two, three[a[1:-1] > 0]])
+    return np.concatenate([a[a > END], two, three[a[1:-1] > END]])
 
 
 def profile(text: str | None, table):

@@ -57,7 +57,22 @@ def op4(spark, folder):
     return warc.archive(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op5_language")
+# crc32 of the id as text: eight steps a byte
+_CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+   lambda c: list_prepend(ascii(c)::ubigint, list_value(0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint))))),
+   lambda c, o: case when xor(c, o) & 1 = 1 then xor(xor(c, o) >> 1, 3988292384::ubigint) else xor(c, o) >> 1 end), 4294967295::ubigint)"""
+
+
+@query("op5_language", rf"""
+with d as (select doc_id, lang, {_CRC} % 4 = 2 as held_out, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', chr(1), 'g') as s from documents),
+ l as (select doc_id, lang, held_out, string_split(chr(1) || trim(s, chr(1)) || chr(1), '') as l from d where regexp_matches(s, '\p{{L}}')),
+ g as (select doc_id, lang, held_out, unnest(list_concat(list_filter(l, lambda x: x <> chr(1)), list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1]),
+   list_transform(list_filter(range(1, len(l) - 1), lambda i: l[i + 1] <> chr(1)), lambda i: l[i] || l[i + 1] || l[i + 2]))) as g from l),
+ p as (select lang, g, row_number() over (partition by lang order by count(*) desc, length(g), g) - 1 as r from g where not held_out and lang is not null group by lang, g qualify r < 400),
+ q as (select doc_id, g, row_number() over (partition by doc_id order by count(*) desc, length(g), g) - 1 as r from g group by doc_id, g qualify r < 400),
+ o as (select q.doc_id, n.lang, sum(coalesce(abs(q.r - p.r), 400)) as away, count(*) as n from q cross join (select distinct lang from p) n left join p on p.lang = n.lang and p.g = q.g group by all),
+ b as (select doc_id, arg_min(lang, (away, lang)) as lang, min(away) as away, any_value(n) as n from o group by doc_id)
+select d.doc_id, held_out, coalesce(b.lang, 'und') as lang_pred, coalesce(1 - b.away::double / (400 * b.n), 0) as score from d left join b using (doc_id)""")
 def op5(spark, folder):
     documents = table(spark, folder, "documents")
     return language.predict(documents, language.train(documents))
