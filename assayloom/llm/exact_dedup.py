@@ -115,7 +115,8 @@ def mark(documents: DataFrame, index: DataFrame, key=text_key) -> DataFrame:
     )
     rows = normal.select("doc_id", "points", key(F.col("normal")).alias("key"), digest(F.col("normal")).alias("sha"))
     joined = rows.join(index.select("key", "sha", "n", "keep_id", "keep_points"), ["key", "sha"])
-    repeated = Window.partitionBy("key", "sha", "doc_id").orderBy(F.desc("points"))
+    # not by the key: else the rows of a large group would have to stay together after the join
+    repeated = Window.partitionBy("doc_id", "sha").orderBy(F.desc("points"))
     first = (F.row_number().over(repeated) == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return joined.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), first.alias("kept"), F.col("sha").alias("text_sha256")
