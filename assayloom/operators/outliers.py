@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.draws import shuffled, uniform
+from assayloom.functions.draws import shuffled_positions, uniform
 from assayloom.operators.embed import principal_components, principal_components_wide
 from assayloom.operators.reshape import numbered
-from assayloom.operators.vectors import require_complete, to_vectors, with_ml_vector
+from assayloom.operators.vectors import require_complete, to_vectors
 from assayloom.plans.blocks import nearest_neighbours
 from assayloom.plans.prefix import group_quantiles
 from assayloom.plans.storage import cut
@@ -45,56 +45,82 @@ def expected_depth(n: Column) -> Column:
     return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(far)
 
 
+# features drawn for a node; the first that varies among its rows is cut
+DRAWN = 6
+
+
 def isolation_scores(vectors: DataFrame, n_trees: int = 100, seed: int = 0) -> DataFrame:
     """(id, anomaly_score, outlier) of (id, vec) rows.
 
-    Every tree is grown on half of the rows, all trees together and one level at
-    a time: the value ranges of the nodes are one aggregation, a random feature
-    and cut follow from them, and all rows move down one step.  The score is
-    0.5 minus the isolation score; below zero is an outlier.
+    Every tree is grown on half of the rows, all trees together. A row holds the
+    numbers of its nodes, one per tree, and its vector stays with it: a round takes
+    a few values per row and tree, at features drawn for the node, finds the range
+    of each node, cuts the first that varies at random, and sends back which side
+    the row is on. Where none of the drawn ones varies, a random projection of all
+    features is cut; a node in which that doesn't vary either holds copies and ends.
+    The score is 0.5 minus the isolation score; below zero is an outlier.
     """
-    rows = cut(with_ml_vector(vectors).select("id", "features"))
-    n = rows.count()
+    spark = vectors.sparkSession
+    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    members = cut(numbered(rows, "id", "__i"))
+    n = members.count()
     size = n // 2
     if size < 1:
         raise ValueError("isolation needs at least two samples")
     depth_limit = math.ceil(math.log2(max(size, 2)))
-    members = numbered(rows, "id", "__i")
-    state = cut(
-        members.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        .withColumn("key", F.xxhash64(F.lit(seed), "tree"))
-        .withColumn("grows", shuffled("__i", "key", F.lit(n).cast("long")) < size)
-        .select("id", "tree", "grows", F.lit(1).cast("long").alias("node"))
+    keys = [r["k"] for r in spark.range(n_trees).orderBy("id").select(F.xxhash64(F.lit(seed), F.col("id").cast("int")).alias("k")).collect()]
+    mixed = F.aggregate(
+        F.transform("vec", lambda x, f: x * uniform(seed, F.lit("mix"), f)), F.lit(0.0), lambda s, x: s + x
     )
-    ended = None
-    for depth in range(depth_limit + 1):
-        here = state.join(rows, "id")
-        ranges = here.filter("grows").groupBy("tree", "node").agg(
-            F.count("*").alias("n"), Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")
-        ).select("tree", "node", "n", vector_to_array("s.min").alias("lo"), vector_to_array("s.max").alias("hi"))
-        usable = F.filter(F.sequence(F.lit(0), F.size("lo") - 1), lambda i: F.get("hi", i) > F.get("lo", i))
-        splits = ranges.withColumn("usable", usable)
-        stop = (F.col("n") <= 1) | (F.size("usable") == 0) | F.lit(depth == depth_limit)
-        pick = F.get("usable", F.floor(uniform(seed, F.lit("feature"), F.col("tree"), F.col("node")) * F.size("usable")).cast("int"))
-        splits = splits.withColumn("feature", F.when(~stop, pick))
-        low, high = F.get("lo", F.col("feature")), F.get("hi", F.col("feature"))
-        splits = splits.select(
-            "tree", "node", "n", "feature",
-            (low + uniform(seed, F.lit("cut"), F.col("tree"), F.col("node")) * (high - low)).alias("at"),
+    state = cut(rows.join(members, "id").select(
+        "id", "vec", mixed.alias("mix"), _growing(keys, n, size)("__i").alias("grows"),
+        F.array_repeat(F.lit(1).cast("long"), n_trees).alias("nodes"), F.lit(0.0).alias("depths"),
+    ))
+    while not state.filter(F.exists("nodes", lambda x: x > 0)).isEmpty():
+        drawn = [
+            F.get("vec", F.pmod(F.xxhash64(F.lit(seed), F.lit("feature"), "tree", "node", F.lit(k)), F.size("vec")).cast("int"))
+            for k in range(DRAWN)
+        ]
+        steps = state.select("id", "vec", "mix", "grows", F.posexplode("nodes").alias("tree", "node")).filter("node > 0").select(
+            "id", "tree", "node", F.get("grows", F.col("tree")).alias("grows"), *[x.alias(f"x{k}") for k, x in enumerate([*drawn, F.col("mix")])]
+        )
+        ranges = steps.filter("grows").groupBy("tree", "node").agg(
+            F.count("*").alias("n"), *[F.min(f"x{k}").alias(f"lo{k}") for k in range(DRAWN + 1)], *[F.max(f"x{k}").alias(f"hi{k}") for k in range(DRAWN + 1)],
+        )
+        depth = F.floor(F.log2(F.col("node").cast("double") + 0.5))  # nodes are numbered 1, then 2i and 2i + 1
+        place = uniform(seed, F.lit("cut"), F.col("tree"), F.col("node"))
+        chosen = F.coalesce(*[
+            F.when(F.col(f"hi{k}") > F.col(f"lo{k}"), F.struct(F.lit(k).alias("k"), (F.col(f"lo{k}") + place * (F.col(f"hi{k}") - F.col(f"lo{k}"))).alias("at")))
+            for k in range(DRAWN + 1)
+        ])
+        ends = (F.col("n") <= 1) | (depth >= depth_limit) | chosen.isNull()
+        splits = ranges.select(
+            "tree", "node", ends.alias("ends"), F.when(ends, depth + expected_depth(F.col("n"))).alias("depth"), F.when(~ends, chosen).alias("cut")
         )
-        moved = cut(
-            here.join(splits, ["tree", "node"])
-            .withColumn("x", F.get(vector_to_array("features"), F.col("feature")))
-            .select("id", "tree", "grows", "node", "n", "feature", (F.col("x") > F.col("at")).cast("long").alias("right"))
+        x = F.get(F.array(*[f"x{k}" for k in range(DRAWN + 1)]), F.col("cut.k"))
+        below = F.when(F.col("ends"), 0).otherwise(F.col("node") * 2 + (x > F.col("cut.at")).cast("long"))
+        moved = steps.join(splits, ["tree", "node"]).groupBy("id").agg(
+            F.map_from_entries(F.collect_list(F.struct("tree", below.cast("long").alias("node")))).alias("to"), F.sum("depth").alias("more")
         )
-        leaves = moved.filter("feature is null").select("id", (F.lit(float(depth)) + expected_depth(F.col("n"))).alias("depth"))
-        ended = leaves if ended is None else ended.unionByName(leaves)
-        state = moved.filter("feature is not null").select("id", "tree", "grows", (F.col("node") * 2 + F.col("right")).alias("node"))
-        if state.isEmpty():
-            break
-    norm = expected_depth(F.lit(size))
-    score = F.pow(F.lit(2.0), -F.coalesce(F.try_divide(F.avg("depth"), F.max(norm)), F.lit(1.0)))
-    return ended.groupBy("id").agg((0.5 - score).alias("anomaly_score")).withColumn("outlier", F.col("anomaly_score") < 0)
+        state = cut(state.join(moved, "id", "left").select(
+            "id", "vec", "mix", "grows",
+            F.transform("nodes", lambda x, i: F.when(x > 0, F.coalesce(F.try_element_at("to", i), F.lit(0).cast("long"))).otherwise(0)).alias("nodes"),
+            (F.col("depths") + F.coalesce("more", F.lit(0.0))).alias("depths"),
+        ))
+    share = F.coalesce(F.try_divide(F.col("depths") / n_trees, expected_depth(F.lit(size))), F.lit(1.0))
+    return state.select("id", (0.5 - F.pow(F.lit(2.0), -share)).alias("anomaly_score")).withColumn("outlier", F.col("anomaly_score") < 0)
+
+
+def _growing(keys: list[int], n: int, size: int):
+    """For a row's number, in which trees it is one of the ``size`` of ``n`` rows that the tree is grown on."""
+
+    @F.pandas_udf("array<boolean>")
+    def chosen(position: pd.Series) -> pd.Series:
+        at = position.to_numpy()
+        each = [shuffled_positions(at, np.full(len(at), k), np.full(len(at), n)) < size for k in keys]
+        return pd.Series(list(np.stack(each, axis=1)) if len(at) else [], dtype=object)
+
+    return chosen
 
 
 def by_isolation_forest(
