@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayloom.functions.tails import f_upper, t_two_sided, u_two_sided
 from assayloom.plans.prefix import running_extreme, running_totals, same_keys
@@ -239,30 +240,31 @@ def anova(
 ) -> Comparison:
     """One-way analysis of variance per feature.
 
-    Every group must have a value and no gap.  Group means are gathered per
-    feature; their number is that of the selected groups.
+    Every group must have a value and no gap. Without ``groups`` all groups of the
+    column are compared; their names stay in the table.
     """
-    groups = selected_groups(metadata, grouping, groups)
     x = col(measure_column(df, value)).cast("double")
-    joined = attach_groups(df, metadata.filter(col(grouping).isin(groups)), grouping, sample=sample)
+    if groups and not isinstance(groups, str) and len(groups) >= 2:
+        wanted = metadata.filter(col(grouping).isin(selected_groups(metadata, grouping, groups)))
+    else:
+        require_columns(metadata, grouping)
+        wanted = metadata.filter(col(grouping).isNotNull())
+    number = wanted.agg(F.count_distinct(col(grouping)).alias("k")).scalar()
+    joined = attach_groups(df, wanted, grouping, sample=sample)
     cells = joined.groupBy(col(feature), col(grouping)).agg(
         F.count(x).alias("n"), F.count_if(x.isNull()).alias("gaps"), F.avg(x).alias("mean"), F.var_pop(x).alias("var")
     )
-    per_feature = cells.groupBy(col(feature)).agg(
-        F.collect_list(F.struct("n", "mean", (F.col("n") * F.col("var")).alias("within"))).alias("parts"),
-        F.sum("n").alias("n"),
-        F.sum("gaps").alias("gaps"),
-        F.count("*").alias("k"),
-        F.min("n").alias("fewest"),
-    )
-    add = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + f(p))
-    d1, d2 = F.lit(float(len(groups) - 1)), (F.col("n") - len(groups)).cast("double")
-    usable = (F.col("gaps") == 0) & (F.col("k") == len(groups)) & (F.col("fewest") > 0) & (d2 > 0)
+    whole = Window.partitionBy(col(feature))  # a row per group
+    grand = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(whole), F.sum("n").over(whole))
+    away = F.col("mean") - F.col("grand")
+    per_feature = cells.withColumn("grand", grand).groupBy(col(feature)).agg(
+        F.sum(F.col("n") * away * away).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"),
+        F.sum("n").alias("n"), F.sum("gaps").alias("gaps"), F.count("*").alias("k"), F.min("n").alias("fewest"),
+    ).withColumn("groups", number)
+    d1, d2 = (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")
+    usable = (F.col("gaps") == 0) & (F.col("k") == F.col("groups")) & (F.col("fewest") > 0) & (d2 > 0)
     tested = (
-        per_feature.withColumn("grand", F.try_divide(add(lambda p: p["n"] * p["mean"]), F.col("n")))
-        .withColumn("between", add(lambda p: p["n"] * (p["mean"] - F.col("grand")) * (p["mean"] - F.col("grand"))))
-        .withColumn("within", add(lambda p: p["within"]))
-        .withColumn("d1", d1)
+        per_feature.withColumn("d1", d1)
         .withColumn("d2", d2)
         .withColumn(
             "f_statistic",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.identifiers import text_cell
 from assayloom.plans.prefix import group_quantiles
+from assayloom.plans.storage import cut
 from assayloom.schema import FEATURE, SAMPLE, col, measure_column, require_columns
 
 # Delimiter by file ending.
@@ -45,7 +46,7 @@ def read_metadata(spark: SparkSession, path: str, orientation: str = "Columns")
         path, sep=DELIMITERS[ending], header=True, inferSchema=False,
         ignoreLeadingWhiteSpace=ending == ".csv", ignoreTrailingWhiteSpace=False, escape='"',
     )
-    cells = raw.select(*[text_cell(col(c)).alias(c) for c in raw.columns])
+    cells = cut(raw.select(*[text_cell(col(c)).alias(c) for c in raw.columns]))  # read once, looked at three times
     if not cells.columns:
         raise ValueError("The file is empty.")
     if orientation.startswith("Rows"):
