@@ -48,17 +48,21 @@ def cht2_compare(spark, folder):
 def _bins(x: str) -> str:
     return f"""y as (select {x} x from i), b as (select min(x) a, max(x) z, (max(x) - min(x)) / 100 w from y),
  c as (select case when floor((x - a) / w) > 0 and x >= z and floor((x - a) / w) * w + a >= z then floor((x - a) / w) - 1 else floor((x - a) / w) end k from y, b)
- select cast(k as bigint) as bin, count(*) as n from c group by 1"""
+ select cast(k as bigint) as bin, round(any_value(a) + k * any_value(w), 6) as "left", round(any_value(a) + (k + 1) * any_value(w), 6) as "right", count(*) as n from c, b group by k"""
 
 
 @query("cht3_histogram", f"with {v.BY_PART}, {_bins('x')}")
 def cht3(spark, folder):
-    return charts.histogram(v.by_part(spark, folder)).select("bin", "n")
+    return _edges(charts.histogram(v.by_part(spark, folder)))
+
+
+def _edges(found):
+    return found.select("bin", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), "n")
 
 
 @query("cht3_histogram_log10", f"with {v.BY_PART}, {_bins('log10(x)')}")
 def cht3_log(spark, folder):
-    return charts.histogram(v.by_part(spark, folder), logged=True).select("bin", "n")
+    return _edges(charts.histogram(v.by_part(spark, folder), logged=True))
 
 
 @query("cht3_histograms_overlaid", f"""with {v.BY_PART}, y as (select 'before' t, x from i union all select 'after', x from i where x > 60000),
