@@ -94,11 +94,11 @@ def rank_sum_upper(n1: int, n2: int) -> np.ndarray:
 
 
 @pandas_udf(DoubleType())
-def u_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series) -> pd.Series:
-    """Two-sided p of the U statistic.
+def u_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series, kind: pd.Series) -> pd.Series:
+    """Two-sided p of the U statistic, of the ``kind`` that the first row names.
 
-    Exact without ties when the smaller group has at most 8 values, else normal
-    with tie and continuity correction.
+    ``asymptotic``: normal with tie and continuity correction. ``exact``: null with
+    ties. ``auto``: exact without ties when the smaller group has at most 8 values.
     """
     stat, a, b, ties = (s.to_numpy(dtype=float) for s in (u, n1, n2, tie_sum))
     n = a + b
@@ -107,7 +107,10 @@ def u_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series)
         sd = np.sqrt(a * b / 12.0 * ((n + 1.0) - ties / (n * (n - 1.0))))
         z = (high - a * b / 2.0 - 0.5) / sd
     p = np.clip(_erfc(z / math.sqrt(2.0)), 0.0, 1.0)
-    exact = (np.minimum(a, b) <= 8) & (ties == 0)
+    rule = kind.iloc[0] if len(kind) else "auto"
+    exact = (ties == 0) & ((np.minimum(a, b) <= 8) | (rule == "exact")) & (rule != "asymptotic")
+    if rule == "exact":
+        p[ties != 0] = np.nan
     for pair in {(int(x), int(y)) for x, y in zip(a[exact], b[exact])}:
         rows = exact & (a == pair[0]) & (b == pair[1])
         p[rows] = np.minimum(1.0, 2.0 * rank_sum_upper(*pair)[high[rows].round().astype(int)])

@@ -289,6 +289,7 @@ def mann_whitney(
     *,
     method: str = BENJAMINI_HOCHBERG,
     alpha: float = 0.05,
+    p_value: str = "auto",
     log_base: str | None = None,
     value: str | None = None,
     sample: str = SAMPLE,
@@ -296,9 +297,16 @@ def mann_whitney(
 ) -> Comparison:
     """Two-sided U test of two groups per feature.
 
+    ``p_value`` is ``exact`` (features with ties have none), ``asymptotic`` (normal,
+    corrected for ties and continuity), or ``auto``: exact without ties where a
+    group has at most eight values, as is usual, else asymptotic. The exact form
+    counts the ways to each rank sum, n1 * n2 numbers for each pair of sizes.
+
     Ranks come from running totals over the distinct values of a feature, so
     ties share their average rank without ordering all rows of a feature in one task.
     """
+    if p_value not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown kind of p-value {p_value!r}")
     group1, group2 = two_groups(metadata, grouping, group1, group2)
     measure = measure_column(df, value)
     wanted = metadata.filter(col(grouping).isin(group1, group2))
@@ -316,7 +324,7 @@ def mann_whitney(
     tested = (
         sums.join(ranked, feature, "left")
         .withColumn("u_statistic", F.when(usable, F.col("rank_sum") - n1 * (n1 + 1) / 2))
-        .withColumn("p_value", F.when(usable, u_two_sided("u_statistic", "n1", "n2", "tie_sum")))
+        .withColumn("p_value", F.when(usable, u_two_sided("u_statistic", "n1", "n2", "tie_sum", F.lit(p_value))))
         .withColumn("log2_fold_change", log2_fold_change(F.col("plain1"), F.col("plain2")))
     )
     return _finish(tested, ["u_statistic", "n1", "n2", "tie_sum", "log2_fold_change"], method, alpha, feature)

@@ -210,3 +210,20 @@ def test_a_beta_function_that_does_not_settle_raises(monkeypatch):
     monkeypatch.setattr(tails, "range", lambda a, b: builtins.range(a, 3), raising=False)
     with pytest.raises(ArithmeticError):
         tails.incomplete_beta(500.0, 700.0, 0.4)
+
+
+def test_kinds_of_rank_p_values(spark):
+    import itertools
+
+    x, y = [1.0, 4.0, 6.0, 9.0], [2.0, 7.0, 11.0, 12.0, 13.0]
+    rows = [(f"S{i}", "P", v) for i, v in enumerate(x + y)]
+    table = spark.createDataFrame(rows, "Sample string, `Protein ID` string, Intensity double")
+    groups = spark.createDataFrame([(f"S{i}", "a" if i < 4 else "b") for i in range(9)], "Sample string, Group string")
+    p = {k: stats.mann_whitney(table, groups, "Group", "a", "b", p_value=k).results.first()["p_value"] for k in ("auto", "exact", "asymptotic")}
+    u = sum(a > b for a in x for b in y)
+    high = max(u, 20 - u)
+    sums = [sum(c) - 10 for c in itertools.combinations(range(1, 10), 4)]
+    assert p["exact"] == p["auto"] == pytest.approx(min(1, 2 * sum(s >= high for s in sums) / len(sums)))
+    assert p["asymptotic"] != p["exact"] and 0 < p["asymptotic"] <= 1
+    with pytest.raises(ValueError):
+        stats.mann_whitney(table, groups, "Group", p_value="other")
