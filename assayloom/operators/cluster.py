@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from assayloom.operators.vectors import with_ml_vector
-from assayloom.plans.blocks import distance_matrix, every_block_pair, pack_vectors, stack
+from assayloom.plans.blocks import BLOCKS_HELD, distance_matrix, every_block_pair, pack_vectors, stack
 from assayloom.plans.storage import cut
 from assayloom.schema import col
 
@@ -184,14 +184,29 @@ def binary_indices(pairs: DataFrame, truth: str = "truth", predicted: str = "lab
 
 
 def _label_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Summed distances of every row of one block to each label of another."""
+    """Sums of distances from each row to the rows of each label, added up within the task."""
+    held: dict[int, tuple] = {}
+
+    def flush() -> pd.DataFrame:
+        out = [
+            pd.DataFrame({"id": ids, "label": labels, "other_label": label, "total": total})
+            for ids, labels, sums in held.values() for label, total in sums.items()
+        ]
+        held.clear()
+        return pd.concat(out)
+
     for batch in batches:
         for row in batch.itertuples(index=False):
             dist = distance_matrix(stack(row.q_vecs), stack(row.t_vecs), "euclidean")
             ids, theirs = np.asarray(row.q_ids), np.asarray(row.t_label)
             dist[ids[:, None] == np.asarray(row.t_ids)[None, :]] = 0.0
+            sums = held.setdefault(row.block, (ids, np.asarray(row.q_label), {}))[2]
             for label in np.unique(theirs):
-                yield pd.DataFrame({"id": ids, "label": np.asarray(row.q_label), "other_label": label, "total": dist[:, theirs == label].sum(axis=1)})
+                sums[label] = sums.get(label, 0.0) + dist[:, theirs == label].sum(axis=1)
+            if len(held) > BLOCKS_HELD:
+                yield flush()
+    if held:
+        yield flush()
 
 
 def silhouette(labelled: DataFrame) -> DataFrame:
@@ -204,7 +219,7 @@ def silhouette(labelled: DataFrame) -> DataFrame:
     id_type, label_type = (labelled.schema[c].dataType.simpleString() for c in ("id", "label"))
     sums = (
         every_block_pair(pack_vectors(labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "label"))
-        .select("q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label")
+        .select("block", "q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label")
         .mapInPandas(_label_sums, f"id {id_type}, label {label_type}, other_label {label_type}, total double")
         .groupBy("id", "label", "other_label").agg(F.sum("total").alias("total"))
         .join(sizes.withColumnRenamed("label", "other_label"), "other_label")

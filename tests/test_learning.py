@@ -288,3 +288,9 @@ def test_chance_information_of_large_labels_takes_no_large_array():
     start = time.time()
     assert 0 <= cluster._expected(10 ** 8, 10 ** 8, 10 ** 9) < 1e-6
     assert time.time() - start < 2
+
+
+def test_silhouettes_of_text_labels(spark):
+    rows = [(i, [float(i % 2) * 5 + i * 0.01, 1.0], "ab"[i % 2]) for i in range(20)]
+    found = cluster.silhouette(spark.createDataFrame(rows, "id long, vec array<double>, label string")).first()[0]
+    assert 0.9 < found < 1
