@@ -21,7 +21,7 @@ from assayloom.llm.common import fold, fresh, labelled_sample, newton
 #: Bytes of a chunk, bytes of a dictionary and compression level.
 CHUNK, DICTIONARY, LEVEL = 512, 112 * 1024, 3
 #: Labelled documents of each class that are used at most, and characters of the longest of them.
-PER_CLASS, LONGEST = 3000, 20_000
+PER_CLASS, LONGEST = 3000, 10_000
 FOLDS, THRESHOLD = 5, 0.3
 
 

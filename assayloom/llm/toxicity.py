@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,11 +25,11 @@ from assayloom.llm.common import fold, fresh, labelled_sample, newton
 #: Hash buckets of n-grams, length of a vector, shortest and longest n-gram, words of a window.
 BUCKETS, WIDTH, SHORTEST, LONGEST_GRAM, WINDOW = 1 << 17, 16, 3, 5, 2
 #: Labelled documents of each class that are used at most, and characters of the longest of them.
-PER_CLASS, LONGEST = 2000, 10_000
+PER_CLASS, LONGEST = 2000, 6_000
 ROUNDS, RATE, EVERY, FEW, INIT, SEED = 20, 0.1, 4.0, 3.0, 0.01, 7
 FOLDS, THRESHOLD = 5, 0.5
 #: Words that a worker remembers, and characters of the longest of those; longer ones are cut into parts.
-REMEMBERED, PART = 400_000, 40
+REMEMBERED, PART = 300_000, 40
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,23 +65,48 @@ class _Sample:
         import numpy as np
 
         index: dict[str, int] = {}
-        tokens = [[index.setdefault(w, len(index)) for w in words(t)] for t in texts]
-        kept = [i for i, t in enumerate(tokens) if t]
-        buckets = [grams(w) for w in index]
+        flat, sizes, tokens, lengths, kept = array("i"), array("i"), array("i"), [], []
+        for i, text in enumerate(texts):
+            found = words(text)
+            for w in found:
+                if w not in index:
+                    index[w] = len(index)
+                    buckets = grams(w)
+                    sizes.append(len(buckets))
+                    flat.extend(buckets)
+            if found:
+                tokens.extend(map(index.__getitem__, found))
+                lengths.append(len(found))
+                kept.append(i)
         self.kept = np.array(kept, dtype=np.int64)
-        self.sizes = np.array([len(b) for b in buckets], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if buckets else np.zeros(0, dtype=np.int64)
-        self.flat = np.fromiter((b for bs in buckets for b in bs), dtype=np.int64, count=int(self.sizes.sum()))
-        lengths = np.array([len(tokens[i]) for i in kept], dtype=np.int64)
-        self.tokens = np.fromiter((w for i in kept for w in tokens[i]), dtype=np.int64, count=int(lengths.sum()))
-        self.begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if kept else np.zeros(0, dtype=np.int64)
-        # a window starts at every word; those at the end of a text are shorter
-        ends = np.repeat(self.begin + lengths, lengths)
-        at = np.arange(len(self.tokens))
-        self.stop = np.minimum(at + WINDOW, ends)
-        # the first window that holds a word
-        self.earliest = np.maximum(at - WINDOW + 1, np.repeat(self.begin, lengths))
+        self.flat, self.sizes, self.tokens = (np.array(a, dtype=np.int32) for a in (flat, sizes, tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.lengths = np.array(lengths, dtype=np.int64)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        # a window starts at every word; at the end of a text it is shorter
+        left = np.repeat(self.begin + self.lengths, self.lengths) - np.arange(len(self.tokens))
+        self.reach = np.minimum(left, WINDOW).astype(np.int8)
+
+    def windows(self, values):
+        """Mean of the values of the words of each window."""
+        import numpy as np
+
+        total = values.copy()
+        for k in range(1, WINDOW):
+            at = np.flatnonzero(self.reach > k)
+            total[at] += values[at + k]
+        return total / self.reach
+
+    def words_of(self, windows):
+        """What each word gets if each window deals its value out evenly: the transpose of ``windows``."""
+        import numpy as np
 
+        each = windows / self.reach
+        total = each.copy()
+        for k in range(1, WINDOW):
+            at = np.flatnonzero(self.reach > k)
+            total[at + k] += each[at]
+        return total
 
     def documents(self, place, buckets: int, y):
         """For each class in how many texts each bucket occurs; ``place`` numbers the buckets of ``flat``."""
@@ -152,11 +178,11 @@ def _fit(texts: list[str], labels: list[int]) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(np.zeros_like(vectors).tobytes(), (0.0,) * WIDTH, -20.0)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
-    lengths = np.diff(np.append(s.begin, len(s.tokens)))
     # every window of a clean text is clean; of a toxic one only the worst is known to be toxic
-    clean = np.flatnonzero(np.repeat(y == 0, lengths))
-    part = np.repeat(share / lengths, lengths)[clean]
+    clean = np.flatnonzero(np.repeat(y == 0, s.lengths))
+    part = np.repeat((share / s.lengths).astype(np.float32), s.lengths)[clean]
     used, place = np.unique(s.flat, return_inverse=True)
+    place = place.astype(np.int32)
     # vectors start along the softmax by how much more often toxic texts hold the n-gram
     held = s.documents(place, len(used), y)
     odds = [np.log((h + 1) / (n + 2)) for h, n in zip(held, ((y == 0).sum(), (y == 1).sum()))]
@@ -169,19 +195,14 @@ def _fit(texts: list[str], labels: list[int]) -> Model:
     for _ in range(ROUNDS):
         direction = weights[1] - weights[0]
         per_word = np.add.reduceat((vectors[used] @ direction)[place], s.starts) / s.sizes
-        running = np.concatenate([[0.0], np.cumsum(per_word[s.tokens])])
-        here = np.arange(len(s.tokens))
-        windows = (running[s.stop] - running[here]) / (s.stop - here)
+        windows = s.windows(per_word.astype(np.float32)[s.tokens])
         top = _highest(windows, s.begin)
         p = 1 / (1 + np.exp(-np.clip(windows[top] + bias[1] - bias[0], -30, 30)))
-        error = np.zeros(len(here))
+        error = np.zeros(len(windows), dtype=np.float32)
         error[top] = share * (p - y)
         error[clean] += EVERY * part / (1 + np.exp(-np.clip(windows[clean] + bias[1] - bias[0], -30, 30)))
         # gradient by the logit of class 1 over class 0, from the windows to words, n-grams and vectors
-        each = error / (s.stop - here)
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        by_token = total[1:] - total[s.earliest]
-        by_word = np.bincount(s.tokens, by_token, len(s.sizes)) / s.sizes
+        by_word = np.bincount(s.tokens, s.words_of(error), len(s.sizes)) / s.sizes
         by_gram = np.bincount(place, np.repeat(by_word, s.sizes), len(used)).astype(np.float32)
         slopes = [by_gram[:, None] * direction[None, :], np.zeros_like(weights), np.array([-error.sum(), error.sum()], dtype=np.float32)]
         slopes[1][1] = by_gram @ vectors[used]
