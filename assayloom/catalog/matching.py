@@ -14,6 +14,8 @@ KEYS = ["protein_id", "node_id"]
 
 def _sequences(spark, folder):
     docs = v.table(spark, folder, "documents").select("doc_id", "text").filter("text <> ''")
+    # every letter becomes a k-mer: texts are dealt out to all tasks of a shuffle, however few files they come in
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return docs.select(F.col("doc_id").cast("string").alias("protein_id"), F.col("text").alias("seq"), F.length("text").alias("seq_len"))
 
 
