@@ -29,7 +29,7 @@ CAPACITY, SEPARATOR = 4096, 1
 #: Pieces of one length that one window ranks.
 SLOT_ROWS = 500
 #: Parts of texts that a task remembers, and characters of the longest of those.
-REMEMBERED, LONG = 300_000, 64
+REMEMBERED, LONG = 400_000, 64
 
 
 def byte_letters() -> list[str]:
