@@ -46,7 +46,8 @@ class Tokens:
     For byte-level tokenizers that normalise, split by a pattern and merge each
     part by itself. Parts that are new in a batch are given to the tokenizer's
     model, short ones are remembered. A text with characters from ``PLAIN`` on goes
-    through the tokenizer as a whole, so no table of letters but its own decides.
+    through the tokenizer as a whole, so no table of letters but its own decides;
+    so does a text that holds an added token, which is cut out before the pattern.
     """
 
     PLAIN = "\u0530"
@@ -62,9 +63,11 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
-            pattern = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            model = json.load(file)
+        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # one that is looked for in the normalised text could be in any text
+        self.added = ["" if t["normalized"] else t["content"] for t in model.get("added_tokens") or []]
         self.pattern = regex.compile(pattern)
         # the same for ASCII alone, in lower case
         self.ascii = re.compile(pattern.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"), re.ASCII)
@@ -72,6 +75,8 @@ class Tokens:
         self.known: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str] | None:
+        if any(t in text for t in self.added):
+            return None
         if text.isascii():
             return self.ascii.findall(text.lower())
         if max(text) < self.PLAIN:

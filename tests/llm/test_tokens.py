@@ -107,6 +107,18 @@ def test_word_ids_are_those_of_the_library(tokens, text):
     assert b"".join(i.to_bytes(4, "little") for i in want) == tokens.batch([text])[0]
 
 
+@pytest.mark.parametrize("text", [
+    "a <|endoftext|> b", "<|startoftext|>", "É<|endoftext|><|startoftext|>ünï Σ", "中<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "it's<|endoftext|>'s " * 3,
+])
+def test_added_tokens_in_a_text_are_found_as_the_library_does(tokens, text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+    plain, got = tokens.batch(["plain text", text])
+    assert got == b"".join(i.to_bytes(4, "little") for i in want)
+    assert plain == tokens.batch(["plain text"])[0]
+
+
 def test_byte_letters_are_those_of_the_library():
     from tokenizers.pre_tokenizers import ByteLevel
 
