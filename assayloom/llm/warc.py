@@ -25,8 +25,8 @@ from assayloom.llm.common import saved
 from assayloom.plans.storage import scratch_path
 
 VERSION = b"WARC/1.1"
-#: Bytes read from a file at once, and the longest header that is accepted.
-READ, LONGEST_HEADER = 1 << 18, 1 << 16
+#: Bytes read from a file at once.
+READ = 1 << 18
 #: Identical payloads shorter than this are written in full.
 LEAST = 0
 #: Bytes of payload after which a task starts a new archive.
@@ -147,7 +147,7 @@ def _members(stream) -> Iterator[bytes]:
 
 def _headers(data: bytes) -> tuple[dict[str, str], int]:
     """Fields by lower-case name, and where the block starts."""
-    end = data.find(b"\r\n\r\n", 0, LONGEST_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Broken("a header without end")
     lines = data[:end].decode("utf-8").split("\r\n")

@@ -116,6 +116,16 @@ def test_archives_round_trip(spark, least):
     assert all(r["payload"] is None for r in got if r["record_type"] == "revisit")
 
 
+@pytest.mark.parametrize("url", ["http://a.example/?" + "q" * 200_000, "http://a.example/" + "中" * 200_000])
+def test_urls_may_be_long(spark, url):
+    from urllib.parse import unquote
+
+    rows = [(1, url, "<p>one</p>"), (2, "http://b.example", "<p>two</p>")]
+    got = {r["page_id"]: r for r in warc.archive(_pages(spark, rows)).collect()}
+    assert unquote(got[1]["url"]) == url and bytes(got[1]["payload"]) == b"<p>one</p>"
+    assert got[2]["url"] == "http://b.example" and bytes(got[2]["payload"]) == b"<p>two</p>"
+
+
 def test_no_pages(spark):
     assert warc.archive(_pages(spark, [])).count() == 0
 
