@@ -150,10 +150,25 @@ def _survivors(left, right, pa, pb, least):
     return pa, pb
 
 
+def _packed(signature) -> bytes:
+    """16 bits of each MinHash, then the other 16 of those that make bands."""
+    import numpy as np
+
+    rest = signature[:BANDS * ROWS] >> np.uint32(16)
+    return np.concatenate([signature.astype("<u2"), rest.astype("<u2")]).tobytes()
+
+
 def _matrix(signatures):
     import numpy as np
 
-    return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(-1, HASHES + BANDS * ROWS)
+
+
+def _shared(left, right, pa, pb):
+    """Which bands the pairs (pa, pb) share, by all bits of their hashes as the buckets do."""
+    equal = left[pa, :BANDS * ROWS] == right[pb, :BANDS * ROWS]
+    equal &= left[pa, HASHES:] == right[pb, HASHES:]
+    return equal.reshape(-1, BANDS, ROWS).all(axis=2)
 
 
 def _pruned(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -173,7 +188,7 @@ def _pruned(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> Dat
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, hashes, signature): shingle sets, and 16 bits of each MinHash, of the documents in ``ids`` (id)."""
+    """(id, hashes, signature): shingle sets and packed MinHashes of the documents in ``ids`` (id)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _series(HASHES)
@@ -182,7 +197,7 @@ def sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             sets = [shingles.of(t) for t in batch["text"]]
             yield pd.DataFrame({
                 "id": batch["id"], "hashes": [h.astype("int64") for h in sets],
-                "signature": [_signature(h, a, b).astype("<u2").tobytes() for h in sets],
+                "signature": [_packed(_signature(h, a, b)) for h in sets],
             })
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -226,7 +241,7 @@ def _tiles(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> Da
                 pa_, pb = _survivors(sa, sb, *np.nonzero(across), least)
                 if not len(pa_):
                     continue
-                shared = (sa[pa_, :BANDS * ROWS] == sb[pb, :BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                shared = _shared(sa, sb, pa_, pb)
                 here = shared[:, band] & (shared.argmax(axis=1) == band)
                 pa_, pb = pa_[here], pb[here]
                 rows = {int(ia[x]): (int(ca[x]), ib[pb[pa_ == x]].tolist()) for x in np.unique(pa_)}

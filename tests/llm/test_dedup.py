@@ -152,6 +152,27 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, seed, size, til
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == _near(rows, size)
 
 
+@pytest.mark.parametrize("word", ["other72002", "other79974"])
+def test_bands_that_agree_in_half_of_their_bits_hide_no_link(spark, word):
+    import numpy as np
+
+    words = [f"base{i}" for i in range(8)]
+    a, b = near_dedup._series(near_dedup.BANDS * near_dedup.ROWS)
+    hashes = np.array([near_dedup.Shingles(1).of(w)[0] for w in [*words, word]])
+    every = hashes[:, None] * a + b
+    x, y = (near_dedup._signature(h, a, b).reshape(near_dedup.BANDS, -1) for h in (hashes[:-1], hashes))
+    shared = (x == y).all(axis=1)
+    half = ((x & 0xFFFF) == (y & 0xFFFF)).all(axis=1)
+    assert half[0] and not shared[0]
+    # each bucket that both are in has a smaller id that is similar to neither
+    least = every[:-1].argmin(axis=0).reshape(near_dedup.BANDS, -1)
+    rows = [(int(k), " ".join(words[i] for i in sorted(set(least[k])))) for k in np.nonzero(shared)[0]]
+    rows += [(100, " ".join(words)), (101, " ".join([*words, word]))]
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA), size=1).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == _near(rows, 1)
+    assert {r["doc_id"]: r["component_id"] for r in got}[101] == 100
+
+
 def test_near_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [
