@@ -33,8 +33,8 @@ SHINGLE, PERCENT = 5, 80
 #: Bands and hashes of a band; hashes that are compared at most, of them in a batch, and the chance to drop a pair of the threshold at a batch.
 BANDS, ROWS = 32, 4
 HASHES, BATCH, MISS = 512, 32, 1e-7
-#: Members of a tile. A sure bound on ids that may be broadcast: 8 bytes each.
-TILE, BROADCAST_IDS = 256, 1_000_000
+#: Members of a tile, and tiles of a span: pairs of spans are dealt out to tasks. A sure bound on ids that may be broadcast: 8 bytes each.
+TILE, SPAN, BROADCAST_IDS = 256, 16, 1_000_000
 #: Words whose hash a task remembers.
 REMEMBERED = 200_000
 
@@ -213,6 +213,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * either).select("a", "b")
 
 
+def _meetings(packed: DataFrame) -> DataFrame:
+    """(key, band, ta, tb, left, right): each pair of tiles of a bucket once, joined by pairs of spans.
+
+    ``packed`` are (key, band, n, tile, members). A tile is repeated for each span it
+    meets, so the pairs of a bucket of any size aren't the work of one task.
+    """
+    span = F.expr(f"cast(tile div {SPAN} as int)")
+    last = F.expr(f"cast((ceil(n / {TILE}) - 1) div {SPAN} as int)")
+    left = packed.select("key", "band", F.col("tile").alias("ta"), F.col("members").alias("left"), span.alias("sa"), F.explode(F.sequence(span, last)).alias("sb"))
+    right = packed.select("key", F.col("tile").alias("tb"), F.col("members").alias("right"), span.alias("sb"), F.explode(F.sequence(F.lit(0), span)).alias("sa"))
+    return left.join(right, ["key", "sa", "sb"]).filter("ta <= tb")
+
+
 def _tiles(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Rows (key, ta, tb, id, component, partners): per pair of tiles, who must be verified with whom.
 
@@ -257,10 +270,8 @@ def _tiles(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> Da
     tiles = F.ceil(F.col("n") / TILE)
     dealt = members.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).join(sets.select("id", "signature"), "id")
     # a tile has about TILE members, whatever the size of its bucket
-    packed = dealt.groupBy("key", "band", "tile").agg(F.collect_list(F.struct("id", "component", "signature")).alias("members"))
-    left = packed.select("key", "band", F.col("tile").alias("ta"), F.col("members").alias("left"))
-    right = packed.select("key", F.col("tile").alias("tb"), F.col("members").alias("right"))
-    return left.join(right, "key").filter("ta <= tb").mapInArrow(
+    packed = dealt.groupBy("key", "band", "n", "tile").agg(F.collect_list(F.struct("id", "component", "signature")).alias("members"))
+    return _meetings(packed).select("key", "band", "ta", "tb", "left", "right").mapInArrow(
         compared, "key long, ta int, tb int, id long, component long, partners array<long>"
     )
 

@@ -173,6 +173,29 @@ def test_bands_that_agree_in_half_of_their_bits_hide_no_link(spark, word):
     assert {r["doc_id"]: r["component_id"] for r in got}[101] == 100
 
 
+def test_pairs_of_tiles_of_a_bucket_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 2)
+    monkeypatch.setattr(near_dedup, "SPAN", 3)
+    sizes = {1: 1, 2: 5, 3: 40}  # members of a bucket
+    rows = [(k, 0, n, t, [k * 100 + t]) for k, n in sizes.items() for t in range(-(-n // 2))]
+    packed = spark.createDataFrame(rows, "key long, band int, n long, tile int, members array<long>")
+    met = near_dedup._meetings(packed).collect()
+    want = {(k, a, b) for k, n in sizes.items() for a in range(-(-n // 2)) for b in range(a, -(-n // 2))}
+    assert len(met) == len(want) and {(r["key"], r["ta"], r["tb"]) for r in met} == want
+    assert all(list(r["left"]) == [r["key"] * 100 + r["ta"]] and list(r["right"]) == [r["key"] * 100 + r["tb"]] for r in met)
+    unit = collections.Counter((r["key"], r["sa"], r["sb"]) for r in met)
+    assert max(unit.values()) <= 9 and sum(k == 3 for k, _, _ in unit) == 28
+
+
+@pytest.mark.parametrize("span", [1, 2])
+def test_spans_of_tiles_lose_no_link(spark, monkeypatch, span):
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "SPAN", span)
+    rows = _corpus(3)
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(4), size=4).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == _near(rows, 4)
+
+
 def test_near_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [
