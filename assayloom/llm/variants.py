@@ -17,7 +17,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +44,13 @@ def word_counts(documents: DataFrame, shortest: int = 7, damage: int | None = 31
     runs = re.compile(f"{RUN}{{{shortest},}}")
 
     def rows(held):
-        return pd.DataFrame({"word": list(held), "n": list(held.values())}).astype({"n": "int64"})
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter()
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"]):
-                if text is None:
-                    continue
+            for key, value in zip(batch.column("id").to_pylist(), batch.column("text")):
+                text = value.as_py() or ""
                 # lower() of bytes leaves other letters than A-Z alone
                 found = runs.findall(text.encode().lower().decode())
                 if damage is None:
@@ -72,7 +70,7 @@ def word_counts(documents: DataFrame, shortest: int = 7, damage: int | None = 31
         yield rows(held)
 
     texts = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text"))
-    return texts.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _letters(words, length):
@@ -85,17 +83,18 @@ def _letters(words, length):
 def _profiled(words: DataFrame) -> DataFrame:
     """The words with ``profile``: how many letters each class has. It tells the length."""
 
-    def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            lengths = batch["word"].str.len().to_numpy(dtype=np.int64)
-            row = np.repeat(np.arange(len(batch)), lengths)
-            classes = np.frombuffer("".join(batch["word"]).encode("utf-32-le"), dtype="<u4") % CLASSES
-            counts = np.bincount(row * CLASSES + classes, minlength=len(batch) * CLASSES).reshape(-1, CLASSES)
-            yield batch.assign(profile=list(counts.astype(np.int32)))
-
-    return words.mapInPandas(profiled, "word string, n long, profile array<int>")
+            names = batch.column("word").to_pylist()
+            row = np.repeat(np.arange(len(names)), [len(w) for w in names])
+            classes = np.frombuffer("".join(names).encode("utf-32-le"), dtype="<u4") % CLASSES
+            counts = np.bincount(row * CLASSES + classes, minlength=len(names) * CLASSES).astype(np.int32)
+            profiles = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * CLASSES), pa.array(counts))
+            yield batch.append_column("profile", profiles)
+
+    return words.mapInArrow(profiled, "word string, n long, profile array<int>")
 
 
 def _counts(letters):
