@@ -27,6 +27,8 @@ from assayloom.plans.storage import scratch_path
 VERSION = b"WARC/1.1"
 #: Bytes read from a file at once.
 READ = 1 << 18
+#: Tasks that read archives, at most; beyond that a task reads several, one after the other.
+READERS = 20_000
 #: Identical payloads shorter than this are written in full.
 LEAST = 0
 #: Bytes of payload after which a task starts a new archive.
@@ -206,8 +208,9 @@ def read(archives: DataFrame) -> DataFrame:
         return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    # archives have much the same size; each goes to a task of its own
-    files = archives.select("path").repartition(F.col("path"))
+    # archives have much the same size; up to a bound on tasks each has one of its own
+    tasks = max(1, min(archives.count(), READERS))
+    files = archives.select("path").repartitionByRange(tasks, "path")
     return files.mapInPandas(records, schema)
 
 
