@@ -21,20 +21,35 @@ from assayloom.llm.common import saved
 #: Queries and candidates of a block, and bins of a histogram.
 QUERY_BLOCK, BLOCK, BINS = 512, 2048, 1024
 SCALE = 256
+#: Vectors of whole numbers take part below this squared length: then no score or sum on the way to it passes 64 bits.
+LARGEST = float(1 << 60)
 
 
 def whole_vectors(df: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(id, dim, v): components x as floor(scale * x).
 
     Rows without id, and vectors that are null, empty, or hold null or non-finite components, are left out.
+    So are finite ones of a squared length of ``LARGEST`` or more, whose scores may not fit 64 bits:
+    ``too_large`` names them.
     """
-    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound, length = _sound(df, id_column, vector, scale)
     whole = F.transform(F.col("vector"), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return (
-        df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"))
-        .filter(F.col("id").isNotNull() & (F.size("vector") > 0) & sound)
-        .select("id", F.size("vector").alias("dim"), whole.alias("v"))
-    )
+    return sound.filter(length < LARGEST).select("id", F.size("vector").alias("dim"), whole.alias("v"))
+
+
+def too_large(df: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
+    """(id) of the finite vectors that ``whole_vectors`` leaves out for their length."""
+    sound, length = _sound(df, id_column, vector, scale)
+    return sound.filter(length >= LARGEST).select("id")
+
+
+def _sound(df: DataFrame, id_column: str, vector: str, scale: int):
+    """Rows (id, vector) that are whole, and their squared length once they are whole numbers, as a double."""
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"))
+    # a larger number is as far off as this one, and can be cut to a whole number and multiplied
+    near = F.transform("vector", lambda x: F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), x.cast("double") * scale))).cast("double"))
+    return rows.filter(F.col("id").isNotNull() & (F.size("vector") > 0) & sound), F.aggregate(near, F.lit(0.0), lambda s, x: s + x * x)
 
 
 _BLOCK = "dim int, ids binary, data binary"
@@ -74,15 +89,14 @@ def _matrix(data: bytes, dim: int):
 
 
 def _scores(queries, candidates):
-    """Inner products as 64-bit integers; too large components raise."""
+    """Inner products as 64-bit integers. No sum, nor a part of it, is larger than the product of the two lengths."""
     import numpy as np
 
-    bound = float(np.abs(queries).max()) * float(np.abs(candidates).max()) * queries.shape[1]
-    if bound < 2 ** 53:  # doubles hold these sums exactly
-        return (queries.astype(np.float64) @ candidates.T.astype(np.float64)).astype(np.int64)
-    if bound < 2 ** 63:
-        return queries @ candidates.T
-    raise OverflowError("a score may not fit 64 bits")
+    q, c = queries.astype(np.float64), candidates.astype(np.float64)
+    bound = np.sqrt((q * q).sum(axis=1).max() * (c * c).sum(axis=1).max())
+    if bound < 2 ** 52:  # doubles hold these sums exactly
+        return (q @ c.T).astype(np.int64)
+    return queries @ candidates.T
 
 
 def _pairs(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -146,6 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ``vectors`` and ``queries`` come from ``whole_vectors``. Rows that share the
     query's id are its own; a repeated query is answered each time; vectors of
     another dimension don't take part. Fewer than k candidates are all returned.
+    Scores are exact: ``whole_vectors`` bounds the lengths.
     """
     candidates = saved(_pack(vectors, BLOCK), "candidates")
     asked = saved(queries.withColumn("row", F.monotonically_increasing_id()), "queries")
