@@ -47,6 +47,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of a table, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def fold(column: str | Column, parts: int) -> Column:
     """The rest of crc32 of the value as text; null for a null value."""
     value = F.col(column) if isinstance(column, str) else column

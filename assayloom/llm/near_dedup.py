@@ -359,15 +359,16 @@ def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     """The rows that are kept, with their own columns; of rows that repeat a doc_id the first by text."""
     from pyspark.sql import Window
 
-    from assayloom.llm.common import fresh
+    from assayloom.llm.common import fresh, own_columns
 
+    own = own_columns(documents)
     (turn,) = fresh(documents, "turn")
     found = saved(classes(documents, size, percent, miss), "kept")
     gone = found.filter("not kept").select("doc_id").distinct()
-    rest = documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    rest = documents.join(gone, "doc_id", "left_anti").select(own)
     repeats = saved(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeats")
     if repeats.isEmpty():
         return rest
-    again = rest.join(repeats, "doc_id", "left_semi").select(documents.columns)
+    again = rest.join(repeats, "doc_id", "left_semi").select(own)
     first = again.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(turn) == 1)
-    return rest.join(repeats, "doc_id", "left_anti").select(documents.columns).unionByName(first.drop(turn))
+    return rest.join(repeats, "doc_id", "left_anti").select(own).unionByName(first.drop(turn))

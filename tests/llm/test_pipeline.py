@@ -52,7 +52,7 @@ def test_odd_documents_pass_every_stage(spark, tables):
         [(None, None), (90001, None), (90002, ""), (90003, "word " * 30_000), (None, "only words without an id")], "doc_id long, text string"
     ).selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "cast(null as long) n_chars")
     given = some.unionByName(some).unionByName(odd.select([F.col(c).cast(t) for c, t in some.dtypes]))
-    for name in ("key", "sha", "turn", "pin", "points", "good_score", "Toxic_Score", "keep_id", "component_id", "length"):
+    for name in ("key", "sha", "turn", "pin", "points", "good_score", "Toxic_Score", "keep_id", "component_id", "length", "a.b", "tick`s"):
         given = given.withColumn(name, F.lit("extra"))
     docs = given
     for name, stage in corpus_pipeline.STAGES[:-1]:
