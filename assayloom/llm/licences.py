@@ -156,10 +156,17 @@ _NOISE = re.compile(r"(?:[^0-9a-z.+/-]|\.(?![0-9a-z]))+")
 _DECORATION = re.compile(r"(?m)^[^\S\n]*(?:#+|//+|\*+|--+|;+|>+|(?:\d+|[a-z])[.)])(?=[^\S\n])")
 
 
+#: Marks that don't count at either end.
+_EDGE = " .+/-"
+
+
+def _plain(words: str) -> str:
+    return _NOISE.sub(" ", _DECORATION.sub(" ", words).lower().replace("licence", "license"))
+
+
 def normalise(sentence: str) -> str:
     """Lower case, without comment marks or numbering at line starts, words parted by one space, no mark at the end."""
-    plain = _DECORATION.sub(" ", sentence).lower().replace("licence", "license")
-    return _NOISE.sub(" ", plain).strip(" .+/-")
+    return _plain(sentence).strip(_EDGE)
 
 
 def sentences(text: str | None) -> Iterator[tuple[int, int]]:
@@ -175,12 +182,12 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Book:
-    """Sentences by normalised wording, and rules from the longest on."""
+    """Sentences by normalised wording, the word by word beginnings of all wordings, and rules from the longest on."""
 
     known: dict[str, str]
     rules: tuple[tuple[str, tuple[str, ...]], ...]
     longest: int
-    first: frozenset[str]
+    beginnings: frozenset[str]
 
     @staticmethod
     def of(sentences=None, rules=RULES) -> Book:
@@ -189,54 +196,68 @@ class Book:
         for name, wordings in sentences.items():
             for wording in wordings:
                 known[normalise(wording)] = name
-        return Book(known, tuple(sorted(rules, key=lambda r: -len(r[1]))), max(map(len, known), default=0), frozenset(k.split(" ", 1)[0] for k in known))
+        beginnings = {k[:i] for k in known for i in range(len(k) + 1) if i == len(k) or k[i] == " "}
+        return Book(known, tuple(sorted(rules, key=lambda r: -len(r[1]))), max(map(len, known), default=0), frozenset(beginnings))
 
 
 def identify(text: str | None, book: Book) -> list[tuple[str, int, int]]:
     """(identifier, start, stop) of the known sentences, in the order of the text.
 
-    Neighbouring sentences are joined where a known wording holds a mark at which
-    texts are cut. A sentence that isn't known is looked at from each of its line
-    ends on, and line by line, for titles and notices often end without a mark.
+    Neighbouring sentences are joined as long as a known wording begins like that, for
+    a wording may hold marks at which texts are cut; the longest known join counts. A
+    sentence that isn't known is looked at from each of its line ends on, and line by
+    line, for titles and notices often end without a mark. White space and decoration
+    of any length are no part of a wording.
     """
     text = text or ""
     spans = list(sentences(text))
-    far = 4 * book.longest + 200  # characters of a sentence that may be known, white space included
     found: list[tuple[str, int, int]] = []
     i = 0
     while i < len(spans):
         start, stop = spans[i]
-        plain = normalise(text[start:stop]) if stop - start <= far else ""
-        hit = (book.known[plain], start, stop) if plain in book.known else None
-        last = i
-        if plain and plain.split(" ", 1)[0] in book.first:
-            joined = plain
-            for j in range(i + 1, min(i + 4, len(spans))):
-                if len(joined) >= book.longest:
-                    break
-                joined = f"{joined} {normalise(text[spans[j][0]:spans[j][1]][:far])}"
+        joined = normalise(text[start:stop])
+        hit, last = (book.known[joined], start, stop) if joined in book.known else None, i
+        j = i + 1
+        while joined and joined in book.beginnings and j < len(spans):
+            further = normalise(text[spans[j][0]:spans[j][1]])
+            if further:
+                joined = f"{joined} {further}"
                 if joined in book.known:
                     hit, last = (book.known[joined], start, spans[j][1]), j
+            j += 1
         if hit is not None:
             found.append(hit)
         elif "\n" in text[start:stop]:
-            found += _by_line(text, start, stop, far, book)
+            found += _by_line(text, start, stop, book)
         i = last + 1
     return found
 
 
-def _by_line(text: str, start: int, stop: int, far: int, book: Book) -> list[tuple[str, int, int]]:
-    """Known lines of a sentence, and its end from the first line on with which that is known."""
-    found, at = [], start
+def _by_line(text: str, start: int, stop: int, book: Book) -> list[tuple[str, int, int]]:
+    """Known lines of a sentence, and its end from the first line on with which that is known.
+
+    Each line is normalised once; what lines say together is joined from the last one
+    up, as long as it isn't longer than any known wording.
+    """
+    lines, at = [], start
     while at < stop:
         end = text.find("\n", at, stop)
         end = stop if end < 0 else end
-        if stop - at <= far and end < stop and (name := book.known.get(normalise(text[at:stop]))) is not None:
-            return [*found, (name, at, stop)]
-        if end - at <= far and (name := book.known.get(normalise(text[at:end]))) is not None:
-            found.append((name, at, end))
+        lines.append((at, end, _plain(text[at:end])))
         at = end + 1
-    return found
+    # the last line alone is looked at as a line
+    first, name, joined = len(lines), "", ""
+    for k in range(len(lines) - 1, -1, -1):
+        # lines of marks alone say nothing before a sentence; no wording holds very many of them
+        if len(joined) <= 2 * book.longest or lines[k][2].strip(_EDGE):
+            joined = " ".join(f"{lines[k][2]} {joined}".split())
+        plain = joined.strip(_EDGE)
+        if len(plain) > book.longest:
+            break
+        if lines[k][1] < stop and plain in book.known:
+            first, name = k, book.known[plain]
+    found = [(book.known[plain], at, end) for at, end, line in lines[:first] if (plain := line.strip(_EDGE)) in book.known]
+    return [*found, (name, lines[first][0], stop)] if name else found
 
 
 def match(found: list[tuple[str, int, int]], book: Book) -> list[tuple[str, int, int, int]]:

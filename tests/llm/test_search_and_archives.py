@@ -8,6 +8,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayloom.llm import licences, topk, warc
 
@@ -69,13 +70,22 @@ def test_repeated_queries_are_answered_each(spark):
     assert _search(spark, rows, 5, 10) == [(0, 1, 1, 256 * 512)] * 2
 
 
-def test_scores_beyond_doubles_are_exact_and_beyond_longs_raise():
+def test_scores_beyond_doubles_are_exact():
     import numpy as np
 
     a = np.array([[2 ** 30, 1]], dtype=np.int64)
     assert topk._scores(a, np.array([[2 ** 30, 1]], dtype=np.int64))[0, 0] == 2 ** 60 + 1
-    with pytest.raises(OverflowError):
-        topk._scores(a << 10, a << 10)
+
+
+def test_large_finite_components_end_no_query(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e38, 0.0]), (2, [3.0, -1.0]), (50, [-1e38, 1e38]), (4, [2.0 ** 21, 0.0]), (10, [2.0 ** 22, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], FLOATS)
+    assert [r["id"] for r in topk.too_large(df, "vec_id", "embedding").orderBy("id").collect()] == [1, 10, 50]
+    kept = [r for r in rows if r[0] not in (1, 10, 50)]
+    assert _search(spark, rows, 5, 10) == _best(kept, 5, 10)
+    doubles = spark.createDataFrame([(0, [1e300]), (1, [1.0]), (2, [-1e300]), (10, [2.0])], "id long, v array<double>")
+    vectors = topk.whole_vectors(doubles, "id", "v")
+    assert topk.search(vectors, vectors.filter("id % 10 = 0"), 5).collect() == [(10, 1, 1, 512 * 256)]
 
 
 # ------------------------------------------------------------------ archives
@@ -140,6 +150,16 @@ def test_each_record_is_a_member_and_archives_are_cut(spark, monkeypatch, tmp_pa
         assert gzip.decompress(data).count(b"WARC-Record-ID: ") == r["records"]
 
 
+def test_archives_are_dealt_out_to_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
+    rows = [(i, "http://x", f"<p>{i}</p>" * 20) for i in range(200)]
+    made = warc.write(warc.plan(_pages(spark, rows)), str(tmp_path))
+    assert made.count() > 60
+    read = warc.read(made)
+    assert read.select(F.spark_partition_id()).distinct().count() > 50
+    assert sorted(r["page_id"] for r in read.collect()) == list(range(200))
+
+
 def _member(change=lambda data: data):
     import zlib
 
@@ -224,6 +244,60 @@ def test_rules_follow_the_order_and_take_a_sentence_once():
     assert hits("aa. zz. bb.") == ["AB"] and hits("bb. aa.") == ["B", "A"]
 
 
+def _slow_identify(text, book):
+    """All joins of neighbouring sentences and all ends of a sentence, each normalised as a whole."""
+    spans, found, i = list(licences.sentences(text)), [], 0
+    while i < len(spans):
+        start, stop = spans[i]
+        hits = []
+        for j in range(i, len(spans)):
+            plain = " ".join(p for s, e in spans[i:j + 1] if (p := licences.normalise(text[s:e])))
+            if plain in book.known and licences.normalise(text[start:stop]) and licences.normalise(text[slice(*spans[j])]):
+                hits.append((j, (book.known[plain], start, spans[j][1])))
+        if hits:
+            found.append(hits[-1][1])
+            i = hits[-1][0] + 1
+            continue
+        at = start
+        while "\n" in text[start:stop] and at < stop:
+            end = text.find("\n", at, stop)
+            end = stop if end < 0 else end
+            if end < stop and (name := book.known.get(licences.normalise(text[at:stop]))):
+                found.append((name, at, stop))
+                break
+            if name := book.known.get(licences.normalise(text[at:end])):
+                found.append((name, at, end))
+            at = end + 1
+        i += 1
+    return found
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sentences_are_those_of_brute_force(seed):
+    rng = random.Random(seed)
+    book = licences.Book.of({"a": ("red, green. Blue",), "b": ("green",), "c": ("blue. Red: green; blue! Red? yellow. Green",), "d": ("red / green",), "e": ("no - no",)}, ())
+    words = ["red", "green", "blue", "yellow", "no", "Red:", "green;", "blue.", "Red?", "-", "/", "--", "...", "# red", "* green", "no -"]
+    for _ in range(60):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", ". ", "\n\n", "   \n \t", "! "]) for _ in range(rng.randint(0, 25)))
+        assert licences.identify(text, book) == _slow_identify(text, book), text
+    true = licences.Book.of()
+    parts = [w for ws in licences.SENTENCES.values() for w in ws] + ["Some words", "Copyright 2020 me"]
+    text = "".join(rng.choice(parts) + rng.choice([". ", ".\n", "\n", "\n\n", ": "]) for _ in range(20))
+    assert licences.identify(text, true) == _slow_identify(text, true)
+
+
+def test_white_space_of_any_length_hides_no_licence():
+    book = licences.Book.of()
+    grant = licences.SENTENCES["mit-grant"][0]
+    notice = licences.SENTENCES["mit-notice"][0]
+    for gap in (" ", "\n" + " " * 40, "\t" * 300, " \n"):
+        text = f"words before.\n\n{gap.join(grant.split())}:\n{gap.join(notice.split())}.\nwords after."
+        assert [f[0] for f in licences.identify(text, book)] == ["mit-grant", "mit-notice"], repr(gap)
+    long = "lorem ipsum\n" * 100_000 + "MIT License"
+    assert [f[0] for f in licences.identify(long, book)] == ["mit-title"]
+    assert licences.identify("-----\n" * 100_000, book) == []
+
+
 def test_scanned_rows(spark):
     rows = [(None, MIT), (1, None), (2, ""), (3, "word " * 40_000 + "\nReleased under the MIT License.\n"), (4, MIT), (4, MIT)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, licences string, matches int")
