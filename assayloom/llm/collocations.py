@@ -8,8 +8,9 @@ and counted over the corpus, and the occurrences are semi-joined with the freque
 groups before the next length, for a phrase can't be more frequent than its parts.
 
 Within a block a phrase has a small number, and counts leave it once per block and
-phrase; so neither words nor occurrences are moved, and a word that a third of all
-texts hold is one row per block. A pair of exact ids stands for a longer phrase:
+phrase; so a word that a third of all texts hold is one row per block. As long as the
+frequent groups of a length are few, by a check of their size, tasks know them all
+and no occurrence is moved; beyond that they are joined with the groups of a block. A pair of exact ids stands for a longer phrase:
 nothing rests on hashes.
 """
 
@@ -23,7 +24,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm.common import saved
@@ -32,7 +33,7 @@ from assayloom.llm.common import saved
 ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Words and ends of a block, at most but for one document.
 BLOCK = 1 << 20
-#: Frequent phrases that may be broadcast, in number and in bytes together.
+#: Frequent phrases of a length that all tasks may know, in number and in bytes together.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 25
 
 #: Characters of a text that are cut at once.
@@ -129,53 +130,120 @@ def occurrences(documents: DataFrame, lang: str = "lang", text: str = "text") ->
     return texts.mapInArrow(cut, "block long, lang string, gaps array<int>, codes array<int>, words array<string>, counts array<int>")
 
 
-def _extended(state: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
-    """The relation of phrases a word longer: frequent occurrences merge-joined with those at the next position.
+def _merged(batches: Iterator[pa.RecordBatch], numbers_of, last: bool) -> Iterator[pa.RecordBatch]:
+    """The relations of phrases a word longer: frequent occurrences merge-joined with those at the next position.
 
-    ``frequent`` are (block, numbers): which numbers of a block are frequent, with their ids.
+    ``numbers_of`` gives which numbers of a row's block are frequent, with their ids.
     """
+    import numpy as np
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            gaps, codes = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("gaps", "codes"))
+            numbers, ids = numbers_of(batch, row)
+            if not len(numbers):
+                continue
+            small = np.full(codes.max() + 1, -1, dtype=np.int64)
+            small[numbers] = np.arange(len(numbers))
+            phrase = small[codes]
+            stays = phrase >= 0
+            positions, phrase = np.cumsum(gaps, dtype=np.int64)[stays], phrase[stays]
+            at = np.flatnonzero(np.diff(positions) == 1)
+            if not len(at):
+                continue
+            pairs, number, counts = np.unique(phrase[at] * len(ids) + phrase[at + 1], return_inverse=True, return_counts=True)
+            made = {"block": batch.column("block")[row].as_py(), "lang": batch.column("lang")[row].as_py(), "counts": counts}
+            made["gaps"], made["codes"] = ([], []) if last else (np.diff(positions[at], prepend=0), number.ravel())
+            made["lefts"], made["rights"] = ids[pairs // len(ids)], ids[pairs % len(ids)]
+            yield _batch(made, _PAIRS)
+
+
+_LONGER = "block long, lang string, gaps array<int>, codes array<int>, lefts array<long>, rights array<long>, counts array<int>"
+
+
+def _known(state: DataFrame, found: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """``_merged`` where each task knows all frequent groups: no occurrence is moved."""
+    import numpy as np
+
+    table = found.select("id", *keys).toArrow()
+    ids = table["id"].to_numpy()
+    if "word" in keys:
+        langs = table["lang"].to_numpy(zero_copy_only=False)
+        words = table["word"].combine_chunks()
+        held = {lang: (words.take(pa.array(at)), ids[at]) for lang in set(langs) for at in [np.flatnonzero(langs == lang)]}
+    else:
+        pair = table["left"].to_numpy() << 32 | table["right"].to_numpy()
+        order = np.argsort(pair)
+        held = pair[order], ids[order]
+    sent = state.sparkSession.sparkContext.broadcast(held)
+
+    def word_numbers(batch, row):
+        import pyarrow.compute as pc
+
+        known = sent.value.get(batch.column("lang")[row].as_py())
+        if known is None:
+            return (), ()
+        place = pc.index_in(batch.column("words")[row].values, value_set=known[0])
+        numbers = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        return numbers, known[1][place.drop_null().to_numpy()]
+
+    def pair_numbers(batch, row):
+        pairs, ids = sent.value
+        left, right = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
+        pair = left << 32 | right
+        place = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        numbers = np.flatnonzero(pairs[place] == pair) if len(pairs) else np.zeros(0, dtype=np.int64)
+        return numbers, ids[place[numbers]]
+
+    numbers_of = word_numbers if "word" in keys else pair_numbers
+    names = ["words"] if "word" in keys else ["lefts", "rights"]
+    return state.select("block", "lang", "gaps", "codes", *names).mapInArrow(lambda batches: _merged(batches, numbers_of, last), _LONGER)
+
+
+def _joined(state: DataFrame, rows: DataFrame, found: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """``_merged`` with the frequent groups of each block joined to it, however many there are."""
+
+    def numbers_of(batch, row):
+        return (batch.column("numbers")[row].values.field(c).to_numpy(zero_copy_only=False) for c in ("number", "id"))
+
+    held = rows.join(found.select("id", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("numbers"))
+    wide = state.select("block", "lang", "gaps", "codes").join(held, "block")
+    return wide.mapInArrow(lambda batches: _merged(batches, numbers_of, last), _LONGER)
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """The rows with ``id``: 0, 1, 2, ... without a gap, by the sizes of the written parts."""
+    spark = groups.sparkSession
+    marked = saved(groups.withColumn("mark", F.monotonically_increasing_id()), "frequent")
+    part = F.shiftright("mark", 33)
+    starts, total = [], 0
+    # a row per part of the table
+    for r in marked.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], total))
+        total += r["count"]
+    offsets = spark.createDataFrame(starts, "part long, start long")
+    return marked.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn(
+        "id", F.col("start") + F.col("mark").bitwiseAND((1 << 33) - 1)
+    ).drop("part", "mark", "start")
+
+
+def _rows(state: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per block and phrase: (block, lang, number, key columns, n)."""
+    zipped = F.arrays_zip(*(F.col(f"{k}s").alias(k) for k in keys if k != "lang"), F.col("counts").alias("n"))
+    return state.select("block", "lang", F.posexplode(zipped).alias("number", "key")).select("block", "lang", "number", "key.*")
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                gaps, codes = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("gaps", "codes"))
-                numbers, ids = (batch.column("numbers")[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("number", "id"))
-                small = np.full(codes.max() + 1, -1, dtype=np.int64)
-                small[numbers] = np.arange(len(numbers))
-                phrase = small[codes]
-                stays = phrase >= 0
-                positions, phrase = np.cumsum(gaps, dtype=np.int64)[stays], phrase[stays]
-                at = np.flatnonzero(np.diff(positions) == 1)
-                if not len(at):
-                    continue
-                pairs, number, counts = np.unique(phrase[at] * len(ids) + phrase[at + 1], return_inverse=True, return_counts=True)
-                row = {"block": batch.column("block")[i].as_py(), "lang": batch.column("lang")[i].as_py(), "counts": counts}
-                row["gaps"], row["codes"] = ([], []) if last else (np.diff(positions[at], prepend=0), number.ravel())
-                row["lefts"], row["rights"] = ids[pairs // len(ids)], ids[pairs % len(ids)]
-                yield _batch(row, _PAIRS)
-
-    return state.select("block", "lang", "gaps", "codes").join(frequent, "block").mapInArrow(
-        joined, "block long, lang string, gaps array<int>, codes array<int>, lefts array<long>, rights array<long>, counts array<int>"
-    )
-
-
-def _bounded(frequent: DataFrame, size: Column) -> DataFrame:
-    """With a hint to broadcast it, if a count shows that it is small."""
-    rows, total = frequent.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(frequent) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else frequent
 
+def _extended(state: DataFrame, found: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """The relation of phrases a word longer, and who may appear in it is told by ``found``.
 
-def _frequent(state: DataFrame, keys: list[str], minimum: int) -> tuple[DataFrame, DataFrame]:
-    """The frequent groups (id, key columns, f), and (block, numbers) of the occurrences that belong to them."""
-    zipped = F.arrays_zip(*(F.col(f"{k}s").alias(k) for k in keys if k != "lang"), F.col("counts").alias("n"))
-    rows = state.select("block", "lang", F.posexplode(zipped).alias("number", "key")).select("block", "lang", "number", "key.*")
-    groups = rows.groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("f")).filter(F.col("f") >= minimum)
-    found = saved(groups.withColumn("id", F.monotonically_increasing_id()), "frequent")
+    Frequent groups whose size is checked to be small are told to all tasks; more of
+    them are joined with the groups of each block.
+    """
     size = F.octet_length("word") if "word" in keys else F.lit(16)
-    held = rows.join(_bounded(found.select("id", *keys), size), keys)
-    return found, held.groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("numbers"))
+    rows, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES:
+        return _known(state, found, keys, last)
+    return _joined(state, _rows(state, keys), found, keys, last)
 
 
 def frequent_phrases(documents: DataFrame, lang: str = "lang", text: str = "text", longest: int = 5, minimum: int = 100) -> Phrases:
@@ -186,15 +254,22 @@ def frequent_phrases(documents: DataFrame, lang: str = "lang", text: str = "text
     """
     state = saved(occurrences(documents, lang, text), "occurrences")
     totals = saved(state.groupBy("lang").agg(F.sum(F.size("codes").cast("long")).alias("n")).filter("n > 0"), "totals")
-    found, held = _frequent(state, ["lang", "word"], minimum)
+
+    def frequent(keys):
+        counts = _rows(state, keys).groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("f"))
+        return _numbered(counts.filter(F.col("f") >= minimum))
+
+    keys = ["lang", "word"]
+    found = frequent(keys)
     none = F.array().cast("array<long>")
     lengths = [found.select(
         "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"),
         F.lit(None).cast("long").alias("right"), none.alias("firsts"), none.alias("rests"),
     )]
     for k in range(2, longest + 1):
-        state = saved(_extended(state, held, k == longest), "occurrences")
-        found, held = _frequent(state, ["left", "right"], minimum)
+        state = saved(_extended(state, found, keys, k == longest), "occurrences")
+        keys = ["left", "right"]
+        found = frequent(keys)
         left = lengths[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("firsts", F.array("f")).alias("firsts"))
         right = lengths[-1].select(F.col("id").alias("right"), "last", F.concat(F.array("f"), "rests").alias("rests"))
         named = found.join(left, "left").join(right, "right")
