@@ -32,7 +32,7 @@ from assayloom.llm.common import saved
 #: Characters that end a piece; blanks and tabs part words.
 ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Words and ends of a block, at most but for one document.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Frequent phrases of a length that all tasks may know, in number and in bytes together.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 25
 
@@ -50,6 +50,20 @@ class Phrases(NamedTuple):
     lengths: list[DataFrame]
 
 
+def _packed(values) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs; the first byte tells how many."""
+    import numpy as np
+
+    kind = np.min_scalar_type(values.max(initial=0))
+    return bytes([kind.itemsize]) + values.astype(kind.newbyteorder("<")).tobytes()
+
+
+def _unpacked(data: bytes):
+    import numpy as np
+
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 class _Open:
     """The block of one language that is being filled: numbers of words, in the order of the texts."""
 
@@ -74,15 +88,16 @@ class _Open:
         codes = stream[positions] - len(ENDS)
         words = [w.decode() for w in list(self.numbers)[len(ENDS):]]
         counts = np.bincount(codes, minlength=len(words))
-        return {"block": block, "lang": lang, "gaps": np.diff(positions, prepend=0), "codes": codes, "words": words, "counts": counts}
+        gaps = np.diff(positions, prepend=0)
+        return {"block": block, "lang": lang, "gaps": _packed(gaps), "codes": _packed(codes), "words": words, "counts": counts}
 
 
 _WORDS = pa.schema([
-    ("block", pa.int64()), ("lang", pa.string()), ("gaps", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.string())),
+    ("block", pa.int64()), ("lang", pa.string()), ("gaps", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.string())),
     ("counts", pa.list_(pa.int32())),
 ])
 _PAIRS = pa.schema([
-    ("block", pa.int64()), ("lang", pa.string()), ("gaps", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("lang", pa.string()), ("gaps", pa.binary()), ("codes", pa.binary()), ("lefts", pa.list_(pa.int64())),
     ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
 ])
 
@@ -95,7 +110,7 @@ def occurrences(documents: DataFrame, lang: str = "lang", text: str = "text") ->
     """(block, lang, gaps, codes, words, counts): all words of whole texts, in blocks of one language.
 
     ``codes`` are numbers into ``words``, in the order of the texts; ``gaps`` part their
-    positions. A null language is ``und``; null and wordless texts add nothing.
+    positions; both are packed numbers, for only tasks look into them. A null language is ``und``; null and wordless texts add nothing.
     """
     token = re.compile(b"[^\\x20\\x09.,;:!?\\x0A-\\x0D]+|[.,;:!?\\x0A-\\x0D]")
     between = re.compile(b"[\\x20\\x09.,;:!?\\x0A-\\x0D]")
@@ -127,7 +142,7 @@ def occurrences(documents: DataFrame, lang: str = "lang", text: str = "text") ->
             block += 1
 
     texts = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
-    return texts.mapInArrow(cut, "block long, lang string, gaps array<int>, codes array<int>, words array<string>, counts array<int>")
+    return texts.mapInArrow(cut, "block long, lang string, gaps binary, codes binary, words array<string>, counts array<int>")
 
 
 def _merged(batches: Iterator[pa.RecordBatch], numbers_of, last: bool) -> Iterator[pa.RecordBatch]:
@@ -139,7 +154,7 @@ def _merged(batches: Iterator[pa.RecordBatch], numbers_of, last: bool) -> Iterat
 
     for batch in batches:
         for row in range(batch.num_rows):
-            gaps, codes = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("gaps", "codes"))
+            gaps, codes = (_unpacked(batch.column(c)[row].as_py()) for c in ("gaps", "codes"))
             numbers, ids = numbers_of(batch, row)
             if not len(numbers):
                 continue
@@ -147,18 +162,18 @@ def _merged(batches: Iterator[pa.RecordBatch], numbers_of, last: bool) -> Iterat
             small[numbers] = np.arange(len(numbers))
             phrase = small[codes]
             stays = phrase >= 0
-            positions, phrase = np.cumsum(gaps, dtype=np.int64)[stays], phrase[stays]
+            positions, phrase = np.cumsum(gaps)[stays], phrase[stays]
             at = np.flatnonzero(np.diff(positions) == 1)
             if not len(at):
                 continue
             pairs, number, counts = np.unique(phrase[at] * len(ids) + phrase[at + 1], return_inverse=True, return_counts=True)
             made = {"block": batch.column("block")[row].as_py(), "lang": batch.column("lang")[row].as_py(), "counts": counts}
-            made["gaps"], made["codes"] = ([], []) if last else (np.diff(positions[at], prepend=0), number.ravel())
+            made["gaps"], made["codes"] = (b"", b"") if last else (_packed(np.diff(positions[at], prepend=0)), _packed(number.ravel()))
             made["lefts"], made["rights"] = ids[pairs // len(ids)], ids[pairs % len(ids)]
             yield _batch(made, _PAIRS)
 
 
-_LONGER = "block long, lang string, gaps array<int>, codes array<int>, lefts array<long>, rights array<long>, counts array<int>"
+_LONGER = "block long, lang string, gaps binary, codes binary, lefts array<long>, rights array<long>, counts array<int>"
 
 
 def _known(state: DataFrame, found: DataFrame, keys: list[str], last: bool) -> DataFrame:
@@ -253,7 +268,7 @@ def frequent_phrases(documents: DataFrame, lang: str = "lang", text: str = "text
     texts and all rows, repeated ones as well; an empty table has no phrases.
     """
     state = saved(occurrences(documents, lang, text), "occurrences")
-    totals = saved(state.groupBy("lang").agg(F.sum(F.size("codes").cast("long")).alias("n")).filter("n > 0"), "totals")
+    totals = saved(state.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")).filter("n > 0"), "totals")
 
     def frequent(keys):
         counts = _rows(state, keys).groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("f"))
