@@ -36,6 +36,10 @@ BLOCK = 1 << 18
 #: Frequent phrases of a length that all tasks may know, in number and in bytes together.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 25
 
+#: Blocks of a file, for a file of lists is read as one batch; and its compression.
+FILE = {"maxRecordsPerFile": 16, "compression": "zstd"}
+#: Groups that a task counts at once, and that are counted together on average.
+HELD, PART = 1 << 21, 1 << 21
 #: Characters of a text that are cut at once.
 SLICE = 1 << 20
 
@@ -226,8 +230,72 @@ def _joined(state: DataFrame, rows: DataFrame, found: DataFrame, keys: list[str]
     return wide.mapInArrow(lambda batches: _merged(batches, numbers_of, last), _LONGER)
 
 
-def _numbered(groups: DataFrame) -> DataFrame:
-    """The rows with ``id``: 0, 1, 2, ... without a gap, by the sizes of the written parts."""
+def _tally(keys, counts):
+    """The distinct keys, sorted, and the sums of their counts."""
+    import numpy as np
+
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _counted(state: DataFrame, minimum: int) -> DataFrame:
+    """(left, right, f) of the groups that occur often enough, where ids fit 31 bits.
+
+    A task adds up its blocks, deals the sums out by a hash of the group, and hands each
+    part on as one sorted and compressed list; parts are as many as keeps them small.
+    """
+    parts = 1 + (state.agg(F.coalesce(F.sum(F.size("counts").cast("long")), F.lit(0))).first()[0] // PART)
+    schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def rows(held):
+            keys, counts = _tally(*(np.concatenate(x) for x in zip(*held)))
+            part = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)) if parts <= len(keys) else np.r_[np.unique(part[order], return_index=True)[1], len(keys)]
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if s < e:
+                    at = order[s:e]
+                    gaps, n = np.diff(keys[at], prepend=0).astype("<i8"), counts[at].astype("<i8")
+                    yield int(part[at[0]]), pa.compress(gaps.tobytes(), "zstd", asbytes=True), pa.compress(n.tobytes(), "zstd", asbytes=True), e - s
+
+        held, size = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right, n = (batch.column(c)[row].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lefts", "rights", "counts"))
+                held.append((left << 32 | right, n))
+                size += len(n)
+                if size > 2 * HELD:
+                    held = [_tally(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0])
+                    if size > HELD:
+                        out = list(rows(held))
+                        held, size = [], 0
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows(held)), schema.types)], schema=schema)
+
+    def summed(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        keys, counts = [], []
+        for k, c, n in zip(table["keys"], table["counts"], table["n"].to_pylist()):
+            keys.append(np.cumsum(np.frombuffer(pa.decompress(k.as_py(), 8 * n, "zstd", asbytes=True), dtype="<i8")))
+            counts.append(np.frombuffer(pa.decompress(c.as_py(), 8 * n, "zstd", asbytes=True), dtype="<i8"))
+        keys, counts = _tally(np.concatenate(keys), np.concatenate(counts))
+        keys, counts = keys[counts >= minimum], counts[counts >= minimum]
+        return pa.table({"left": keys >> 32, "right": keys & 0xFFFFFFFF, "f": counts})
+
+    sums = state.select("lefts", "rights", "counts").mapInArrow(dealt, "part long, keys binary, counts binary, n long")
+    return sums.groupBy("part").applyInArrow(summed, "left long, right long, f long")
+
+
+def _numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with ``id``: 0, 1, 2, ... without a gap, by the sizes of the written parts; and their number."""
     spark = groups.sparkSession
     marked = saved(groups.withColumn("mark", F.monotonically_increasing_id()), "frequent")
     part = F.shiftright("mark", 33)
@@ -239,7 +307,7 @@ def _numbered(groups: DataFrame) -> DataFrame:
     offsets = spark.createDataFrame(starts, "part long, start long")
     return marked.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn(
         "id", F.col("start") + F.col("mark").bitwiseAND((1 << 33) - 1)
-    ).drop("part", "mark", "start")
+    ).drop("part", "mark", "start"), total
 
 
 def _rows(state: DataFrame, keys: list[str]) -> DataFrame:
@@ -267,24 +335,23 @@ def frequent_phrases(documents: DataFrame, lang: str = "lang", text: str = "text
     Occurrences lie within a piece and may overlap. Everything is counted over whole
     texts and all rows, repeated ones as well; an empty table has no phrases.
     """
-    state = saved(occurrences(documents, lang, text), "occurrences")
+    state = saved(occurrences(documents, lang, text), "occurrences", **FILE)
     totals = saved(state.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")).filter("n > 0"), "totals")
 
-    def frequent(keys):
-        counts = _rows(state, keys).groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("f"))
-        return _numbered(counts.filter(F.col("f") >= minimum))
+    def summed(keys):
+        return _rows(state, keys).groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("f")).filter(F.col("f") >= minimum)
 
     keys = ["lang", "word"]
-    found = frequent(keys)
+    found, ids = _numbered(summed(keys))
     none = F.array().cast("array<long>")
     lengths = [found.select(
         "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"),
         F.lit(None).cast("long").alias("right"), none.alias("firsts"), none.alias("rests"),
     )]
     for k in range(2, longest + 1):
-        state = saved(_extended(state, found, keys, k == longest), "occurrences")
+        state = saved(_extended(state, found, keys, k == longest), "occurrences", **FILE)
         keys = ["left", "right"]
-        found = frequent(keys)
+        found, ids = _numbered(_counted(state, minimum) if ids < 1 << 31 else summed(keys))
         left = lengths[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("firsts", F.array("f")).alias("firsts"))
         right = lengths[-1].select(F.col("id").alias("right"), "last", F.concat(F.array("f"), "rests").alias("rests"))
         named = found.join(left, "left").join(right, "right")

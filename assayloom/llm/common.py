@@ -24,14 +24,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_ROWS))
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, **options) -> DataFrame:
     """Write the rows below the shared folder and read them again.
 
     Like ``checkpoint()`` this ends the lineage: lost executors don't lose the
-    rows. Unlike it, readers of a few columns read no others.
+    rows. Unlike it, readers of a few columns read no others. ``options`` are those
+    of the Parquet writer.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
