@@ -162,12 +162,14 @@ def _first_comma(spark, folder):
     ).filter("pos > 0")
 
 
-@query("seq6_node_offsets", """with f as (select cast(doc_id as varchar) d, length(text) n, instr(text, ',') c from documents where text <> ''),
- o as (select d, unnest(case when c = 0 then [0, 0, n] when c = 1 and n = 1 then [0, 0, 0, 1] when c = 1 then [0, 0, 0, 1, n] when c = n then [0, 0, c - 1, c - 1, n]
-   else [0, 0, c - 1, c - 1, c, n] end) as o from f)
- select d as protein_id, o as "offset", count(*) as nodes from o group by 1, 2""")
+@query("seq6_node_offsets", """with f as (select cast(doc_id as varchar) d, text, length(text) n from documents where text <> ''),
+ q as (select d, n, unnest(list_filter(range(1, n + 1), lambda i: substr(text, i, 1) = ',')) as c, text from f),
+ b as (select d, c - 1 as o from q union all select d, c - 1 from q union all select d, c from q where c < n and substr(text, c + 1, 1) <> ','
+  union all select d, 0 from f where substr(text, 1, 1) <> ',' union all select d, 0 from f union all select d, n from f)
+ select d as protein_id, o as "offset", count(*) as nodes from b group by 1, 2""")
 def seq6_offsets(spark, folder):
-    graph = sequences.variation_graph(_sequences(spark, folder), _first_comma(spark, folder))
+    """Every comma of every document has an alternative: paths of thousands of nodes."""
+    graph = sequences.variation_graph(_sequences(spark, folder), _commas(spark, folder))
     found = sequences.node_offsets(graph).groupBy("protein_id", "offset").agg(F.count("*").alias("nodes"))
     return found.select("protein_id", F.col("offset").cast("long").alias("offset"), "nodes")
 

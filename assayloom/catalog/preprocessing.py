@@ -208,9 +208,11 @@ def nrm5_dropped(spark, folder):
 _FILLED = "select i.s as sample, i.p as feature, round(coalesce(i.x, f.v), 4) as value from i"
 
 
-@query("imp1_nearest_samples", f"""with {v.NATION_GRID},
- d as (select a.s s1, b.s s2, sqrt((select count(distinct p) from c) * sum((a.x - b.x) ** 2) / count(*)) dist
-   from c a join c b on a.p = b.p and a.s <> b.s group by 1, 2),
+_NEAREST_GRID = v.NATION_GRID.replace("c as (", "c as materialized (").replace("i as (", "i as materialized (")
+
+
+@query("imp1_nearest_samples", f"""with {_NEAREST_GRID}, k as (select count(distinct p) k from c),
+ d as materialized (select a.s s1, b.s s2, sqrt(any_value(k) * sum((a.x - b.x) ** 2) / count(*)) dist from c a join c b on a.p = b.p and a.s <> b.s cross join k group by 1, 2),
  n as (select q.s, q.p, c.x, row_number() over (partition by q.s, q.p order by d.dist, d.s2) r
    from (select s, p from i where x is null) q join c on c.p = q.p join d on d.s1 = q.s and d.s2 = c.s),
  f as (select s, p, avg(x) v from n where r <= 5 group by 1, 2)

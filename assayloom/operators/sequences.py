@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayloom.plans.storage import cut
+from assayloom.plans.storage import cut, written
 from assayloom.schema import col
 
 START, END = "__start__", "__end__"
@@ -177,33 +177,84 @@ def _letters(seq: Column, kind: Column) -> Column:
     return F.when(kind.isin("start", "end"), F.lit(0)).otherwise(F.length(seq))
 
 
+#: Weight of a way from a node that no start leads to; no protein is that long.
+_LOST = -(1 << 60)
+
+
+def _to_their_ends(hung: DataFrame) -> DataFrame:
+    """(protein_id, node, head, d) with each node hung on the last head of its chain, by pointer doubling.
+
+    Two doublings a round; a chain of n nodes takes log4(n) rounds. Heads that never
+    end run in a cycle.
+    """
+
+    def doubled(links):
+        up = links.select("protein_id", F.col("node").alias("head"), F.col("head").alias("next"), F.col("d").alias("more"), F.lit(True).alias("met"))
+        joined = links.join(up, ["protein_id", "head"], "left")
+        return joined.select(
+            "protein_id", "node", F.when(F.col("met"), F.col("next")).otherwise(F.col("head")).alias("head"),
+            (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.coalesce("met", F.lit(False)).alias("met"),
+        )
+
+    links = written(hung, "links")
+    left = links.count()
+    while True:
+        moved = written(doubled(doubled(links).drop("met")), "links")
+        links = moved.drop("met")
+        if moved.filter("met").isEmpty():
+            return links
+        if left == 0:
+            raise ValueError("offsets do not settle; the graph has a cycle")
+        left //= 4
+
+
 def node_offsets(graph: Graph) -> DataFrame:
     """(protein_id, node_id, offset): letters on the longest path from the start.
 
-    For any graph, by rounds of joins along the edges; each round only follows
-    nodes whose offset grew.  Unreachable nodes have a null offset.  A path has no
-    more nodes than its protein, so offsets that still grow after that many rounds
-    run in a cycle.
+    For any graph without a cycle; a cycle raises. Unreachable nodes have a null
+    offset. All proteins shrink at once: parallel edges merge into the longest, nodes
+    that are entered alike become one, and a node that is entered from one place only
+    hangs on it; chains of such nodes are followed to their ends by pointer doubling,
+    and edges go on from there. Variants one after the other, and variants within
+    variants, so vanish in a few steps of a logarithmic number of rounds; variants that
+    cross each other add a step for each crossing in a row. The edges that enter one
+    node are gathered in a row.
     """
-    sizes = cut(graph.nodes.select("protein_id", "node_id", _letters(F.col("seq"), F.col("kind")).alias("size"), "kind"))
-    known = sizes.filter("kind = 'start'").select("protein_id", "node_id", F.lit(0).alias("offset"))
-    moving = known
-    longest = sizes.groupBy("protein_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(longest + 1):
-        arrived = (
-            moving.join(sizes.select("protein_id", "node_id", "size"), ["protein_id", "node_id"])
-            .join(graph.edges.withColumnRenamed("src", "node_id"), ["protein_id", "node_id"])
-            .groupBy("protein_id", F.col("dst").alias("node_id"))
-            .agg(F.max(F.col("offset") + F.col("size")).alias("offset"))
-        )
-        moving = cut(
-            arrived.join(known.withColumnRenamed("offset", "before"), ["protein_id", "node_id"], "left")
-            .filter("before is null or offset > before").select("protein_id", "node_id", "offset")
-        )
-        if moving.isEmpty():
-            return sizes.select("protein_id", "node_id").join(known, ["protein_id", "node_id"], "left")
-        known = cut(known.unionByName(moving).groupBy("protein_id", "node_id").agg(F.max("offset").alias("offset")))
-    raise ValueError("offsets do not settle; the graph has a cycle")
+    nodes = graph.nodes.select("protein_id", "node_id", _letters(F.col("seq"), F.col("kind")).cast("long").alias("size"), "kind")
+    sized = nodes.select("protein_id", F.col("node_id").alias("src"), F.col("size").alias("w"))
+    inside = graph.edges.select("protein_id", "src", "dst").join(sized, ["protein_id", "src"]).select("protein_id", "src", F.col("dst").alias("dst"), "w")
+    entered = inside.select("protein_id", F.col("dst").alias("node_id")).distinct().withColumn("entered", F.lit(True))
+    # a null source is where all ways begin
+    first = nodes.join(entered, ["protein_id", "node_id"], "left").filter("kind = 'start' or entered is null").select(
+        "protein_id", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("src"), F.col("node_id").alias("dst"),
+        F.when(F.col("kind") == "start", F.lit(0)).otherwise(F.lit(_LOST)).cast("long").alias("w"),
+    )
+    edges, hung = written(inside.unionByName(first), "edges"), None
+    while not edges.isEmpty():
+        merged = edges.groupBy("protein_id", "src", "dst").agg(F.max("w").alias("w"))
+        ways = written(merged.groupBy("protein_id", "dst").agg(F.array_sort(F.collect_list(F.struct("src", "w"))).alias("ways")), "ways")
+        same = ways.groupBy("protein_id", "ways").agg(F.min("dst").alias("one"))
+        twin = F.col("dst") != F.col("one")
+        placed = written(ways.join(same, ["protein_id", "ways"]).filter(twin | (F.size("ways") == 1)).select(
+            "protein_id", F.col("dst").alias("node"), F.when(twin, F.col("one")).otherwise(F.col("ways")[0]["src"]).alias("head"),
+            F.when(twin, F.lit(0)).otherwise(F.col("ways")[0]["w"]).cast("long").alias("d"),
+        ), "placed")
+        if placed.isEmpty():
+            raise ValueError("offsets do not settle; the graph has a cycle")
+        ends = _to_their_ends(placed)
+        hung = ends if hung is None else hung.unionByName(ends)
+        rest = ways.join(ends.select("protein_id", F.col("node").alias("dst")), ["protein_id", "dst"], "left_anti")
+        rest = rest.select("protein_id", "dst", F.explode("ways").alias("way")).select("protein_id", "way.src", "dst", "way.w")
+        tops = ends.select("protein_id", F.col("node").alias("src"), "head", "d", F.lit(True).alias("met"))
+        edges = written(rest.join(tops, ["protein_id", "src"], "left").select(
+            "protein_id", F.when(F.col("met"), F.col("head")).otherwise(F.col("src")).alias("src"), "dst", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w")
+        ), "edges")
+    named = nodes.select("protein_id", "node_id")
+    if hung is None:  # no node at all
+        return named.withColumn("offset", F.lit(None).cast("int"))
+    reached = F.when(F.col("d") > _LOST // 2, F.col("d")).cast("int").alias("offset")
+    final = _to_their_ends(hung).select("protein_id", F.col("node").alias("node_id"), reached)
+    return named.join(final, ["protein_id", "node_id"], "left")
 
 
 def check_graph(graph: Graph, offsets: DataFrame, lengths: DataFrame) -> DataFrame:

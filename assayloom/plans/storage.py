@@ -52,3 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to reliable storage and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written below the shared folder and read again.
+
+    For loops of many rounds: a checkpoint hands the constraints known of its rows on
+    to the next plan, where they multiply round by round; a file knows of none.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,10 +8,7 @@ from tests.conftest import LONG, cells, values
 
 @pytest.fixture
 def gaps(long):
-    return long({
-        "Protein1": [1, None, None, 0], "Protein2": [2, 2, None, None], "Protein3": [3, None, 10, None],
-        "Protein4": [4, 5, 20, None], "Protein5": [5, None, 20, None],
-    })
+    return long({"A": [7, 6, None, None], "B": [None, 9, 8, None], "C": [11, 2, None, 0], "D": [30, None, None, None], "E": [6, 4, 5, None], "F": [None, 3, None, None]})
 
 
 @pytest.fixture
@@ -25,7 +22,7 @@ def peptides(spark):
     return spark.createDataFrame(rows, "Sample string, `Protein ID` string, Sequence string, Intensity double, PEP double")
 
 
-@pytest.mark.parametrize("share, gone", [(0.5, ["Sample2", "Sample4"]), (0.6, ["Sample2", "Sample4"]), (0.65, ["Sample2", "Sample3", "Sample4"])])
+@pytest.mark.parametrize("share, gone", [(0.3, ["Sample4"]), (0.5, ["Sample3", "Sample4"]), (0.8, ["Sample1", "Sample3", "Sample4"])])
 def test_samples_by_missing_features(gaps, peptides, share, gone):
     found = filters.by_features_missing(gaps, peptides, share)
     assert values(found.removed, "Sample") == gone
@@ -33,23 +30,18 @@ def test_samples_by_missing_features(gaps, peptides, share, gone):
     assert set(values(found.peptides, "Sample")) == set(values(found.kept, "Sample"))
 
 
-@pytest.mark.parametrize("share, gone", [(1.0, ["Protein2", "Protein3", "Protein4", "Protein5"]), (0.5, ["Protein4", "Protein5"]), (0.0, [])])
-def test_features_by_missing_samples(long, share, gone):
-    table = long({
-        "Protein1": [1, 1, 1, 1], "Protein2": [None, 1, 1, 1], "Protein3": [None, None, 1, 1],
-        "Protein4": [None, None, None, 1], "Protein5": [None] * 4,
-    })
-    assert values(filters.by_samples_missing(table, percentage=share).removed, "Protein ID") == gone
+@pytest.mark.parametrize("share, gone", [(1.0, ["A", "B", "C", "D", "E", "F"]), (0.75, ["A", "B", "D", "F"]), (0.5, ["D", "F"]), (0.25, []), (0.0, [])])
+def test_features_by_missing_samples(gaps, share, gone):
+    assert values(filters.by_samples_missing(gaps, percentage=share).removed, "Protein ID") == gone
 
 
 def test_samples_by_sum_and_by_count(gaps):
-    sums = {"Sample1": 15.0, "Sample2": 7.0, "Sample3": 50.0, "Sample4": 0.0}  # median 11, deviation 22.23
-    assert sums["Sample3"] - 11 < 2 * 22.23
+    # sums 54, 24, 13, 0: median 18.5, deviation 22.97
     assert values(filters.by_intensity_sum(gaps, deviation_threshold=2.0).removed, "Sample") == []
-    assert values(filters.by_intensity_sum(gaps, deviation_threshold=1.0).removed, "Sample") == ["Sample3"]
-    # counts 5, 2, 3, 1: median 2.5, deviation 1.708
-    assert values(filters.by_feature_count(gaps, deviation_threshold=1.0).removed, "Sample") == ["Sample1"]
-    assert values(filters.by_feature_count(gaps, deviation_threshold=0.3).removed, "Sample") == ["Sample1", "Sample4"]
+    assert values(filters.by_intensity_sum(gaps, deviation_threshold=1.0).removed, "Sample") == ["Sample1"]
+    # counts 4, 5, 2, 1: median 3, deviation 1.826
+    assert values(filters.by_feature_count(gaps, deviation_threshold=1.0).removed, "Sample") == ["Sample2", "Sample4"]
+    assert values(filters.by_feature_count(gaps, deviation_threshold=0.3).removed, "Sample") == ["Sample1", "Sample2", "Sample3", "Sample4"]
 
 
 def test_single_sample_has_no_band(long):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from assayloom.operators import sequences as sq
@@ -20,14 +22,17 @@ def graph(spark):
     return make
 
 
+#: Letters by node, edges, and offsets. Own shapes: a run, a choice of three, a bridge over two nodes, and a ladder.
 GRAPHS = {
-    "line": (dict(zip("012", ["", "ABCDEFG", ""])), ["01", "12"], {"0": 0, "1": 0, "2": 7}),
-    "routes": (dict(zip("012345", ["", "ABC", "D", "E", "FG", ""])), ["01", "12", "13", "24", "34", "45"], {"0": 0, "1": 0, "2": 3, "3": 3, "4": 4, "5": 6}),
-    "shortcut": (dict(zip("01234", ["", "ABC", "D", "E", ""])), ["01", "12", "13", "23", "34"], {"0": 0, "1": 0, "2": 3, "3": 4, "4": 5}),
-    "complex": (
-        dict(zip("0123456789", ["", "ABC", "D", "E", "F", "H", "I", "L", "RS", ""])),
-        ["01", "12", "13", "24", "25", "35", "36", "67", "48", "58", "78", "89"],
-        {"0": 0, "1": 0, "2": 3, "3": 3, "4": 4, "5": 4, "6": 4, "7": 5, "8": 6, "9": 8},
+    "line": (dict(zip("012", ["", "MKVLIQW", ""])), ["01", "12"], {"0": 0, "1": 0, "2": 7}),
+    "choice": (
+        dict(zip("0123456", ["", "TRN", "H", "YY", "P", "SG", ""])), ["01", "12", "13", "14", "25", "35", "45", "56"],
+        {"0": 0, "1": 0, "2": 3, "3": 3, "4": 3, "5": 5, "6": 7},
+    ),
+    "bridge": (dict(zip("012345", ["", "WF", "C", "D", "QQQQ", ""])), ["01", "12", "23", "35", "14", "45"], {"0": 0, "1": 0, "2": 2, "3": 3, "4": 2, "5": 6}),
+    "ladder": (
+        dict(zip("01234567", ["", "A", "V", "LL", "I", "M", "K", ""])), ["01", "02", "12", "13", "23", "24", "34", "35", "45", "46", "56", "67"],
+        {"0": 0, "1": 0, "2": 1, "3": 2, "4": 4, "5": 5, "6": 6, "7": 7},
     ),
 }
 
@@ -53,6 +58,47 @@ def test_offsets_and_index(graph, spark, name):
     assert "shorter" in sq.check_graph(made, offsets, off).first()["problem"]
 
 
+def _longest(letters, edges):
+    """Offsets by brute force: relax edges until nothing grows."""
+    offset = {n: 0 if n == "0" else None for n in letters}
+    for _ in letters:
+        for a, b in edges:
+            if offset[a] is not None:
+                offset[b] = max(offset[b] if offset[b] is not None else 0, offset[a] + len(letters[a]))
+    return offset
+
+
+def test_offsets_of_random_graphs(spark):
+    rng = random.Random(5)
+    nodes, edges, want = [], [], {}
+    for p in range(40):
+        n = rng.randint(2, 9)
+        letters = {str(i): "" if i in (0, n - 1) else rng.choice(["", "A", "KLM", "QRSTV"]) for i in range(n)}
+        # some nodes are entered by none, some lie behind those
+        joined = [(str(i), str(j)) for j in range(1, n) for i in range(j) if rng.random() < rng.choice([0.1, 0.3, 0.8])]
+        nodes += [(f"p{p}", i, 0, t, "start" if i == "0" else "end" if i == str(n - 1) else "reference") for i, t in letters.items()]
+        edges += [(f"p{p}", a, b) for a, b in joined]
+        want |= {(f"p{p}", i): o for i, o in _longest(letters, joined).items()}
+    made = sq.Graph(
+        spark.createDataFrame(nodes, "protein_id string, node_id string, pos int, seq string, kind string"),
+        spark.createDataFrame(edges, "protein_id string, src string, dst string"),
+    )
+    assert {(r["protein_id"], r["node_id"]): r["offset"] for r in sq.node_offsets(made).collect()} == want
+
+
+def test_thousands_of_variants_in_a_row_take_few_rounds(spark, monkeypatch):
+    n = 5000
+    proteins = spark.createDataFrame([("P", "A" * n, n)], "protein_id string, seq string, seq_len int")
+    variants = spark.range(1, n + 1).selectExpr("'P' as protein_id", "cast(id as int) as pos", "cast(id as int) as end_pos", "'A' as ref", "if(id % 3 = 0, 'CC', 'C') as alt", "'x' as note")
+    made = sq.variation_graph(proteins, variants)
+    cuts = []  # tables written: a round of doubling writes one, each of the two steps three
+    monkeypatch.setattr(sq, "written", lambda df, label, real=sq.written: cuts.append(1) or real(df, label))
+    found = {r["node_id"]: r["offset"] for r in sq.node_offsets(made).collect()}
+    # every third place is two letters long on the longest path
+    assert found[sq.END] == n + n // 3 and len(found) == 2 * n + 2
+    assert len(cuts) <= 25
+
+
 def test_unreachable_node(graph, spark):
     made = graph(dict(zip("0123", ["", "AB", "C", ""])), ["01", "13", "23"])
     lengths = spark.createDataFrame([("p", 2)], "protein_id string, seq_len int")
@@ -85,13 +131,13 @@ def _matches(graph, spark, name, seeds, allowed=2, change=None):
 
 
 def test_matches(graph, spark):
-    assert _matches(graph, spark, "line", [("ABC", 0), ("EFG", 4)]) == {("ABC", 0): ({"1": (0, 2)}, 0), ("EFG", 4): ({"1": (4, 6)}, 0)}
-    two = _matches(graph, spark, "routes", [("AB", 0), ("AB", 4)], change={"4": "AB"})
-    assert two == {("AB", 0): ({"1": (0, 1)}, 0), ("AB", 4): ({"4": (0, 1)}, 0)}
-    through = _matches(graph, spark, "routes", [("ABCEA", 0)], change={"4": "AB"})
-    assert through == {("ABCEA", 0): ({"1": (0, 2), "3": (0, 0), "4": (0, 0)}, 0)}
-    assert _matches(graph, spark, "line", [("ABXXE", 0)], allowed=2)[("ABXXE", 0)][1] == 2
-    assert _matches(graph, spark, "line", [("ABXXE", 0)], allowed=1) == {}
+    assert _matches(graph, spark, "line", [("MKV", 0), ("IQW", 4)]) == {("MKV", 0): ({"1": (0, 2)}, 0), ("IQW", 4): ({"1": (4, 6)}, 0)}
+    two = _matches(graph, spark, "choice", [("TR", 0), ("TR", 5)], change={"5": "TR"})
+    assert two == {("TR", 0): ({"1": (0, 1)}, 0), ("TR", 5): ({"5": (0, 1)}, 0)}
+    through = _matches(graph, spark, "choice", [("TRNYYS", 0)])
+    assert through == {("TRNYYS", 0): ({"1": (0, 2), "3": (0, 1), "5": (0, 0)}, 0)}
+    assert _matches(graph, spark, "line", [("MKXXI", 0)], allowed=2)[("MKXXI", 0)][1] == 2
+    assert _matches(graph, spark, "line", [("MKXXI", 0)], allowed=1) == {}
 
 
 def _hits(spark, rows):
@@ -115,8 +161,8 @@ def test_a_nested_hit_does_not_shrink_a_contig(spark):
 
 
 @pytest.mark.parametrize("spans, pieces", [
-    ([("1", 0, 2)], [("ABC", True), ("DEFG", False)]), ([("1", 4, 6)], [("ABCD", False), ("EFG", True)]), ([("1", 0, 6)], [("ABCDEFG", True)]),
-    ([("1", 1, 2), ("1", 4, 5)], [("A", False), ("BC", True), ("D", False), ("EF", True), ("G", False)]),
+    ([("1", 0, 1)], [("MK", True), ("VLIQW", False)]), ([("1", 5, 6)], [("MKVLI", False), ("QW", True)]), ([("1", 0, 6)], [("MKVLIQW", True)]),
+    ([("1", 2, 2), ("1", 4, 5)], [("MK", False), ("V", True), ("L", False), ("IQ", True), ("W", False)]),
 ])
 def test_split_nodes(graph, spark, spans, pieces):
     letters, edges, offsets = GRAPHS["line"]
@@ -129,11 +175,11 @@ def test_split_nodes(graph, spark, spans, pieces):
 
 
 def test_split_nodes_keeps_branches(graph, spark):
-    letters, edges, offsets = GRAPHS["routes"]
-    merged = spark.createDataFrame([("p", "1", 2, 2), ("p", "2", 0, 0), ("p", "4", 0, 0)], "protein_id string, node_id string, first int, last int")
+    letters, edges, offsets = GRAPHS["choice"]
+    merged = spark.createDataFrame([("p", "1", 1, 2), ("p", "3", 1, 1), ("p", "5", 0, 0)], "protein_id string, node_id string, first int, last int")
     split = sq.split_nodes(graph(letters, edges, offsets), merged)
     assert {(r["src"], r["dst"]) for r in split.edges.collect()} == {
-        ("0", "1.0"), ("1.0", "1.2"), ("1.2", "2.0"), ("1.2", "3.0"), ("2.0", "4.0"), ("3.0", "4.0"), ("4.0", "4.1"), ("4.1", "5"),
+        ("0", "1.0"), ("1.0", "1.1"), ("1.1", "2.0"), ("1.1", "3.0"), ("1.1", "4.0"), ("3.0", "3.1"), ("2.0", "5.0"), ("3.1", "5.0"), ("4.0", "5.0"), ("5.0", "5.1"), ("5.1", "6"),
     }
 
 
