@@ -79,6 +79,23 @@ def emb1_wide(spark, folder):
     return _length(embed.principal_components_wide(by_min_per_feature(v.nation_grid(spark, folder)), 25).scores)
 
 
+# the largest axis by power iteration: 25 nations, so the products of rows are 25 lists of 25 numbers
+@query("emb1_principal_components_first", f"""with recursive {v.NATION_GRID}, f as (select p, min(x) v from i group by p having count(x) > 0),
+ g as (select i.s, i.p, coalesce(x, v) x from i join f on f.p = i.p), m as (select p, avg(x) m from g group by p), z as materialized (select s, p, x - m z from g join m using (p)),
+ q as (select a.s, b.s t, sum(a.z * b.z) g from z a join z b on a.p = b.p group by 1, 2), w as (select s, list(g order by t) r from q group by s),
+ k as materialized (select list(r order by s) a, list(s order by s) ids, list_sum(list_transform(range(1, count(*) + 1), lambda j: list(r order by s)[j][j])) total from w),
+ h as (select 0 n, a[1] u from k union all select n + 1, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b)))
+   from (select n, list_transform(a, lambda r: list_dot_product(r, u)) b from h, k where n < 1000)),
+ e as (select u, list_transform(a, lambda r: list_dot_product(r, u)) b, ids, total from h, k where n = 1000),
+ d as (select unnest(ids) id, unnest(u) x, list_dot_product(u, b) l, total from e)
+ select id, round(abs(x) * sqrt(l), 1) as first, round(l / total, 6) as share from d""")
+def emb1_first(spark, folder):
+    """The first of three components of some thousand features, and its share of all variance."""
+    found = embed.principal_components_wide(by_min_per_feature(v.nation_grid(spark, folder)), 3)
+    share = found.explained.filter("component = 'component_1'").select(F.round("variance_ratio", 6).alias("share"))
+    return found.scores.select("id", F.round(F.abs("component_1"), 1).alias("first")).crossJoin(share)  # a single row
+
+
 @query("emb1_explained_variance", f"""with {_VECTORS}, u as (select unnest(v) x, generate_subscripts(v, 1) k from e), t as (select sum(z) z from (select var_pop(x) z from u group by k))
  select round(z, 6) as total, true as falling, true as whole from t""")
 def emb1_explained(spark, folder):

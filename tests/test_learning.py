@@ -131,6 +131,43 @@ def test_both_forms_of_principal_components_agree(spark):
     assert flags[0] == flags[1] and any(flags[0].values())
 
 
+def _scores(found, k):
+    return found.scores.orderBy("id").toPandas()[[f"component_{i + 1}" for i in range(k)]].to_numpy()
+
+
+@pytest.mark.parametrize("gram", [1024, 8])
+def test_components_of_noise_are_those_of_a_full_decomposition(spark, monkeypatch, gram):
+    """No gap between the variances: the hard case of any iteration."""
+    monkeypatch.setattr(embed, "GRAM", gram)
+    x = np.random.default_rng(3).normal(size=(60, 80))
+    df = spark.createDataFrame([(f"s{i:02}", f"p{j}", float(x[i, j])) for i in range(60) for j in range(80)], "Sample string, `Protein ID` string, Intensity double")
+    found = embed.principal_components_wide(df, 2)
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0))
+    assert np.allclose(np.abs(_scores(found, 2)), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+    assert np.allclose([r[1] for r in found.explained.orderBy("component").collect()], s[:2] ** 2 / (s ** 2).sum(), atol=1e-9)
+
+
+def test_components_of_several_blocks_with_gaps(spark, monkeypatch):
+    monkeypatch.setattr(embed, "GRAM", 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 20)) * np.r_[20, 9, 4, np.ones(17)]
+    gone = rng.random(x.shape) < 0.1
+    rows = [(f"s{i:03}", f"p{j}", float(x[i, j])) for i in range(300) for j in range(20) if not gone[i, j]]
+    found = embed.principal_components_wide(spark.createDataFrame(rows, "Sample string, `Protein ID` string, Intensity double"), 3)
+    held = np.where(gone, np.nan, x)
+    centred = np.nan_to_num(held - np.nanmean(held, axis=0))  # absent cells lie at the mean
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(_scores(found, 3)), np.abs(u[:, :3] * s[:3]), atol=1e-6)
+
+
+def test_more_components_than_samples_are_zero(spark, monkeypatch):
+    rows = [("a", "p", 1.0), ("a", "q", 2.0), ("b", "p", 3.0), ("b", "q", 2.0)]
+    df = spark.createDataFrame(rows, "Sample string, `Protein ID` string, Intensity double")
+    for gram in (1024, 1):
+        monkeypatch.setattr(embed, "GRAM", gram)
+        assert np.allclose(np.abs(_scores(embed.principal_components_wide(df, 3), 3)), [[1, 0, 0], [1, 0, 0]], atol=1e-7)
+
+
 # ------------------------------------------------------------ classification
 
 
