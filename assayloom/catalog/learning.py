@@ -218,6 +218,16 @@ def clu3(spark, folder):
     return sizes.agg(F.sum("n").alias("samples"), F.count("*").cast("int").alias("clusters"), (F.min("n") > 0).alias("none_empty"))
 
 
+@query("clu3_single_linkage", f"""with recursive {v.BY_BRAND}, d as materialized (select a.s a, b.s b, sqrt(sum((a.x - b.x) ** 2)) h from i a join i b on a.p = b.p and a.s <> b.s group by 1, 2),
+ t as (select [(select min(s) from i)] seen, 0.0::double h union all
+  select list_append(seen, n.b), n.h from (select seen, arg_min(b, (d.h, b)) b, min(d.h) h from t join d on list_contains(seen, d.a) and not list_contains(seen, d.b) group by seen) n)
+ select round(h, 3) as height, count(*) as merges from t where len(seen) > 1 group by 1""")
+def clu3_single(spark, folder):
+    """Merge heights of single linkage: the edges of the minimum spanning tree."""
+    tree = cluster.spanning_tree(to_vectors(v.by_brand(spark, folder)))
+    return tree.groupBy(F.round("height", 3).alias("height")).agg(F.count("*").alias("merges"))
+
+
 _LABELLED = """p as (select vec_id id, label truth, (case when embedding[1] > 0 then 2 else 0 end + case when embedding[2] > 0 then 1 else 0 end) pred from embeddings)"""
 _CONTINGENCY = f"""{_LABELLED}, n as (select truth, pred, count(*) n from p group by 1, 2), a as (select truth, sum(n) a from n group by 1), b as (select pred, sum(n) b from n group by 1),
  t as (select sum(n)::double t from n),

@@ -13,17 +13,22 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from assayloom.operators.reshape import numbered
 from assayloom.operators.vectors import with_ml_vector
 from assayloom.plans.blocks import BLOCKS_HELD, distance_matrix, every_block_pair, pack_vectors, stack
-from assayloom.plans.storage import cut
+from assayloom.plans.storage import cut, written
 from assayloom.schema import col
 
 
+#: Rows of a block whose distances to those of another are taken at once.
+ROWS_OF_BLOCK = 512
+
+
 class Clusters(NamedTuple):
     labels: DataFrame  # (id, label)
     centres: DataFrame | None  # (label, position, value)
@@ -78,13 +83,142 @@ def expectation_maximisation(
     return Clusters(found.select("id", "label"), None, probabilities, model)
 
 
-def hierarchical(vectors: DataFrame, n_clusters: int = 2, *, metric: str = "euclidean", seed: int = 42) -> Clusters:
-    """Top-down hierarchy: the largest cluster is split in two until there are enough."""
+def hierarchical(vectors: DataFrame, n_clusters: int = 2, *, metric: str = "euclidean", linkage: str = "bisecting", seed: int = 42) -> Clusters:
+    """A hierarchy, cut where it has ``n_clusters``.
+
+    ``bisecting`` goes top-down: the largest cluster is split in two until there are
+    enough. ``single`` goes bottom-up by nearest members (see ``spanning_tree``), for
+    the euclidean metric: without its heaviest edges the tree falls into the clusters,
+    which are numbered by their first member.
+    """
     rows = _checked(vectors, n_clusters)
+    if linkage == "single":
+        if metric != "euclidean":
+            raise ValueError("single linkage takes the euclidean metric")
+        return Clusters(_cut_tree(vectors, spanning_tree(vectors), n_clusters), None)
+    if linkage != "bisecting":
+        raise ValueError(f"unknown linkage {linkage!r}: bisecting or single")
     model = BisectingKMeans(k=n_clusters, distanceMeasure=metric, seed=seed, predictionCol="label", maxIter=50).fit(rows)
     return Clusters(model.transform(rows).select("id", "label"), _centres(rows, model.clusterCenters()), None, model)
 
 
+def _contracted(labels: DataFrame, best: DataFrame) -> DataFrame:
+    """Labels (n, c) after each component joined the one its best edge (c, other) leads to.
+
+    Best edges follow one strict order, so the only cycles are pairs that chose each
+    other; of a pair the smaller becomes the root, and pointers are doubled to it.
+    """
+    back = best.select(F.col("c").alias("other"), F.col("other").alias("back"))
+    root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("other"))
+    ends = written(best.join(back, "other", "left").select("c", F.when(root, F.col("c")).otherwise(F.col("other")).alias("end")), "ends")
+    while True:
+        further = ends.select(F.col("c").alias("end"), F.col("end").alias("next"))
+        moved = written(ends.join(further, "end", "left").select("c", F.coalesce("next", "end").alias("next"), "end"), "ends")
+        ends = moved.select("c", F.col("next").alias("end"))
+        if moved.filter("next <> end").isEmpty():
+            return written(labels.join(ends, "c", "left").select("n", F.coalesce("end", "c").alias("c")), "labels")
+
+
+def _nearest_outside(pairs: DataFrame) -> DataFrame:
+    """(c, d, lo, hi): per pair of blocks the shortest way out of each component, from differences, not products."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                n, m, cn, cm = (np.asarray(x, dtype=np.int64) for x in (row.na, row.nb, row.ca, row.cb))
+                if cn.min() == cn.max() == cm.min() == cm.max():
+                    continue
+                a, b = np.stack(row.va), np.stack(row.vb)
+                # what is best so far for each row of b
+                best = np.full(len(m), np.inf), np.full(len(m), -1), np.full(len(m), -1)
+                for i in range(len(n)):
+                    apart = np.flatnonzero(cm != cn[i])
+                    if not len(apart):
+                        continue
+                    d = ((b[apart] - a[i]) ** 2).sum(axis=1)
+                    lo, hi = np.minimum(m[apart], n[i]), np.maximum(m[apart], n[i])
+                    first = np.lexsort((hi, lo, d))[0]
+                    out.append((cn[i], d[first], lo[first], hi[first]))
+                    bd, bl, bh = (x[apart] for x in best)
+                    less = (d < bd) | (d == bd) & ((lo < bl) | (lo == bl) & (hi < bh))
+                    for held, new in zip(best, (d, lo, hi)):
+                        held[apart[less]] = new[less]
+                out += [(c, *e) for c, *e in zip(cm, *best) if e[1] >= 0]
+                out = _least(out) if out else out
+            if out:
+                yield pd.DataFrame(_least(out), columns=["c", "d", "lo", "hi"])
+
+    return pairs.mapInPandas(found, "c long, d double, lo long, hi long")
+
+
+def _least(edges: list) -> list:
+    """Of edges (c, d, lo, hi) the first of each component."""
+    c, d, lo, hi = (np.array(x) for x in zip(*edges))
+    order = np.lexsort((hi, lo, d, c))
+    first = order[np.r_[True, c[order][1:] != c[order][:-1]]]
+    return list(zip(c[first], d[first], lo[first], hi[first]))
+
+
+def spanning_tree(vectors: DataFrame) -> DataFrame:
+    """(a, b, height): the minimum spanning tree of (id, vec) rows by euclidean distance, a row per merge of single linkage.
+
+    Rounds of Boruvka: blocks of rows are compared pair by pair, every component finds
+    its shortest way out, and components that are joined become one; they at least halve,
+    so rounds are logarithmic, each over all pairs of blocks that aren't one component.
+    Equal distances are taken by the order of the ids' numbers, so results repeat.
+    """
+    numbers = written(numbered(vectors, "id", "n"), "numbers")
+    packed = vectors.join(numbers, "id").groupBy(F.expr(f"n div {ROWS_OF_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "vec"))).alias("rows"))
+    blocks = written(packed.select("block", F.col("rows.n").alias("n"), F.col("rows.vec").alias("v")), "blocks")
+    labels, tree = numbers.select("n", F.col("n").alias("c")), None
+    while True:
+        parts = labels.groupBy(F.expr(f"n div {ROWS_OF_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("rows"))
+        held = written(blocks.join(parts.select("block", F.col("rows.c").alias("c")), "block"), "held")
+        a, b = (held.select(F.col("block").alias(f"b{x}"), *[F.col(y).alias(f"{y}{x}") for y in "nvc"]) for x in "ab")
+        # a stated all-pairs comparison, block by block
+        pairs = a.join(b, F.col("ba") <= F.col("bb"))
+        best = _nearest_outside(pairs).groupBy("c").agg(F.min(F.struct("d", "lo", "hi")).alias("e")).select("c", "e.*")
+        best = written(best, "best")
+        if best.isEmpty():
+            break
+        new = best.select("lo", "hi", "d").distinct()
+        tree = new if tree is None else tree.unionByName(new)
+        labels = _contracted(labels, _led(best, labels))
+    if tree is None:
+        tree = numbers.limit(0).select(F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0.0).alias("d"))
+    first, second = (numbers.select(F.col("n").alias(x), F.col("id").alias(y)) for x, y in (("lo", "a"), ("hi", "b")))
+    return tree.join(first, "lo").join(second, "hi").select("a", "b", F.sqrt("d").alias("height"))
+
+
+def _led(best: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c, other): which component the best edge of each leads to."""
+    ends = [labels.select(F.col("n").alias(x), F.col("c").alias(f"c{x}")) for x in ("lo", "hi")]
+    return best.join(ends[0], "lo").join(ends[1], "hi").select("c", F.when(F.col("clo") == F.col("c"), F.col("chi")).otherwise(F.col("clo")).alias("other"))
+
+
+def _cut_tree(vectors: DataFrame, tree: DataFrame, n_clusters: int) -> DataFrame:
+    """(id, label): what hangs together without the heaviest edges of the tree."""
+    numbers = written(numbered(vectors, "id", "n"), "numbers")
+    lo, hi = (numbers.select(F.col("id").alias(x), F.col("n").alias(y)) for x, y in (("a", "lo"), ("b", "hi")))
+    edges = written(tree.join(lo, "a").join(hi, "b").select("lo", "hi", F.col("height").alias("d")), "edges")
+    # as many rows as clusters are asked for
+    heavy = edges.orderBy(F.desc("d"), F.desc("lo"), F.desc("hi")).limit(n_clusters - 1).select("lo", "hi")
+    kept = written(edges.join(heavy, ["lo", "hi"], "left_anti"), "kept")
+    labels = numbers.select("n", F.col("n").alias("c"))
+    while True:
+        ends = [labels.select(F.col("n").alias(x), F.col("c").alias(f"c{x}")) for x in ("lo", "hi")]
+        open_ = kept.join(ends[0], "lo").join(ends[1], "hi").filter("clo <> chi").select("d", "lo", "hi", F.explode(F.array("clo", "chi")).alias("c"))
+        best = written(open_.groupBy("c").agg(F.min(F.struct("d", "lo", "hi")).alias("e")).select("c", "e.*"), "best")
+        if best.isEmpty():
+            break
+        labels = _contracted(labels, _led(best, labels))
+    placed = numbers.join(labels, "n")
+    order = placed.groupBy("c").agg(F.min("id").alias("first"))
+    ranked = order.withColumn("label", F.row_number().over(Window.orderBy("first")) - 1)  # a row per cluster
+    return placed.join(ranked, "c").select("id", "label")
+
+
 # -------------------------------------------------------- against known labels
 
 

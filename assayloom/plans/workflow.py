@@ -365,8 +365,8 @@ def _em(protein_df, n_components=1, max_iter=100, random_state=42, model_selecti
 
 @step("ClusteringHierarchicalAgglomerative", "cluster_labels_df")
 def _hac(protein_df, n_clusters=2, metric="euclidean", linkage="bisecting", model_selection="Manual", model_selection_scoring="silhouette_score", n_iter=10):
-    _only("linkage", linkage, "bisecting")  # clusters are split from the top, not joined by a linkage
-    return _searched(_vectors(protein_df), "hierarchical", {"n_clusters": n_clusters}, model_selection, model_selection_scoring, n_iter, {"metric": metric})
+    _only("linkage", linkage, "bisecting", "single")
+    return _searched(_vectors(protein_df), "hierarchical", {"n_clusters": n_clusters}, model_selection, model_selection_scoring, n_iter, {"metric": metric, "linkage": linkage})
 
 
 def _labelled(protein_df, metadata_df, labels_column, positive_label):

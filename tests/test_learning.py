@@ -131,6 +131,38 @@ def test_both_forms_of_principal_components_agree(spark):
     assert flags[0] == flags[1] and any(flags[0].values())
 
 
+def _single(points, k):
+    """Merge heights, and the partition into k clusters, by joining the nearest two clusters again and again."""
+    clusters, heights, cut = [[i] for i in range(len(points))], [], None
+    while len(clusters) > 1:
+        if len(clusters) == k:
+            cut = sorted(map(sorted, clusters))
+        far = lambda a, b: min(((points[i] - points[j]) ** 2).sum() for i in a for j in b)
+        d, i, j = min((far(a, b), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters[:i]))
+        heights.append(np.sqrt(d))
+        clusters[j] += clusters.pop(i)
+    return sorted(heights), cut or sorted(map(sorted, clusters))
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_single_linkage_is_that_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "ROWS_OF_BLOCK", block)
+    rng = np.random.default_rng(6)
+    # two chains that no centre describes, a cloud, and a copy
+    points = np.concatenate([np.c_[np.arange(12), rng.normal(0, 0.1, 12)], np.c_[np.arange(12), 4 + rng.normal(0, 0.1, 12)], rng.normal(30, 0.5, (8, 2)), [[30.0, 33.0]]])
+    points = np.concatenate([points, points[-1:]])
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, vec array<double>")
+    heights, parts = _single(points, 4)
+    tree = cluster.spanning_tree(df).collect()
+    assert np.allclose(sorted(r["height"] for r in tree), heights)
+    found = {}
+    for r in cluster.hierarchical(df, 4, linkage="single").labels.collect():
+        found.setdefault(r["label"], []).append(r["id"])
+    assert sorted(map(sorted, found.values())) == parts
+    with pytest.raises(ValueError):
+        cluster.hierarchical(df, 4, linkage="ward")
+
+
 def _scores(found, k):
     return found.scores.orderBy("id").toPandas()[[f"component_{i + 1}" for i in range(k)]].to_numpy()
 
