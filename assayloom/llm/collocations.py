@@ -40,6 +40,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 25
 FILE = {"maxRecordsPerFile": 16, "compression": "zstd"}
 #: Groups that a task counts at once, and that are counted together on average.
 HELD, PART = 1 << 21, 1 << 21
+#: Below so many ids two of them make one 64-bit number.
+PACKED = 1 << 31
 #: Characters of a text that are cut at once.
 SLICE = 1 << 20
 
@@ -351,7 +353,7 @@ def frequent_phrases(documents: DataFrame, lang: str = "lang", text: str = "text
     for k in range(2, longest + 1):
         state = saved(_extended(state, found, keys, k == longest), "occurrences", **FILE)
         keys = ["left", "right"]
-        found, ids = _numbered(_counted(state, minimum) if ids < 1 << 31 else summed(keys))
+        found, ids = _numbered(_counted(state, minimum) if ids < PACKED else summed(keys))
         left = lengths[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("firsts", F.array("f")).alias("firsts"))
         right = lengths[-1].select(F.col("id").alias("right"), "last", F.concat(F.array("f"), "rests").alias("rests"))
         named = found.join(left, "left").join(right, "right")
