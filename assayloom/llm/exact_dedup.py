@@ -5,8 +5,11 @@ by key and bytes, which tasks do on their own rows before anything is moved, so
 text with any number of copies is one entry per task. The entries make up the
 index: a directory over the leading bits of the key points to buckets, a bucket
 with too many entries is split by its next bit, and where that bit is beyond the
-directory's depth the directory doubles. Buckets are key ranges; each is owned by
-one task, which chains texts that share a key and picks the row that stays.
+directory's depth the directory doubles, up to 16 bits. Buckets are key ranges;
+each is owned by one task, which numbers the texts that share a key and picks the
+row that stays. Bytes are compared in the first grouping only; after that texts are
+told apart, and rows are matched with entries, by the SHA-256 of the normalised
+form. Rows don't look their entry up through the directory.
 
 Everything is DataFrame functions: no Python runs on the executors.
 """
@@ -129,7 +132,12 @@ def classes(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The rows that stay, with their own columns."""
+    """The rows that stay, with their own columns.
+
+    Null texts are empty ones, and all empty texts are equal. Of rows that repeat a
+    doc_id and a text one stays; rows without doc_id are rows like others. Texts of any
+    length are compared whole; an empty table stays empty.
+    """
     small_batches(documents.sparkSession)
     pin, turn, points = fresh(documents, "pin", "turn", "points")
     index = build(documents, bucket)

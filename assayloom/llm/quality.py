@@ -149,6 +149,10 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with their own columns."""
+    """The rows whose score reaches the threshold, with their own columns.
+
+    Null and empty texts have the score of no evidence; whole texts of any length are
+    scored; repeated rows are judged each.
+    """
     (name,) = fresh(documents, "good_score")
     return documents.withColumn(name, probability(model, F.col("text"))).filter(F.col(name) >= threshold).drop(name)
