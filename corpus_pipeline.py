@@ -23,23 +23,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.5. The model is fitted on labelled documents of ``sf_dir``."""
+    """Documents whose toxicity score stays below 0.5. The model is fitted on labelled documents of ``sf_dir``.
+
+    Null and empty texts score as texts of no evidence; repeated rows are judged each.
+    """
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space one: that with the most code points, then the smallest doc_id."""
+    """Of texts that are equal without white space one: that with the most code points, then the smallest doc_id.
+
+    A null text is an empty one. Of rows that repeat a doc_id and a text one stays; rows without doc_id take part.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more over five-word shingles that with the smallest doc_id."""
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles that with the smallest doc_id.
+
+    Texts without words are linked with nothing and stay, as do rows without doc_id; of rows that repeat a doc_id one stays.
+    """
     return near_dedup.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and where each lies: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Pieces of at most 4096 tokens and where each lies: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    A null or empty text is one piece, of the end mark alone; each of repeated rows is packed.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
