@@ -36,7 +36,7 @@ def _exact(rows):
 
 ROWS = [
     (5, "a b"), (1, "ab"), (2, "a  b"), (3, " a b"), (4, None), (6, ""), (7, " \t\n"), (8, "x" * 100_000), (9, "x" * 100_000),
-    (10, "a b"), (None, "ab"), (None, "alone"), (None, "alone"), (11, "é"), (12, "é"), (13, "twice"), (13, "twice"), (14, "aB"),
+    (10, "a b"), (None, "ab"), (None, "a   b"), (None, "alone"), (None, "alone"), (11, "é"), (12, "é"), (13, "twice"), (13, "twice"), (14, "aB"),
 ]
 
 
@@ -53,26 +53,47 @@ def test_exact_classes_are_those_of_brute_force(spark, bucket):
 
 
 def test_texts_that_share_a_key_are_told_apart(spark):
-    rows = [(i, f"{'ab'[i % 2]}{i % 7}") for i in range(60)]
-    weak = lambda normal: F.length(normal).cast("long")  # noqa: E731 - every text has the same key
+    rows = [(i, f"{'ab'[i % 2]}{i % 7}") for i in range(60)] + [(60, ""), (61, None), (62, "longer"), (63, "l onger")]
+    weak = lambda normal: F.length(normal).cast("long")  # noqa: E731 - texts of a length have the same key
     df = spark.createDataFrame(rows, SCHEMA)
     index = exact_dedup.build(df, bucket=3, key=weak)
-    assert sorted(r["chain"] for r in index.collect()) == list(range(14))
+    assert sorted(r["chain"] for r in index.entries.filter("key = 2").collect()) == list(range(14))
+    assert [r["key"] for r in index.shared.collect()] == [2] and index.entries.filter("text <> ''").count() == 14
     got = exact_dedup.mark(df, index, key=weak).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == _exact(rows)
 
 
+def test_rows_find_their_text_through_directory_and_bytes(spark):
+    df = spark.createDataFrame([(i, f"t {i % 40}") for i in range(120)], SCHEMA)
+    weak = lambda normal: F.xxhash64(F.substring(normal, 2, 1))
+    index = exact_dedup.build(df, bucket=2, key=weak)
+    gone = index.directory.orderBy("leaf").limit(1)
+    held = gone.join(index.entries, ["bucket", "depth"]).agg(F.sum("n")).first()[0]
+    without = index._replace(directory=index.directory.join(gone, "leaf", "left_anti"))
+    assert 0 < held < 120 and exact_dedup.mark(df, without, key=weak).count() == 120 - held
+    blind = index._replace(shared=index.shared.limit(0))
+    assert exact_dedup.mark(df, blind, key=weak).count() < 120
+
+
+def test_the_directory_doubles_as_far_as_keys_ask(spark):
+    near = lambda normal: F.substring(normal, 2, 9).cast("long")  # noqa: E731 - keys that differ in their last bits only
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], SCHEMA)
+    index = exact_dedup.build(df, bucket=4, key=near)
+    assert index.bits == 62 and index.directory.count() == 10
+    assert index.entries.groupBy("depth", "bucket").count().agg(F.max("count")).first()[0] == 4
+    assert exact_dedup.mark(df, index, key=near).filter("kept").count() == 40
+
+
 def test_buckets_split_until_they_are_small(spark):
     rows = exact_dedup.entries(spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text"))
-    found = exact_dedup.directory(rows, bucket=100)
-    joined = rows.withColumn("leaf", exact_dedup._leaf()).join(found, "leaf")
+    found, bits = exact_dedup.directory(rows, bucket=100)
+    joined = exact_dedup._in_buckets(rows, found, bits)
     sizes = {(r["depth"], r["bucket"]): r["count"] for r in joined.groupBy("depth", "bucket").count().collect()}
     assert sum(sizes.values()) == 3000 and max(sizes.values()) <= 100
+    leaves = found.join(rows.groupBy(exact_dedup._leading("key", bits).alias("leaf")).count(), "leaf").collect()
     for depth, bucket in sizes:  # it was overfull before its last split
-        half = 1 << (exact_dedup.DEEPEST - depth)
-        both = joined.filter((F.col("leaf") >= bucket // (2 * half) * 2 * half) & (F.col("leaf") < bucket // (2 * half) * 2 * half + 2 * half)).count()
-        assert both > 100
-        break
+        half = bits - depth + 1
+        assert sum(r["count"] for r in leaves if r["leaf"] >> half == bucket >> half) > 100
 
 
 def test_one_text_is_most_of_the_rows(spark):
