@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.draws import uniform
+from assayloom.operators.kernels import LANDMARKS, KernelMachine
 from assayloom.operators.vectors import with_ml_vector
 from assayloom.plans.prefix import running_totals, same_keys
 from assayloom.plans.storage import cut
@@ -255,11 +256,18 @@ def svm(
     labelled: DataFrame, grid: Mapping[str, Sequence] | None = None, *, c: float = 1.0, tolerance: float = 1e-4, max_iter: int = 100,
     score: str | Sequence[str] = "accuracy", validation: str = "K-Fold", n_splits: int = 5, n_repeats: int = 10, test_size: float = 0.2, stratify: bool = True,
     search: str = "Grid search", n_iter: int = 10, seed: int = 42,
+    kernel: str = "linear", gamma: float | str = "scale", coef0: float = 0.0, degree: int = 3, landmarks: int = LANDMARKS,
 ) -> Fitted:
-    """Linear support vector machine, one against the rest for more than two labels."""
+    """Support vector machine, one against the rest for more than two labels.
+
+    Kernels other than the linear one work on at most ``landmarks`` training rows (see
+    ``kernels``); their grid may name kernel, gamma, coef0, degree, C and landmarks.
+    """
 
     def make(train):
         row = train.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
+        if kernel != "linear":
+            return KernelMachine(kernel, gamma, coef0, degree, c, landmarks, tolerance, max_iter, row["k"], seed)
         return svm_estimator(c, row["n"], tolerance, max_iter, row["k"])
 
     return _classify(labelled, make, grid, score=score, validation=validation, n_splits=n_splits, n_repeats=n_repeats, test_size=test_size,

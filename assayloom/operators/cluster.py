@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from assayloom.operators import mixture
 from assayloom.operators.reshape import numbered
 from assayloom.operators.vectors import with_ml_vector
 from assayloom.plans.blocks import BLOCKS_HELD, distance_matrix, every_block_pair, pack_vectors, stack
@@ -70,13 +71,29 @@ def k_means(
 
 
 def expectation_maximisation(
-    vectors: DataFrame, n_components: int = 1, *, max_iter: int = 100, tolerance: float = 1e-3, seed: int = 42
+    vectors: DataFrame, n_components: int = 1, *, max_iter: int = 100, tolerance: float = 1e-3, seed: int = 42,
+    covariance_type: str = "full", reg_covar: float = 1e-6,
 ) -> Clusters:
-    """Gaussian mixture: the likeliest component and the probability of each."""
+    """Gaussian mixture: the likeliest component and the probability of each.
+
+    Covariances may be ``full``, ``tied`` (one for all components), ``diag`` or
+    ``spherical``; all but the full ones start from k-means (see ``mixture``) and add
+    ``reg_covar`` to every variance.
+    """
+    if covariance_type not in mixture.KINDS:
+        raise ValueError(f"unknown covariance type {covariance_type!r}; known are {mixture.KINDS}")
     rows = _checked(vectors, n_components)
     if n_components == 1:
         labels = rows.select("id", F.lit(0).alias("label"))
         return Clusters(labels, None, rows.select("id", F.lit(0).alias("component"), F.lit(1.0).alias("probability")))
+    if covariance_type != "full":
+        start = k_means(vectors, n_components, n_init=1, seed=seed).labels
+        given = cut(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).join(start, "id"))
+        found, _ = mixture.fit(given, n_components, covariance_type, max_iter=max_iter, tolerance=tolerance, reg_covar=reg_covar)
+        shares = cut(mixture.probabilities(given, found))
+        # the smaller component of equal ones
+        labels = shares.groupBy("id").agg(F.max_by("component", F.struct("probability", -F.col("component"))).alias("label"))
+        return Clusters(labels, None, shares, found)
     model = GaussianMixture(k=n_components, maxIter=max_iter, tol=tolerance, seed=seed, predictionCol="label").fit(rows)
     found = model.transform(rows)
     probabilities = found.select("id", F.posexplode(vector_to_array("probability")).alias("component", "probability"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from assayloom.operators import (
     charts, classify, cluster, embed, enrich, filters, gsea, impute, mapping, normalise, outliers, ptm, sequences, stats,
 )
+from assayloom.operators.kernels import KERNELS
 from assayloom.operators.vectors import require_complete, to_vectors
 from assayloom.schema import FEATURE, SAMPLE, col
 from assayloom.sources import genesets, metadata as metadata_source, sinks, tables
@@ -358,8 +359,9 @@ def _kmeans(protein_df, n_clusters=8, n_init=10, max_iter=300, tolerance=1e-4, r
 
 
 @step("ClusteringExpectationMaximisation", "cluster_labels_df")
-def _em(protein_df, n_components=1, max_iter=100, random_state=42, model_selection="Manual", model_selection_scoring="silhouette_score", n_iter=10):
-    fixed = {"max_iter": max_iter, "seed": random_state}
+def _em(protein_df, n_components=1, max_iter=100, random_state=42, model_selection="Manual", model_selection_scoring="silhouette_score", n_iter=10,
+        covariance_type="full", reg_covar=1e-6):
+    fixed = {"max_iter": max_iter, "seed": random_state, "covariance_type": covariance_type, "reg_covar": reg_covar}
     return _searched(_vectors(protein_df), "expectation_maximisation", {"n_components": n_components}, model_selection, model_selection_scoring, n_iter, fixed)
 
 
@@ -393,12 +395,12 @@ def _rf(protein_df, metadata_df, labels_column="Group", positive_label=None, tes
 @step("ClassificationSVM", "model", "model_evaluation_df")
 def _svm(protein_df, metadata_df, labels_column="Group", positive_label=None, test_size=0.2, C=1.0,  # noqa: N803
          kernel="linear", tolerance=1e-4, max_iter=100, validation_strategy="K-Fold", n_splits=5, n_repeats=10, model_selection="Grid search", grid=None, n_iter=10,
-         model_selection_scoring="accuracy", split_stratify=True, random_state=42):
-    _only("kernel", kernel, "linear")
+         model_selection_scoring="accuracy", split_stratify=True, random_state=42, gamma="scale", coef0=0.0, degree=3):
+    _only("kernel", kernel, "linear", *KERNELS)
     rows, codes = _labelled(protein_df, metadata_df, labels_column, positive_label)
     return _fitted(classify.svm(rows, grid, c=C, tolerance=tolerance, max_iter=max_iter, test_size=test_size, validation=validation_strategy, n_splits=n_splits,
                                 n_repeats=n_repeats, score=model_selection_scoring, stratify=split_stratify, search=model_selection, n_iter=n_iter,
-                                seed=random_state), codes)
+                                seed=random_state, kernel=kernel, gamma=gamma, coef0=coef0, degree=degree), codes)
 
 
 @step("ModelEvaluationClassificationModel", "scores_df")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.operators import classify, cluster, embed, outliers
+from assayloom.operators import classify, cluster, embed, kernels, mixture, outliers
 from assayloom.operators.vectors import to_vectors
 from tests.conftest import values
 
@@ -363,3 +363,79 @@ def test_silhouettes_of_text_labels(spark):
     rows = [(i, [float(i % 2) * 5 + i * 0.01, 1.0], "ab"[i % 2]) for i in range(20)]
     found = cluster.silhouette(spark.createDataFrame(rows, "id long, vec array<double>, label string")).first()[0]
     assert 0.9 < found < 1
+
+
+def _blobs(kind):
+    """Two clouds that touch, stretched as the kind of covariance allows; 7 apart, a million from zero."""
+    rng = np.random.default_rng(11)
+    stretch = {"full": [[3, 1], [0, 0.3]], "tied": [[3, 1], [0, 0.3]], "diag": [[3, 0], [0, 0.3]], "spherical": [[1, 0], [0, 1]]}[kind]
+    x = np.concatenate([rng.normal(size=(80, 2)) @ stretch, rng.normal(size=(40, 2)) @ stretch + [0, 7.0]])
+    return x + 1e6, np.r_[np.zeros(80), np.ones(40)]
+
+
+@pytest.mark.parametrize("kind", mixture.KINDS)
+def test_mixtures_of_each_covariance(spark, kind):
+    x, truth = _blobs(kind)
+    start = np.where(np.arange(120) % 5 == 0, 1 - truth, truth).astype(int)  # a fifth is wrong at first
+    df = spark.createDataFrame([(i, [float(v) for v in p], int(c)) for i, (p, c) in enumerate(zip(x, start))], "id long, vec array<double>, label int").repartition(5)
+    found, seen = mixture.fit(df, 2, kind, max_iter=60, tolerance=1e-7, reg_covar=0.0)
+    assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:])) and len(seen) > 2  # the likelihood never falls
+    got = {(r["id"], r["component"]): r["probability"] for r in mixture.probabilities(df, found).collect()}
+    right = np.mean([round(got[i, 1]) == t for i, t in enumerate(truth)])
+    assert right > 0.97 and all(abs(got[i, 0] + got[i, 1] - 1) < 1e-9 for i in range(120))
+    # one more round by brute force
+    share = np.array([[got[i, c] for c in (0, 1)] for i in range(120)])
+    means = (share.T @ x) / share.sum(axis=0)[:, None]
+    after, _ = mixture.one_round(df, found, 0.0)
+    assert np.allclose(after.means, means, atol=1e-6) and np.allclose(after.weights, share.mean(axis=0))
+    each = [np.cov(x.T, aweights=share[:, c], ddof=0) for c in (0, 1)]
+    want = {"full": np.array(each), "tied": np.tensordot(share.mean(axis=0), each, 1), "diag": np.array([np.diag(e) for e in each]),
+            "spherical": np.array([np.diag(e).mean() for e in each])}[kind]
+    assert np.allclose(after.covariances, want, atol=1e-5)
+
+
+def test_mixture_labels_and_refusals(spark):
+    x, truth = _blobs("diag")
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    found = cluster.expectation_maximisation(df, 2, covariance_type="tied", tolerance=1e-6)
+    labels = {r["id"]: r["label"] for r in found.labels.collect()}
+    agree = np.mean([labels[i] == t for i, t in enumerate(truth)])
+    assert len(labels) == 120 and max(agree, 1 - agree) > 0.97 and found.probabilities.count() == 240
+    with pytest.raises(ValueError):
+        cluster.expectation_maximisation(df, 2, covariance_type="round")
+    wide = spark.createDataFrame([(0, [0.0] * 1200, 0)], "id long, vec array<double>, label int")
+    with pytest.raises(ValueError):
+        mixture.from_labels(wide, 1, "full")
+    assert mixture.from_labels(wide, 1, "diag").covariances.shape == (1, 1200)
+
+
+def test_products_of_mapped_rows_are_kernel_values(spark):
+    x = np.random.default_rng(5).normal(size=(30, 4))
+    x[7] = x[8]  # a copy among the landmarks
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    shape = kernels.kernel(df, "rbf")
+    assert np.isclose(shape.gamma, 1 / (4 * x.var())) and kernels.kernel(df, "rbf", "auto").gamma == 0.25
+    mapped = kernels.fit_map(df, shape)(df.repartition(4)).orderBy("id").toPandas()["mapped"]
+    z = np.array(mapped.tolist())
+    assert np.allclose(z @ z.T, np.exp(-shape.gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2)), atol=1e-6)
+    few = kernels.landmarks(df, 6)
+    assert few.shape == (6, 4) and np.array_equal(few, kernels.landmarks(df.repartition(7), 6))
+    with pytest.raises(ValueError):
+        kernels.landmarks(df, 10**7)
+    with pytest.raises(ValueError):
+        kernels.kernel(df, "laplace")
+    with pytest.raises(ValueError):
+        kernels.kernel(df.limit(0), "rbf")
+
+
+def test_a_ring_needs_a_kernel(spark):
+    rng = np.random.default_rng(2)
+    turn, far = rng.uniform(0, 2 * np.pi, 240), np.r_[rng.uniform(0, 1, 120), rng.uniform(1.5, 2.5, 120)]
+    rows = [(i, [float(r * np.cos(t)), float(r * np.sin(t))], int(i >= 120)) for i, (t, r) in enumerate(zip(turn, far))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    right = lambda found: found.predictions.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+    assert right(classify.svm(df, n_splits=2, max_iter=10)) < 0.75
+    found = classify.svm(df, {"gamma": [1e-6, 1.0]}, kernel="rbf", c=10.0, landmarks=40, n_splits=2, max_iter=15)
+    assert right(found) > 0.9
+    scores = {r["param_gamma"]: r["mean_test_accuracy"] for r in found.evaluation.collect()}
+    assert set(scores) == {"1e-06", "1.0"} and scores["1.0"] > 0.9
