@@ -21,7 +21,8 @@ from pyspark.sql.types import DoubleType
 from assayloom.operators import mixture
 from assayloom.operators.reshape import numbered
 from assayloom.operators.vectors import with_ml_vector
-from assayloom.plans.blocks import BLOCKS_HELD, distance_matrix, every_block_pair, pack_vectors, stack
+from assayloom.plans import balls
+from assayloom.plans.blocks import BLOCKS_HELD, FEW_BLOCKS, VECTORS_PER_BLOCK, distance, distance_matrix, every_block_pair, pack_vectors, side_by_side, stack
 from assayloom.plans.storage import cut, written
 from assayloom.schema import col
 
@@ -399,15 +400,64 @@ def _extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def dunn(labelled: DataFrame) -> DataFrame:
-    """One row: smallest distance between clusters over the largest within one, exact."""
-    packed = pack_vectors(labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "label")
-    found = (
-        every_block_pair(packed).filter("block <= other")
-        .select("q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label")
-        .mapInPandas(_extremes, "between double, within double")
-    )
+    """One row: smallest distance between clusters over the largest within one, exact.
+
+    Branch and bound over a tree of balls per label: pairs of balls that can neither hold
+    the nearest rows of different labels nor the farthest of one are left out unseen.
+    """
     number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    return found.agg(F.try_divide(F.min(number("between")), F.max(number("within"))).alias("dunn_score"))
+
+    def measured(both: DataFrame) -> DataFrame:
+        found = both.select("q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label").mapInPandas(_extremes, "between double, within double")
+        return found.agg(F.min(number("between")).alias("between"), F.max(number("within")).alias("within"))
+
+    rows = labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label")
+    if rows.count() <= FEW_BLOCKS * VECTORS_PER_BLOCK:
+        found = measured(every_block_pair(pack_vectors(rows, "label")).filter("block <= other"))
+        return found.select(F.try_divide("between", "within").alias("dunn_score"))
+    packed, between, within = dunn_blocks(rows)
+    of = lambda pairs: measured(side_by_side(packed, pairs, "ids", "vecs", "label"))
+    # the likeliest pairs first, as many as there are blocks: what they give rules out most others
+    first = packed.count()
+    near = of(between.orderBy("low").limit(first)).first()["between"]
+    far = of(within.orderBy(F.desc("high")).limit(first)).first()["within"]
+    rest = between.filter(F.col("low") <= (math.inf if near is None else near)).unionByName(
+        within.filter(F.col("high") >= (-math.inf if far is None else far)), allowMissingColumns=True
+    )
+    return of(rest).select(
+        F.try_divide(F.least("between", F.lit(near).cast("double")), F.greatest("within", F.lit(far).cast("double"))).alias("dunn_score")
+    )
+
+
+def dunn_blocks(rows: DataFrame, per_block: int = VECTORS_PER_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, the pairs (block, other, low) that may hold the least distance between labels, and
+    those (block, other, high) that may hold the largest within one."""
+    # copies of one label have the same distances
+    placed = balls.grown(rows.dropDuplicates(["label", "vec"]).withColumn("root", F.col("label")), per_block)
+    packed = written(balls.packed(placed, per_block, "label"), "packed")
+    blocks = written(balls.summaries(packed), "blocks")
+    a, b = F.struct("a_root", "a_node"), F.struct("b_root", "b_node")
+    low = F.greatest(F.col("apart") - F.col("a_radius") - F.col("b_radius") - balls.slack(), F.lit(0.0))
+    high = F.col("apart") + F.col("a_radius") + F.col("b_radius") + balls.slack()
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        # some row of either ball is as near
+        return pairs.filter(low <= pairs.agg(F.min(high)).scalar())
+
+    def farthest(pairs: DataFrame) -> DataFrame:
+        # centres are means of rows, so some rows are at least as far apart
+        pairs = pairs.filter(a <= b)
+        return pairs.filter(high >= pairs.agg(F.max(F.col("apart") - balls.slack())).scalar())
+
+    def of_blocks(leaves: DataFrame) -> DataFrame:
+        sides = [blocks.select(*[F.col(c).alias(f"{x}_{c}") for c in ("root", "node", "block", "centre", "radius")]) for x in "ab"]
+        both = leaves.join(sides[0], ["a_root", "a_node"]).join(sides[1], ["b_root", "b_node"])
+        both = both.withColumn("apart", distance(F.col("a_centre"), F.col("b_centre"), "euclidean"))
+        return both.select(F.col("a_block").alias("block"), F.col("b_block").alias("other"), low.alias("low"), high.alias("high"))
+
+    between = of_blocks(balls.followed(blocks, F.col("a_root") < F.col("b_root"), nearest)).drop("high")
+    within = of_blocks(balls.followed(blocks, F.col("a_root") == F.col("b_root"), farthest)).drop("low")
+    return packed, written(between, "between"), written(within, "within")
 
 
 def davies_bouldin(labelled: DataFrame) -> DataFrame:

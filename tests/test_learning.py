@@ -73,6 +73,21 @@ def test_distance_indices_against_numpy(spark):
     assert found["unknown"] is None and found["silhouette_score"] == pytest.approx(np.mean(s))
 
 
+def test_dunn_by_branch_and_bound_sees_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (400, 2)) + c for c in ((0, 0), (30, 0), (0, 40))])
+    x[7] = x[8]  # a copy
+    labels = np.repeat([0, 1, 2], 400)
+    df = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, labels))], "id int, vec array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    same = labels[:, None] == labels[None]
+    packed, between, within = cluster.dunn_blocks(df, 20)
+    blocks = packed.count()
+    assert between.count() + within.count() < blocks * (blocks + 1) / 2 / 5
+    monkeypatch.setattr(cluster, "FEW_BLOCKS", 0)
+    assert cluster.dunn(df).first()[0] == pytest.approx(d[~same].min() / d[same].max())
+
+
 # ------------------------------------------------------------------ outliers
 
 

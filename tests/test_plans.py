@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayloom.functions.draws import normal, shuffled, uniform
-from assayloom.plans import prefix, storage
+from assayloom.plans import balls, blocks, prefix, storage
 from assayloom.plans.blocks import nearest_neighbours
 
 
@@ -121,3 +121,34 @@ def test_scratch_tables_are_cleared(spark):
     assert storage.clear(spark) == 1 and storage.clear(spark) == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_neighbours_by_balls_equal_all_pairs(spark, monkeypatch, metric):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(0, 1, (120, 3)) + c for c in ((0, 0, 9), (40, 0, 1), (0, 50, 2))] + [np.full((90, 3), 7.0), [[1e4, 0, 0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    key = lambda found: {(r["id"], r["rank"]): (r["neighbour"], round(r["distance"], 8)) for r in found.collect()}
+    whole = key(nearest_neighbours(df, 4, metric))
+    few = lambda plain, k, plane: blocks_of(plain, k, plane, 16)
+    blocks_of = blocks.neighbour_blocks
+    monkeypatch.setattr(blocks, "FEW_BLOCKS", 0)
+    monkeypatch.setattr(blocks, "neighbour_blocks", few)
+    assert key(nearest_neighbours(df, 4, metric)) == whole
+
+
+def test_pairs_of_balls_grow_slower_than_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    pairs = []
+    for n in (500, 4000):  # more clusters of a like size, as when data of more kinds come
+        x = rng.normal(0, 1, (n, 2)) + rng.uniform(0, 1e4, (n // 60, 2))[rng.integers(0, n // 60, n)]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+        pairs.append(blocks.neighbour_blocks(df, 3, "euclidean", 25)[1].count())
+    assert pairs[1] < pairs[0] * 8 ** 1.5, pairs  # all pairs would be 64 times as many
+
+
+def test_cells_are_even_but_for_copies(spark):
+    x = [(i, [float(i % 50), float(i * i % 97)]) for i in range(600)] + [(1000 + i, [3.0, 3.0]) for i in range(100)]
+    df = spark.createDataFrame(x, "id long, vec array<double>").withColumn("root", F.lit(0))
+    sizes = [(r["n"], r["copies"]) for r in balls.grown(df, 40).groupBy("root", "node").agg(F.count("*").alias("n"), F.count_distinct("vec").alias("copies")).collect()]
+    assert sum(n for n, _ in sizes) == 700 and all(n <= 40 or copies == 1 for n, copies in sizes)
