@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.catalog import views as v
 from assayloom.catalog.registry import query
+from assayloom.functions.draws import normal
 from assayloom.operators import filters, impute, normalise, reshape
 from assayloom.schema import FEATURE, SAMPLE, col
 
@@ -253,27 +254,30 @@ def imp5(spark, folder):
 
 
 def _drawn(spark, folder, strategy):
-    """Observed cells, and of drawn ones whether they lie within eight deviations of where draws are centred."""
+    """Observed cells, and of drawn ones what is left of the fill without the cell's own draw.
+
+    The draws are known from the keys; taken out with their share of the deviation, they
+    must leave the place where draws are centred, digit by digit.
+    """
     grid = v.nation_grid(spark, folder)
     filled = impute.by_normal_draws(grid, strategy, -1.0, 0.5)
     by = [col(FEATURE)] if strategy == "perProtein" else []
-    logs = grid.groupBy(*by).agg(F.avg(F.log10("Intensity")).alias("m"), F.coalesce(F.stddev(F.log10("Intensity")), F.lit(0.0)).alias("d"))
+    logs = grid.groupBy(*by).agg(F.stddev(F.log10("Intensity")).alias("d"))
     both = filled.withColumnRenamed("Intensity", "now").join(grid, [SAMPLE, FEATURE])
     both = both.join(logs, FEATURE) if by else both.crossJoin(logs)  # one row
-    centre, width = F.col("m") - F.col("d"), 8 * 0.5 * F.col("d") + 1e-6
-    near = F.abs(F.log10("now") - centre) <= width
+    centre = F.log10("now") - 0.5 * F.col("d") * normal(0, col(SAMPLE), col(FEATURE))
     return both.select(
-        col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.round("Intensity", 2).alias("observed"),
-        F.when(F.col("Intensity").isNull(), F.col("now").isNull() | near).otherwise(F.col("now") == F.col("Intensity")).alias("sound"),
+        col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.when(F.col("Intensity").isNotNull(), F.round("now", 2)).alias("observed"),
+        F.when(F.col("Intensity").isNull(), F.round(centre, 6)).alias("centre"),
     )
 
 
-@query("imp6_normal_draws_per_feature", f"with {v.NATION_GRID} select s as sample, p as feature, round(x, 2) as observed, true as sound from i")
+@query("imp6_normal_draws_per_feature", f"with {v.NATION_GRID}, l as (select p, avg(log10(x)) - stddev_samp(log10(x)) z from i group by p having count(x) > 1) select s as sample, p as feature, round(x, 2) as observed, case when x is null then round(z, 6) end as centre from i left join l using (p)")
 def imp6(spark, folder):
     return _drawn(spark, folder, "perProtein")
 
 
-@query("imp7_normal_draws_per_dataset", f"with {v.NATION_GRID} select s as sample, p as feature, round(x, 2) as observed, true as sound from i")
+@query("imp7_normal_draws_per_dataset", f"with {v.NATION_GRID}, l as (select avg(log10(x)) - stddev_samp(log10(x)) z from i) select s as sample, p as feature, round(x, 2) as observed, case when x is null then round(z, 6) end as centre from i, l")
 def imp7(spark, folder):
     return _drawn(spark, folder, "perDataset")
 

@@ -122,6 +122,19 @@ def sta5(spark, folder):
     )
 
 
+@query("sta5_mann_whitney_exact", f"""with {v.BY_NATION}, w as (select n_name s, r_name g from nation join region on n_regionkey = r_regionkey),
+ q as (select p, g, x from c join w using (s) where g in ('EUROPE', 'ASIA')), {_rank_test('q')},
+ a as (select n, m, bit_count(m) k from (select n, unnest(range(0::bigint, 1::bigint << n)) m from (select unnest(range(2, 11)) n))),
+ b as (select k, n - k j, list_sum(list_transform(range(n), lambda i: ((m >> i) & 1) * (i + 1))) - k * (k + 1) / 2 h, count(*) ways from a group by 1, 2, 3)
+ select p as feature, cast(u as double) as u_statistic, round(least(1, 2 * sum(ways) filter (h >= greatest(u, n1 * n2 - u)) / sum(ways)), 9) as p_value
+ from u0 join b on k = n1 and j = n2 where ties = 0 and n1 > 0 and n2 > 0 group by p, u, n1, n2""")
+def sta5_exact(spark, folder):
+    """Nations as samples: up to five against five, of as many sizes as parts have gaps."""
+    nations = v.suppliers(spark, folder).select(F.col("n_name").alias(SAMPLE), F.col("r_name").alias("Group")).distinct()
+    found = stats.mann_whitney(v.by_nation(spark, folder), nations, "Group", "EUROPE", "ASIA", p_value="exact").results
+    return found.select(col(FEATURE).alias("feature"), "u_statistic", F.round("p_value", 9).alias("p_value"))
+
+
 _MODIFICATIONS = f"""{v.PEPTIDES}, {v.GROUPS}, tk as (select s, r t from pep union all select s, t from pep where t <> r),
  mc as (select s, t p, count(*) x from tk group by 1, 2)"""
 

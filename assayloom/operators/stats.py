@@ -300,7 +300,8 @@ def mann_whitney(
     ``p_value`` is ``exact`` (features with ties have none), ``asymptotic`` (normal,
     corrected for ties and continuity), or ``auto``: exact without ties where a
     group has at most eight values, as is usual, else asymptotic. The exact form
-    counts the ways to each rank sum, n1 * n2 numbers for each pair of sizes.
+    counts the ways to each rank sum of the tail asked for, at most n1 * n2 / 2 numbers
+    for a pair of sizes.
 
     Ranks come from running totals over the distinct values of a feature, so
     ties share their average rank without ordering all rows of a feature in one task.

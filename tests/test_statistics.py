@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -94,9 +95,27 @@ def test_exact_u_distribution_counts_arrangements():
 
     n1, n2 = 3, 4
     us = [sum(r) - n1 * (n1 + 1) // 2 for r in combinations(range(1, n1 + n2 + 1), n1)]
-    upper = tails.rank_sum_upper(n1, n2)
+    lower = tails.rank_sum_lower(n1, n2, n1 * n2)
     for u in range(n1 * n2 + 1):
-        assert upper[u] == pytest.approx(sum(x >= u for x in us) / len(us))
+        assert lower[u] == pytest.approx(sum(x <= u for x in us) / len(us))
+    assert tails.rank_sum_lower(n2, n1, 5) == pytest.approx(lower[:6])
+
+
+def test_exact_u_distribution_of_large_groups():
+    # far tails: one arrangement of all has U = 0, one U = 1, two U = 2, three U = 3
+    far = tails.rank_sum_lower(30_000, 8, 3)
+    assert far == pytest.approx(np.array([1, 2, 4, 7]) / math.comb(30_008, 8), rel=1e-12)
+    # half of the arrangements lie on either side of the middle; of 600 there are more than a float can count
+    for n, error in ((200, 1e-12), (600, 1e-6)):
+        middle = tails.rank_sum_lower(n, n, n * n // 2)
+        assert np.all(np.diff(middle) >= 0)
+        assert middle[-1] + middle[-2] == pytest.approx(1.0, abs=error)
+
+
+def test_exact_p_of_a_feature_that_one_group_lacks(long, metadata):
+    table = long({"a": [1, 2, 3, 4], "b": [5, 6, 7, 8]}).filter("not (`Protein ID` = 'b' and Sample in ('Sample1', 'Sample2'))")
+    found = stats.mann_whitney(table, metadata(["x", "x", "y", "y"]), "Group", "x", "y", p_value="exact").results
+    assert column(found, "Protein ID", "p_value") == {"a": 0.3333}
 
 
 def test_incomplete_beta():
