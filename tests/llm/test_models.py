@@ -203,3 +203,77 @@ def test_language_edges(spark, edges):
     assert {r["lang_pred"] for r in language.predict(edges, {}).collect()} == {"und"}
     none = spark.createDataFrame([], SCHEMA + ", lang string")
     assert language.train(none) == {} and language.predict(none, {}).count() == 0
+
+
+TEXTS = [
+    None, "", "12 !!", "ok", "Two words", "You are a WORTHLESS idiot, go away", "the quiet river runs past the mill " * 40,
+    "naïve straße ÀÉ ﬁnd", "x" * 1000, "a b c d e f g", "idiot", "fine, fine; idi0t fine_idiot",
+]
+
+
+def _train_texts():
+    nice = [f"the quiet river {i} runs past the old mill and the garden" for i in range(30)]
+    rude = [f"you worthless idiot {i} shut up and get lost" for i in range(30)]
+    return nice, rude
+
+
+def test_toxicity_scores_equal_the_definition(spark):
+    """Mean of subword vectors per word, mean of neighbouring words, softmax of the worst window: written out plainly."""
+    import math
+    import re
+
+    import numpy as np
+
+    nice, rude = _train_texts()
+    model = toxicity.fit(nice + rude, [0] * 30 + [1] * 30)
+    vectors = np.frombuffer(model.vectors, dtype=np.float32).reshape(-1, toxicity.WIDTH).astype(float)
+
+    def word(w):
+        marked = "<" + w + ">"
+        parts = {marked} | {marked[i:j] for i in range(len(marked)) for j in range(i + 3, min(i + 5, len(marked)) + 1)}
+        return np.mean([vectors[zlib.crc32(p.encode()) % toxicity.BUCKETS] for p in parts], axis=0)
+
+    def plain(text):
+        found = []
+        for run in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            found += [run[i:i + toxicity.PART] for i in range(0, len(run), toxicity.PART)]
+        means = [np.mean([word(w) for w in found[i:i + toxicity.WINDOW]], axis=0) for i in range(len(found))]
+        logits = [float(m @ np.array(model.weights)) for m in means] or [0.0]
+        return 1 / (1 + math.exp(-(max(logits) + model.bias)))
+
+    documents = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents, model).collect()}
+    assert len(got) == len(TEXTS)
+    for i, text in enumerate(TEXTS):
+        assert got[i] == pytest.approx(plain(text), abs=1e-4), text
+    assert plain(TEXTS[5]) > 0.5 > plain(TEXTS[6])
+
+
+def test_quality_scores_equal_the_definition(spark):
+    """Sizes of all chunks under either dictionary, their normalised difference through the curve: written out plainly."""
+    import math
+
+    import zstandard
+
+    nice, rude = _train_texts()
+    model = quality.fit(nice, rude, 30, 30)
+
+    def size(data, dictionary):
+        plain = zstandard.ZstdCompressor(
+            level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        return len(plain.compress(data))
+
+    def plain(text):
+        data, good, bad = (text or "").encode(), 0, 0
+        for start in range(0, len(data), quality.CHUNK):
+            good += size(data[start:start + quality.CHUNK], model.good)
+            bad += size(data[start:start + quality.CHUNK], model.bad)
+        z = model.slope * ((bad - good) / (bad + good) if data else 0.0) + model.intercept
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+    documents = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents, model).collect()}
+    for i, text in enumerate(TEXTS):
+        assert got[i] == pytest.approx(plain(text), abs=1e-9), text
+    assert got[6] > 0.5 > got[5]
