@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayloom.catalog import views as v
+from assayloom.catalog.learning import _VECTORS, _near
 from assayloom.catalog.registry import query
-from assayloom.operators import charts, filters, normalise, stats
+from assayloom.operators import charts, filters, normalise, outliers, stats
 from assayloom.schema import FEATURE, SAMPLE, col
 
 _BOX = "round(min(x), {d}) as low, round(quantile_cont(x, 0.25), {d}) as q1, round(quantile_cont(x, 0.5), {d}) as median, round(quantile_cont(x, 0.75), {d}) as q3, round(max(x), {d}) as high"
@@ -109,12 +110,16 @@ def cht5_band(spark, folder):
     return charts.intensity_band(v.by_part(spark, folder)).withColumnRenamed(SAMPLE, "sample")
 
 
-@query("cht6_scatter_with_colour", """select vec_id as id, round(cast(embedding[1] as double), 6) as component_1, round(cast(embedding[2] as double), 6) as component_2, label as colour from embeddings""")
+@query("cht6_scatter_with_colour", f"""with {_VECTORS}, {_near('euclidean', 20)},
+ k as (select i, max(round(d, 10)) kd from n group by i),
+ l as (select n.i, 1 / (avg(greatest(round(n.d, 10), k.kd)) + 1e-10) lrd from n join k on k.i = n.j group by n.i)
+ select n.i as id, round(-avg(b.lrd) / any_value(a.lrd), 6) as anomaly_score, any_value(e.label) as colour
+ from n join l a on a.i = n.i join l b on b.i = n.j join e on e.id = n.i group by n.i""")
 def cht6(spark, folder):
+    """Anomaly scores of all samples, coloured by their label."""
     rows = v.vectors(spark, folder)
-    scores = rows.select("id", F.get("vec", F.lit(0)).alias("component_1"), F.get("vec", F.lit(1)).alias("component_2"))
-    found = charts.scatter(scores, rows.select(F.col("id").alias(SAMPLE), F.col("label").alias("colour")))
-    return found.select("id", F.round("component_1", 6).alias("component_1"), F.round("component_2", 6).alias("component_2"), "colour")
+    scores = outliers.local_outlier_factor(rows, 20).select("id", F.round("anomaly_score", 6).alias("anomaly_score"))
+    return charts.scatter(scores, rows.select(F.col("id").alias(SAMPLE), F.col("label").alias("colour")))
 
 
 @query("cht7_heat_map_by_feature", f"""with {v.BY_BRAND}, {v.GROUPS}, a as (select p, avg(x) m, stddev_pop(x) d from i group by p)

@@ -149,8 +149,7 @@ def seq6(spark, folder):
  select p as peptide, d as protein_id, i as start, m as mismatches from h where m <= 2""")
 def seq7(spark, folder):
     docs = _sequences(spark, folder)
-    graph = sequences.variation_graph(docs, _commas(spark, folder))
-    found = sequences.match_on_graph(sequences.seeds(docs, _passages(spark, folder), 30), graph, 2)
+    found = sequences.match_sequences(docs, _commas(spark, folder), _passages(spark, folder), 30, 2)
     return found.select("peptide", "protein_id", F.col("start").cast("long").alias("start"), F.col("mismatches").cast("long").alias("mismatches"))
 
 

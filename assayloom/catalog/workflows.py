@@ -27,45 +27,56 @@ def pip1(spark, folder):
     return found.select(col(SAMPLE).alias("sample"), col(FEATURE).alias("feature"), F.round("Normalised Intensity", 6).alias("value"))
 
 
+_LOG = _step("TransformationLog", log_base="log2")
 _CASES = [
-    ("unknown step", [_step("Nothing")]),
-    ("missing setting", [_step("DifferentialExpressionTTest", group1="EUROPE")]),
-    ("unknown setting", [_step("TransformationLog", log_base="log2", colour="red")]),
-    ("unsupported setting", [_step("ClusteringHierarchicalAgglomerative", n_clusters=2, linkage="ward")]),
-    ("sound", [_step("TransformationLog", log_base="log2")]),
+    ("unknown step", [_LOG, _step("Nothing")]),
+    ("missing setting", [_LOG, _step("DifferentialExpressionTTest", group1="EUROPE")]),
+    ("unknown setting", [_LOG, _step("NormalisationByMedian", percentile=0.5, colour="red")]),
+    ("unsupported setting", [_LOG, _step("ClusteringHierarchicalAgglomerative", n_clusters=2, linkage="ward")]),
+    ("sound", [_LOG]),
 ]
 
 
-@query("pip2_checks", f"""with {v.BY_BRAND} select unnest(['unknown step', 'missing setting', 'unknown setting', 'unsupported setting', 'sound']) as "case",
-   unnest([true, true, true, true, false]) as raised, (select count(*) from i) as rows""")
+@query("pip2_checks", f"""with {v.BY_BRAND}, t as (select count(*) n, round(sum(log2(x)), 3) total from i),
+ k as (select unnest(['unknown step', 'missing setting', 'unknown setting', 'unsupported setting', 'sound']) c)
+ select c as "case", case when c = 'sound' then n end as rows, case when c = 'sound' then total end as total from k, t""")
 def pip2(spark, folder):
-    """Which lists of steps are refused, over a table with so many rows."""
-    table = v.by_brand(spark, folder)
-    found = []
+    """What lists of steps leave behind: the rows of a sound one are written, a refused one writes nothing."""
+    table, found = v.by_brand(spark, folder), None
     for name, steps in _CASES:
+        path = scratch_path(spark, "checked")
+        left = spark.range(1)
         try:
-            run_workflow(spark, steps, {"protein_df": table})
-            found.append((name, False))
+            run_workflow(spark, steps, {"protein_df": table}, folder=path, keep=["protein_df"])
+            left = spark.read.parquet(f"{path}/protein_df").agg(F.count("*").alias("rows"), F.round(F.sum("Intensity"), 3).alias("total"))
         except ValueError:
-            found.append((name, True))
-    rows = table.agg(F.count("*")).scalar()
-    return spark.createDataFrame(found, "case string, raised boolean").withColumn("rows", rows)
+            left = left.select(F.lit(None).cast("long").alias("rows"), F.lit(None).cast("double").alias("total"))
+        left = left.select(F.lit(name).alias("case"), "rows", "total")
+        found = left if found is None else found.unionByName(left)
+    return found
 
 
-@query("rsh3_schema_checks", f"""with {v.BY_BRAND}, n as (select count(*) n from i) select unnest(['long', 'long with genes', 'samples']) as "table",
-   unnest([false, true, false]) as is_long, unnest([true, true, false]) as is_intensity, unnest(['Intensity', 'Intensity', null]) as measure, n as rows from n""")
+@query("rsh3_schema_checks", f"""with {v.BY_BRAND}, t as (select s, round(sum(x), 2) total from i group by s),
+ k as (select unnest(['long', 'long with genes', 'logged', 'samples']) as "table", unnest([false, true, false, false]) as is_long, unnest([true, true, true, false]) as is_intensity),
+ g as (select s, round(sum(log2(x)), 4) total from i group by s)
+ select "table", is_long, is_intensity, s as sample, case "table" when 'samples' then null when 'logged' then g.total else t.total end as total from k cross join t join g using (s)""")
 def rsh3(spark, folder):
-    """Whether tables have the columns of intensity tables, and which holds the measure."""
+    """Whether tables have the columns of intensity tables, and each sample's sum of the measure that is found in them."""
     plain = v.by_brand(spark, folder)
     genes = plain.select(col(SAMPLE), col(FEATURE), F.lit("g").alias(schema.GENE), "Intensity")
-    tables = {"long": plain, "long with genes": genes, "samples": plain.select(col(SAMPLE))}
-
-    def measure(df):
+    tables = {
+        "long": plain, "long with genes": genes, "samples": plain.select(col(SAMPLE)),
+        "logged": plain.select(col(SAMPLE), col(FEATURE), F.length(col(FEATURE)).alias("letters"), F.log2("Intensity").alias("Log Intensity")),
+    }
+    found = None
+    for name, df in tables.items():
         try:
-            return schema.measure_column(df)
+            total = F.round(F.sum(col(schema.measure_column(df))), 4 if name == "logged" else 2)
         except ValueError:
-            return None
-
-    rows = [(name, schema.is_long_format(df), schema.is_intensity_table(df), measure(df)) for name, df in tables.items()]
-    made = spark.createDataFrame(rows, "table string, is_long boolean, is_intensity boolean, measure string")
-    return made.withColumn("rows", genes.agg(F.count("*")).scalar())
+            total = F.lit(None).cast("double")
+        one = df.groupBy(col(SAMPLE).alias("sample")).agg(total.alias("total")).select(
+            F.lit(name).alias("table"), F.lit(schema.is_long_format(df)).alias("is_long"), F.lit(schema.is_intensity_table(df)).alias("is_intensity"),
+            "sample", "total",
+        )
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -359,6 +359,16 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
     return finished.groupBy("peptide", "protein_id", "start").agg(best.alias("b")).select("peptide", "protein_id", "start", "b.mismatches", "b.path")
 
 
+def match_sequences(
+    sequences: DataFrame, kept_variants: DataFrame, peptides: DataFrame, k: int, allowed_mismatches: int = 2
+) -> DataFrame:
+    """``match_on_graph`` from sequences, variants and peptides; only proteins with a seed get a graph."""
+    found = cut(seeds(sequences, peptides, k))
+    seeded = found.select("protein_id").distinct()
+    graph = variation_graph(cut(sequences.join(seeded, "protein_id", "left_semi")), cut(kept_variants.join(seeded, "protein_id", "left_semi")))
+    return match_on_graph(found, graph, allowed_mismatches)
+
+
 def node_hits(matches: DataFrame) -> DataFrame:
     """(protein_id, node_id, first, last, peptide) intervals of the matched paths."""
     return matches.select("protein_id", "peptide", F.explode("path").alias("p")).select(
