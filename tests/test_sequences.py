@@ -228,3 +228,13 @@ def test_a_cycle_is_found(spark):
     edges = spark.createDataFrame([("P", "s", "a"), ("P", "a", "b"), ("P", "b", "a")], "protein_id string, src string, dst string")
     with pytest.raises(ValueError, match="cycle"):
         sq.node_offsets(sq.Graph(nodes, edges))
+
+
+def test_graphs_of_seeded_proteins_give_the_same_matches(spark):
+    docs = spark.createDataFrame([("a", "MKTAYIAK", 8), ("b", "GGMKSAYI", 8), ("c", "QQQQQQ", 6)], "protein_id string, seq string, seq_len int")
+    found = spark.createDataFrame([("a", 3, 3, "T", "S", "x"), ("c", 1, 1, "Q", "M", "x")], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
+    peptides = spark.createDataFrame([("MKSAY",), ("MKTAY",), ("WWWW",)], "peptide string")
+    whole = sq.match_on_graph(sq.seeds(docs, peptides, 2), sq.variation_graph(docs, found), 1)
+    got = sq.match_sequences(docs, found, peptides, 2, 1)
+    rows = lambda df: sorted((r["peptide"], r["protein_id"], r["start"], r["mismatches"]) for r in df.collect())
+    assert rows(got) == rows(whole) == [("MKSAY", "a", 0, 0), ("MKSAY", "b", 2, 0), ("MKTAY", "a", 0, 0), ("MKTAY", "b", 2, 1)]
