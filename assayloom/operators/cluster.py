@@ -432,8 +432,8 @@ def dunn(labelled: DataFrame) -> DataFrame:
 def dunn_blocks(rows: DataFrame, per_block: int = VECTORS_PER_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks, the pairs (block, other, low) that may hold the least distance between labels, and
     those (block, other, high) that may hold the largest within one."""
-    # copies of one label have the same distances
-    placed = balls.grown(rows.dropDuplicates(["label", "vec"]).withColumn("root", F.col("label")), per_block)
+    # copies of one label have the same distances; as text a null label is a key like others
+    placed = balls.grown(rows.dropDuplicates(["label", "vec"]).withColumn("root", F.to_json(F.struct("label"))), per_block)
     packed = written(balls.packed(placed, per_block, "label"), "packed")
     blocks = written(balls.summaries(packed), "blocks")
     a, b = F.struct("a_root", "a_node"), F.struct("b_root", "b_node")
