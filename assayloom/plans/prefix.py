@@ -125,15 +125,12 @@ def running_extreme(
     best = F.least if lowest else F.greatest
     keys = [col(b) for b in by]
     cells = totals.withColumn("__v", value)
-    span = (Window.currentRow, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, Window.currentRow)
-    outside = (1, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, -1)
+    # backwards means in falling order: a frame that ends at the last row is computed anew for each row
+    falling = lambda c: F.col(c).desc() if backwards else F.col(c)
     ranges = cells.groupBy(*keys, "__range").agg(pick("__v").alias("__best"))
-    others = ranges.select(
-        *keys,
-        "__range",
-        pick("__best").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(*outside)).alias("__other"),
-    )
-    inside = Window.partitionBy(*keys, "__range").orderBy("__order").rowsBetween(*span)
+    outside = Window.partitionBy(*keys).orderBy(falling("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    others = ranges.select(*keys, "__range", pick("__best").over(outside).alias("__other"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(falling("__order")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         same_keys(cells, others, [*by, "__range"])
         .withColumn("__here", pick("__v").over(inside))

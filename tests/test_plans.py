@@ -61,6 +61,14 @@ def test_running_extreme(skewed):
         assert np.allclose(found[found.k == key].sort_values("x").m, want)
 
 
+def test_running_extreme_keeps_no_frame_that_is_computed_anew_for_each_row(skewed):
+    totals = prefix.running_totals(skewed, ["k"], "x", {"s": F.col("x")})
+    for backwards in (False, True):
+        found = prefix.running_extreme(totals, ["k"], F.col("x"), "m", lowest=True, backwards=backwards)
+        assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower().split("__best", 1)[1]
+        assert found.count() == totals.count()
+
+
 def test_draws(spark):
     df = spark.range(20000).select("id", uniform(3, F.col("id")).alias("u"), normal(3, F.col("id")).alias("z"))
     row = df.agg(F.avg("u"), F.min("u"), F.max("u"), F.avg("z"), F.stddev("z")).first()
