@@ -232,6 +232,16 @@ def test_grid(holes):
     assert cells(reshape.complete_grid(observed)) == cells(holes)
 
 
+def test_grid_is_unfolded_as_the_last_step(spark, monkeypatch):
+    monkeypatch.setattr(reshape, "SAMPLES_UNFOLDED", 2)
+    rows = [(f"s{i}", f"p{j}", float(i * j)) for i in range(5) for j in range(4) if (i + j) % 3] + [("s1", "p1", 7.0), ("s2", None, 8.0)]
+    found = reshape.complete_grid(spark.createDataFrame(rows, LONG))
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # a join here would shuffle the grid
+    held = {(s, p) for s, p, _ in rows}
+    want = [r for r in rows if r[1]] + [(f"s{i}", p, None) for i in range(5) for p in ("p0", "p1", "p2", "p3", None) if p is None or (f"s{i}", p) not in held]
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+
+
 def test_identifiers(spark):
     df = spark.createDataFrame([("S", "P1-2;P1_VAR;Q7;P1", 1.0)], LONG)
     assert reshape.with_clean_groups(df).first()["Protein ID"] == "P1;Q7;P1"
