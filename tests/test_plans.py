@@ -160,3 +160,20 @@ def test_cells_are_even_but_for_copies(spark):
     df = spark.createDataFrame(x, "id long, vec array<double>").withColumn("root", F.lit(0))
     sizes = [(r["n"], r["copies"]) for r in balls.grown(df, 40).groupBy("root", "node").agg(F.count("*").alias("n"), F.count_distinct("vec").alias("copies")).collect()]
     assert sum(n for n, _ in sizes) == 700 and all(n <= 40 or copies == 1 for n, copies in sizes)
+
+
+def test_a_block_is_shipped_once_to_a_tile_of_others(spark):
+    rng = np.random.default_rng(4)
+    made, rows = [], []
+    for node, part in [(32, 0), (33, 0), (33, 1), (33, 40), (40, 0), (64, 0)]:
+        ids = list(range(len(rows), len(rows) + 8))
+        rows += [(i, rng.normal(0, 1, 3).tolist()) for i in ids]
+        made.append((f"0.{node}.{part}", 0, node, ids, [v for _, v in rows[-8:]]))
+    packed = spark.createDataFrame(made, "block string, root int, node long, ids array<long>, vecs array<array<double>>")
+    pairs = spark.createDataFrame([(a[0], b[0], [float("inf")] * 8) for a in made for b in made], "block string, other string, bounds array<double>")
+    found = blocks.nearest_in_tiles(packed, pairs, 48, "euclidean", "id long, neighbour long, distance double")
+    got = {(r["id"], r["neighbour"]): r["distance"] for r in found.collect()}
+    want = {(i, j): np.linalg.norm(np.subtract(v, w)) for i, v in rows for j, w in rows if i != j}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas run" not in plan
