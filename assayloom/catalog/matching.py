@@ -30,7 +30,7 @@ def _sentences(spark, folder):
 
 def _commas(spark, folder):
     """Every comma of every document may also be a semicolon."""
-    found = sequences.kmers(_sequences(spark, folder), 1).filter("kmer = ','")
+    found = sequences.kmers(_sequences(spark, folder), 1, among=[","]).filter("kmer = ','")
     pos = (F.col("pos") + 1).cast("int")
     return found.select(
         "protein_id", pos.alias("pos"), pos.alias("end_pos"), F.lit(",").alias("ref"), F.lit(";").alias("alt"), F.lit(", -> ;").alias("note")
@@ -95,10 +95,8 @@ def _kmers_sql(k: int) -> str:
 
 @query("seq3_kmer_index", f"with {_kmers_sql(5)} select s as kmer, count(*) as n, count(distinct d) as proteins, min(i) as first from ki group by 1")
 def seq3(spark, folder):
-    found = sequences.kmers(_sequences(spark, folder), 5)
-    return found.groupBy("kmer").agg(
-        F.count("*").alias("n"), F.count_distinct("protein_id").alias("proteins"), F.min("pos").cast("long").alias("first")
-    )
+    found = sequences.kmers(_sequences(spark, folder), 5, merged=True)
+    return found.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("keys").alias("proteins"), F.min("first").alias("first"))
 
 
 _SEEDS = _kmers_sql(30) + """, pp as (select distinct text p from benchmark),

@@ -10,8 +10,13 @@ with ``pos`` the 0-based reference position a node starts at.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +27,12 @@ from assayloom.schema import col
 START, END = "__start__", "__end__"
 CHUNK = 256  # letters that are cut into k-mers together
 BIN = 4096  # positions of a bin in which seeds meet nodes
+PART = 16384  # letters that are shipped to Python together
+LETTERS_AT_ONCE = 1 << 20  # letters that numpy works on together
+SLOTS = 23  # k-mers that are asked for are marked in a table of 2^23 bits, however many they are
+_PAD = 0x110000  # stands for what lies behind the end of a sequence; no letter
+#: Nodes and edges of a protein whose longest paths one task follows; larger graphs shrink in rounds.
+GRAPH_AT_ONCE = 500_000
 
 
 class Graph(NamedTuple):
@@ -91,22 +102,112 @@ def split_variants(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -------------------------------------------------------------------- seeds
 
 
-def kmers(sequences: DataFrame, k: int, *, key: str = "protein_id", seq: str = "seq") -> DataFrame:
-    """(key, kmer, pos) of every start position; those near the end are shorter.
+def _padded(parts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Code points of the parts with k - 1 pads behind each, where each starts and how long it is, and the same as text."""
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    starts = np.concatenate([[0], np.cumsum(sizes + k - 1)[:-1]]).astype(np.int64)
+    joined = "".join(x + "\0" * (k - 1) for x in parts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    if k > 1:
+        behind = (starts + sizes)[:, None] + np.arange(k - 1)
+        points[behind.ravel()] = _PAD
+    return points, starts, sizes, joined
+
+
+def _slots(points: np.ndarray, k: int) -> np.ndarray:
+    """A slot for the k letters from each place on: a polynomial modulo 2^64, doubled up to its length."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    whole, length, power = points.astype(np.uint64) + np.uint64(1), 1, base
+    taken, count = None, 0
+    while True:
+        if k & length:
+            if taken is None:
+                taken, count = whole, length
+            else:
+                n = len(points) - count - length + 1
+                taken, count = taken[:n] * power + whole[count:count + n], count + length
+        if length * 2 > k:
+            return (taken * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOTS)
+        whole, length = whole[:-length] * power + whole[length:], length * 2
+        power = np.uint64(int(power) ** 2 % (1 << 64))
+
+
+def _batched(parts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of parts that hold about LETTERS_AT_ONCE letters."""
+    first = held = 0
+    for i, part in enumerate(parts):
+        held += len(part)
+        if held >= LETTERS_AT_ONCE:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(parts):
+        yield first, len(parts)
+
+
+def _slots_of(texts: list[str], k: int) -> np.ndarray:
+    """The slots of texts of at most k letters, padded behind."""
+    found = [np.zeros(0, dtype=np.uint64)]
+    for first, last in _batched(texts):
+        points, starts, sizes, _ = _padded([x or "\0" for x in texts[first:last]], k)
+        found.append(_slots(points, k)[starts])
+    return np.concatenate(found)
+
+
+def _marked(among: DataFrame | Sequence[str], k: int) -> np.ndarray:
+    """One bit per slot that a k-mer asked for falls into: 1 MB, built by Spark from however many k-mers."""
+    table = np.zeros(1 << SLOTS, dtype=bool)
+    if not isinstance(among, DataFrame):
+        table[_slots_of([x[:k] for x in among], k).astype(np.int64)] = True
+        return np.packbits(table)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # counted from 1, as the buckets of bits are
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots_of(batch.column(0).to_pylist(), k)).astype(np.int64) + 1)], ["slot"])
+
+    asked = among.select(F.substring("kmer", 1, k).alias("kmer")).filter("kmer is not null")
+    found = asked.mapInArrow(slots, "slot long").groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    for row in found.collect():  # at most 2^23 bits
+        bits = np.unpackbits(np.frombuffer(bytes(row["bits"]), dtype=np.uint8), bitorder="little")
+        table[(row["bucket"] - 1) * len(bits) + np.nonzero(bits)[0]] = True
+    return np.packbits(table)
+
+
+def _parts(sequences: DataFrame, k: int, size: int, key: str, seq: str) -> DataFrame:
+    """(key, __at, __part, __left): texts cut every ``size`` letters, each part with the k - 1 letters that follow."""
+    chunks = sequences.select(
+        col(key),
+        F.explode(F.sequence(F.lit(0), F.length(col(seq)) - 1, F.lit(size))).alias("__at"),
+        col(seq).alias("__seq"),
+    ).filter(F.length("__seq") > 0)
+    part = F.substring("__seq", F.col("__at") + 1, F.lit(size + k - 1))
+    return chunks.select(col(key), "__at", part.alias("__part"), (F.length("__seq") - F.col("__at")).alias("__left"))
+
+
+def kmers(
+    sequences: DataFrame, k: int, *, key: str = "protein_id", seq: str = "seq", among: DataFrame | Sequence[str] | None = None, merged: bool = False
+) -> DataFrame:
+    """(key, kmer, pos, left) of every start position; those near the end are shorter.
 
     The text is cut into chunks first: taking a substring costs its offset, which
     would be quadratic in the length of a long text, and chunks of a long text
     spread over tasks.
+
+    ``among`` (a table with a column kmer, or texts) tells which k-mers are asked for: all of
+    these are given, and hardly any others, so whoever asks joins or filters them once
+    more; no row is built for the rest. ``merged`` gives (kmer, n, keys, first) rows instead
+    whose sums, and least first position, per k-mer tell how often it occurs, and in how
+    many keys; what a task meets together is merged there.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    chunks = sequences.select(
-        col(key),
-        F.explode(F.sequence(F.lit(0), F.length(col(seq)) - 1, F.lit(CHUNK))).alias("__at"),
-        col(seq).alias("__seq"),
-    ).filter(F.length("__seq") > 0)
-    part = F.substring("__seq", F.col("__at") + 1, F.lit(CHUNK + k - 1))
-    chunks = chunks.select(col(key), "__at", part.alias("__part"), (F.length("__seq") - F.col("__at")).alias("__left"))
+    if merged:
+        return _merged_kmers(sequences, k, key, seq)
+    if among is not None:
+        return _kmers_among(sequences, k, key, seq, _marked(among, k))
+    chunks = _parts(sequences, k, CHUNK, key, seq)
     starts = F.sequence(F.lit(0), F.least(F.length("__part"), F.lit(CHUNK)) - 1)
     return chunks.select(col(key), "__at", "__part", "__left", F.explode(starts).alias("__i")).select(
         col(key),
@@ -116,10 +217,98 @@ def kmers(sequences: DataFrame, k: int, *, key: str = "protein_id", seq: str = "
     )
 
 
+def _kmers_among(sequences: DataFrame, k: int, key: str, seq: str, marked: np.ndarray) -> DataFrame:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(marked).view(bool)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            at, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 3))
+            for first, last in _batched(texts):
+                points, starts, sizes, joined = _padded(texts[first:last], k)
+                place = np.nonzero(table[_slots(points, k).astype(np.int64)])[0]
+                row = np.searchsorted(starts, place, side="right") - 1
+                i = place - starts[row]
+                inside = i < np.minimum(sizes[row], PART)
+                row, i, place = row[inside], i[inside], place[inside]
+                words = [joined[p:p + n] for p, n in zip(place.tolist(), np.minimum(sizes[row] - i, k).tolist())]
+                row = row + first
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(row)), pa.array(words, pa.string()),
+                    pa.array((at[row] + i).astype(np.int32)), pa.array((left[row] - i).astype(np.int32)),
+                ], [key, "kmer", "pos", "left"])
+
+    schema = f"`{key}` {sequences.select(col(key)).schema[0].dataType.simpleString()}, kmer string, pos int, left int"
+    return _parts(sequences, k, PART, key, seq).mapInArrow(found, schema)
+
+
+def _exact_codes(points: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k letters from each place on: equal where the letters are, without any hash."""
+    used = np.zeros(_PAD + 1, dtype=bool)
+    used[points] = True
+    letters = np.cumsum(used)[points] - 1
+    size = int(used.sum())
+    codes, most = letters, size
+    for j in range(1, k):
+        if most * size >= 1 << 62:
+            kinds, codes = np.unique(codes, return_inverse=True)
+            most = len(kinds)
+        codes, most = codes[:-1] * size + letters[j:], most * size
+    return codes
+
+
+def _merged_kmers(sequences: DataFrame, k: int, key: str, seq: str) -> DataFrame:
+    def merge(rows: list[tuple], before: tuple) -> tuple[pa.RecordBatch, tuple]:
+        """The merged k-mers of some parts; ``before``: the key the parts before ended with, and its k-mers."""
+        names = [r[0] for r in rows]
+        number = np.cumsum([0] + [a != b for a, b in zip(names, names[1:])])
+        points, starts, sizes, joined = _padded([r[2] for r in rows], k)
+        takes = np.minimum(sizes, PART)
+        row = np.repeat(np.arange(len(rows)), takes)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
+        codes = _exact_codes(points, k)[starts[row] + i]
+        order = np.argsort(codes, kind="stable")
+        codes, row, i = codes[order], row[order], i[order]
+        fresh = np.append(True, codes[1:] != codes[:-1])
+        # parts come key by key, so of equal k-mers those of a key lie together
+        other = fresh | np.append(True, number[row][1:] != number[row][:-1])
+        known = np.array([x is not None for x in names])
+        begin = np.nonzero(fresh)[0]
+        n = np.diff(np.append(begin, len(codes)))
+        keys = np.add.reduceat((other & known[row]).astype(np.int64), begin)
+        first = np.minimum.reduceat(np.array([r[1] for r in rows], dtype=np.int64)[row] + i, begin)
+        r, i = row[begin], i[begin]
+        words = [joined[p:p + m] for p, m in zip((starts[r] + i).tolist(), np.minimum(sizes[r] - i, k).tolist())]
+        here = np.logical_or.reduceat(number[row] == number[-1], begin)
+        last = {words[j] for j in np.nonzero(here)[0].tolist()}
+        if before[0] is not None and before[0] == names[0]:
+            here = np.logical_or.reduceat(number[row] == 0, begin)
+            keys -= np.array([bool(h) and w in before[1] for h, w in zip(here.tolist(), words)], dtype=np.int64)
+            if number[-1] == 0:
+                last |= before[1]
+        made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(keys), pa.array(first)], ["kmer", "n", "keys", "first"])
+        return made, (names[-1], last)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, letters, before = [], 0, (None, set())
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                held.append(r)
+                letters += len(r[2])
+                if letters >= 2 * LETTERS_AT_ONCE:
+                    made, before = merge(held, before)
+                    held, letters = [], 0
+                    yield made
+        if held:
+            yield merge(held, before)[0]
+
+    together = sequences.select(col(key), col(seq)).repartition(col(key)).sortWithinPartitions(col(key))
+    return _parts(together, k, PART, key, seq).mapInArrow(found, "kmer string, n long, keys long, first long")
+
+
 def seeds(sequences: DataFrame, peptides: DataFrame, k: int, *, key: str = "protein_id", seq: str = "seq") -> DataFrame:
     """(peptide, key, start): the first k letters match and the peptide fits into the sequence."""
     wanted = peptides.select("peptide").distinct().withColumn("kmer", F.substring("peptide", 1, k))
-    hits = kmers(sequences, k, key=key, seq=seq).join(wanted, "kmer")
+    hits = kmers(sequences, k, key=key, seq=seq, among=wanted.select("kmer")).join(wanted, "kmer")
     return hits.filter(F.length("peptide") <= F.col("left")).select("peptide", col(key), F.col("pos").alias("start"))
 
 
@@ -131,45 +320,83 @@ def without_match(peptides: DataFrame, matched: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- graph
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(protein_id, src, dst) of (protein_id, borders, lengths, alleles) rows: nodes that end where others start."""
+    for batch in batches:
+        rows, src, dst = [], [], []
+
+        def made():
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(src, pa.string()), pa.array(dst, pa.string())], ["protein_id", "src", "dst"]
+            )
+
+        for row, (borders, lengths, alleles) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+            leaving, entering = defaultdict(list), defaultdict(list)
+            for at, stop in zip(borders, borders[1:]):  # a run for each sequence of that name
+                runs = [f"r{at}"] * len(lengths)
+                leaving[stop] += runs
+                entering[at] += runs
+            for v in alleles or ():
+                name = f"v{v['pos']}_{v['stop']}_{v['seq']}"
+                leaving[v["stop"]].append(name)
+                entering[v["pos"]].append(name)
+            leaving[0] += [START] * len(lengths)
+            for length in lengths:
+                entering[length].append(END)
+            for at, here in leaving.items():
+                there = entering.get(at, ())
+                for x in here:
+                    src += [x] * len(there)
+                    dst += there
+            rows += [row] * (len(src) - len(rows))
+            if len(rows) >= 1 << 17:
+                yield made()
+                rows, src, dst = [], [], []
+        if rows:
+            yield made()
+
+
 def variation_graph(sequences: DataFrame, kept_variants: DataFrame) -> Graph:
     """Nodes and edges of every protein.
 
     The reference is cut where a variant starts or ends.  A deletion is a node
     without letters.  Nodes are linked where one ends and another starts.
+
+    The places of a protein's variants are gathered in a row, so tables that are sorted
+    have a row per protein; nodes and edges are unfolded from them.
     """
-    known = kept_variants.filter("alt is not null").join(sequences.select("protein_id"), "protein_id", "left_semi")
-    alleles = known.select("protein_id", (F.col("pos") - 1).alias("pos"), F.col("end_pos").alias("stop"), F.col("alt").alias("seq")).distinct()
-    borders = (
-        alleles.select("protein_id", F.explode(F.array("pos", "stop")).alias("pos"))
-        .unionByName(sequences.select("protein_id", F.explode(F.array(F.lit(0), F.length("seq"))).alias("pos")))
-        .distinct()
-    )  # at most one row per letter of a protein
-    next_border = F.lead("pos").over(Window.partitionBy("protein_id").orderBy("pos"))
+    alleles = kept_variants.filter("alt is not null").groupBy("protein_id").agg(
+        F.collect_set(F.struct((F.col("pos") - 1).alias("pos"), F.col("end_pos").alias("stop"), F.col("alt").alias("seq"))).alias("alleles")
+    )
+    lengths = sequences.filter("protein_id is not null").groupBy("protein_id").agg(F.collect_list(F.length("seq")).alias("lengths"))
+    ends = F.filter(F.concat(F.col("alleles.pos"), F.col("alleles.stop")), lambda x: x.isNotNull())
+    borders = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0)), "lengths", F.coalesce(ends, F.array().cast("array<int>")))))
+    placed = lengths.join(alleles, "protein_id", "left").select("protein_id", borders.alias("borders"), "lengths", "alleles")
+    spans = F.zip_with(F.slice("borders", 1, F.size("borders") - 1), F.slice("borders", 2, F.size("borders")), lambda x, y: F.struct(x.alias("pos"), y.alias("stop")))
     runs = (
-        borders.withColumn("stop", next_border)
-        .filter("stop is not null")
-        .join(sequences.select("protein_id", F.col("seq").alias("__seq")), "protein_id")
+        sequences.select("protein_id", F.col("seq").alias("__seq"))
+        .join(placed.select("protein_id", spans.alias("spans")), "protein_id")
+        .select("protein_id", "__seq", F.explode("spans").alias("s"))
         .select(
-            "protein_id", "pos", "stop", F.substring("__seq", F.col("pos") + 1, F.col("stop") - F.col("pos")).alias("seq"),
-            F.concat(F.lit("r"), F.col("pos").cast("string")).alias("node_id"), F.lit("reference").alias("kind"),
+            "protein_id", F.col("s.pos").alias("pos"), F.substring("__seq", F.col("s.pos") + 1, F.col("s.stop") - F.col("s.pos")).alias("seq"),
+            F.concat(F.lit("r"), F.col("s.pos").cast("string")).alias("node_id"), F.lit("reference").alias("kind"),
         )
     )
-    variant_nodes = alleles.select(
-        "protein_id", "pos", "stop", "seq",
+    variant_nodes = placed.select("protein_id", F.explode("alleles").alias("v")).select("protein_id", "v.*").select(
+        "protein_id", "pos", "seq",
         F.concat_ws("_", F.concat(F.lit("v"), F.col("pos").cast("string")), F.col("stop").cast("string"), "seq").alias("node_id"),
         F.when(F.col("seq") == "", "deletion").otherwise("variant").alias("kind"),
     )
     sentinels = sequences.select(
         "protein_id",
         F.explode(F.array(
-            F.struct(F.lit(0).alias("pos"), F.lit(0).alias("stop"), F.lit("").alias("seq"), F.lit(START).alias("node_id"), F.lit("start").alias("kind")),
-            F.struct(F.length("seq").alias("pos"), F.length("seq").alias("stop"), F.lit("").alias("seq"), F.lit(END).alias("node_id"), F.lit("end").alias("kind")),
+            F.struct(F.lit(0).alias("pos"), F.lit("").alias("seq"), F.lit(START).alias("node_id"), F.lit("start").alias("kind")),
+            F.struct(F.length("seq").alias("pos"), F.lit("").alias("seq"), F.lit(END).alias("node_id"), F.lit("end").alias("kind")),
         )).alias("s"),
     ).select("protein_id", "s.*")
     nodes = runs.unionByName(variant_nodes).unionByName(sentinels)
-    leaving = nodes.filter("kind <> 'end'").select("protein_id", F.col("stop").alias("at"), F.col("node_id").alias("src"))
-    entering = nodes.filter("kind <> 'start'").select("protein_id", F.col("pos").alias("at"), F.col("node_id").alias("dst"))
-    edges = leaving.join(entering, ["protein_id", "at"]).select("protein_id", "src", "dst")
+    placed = placed.withColumn("alleles", F.filter("alleles", lambda v: v["pos"].isNotNull() & v["stop"].isNotNull()))
+    edges = placed.mapInArrow(_linked, f"protein_id {sequences.schema['protein_id'].dataType.simpleString()}, src string, dst string")
     return Graph(nodes.select("protein_id", "node_id", "pos", "seq", "kind"), edges)
 
 
@@ -208,11 +435,112 @@ def _to_their_ends(hung: DataFrame) -> DataFrame:
         left //= 4
 
 
+def _ways_of(table: pa.Table) -> pa.RecordBatch:
+    """(protein_id, node_id, offset, state) of the nodes of some whole proteins.
+
+    Rows with a ``dst`` are edges, the others nodes. A node is settled once all edges
+    into it are followed, so each edge is seen once.
+    """
+    table = table.combine_chunks()
+    size, first = table["size"].fill_null(_LOST).to_numpy(), table["first"].fill_null(False).to_numpy(zero_copy_only=False)
+    node = table["dst"].is_null().to_numpy(zero_copy_only=False)
+    names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks().dictionary_encode()
+    code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    protein = table["protein_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key = (protein * (len(names.dictionary) + 1))
+    src, dst = key + code[:len(key)], key + code[len(key):]
+    known, number = np.unique(src[node], return_inverse=True)
+    n = len(known)
+    best, letters = np.full(n, _LOST), np.full(n, _LOST)
+    np.maximum.at(letters, number, size[node])
+    best[number[first[node]]] = 0
+    a, b = (np.minimum(np.searchsorted(known, x[~node]), n - 1) for x in (src, dst))
+    met = (known[a] == src[~node]) & (known[b] == dst[~node]) if n else np.zeros(len(a), dtype=bool)
+    a, b = a[met], b[met]
+    order = np.argsort(a, kind="stable")
+    begin = np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    to, left = b[order].tolist(), np.bincount(b, minlength=n).tolist()
+    best, letters = best.tolist(), letters.tolist()
+    ready = [i for i, x in enumerate(left) if not x]
+    settled = 0
+    while ready:
+        i = ready.pop()
+        settled += 1
+        done = max(best[i] + letters[i], _LOST)
+        for j in to[begin[i]:begin[i + 1]]:
+            if done > best[j]:
+                best[j] = done
+            left[j] -= 1
+            if not left[j]:
+                ready.append(j)
+    reached = np.array(best, dtype=np.int64)[number]
+    offset = pa.array(np.where(reached > _LOST // 2, reached, 0).astype(np.int32), mask=reached <= _LOST // 2)
+    found = table.filter(pa.array(node))
+    state = pa.array(["cycle" if settled < n else None] * len(found), pa.string())
+    return pa.Table.from_arrays([found["protein_id"], found["src"], offset, state], ["protein_id", "node_id", "offset", "state"])
+
+
+def _longest_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_ways_of`` rows sorted by protein; of a protein of too many rows only the name, with the state 'large'."""
+    held, rows, left_out = [], 0, None
+
+    def solved(table):
+        return _ways_of(table).to_batches()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if left_out is not None:
+            table = table.filter(pc.not_equal(table["protein_id"], left_out))
+        held, rows = [*held, table], rows + len(table)
+        if rows < min(GRAPH_AT_ONCE, 1 << 17):
+            continue
+        table = pa.concat_tables(held)
+        last = table["protein_id"][-1]
+        of_last = pc.sum(pc.equal(table["protein_id"], last)).as_py()
+        whole, rest = table.slice(0, rows - of_last), table.slice(rows - of_last)
+        if len(whole):
+            yield from solved(whole)
+        if of_last > GRAPH_AT_ONCE:
+            left_out, rest = last, rest.slice(0, 0)
+            nothing = [pa.nulls(1, batch.schema.field("src").type), pa.nulls(1, pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([last.as_py()], batch.schema.field(0).type), *nothing, pa.array(["large"])], ["protein_id", "node_id", "offset", "state"])
+        held, rows = [rest], len(rest)
+    if rows:
+        yield from solved(pa.concat_tables(held))
+
+
 def node_offsets(graph: Graph) -> DataFrame:
     """(protein_id, node_id, offset): letters on the longest path from the start.
 
     For any graph without a cycle; a cycle raises. Unreachable nodes have a null
-    offset. All proteins shrink at once: parallel edges merge into the longest, nodes
+    offset. Rows meet by protein, sorted, and a task follows the edges of one protein after
+    another, each once. What a task holds is bounded: proteins of more than
+    ``GRAPH_AT_ONCE`` nodes and edges go through ``_offsets_in_rounds`` together.
+    """
+    nodes = graph.nodes.select("protein_id", "node_id", _letters(F.col("seq"), F.col("kind")).cast("long").alias("size"), "kind")
+    kind = nodes.schema["node_id"].dataType
+    none = lambda t: F.lit(None).cast(t)
+    rows = nodes.select("protein_id", F.col("node_id").alias("src"), none(kind).alias("dst"), "size", (F.col("kind") == "start").alias("first")).unionByName(
+        graph.edges.filter("dst is not null").select("protein_id", "src", "dst", none("long").alias("size"), none("boolean").alias("first"))
+    ).filter("protein_id is not null and src is not null")
+    schema = f"protein_id {nodes.schema['protein_id'].dataType.simpleString()}, node_id {kind.simpleString()}, offset int, state string"
+    found = written(rows.repartition("protein_id").sortWithinPartitions("protein_id").mapInArrow(_longest_ways, schema), "offsets")
+    odd = {r["state"] for r in found.select("state").filter("state is not null").distinct().collect()}
+    if "cycle" in odd:
+        raise ValueError("offsets do not settle; the graph has a cycle")
+    unnamed = nodes.filter("protein_id is null or node_id is null").select("protein_id", "node_id", none("int").alias("offset"))
+    offsets = found.filter("state is null").drop("state").unionByName(unnamed)
+    if "large" not in odd:
+        return offsets
+    large = found.filter("state = 'large'").select("protein_id")
+    parts = Graph(*(x.join(large, "protein_id", "left_semi") for x in (graph.nodes.filter("node_id is not null"), graph.edges)))
+    return offsets.unionByName(_offsets_in_rounds(parts))
+
+
+def _offsets_in_rounds(graph: Graph) -> DataFrame:
+    """``node_offsets`` of graphs of any size.
+
+    All proteins shrink at once: parallel edges merge into the longest, nodes
     that are entered alike become one, and a node that is entered from one place only
     hangs on it; chains of such nodes are followed to their ends by pointer doubling,
     and edges go on from there. Variants one after the other, and variants within

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayloom.operators import sequences as sq
 from tests.conftest import values
@@ -238,3 +239,74 @@ def test_graphs_of_seeded_proteins_give_the_same_matches(spark):
     got = sq.match_sequences(docs, found, peptides, 2, 1)
     rows = lambda df: sorted((r["peptide"], r["protein_id"], r["start"], r["mismatches"]) for r in df.collect())
     assert rows(got) == rows(whole) == [("MKSAY", "a", 0, 0), ("MKSAY", "b", 2, 0), ("MKTAY", "a", 0, 0), ("MKTAY", "b", 2, 1)]
+
+
+@pytest.mark.parametrize("at_once", [0, 500_000])
+def test_offsets_take_whole_proteins_unless_too_large(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sq, "GRAPH_AT_ONCE", at_once)
+    cuts = []
+    monkeypatch.setattr(sq, "written", lambda df, label, real=sq.written: cuts.append(label) or real(df, label))
+    test_offsets_of_random_graphs(spark)
+    # one table for all proteins, unless some are too large for a task
+    assert cuts == ["offsets"] if at_once else len(cuts) > 5
+
+
+def test_offsets_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(sq, "node_offsets", sq._offsets_in_rounds)
+    test_offsets_of_random_graphs(spark)
+    test_thousands_of_variants_in_a_row_take_few_rounds(spark, monkeypatch)
+    test_a_cycle_is_found(spark)
+
+
+def test_offsets_of_repeated_and_unnamed_nodes(spark):
+    nodes = [("p", "s", 0, "", "start"), ("p", "a", 0, "AB", "reference"), ("p", "a", 0, "AB", "reference"), ("p", "e", 2, "", "end"), (None, "s", 0, "", "start")]
+    made = sq.Graph(
+        spark.createDataFrame(nodes, "protein_id string, node_id string, pos int, seq string, kind string"),
+        spark.createDataFrame([("p", "s", "a"), ("p", "s", "a"), ("p", "a", "e"), ("p", "lost", "e"), ("p", "a", "lost"), (None, "s", "e")], "protein_id string, src string, dst string"),
+    )
+    found = sorted((r["protein_id"] or "", r["node_id"], r["offset"]) for r in sq.node_offsets(made).collect())
+    assert found == [("", "s", None), ("p", "a", 0), ("p", "a", 0), ("p", "e", 2), ("p", "s", 0)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 30])
+def test_kmers_asked_for_are_all_found(spark, monkeypatch, k):
+    monkeypatch.setattr(sq, "PART", 16)
+    monkeypatch.setattr(sq, "LETTERS_AT_ONCE", 50)
+    rng = random.Random(k)
+    rows = [(f"p{i % 9}" if i else None, "".join(rng.choice("ABé\U0001F600\0") for _ in range(rng.randint(0, 60))) + ("\U0010FFFF" if i % 5 == 0 else "")) for i in range(20)]
+    docs = spark.createDataFrame(rows, "protein_id string, seq string")
+    every = sq.kmers(docs, k)
+    asked = [r[0] for r in every.select("kmer").distinct().collect()][::7]
+    want = sorted(map(str, every.filter(every.kmer.isin(asked)).collect()))
+    table = spark.createDataFrame([(x,) for x in [*asked, None]], "kmer string")
+    for among in (asked, table):
+        found = sq.kmers(docs, k, among=among)
+        assert sorted(map(str, found.filter(found.kmer.isin(asked)).collect())) == want
+    assert sq.kmers(docs, 30, among=["never" * 6]).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_merged_kmers_are_those_of_all_rows(spark, monkeypatch, k):
+    monkeypatch.setattr(sq, "PART", 16)
+    monkeypatch.setattr(sq, "LETTERS_AT_ONCE", 20)
+    rng = random.Random(k)
+    rows = [(f"p{i % 7}" if i > 2 else None, "".join(rng.choice("ABé") for _ in range(rng.randint(0, 70))) + "\0\U0010FFFF"[: i % 3]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "protein_id string, seq string")
+    want = sq.kmers(docs, k).groupBy("kmer").agg(F.count("*"), F.count_distinct("protein_id"), F.min("pos"))
+    made = sq.kmers(docs, k, merged=True)
+    found = made.groupBy("kmer").agg(F.sum("n"), F.sum("keys"), F.min("first"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_graphs_of_sequences_that_share_a_name(spark):
+    docs = spark.createDataFrame([("P", "AB,C", 4), ("P", "AB,C", 4), ("P", "A,", 2), (None, "A,", 2)], "protein_id string, seq string, seq_len int")
+    gone = spark.createDataFrame([("P", 3, 3, ",", ";", "x"), ("P", 3, 3, ",", ";", "y"), ("Q", 1, 1, ",", ";", "x"), (None, 2, 2, ",", ";", "x")], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
+    made = sq.variation_graph(docs, gone)
+    nodes = sorted((r["protein_id"] or "", r["node_id"], r["seq"]) for r in made.nodes.collect())
+    both = [("P", sq.END, "")] * 3 + [("P", sq.START, "")] * 3
+    runs = [("P", "r0", "A,")] + [("P", "r0", "AB")] * 2 + [("P", "r2", "")] + [("P", "r2", ",")] * 2 + [("P", "r3", "")] + [("P", "r3", "C")] * 2
+    assert nodes == sorted([("", sq.END, ""), ("", sq.START, ""), *both, *runs, ("P", "v2_3_;", ";")])
+    edges = {}
+    for r in made.edges.collect():
+        edges[r["src"], r["dst"]] = edges.get((r["src"], r["dst"]), 0) + 1
+    assert edges == {(sq.START, "r0"): 9, ("r0", "r2"): 9, ("r0", "v2_3_;"): 3, ("r0", sq.END): 3, ("r2", "r3"): 9, ("v2_3_;", "r3"): 3, ("r3", sq.END): 6}
