@@ -22,13 +22,16 @@ from assayloom.operators import mixture
 from assayloom.operators.reshape import numbered
 from assayloom.operators.vectors import with_ml_vector
 from assayloom.plans import balls
-from assayloom.plans.blocks import BLOCKS_HELD, FEW_BLOCKS, VECTORS_PER_BLOCK, distance, distance_matrix, every_block_pair, pack_vectors, side_by_side, stack
+from assayloom.plans.blocks import FEW_BLOCKS, VECTORS_PER_BLOCK, distance, distance_matrix, every_block_pair, in_tiles, pack_vectors, stack
 from assayloom.plans.storage import cut, written
 from assayloom.schema import col
 
 
 #: Rows of a block whose distances to those of another are taken at once.
 ROWS_OF_BLOCK = 512
+#: Tiles of blocks that silhouettes compare pair by pair, and how many blocks a tile may grow to before there are more.
+TILES = 12
+BLOCKS_OF_TILE = 64
 
 
 class Clusters(NamedTuple):
@@ -335,44 +338,61 @@ def binary_indices(pairs: DataFrame, truth: str = "truth", predicted: str = "lab
 # -------------------------------------------------------------- from distances
 
 
-def _label_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of distances from each row to the rows of each label, added up within the task."""
-    held: dict[int, tuple] = {}
+def _label_sums():
+    """Sums of distances from each row of two tiles to the rows of each label in the other, added up within the task."""
 
-    def flush() -> pd.DataFrame:
+    def sums_of(rows: pd.DataFrame) -> pd.DataFrame:
+        unfold = lambda rows: [(np.asarray(r.ids), np.asarray(r.label), stack(r.vecs)) for r in rows.itertuples(index=False)]
+        second = rows["second"].to_numpy(dtype=bool)
+        one, alike = unfold(rows[~second]), rows["a"].iloc[0] == rows["b"].iloc[0]
+        other = one if alike else unfold(rows[second])
+        held: dict[tuple, dict] = {}
+
+        def add(side, i, dist, theirs):
+            sums = held.setdefault((side, i), {})
+            for label in np.unique(theirs):
+                if label == label:  # what has no label is in no cluster
+                    sums[label] = sums.get(label, 0.0) + dist[:, theirs == label].sum(axis=1)
+
+        for i, (ids, labels, vecs) in enumerate(one):
+            for j, (t_ids, t_labels, t_vecs) in enumerate(other):
+                if alike and j < i:
+                    continue
+                dist = distance_matrix(vecs, t_vecs, "euclidean")
+                dist[ids[:, None] == t_ids[None, :]] = 0.0
+                add(0, i, dist, t_labels)
+                if not alike:
+                    add(1, j, dist.T, labels)
+                elif j > i:
+                    add(0, j, dist.T, labels)
         out = [
             pd.DataFrame({"id": ids, "label": labels, "other_label": label, "total": total})
-            for ids, labels, sums in held.values() for label, total in sums.items()
+            for (side, i), sums in held.items() for ids, labels, _ in ((one, other)[side][i],) for label, total in sums.items()
         ]
-        held.clear()
-        return pd.concat(out)
+        return pd.concat(out) if out else pd.DataFrame(columns=["id", "label", "other_label", "total"], dtype=object)
 
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            dist = distance_matrix(stack(row.q_vecs), stack(row.t_vecs), "euclidean")
-            ids, theirs = np.asarray(row.q_ids), np.asarray(row.t_label)
-            dist[ids[:, None] == np.asarray(row.t_ids)[None, :]] = 0.0
-            sums = held.setdefault(row.block, (ids, np.asarray(row.q_label), {}))[2]
-            for label in np.unique(theirs):
-                sums[label] = sums.get(label, 0.0) + dist[:, theirs == label].sum(axis=1)
-            if len(held) > BLOCKS_HELD:
-                yield flush()
-    if held:
-        yield flush()
+    return sums_of
 
 
 def silhouette(labelled: DataFrame) -> DataFrame:
     """One row: mean silhouette (plain euclidean) of (id, vec, label) rows, exact.
 
-    Blocks of rows are compared in tasks; only one number per row, label and
-    block pair leaves them.
+    Tiles of blocks are compared in tasks, each pair once; only one number per row, label and
+    pair of tiles leaves them. A block is shipped to each of ``TILES`` tiles once: tiles grow with
+    the rows, up to ``BLOCKS_OF_TILE`` blocks, and only then in number.
     """
     sizes = labelled.groupBy("label").agg(F.count("*").alias("size"))
     id_type, label_type = (labelled.schema[c].dataType.simpleString() for c in ("id", "label"))
+    schema = f"id {id_type}, label {label_type}, other_label {label_type}, total double"
+    packed = written(pack_vectors(labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "label"), "packed")
+    last = packed.agg(F.max("block").alias("m")).first()["m"]
+    tiles = max(TILES, -(-((last or 0) + 1) // BLOCKS_OF_TILE))
+    tile = F.col("block") % tiles
+    here = packed.withColumn("second", F.lit(False)).withColumn("a", tile).withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(tiles - 1).cast("long"))))
+    there = packed.withColumn("second", F.lit(True)).withColumn("b", tile).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))))
+    met = here.unionByName(there.filter("a < b"))
     sums = (
-        every_block_pair(pack_vectors(labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "label"))
-        .select("block", "q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label")
-        .mapInPandas(_label_sums, f"id {id_type}, label {label_type}, other_label {label_type}, total double")
+        met.groupBy("a", "b").applyInPandas(_label_sums(), schema)
         .groupBy("id", "label", "other_label").agg(F.sum("total").alias("total"))
         .join(sizes.withColumnRenamed("label", "other_label"), "other_label")
     )
@@ -407,16 +427,18 @@ def dunn(labelled: DataFrame) -> DataFrame:
     """
     number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
 
-    def measured(both: DataFrame) -> DataFrame:
-        found = both.select("q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label").mapInPandas(_extremes, "between double, within double")
+    schema = "between double, within double"
+
+    def measured(found: DataFrame) -> DataFrame:
         return found.agg(F.min(number("between")).alias("between"), F.max(number("within")).alias("within"))
 
     rows = labelled.select("id", F.col("vec").cast("array<double>").alias("vec"), "label")
     if rows.count() <= FEW_BLOCKS * VECTORS_PER_BLOCK:
-        found = measured(every_block_pair(pack_vectors(rows, "label")).filter("block <= other"))
+        both = every_block_pair(pack_vectors(rows, "label")).filter("block <= other")
+        found = measured(both.select("q_ids", "q_vecs", "q_label", "t_ids", "t_vecs", "t_label").mapInPandas(_extremes, schema))
         return found.select(F.try_divide("between", "within").alias("dunn_score"))
     packed, between, within = dunn_blocks(rows)
-    of = lambda pairs: measured(side_by_side(packed, pairs, "ids", "vecs", "label"))
+    of = lambda pairs: measured(in_tiles(packed, pairs, ["ids", "vecs", "label"], _extremes, schema))
     # the likeliest pairs first, as many as there are blocks: what they give rules out most others
     first = packed.count()
     near = of(between.orderBy("low").limit(first)).first()["between"]

@@ -88,6 +88,37 @@ def test_dunn_by_branch_and_bound_sees_few_pairs(spark, monkeypatch):
     assert cluster.dunn(df).first()[0] == pytest.approx(d[~same].min() / d[same].max())
 
 
+@pytest.mark.parametrize("most", [1, 2, 64])
+def test_silhouettes_ship_a_block_once_to_each_tile(spark, monkeypatch, most):
+    from assayloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "VECTORS_PER_BLOCK", 16)
+    monkeypatch.setattr(cluster, "TILES", 3)
+    monkeypatch.setattr(cluster, "BLOCKS_OF_TILE", most)
+    rng = np.random.default_rng(6)
+    x, labels = rng.normal(0, 1, (150, 3)), rng.integers(0, 4, 150)
+    x[labels == 2] += 5
+    df = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, labels))], "id int, vec array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i, l in enumerate(labels):
+        a, b = d[i, labels == l].sum() / ((labels == l).sum() - 1), min(d[i, labels == m].mean() for m in range(4) if m != l)
+        s.append((b - a) / max(a, b))
+    found = cluster.silhouette(df)
+    assert found.first()[0] == pytest.approx(np.mean(s))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and " MapInPandas" not in plan
+
+
+def test_dunn_ships_a_block_once_to_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "FEW_BLOCKS", 0)
+    seen = []
+    monkeypatch.setattr(cluster, "in_tiles", lambda *a, real=cluster.in_tiles: seen.append(real(*a)) or seen[-1])
+    df = spark.createDataFrame([(i, [float(i), 0.0], i // 3) for i in range(9)], "id int, vec array<double>, label int")
+    assert cluster.dunn(df).first()[0] == pytest.approx(0.5)
+    assert seen and all("FlatMapGroupsInPandas" in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
+
+
 # ------------------------------------------------------------------ outliers
 
 

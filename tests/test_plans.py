@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,29 @@ def test_a_block_is_shipped_once_to_a_tile_of_others(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas run" not in plan
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6, 1e12])
+def test_screened_sums_of_differences_keep_their_bound(far):
+    rng = np.random.default_rng(8)
+    for d in (1, 7, 300):
+        a, b = rng.normal(0, 1, (40, d)) * rng.choice([1e-6, 1, 1e3], d) + far, rng.normal(0, 1, (50, d)) + far
+        b[3] = a[5]
+        rough, error = blocks._screened(a, b)
+        exact = np.abs(a[:, None] - b[None]).sum(axis=2)
+        assert np.abs(rough - exact).max() <= error
+    assert error < (0.1 if far < 1e9 else 100) * exact.max()
+
+
+def test_manhattan_neighbours_are_screened_in_single_precision(spark, monkeypatch):
+    calls = []
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(0, 1, (60, 5)), 1)
+    x[10] = x[40]
+    frame = pd.DataFrame({"block": [0], "q_ids": [np.arange(60)], "q_vecs": [list(x)], "t_ids": [np.arange(60)], "t_vecs": [list(x)], "bound": [np.inf]})
+    monkeypatch.setattr(blocks, "_screened", lambda a, b, real=blocks._screened: calls.append(1) or real(a, b))
+    found = pd.concat(blocks._top(4, "manhattan")(iter([frame])))
+    d = np.round(np.abs(x[:, None] - x[None]).sum(axis=2), 10)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, j, d[i, j]) for i in range(60) for j in np.lexsort((np.arange(60), d[i]))[:4]}
+    assert calls and set(zip(found["id"], found["neighbour"], found["distance"])) == want
