@@ -204,3 +204,41 @@ def test_manhattan_neighbours_are_screened_in_single_precision(spark, monkeypatc
     np.fill_diagonal(d, np.inf)
     want = {(i, j, d[i, j]) for i in range(60) for j in np.lexsort((np.arange(60), d[i]))[:4]}
     assert calls and set(zip(found["id"], found["neighbour"], found["distance"])) == want
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6, 1e12])
+def test_pairs_within_limits_are_screened_in_single_precision(far):
+    rng = np.random.default_rng(5)
+    for d in (1, 7, 300):
+        a, b = rng.normal(0, 1, (40, d)) * rng.choice([1e-6, 1, 1e3], d) + far, rng.normal(0, 1, (50, d)) + far
+        b[3] = a[5]
+        exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        for limits in (np.sort(exact, axis=1)[:, 4], np.zeros(40), np.full(40, 1e300)):
+            found = set(zip(*blocks._within(a, b, limits)))
+            assert found >= set(zip(*np.nonzero(exact <= limits[:, None])))
+    assert far or len(set(zip(*blocks._within(a, b, np.zeros(40))))) < 40
+
+
+def test_bounded_rows_meet_blocks_without_a_matrix_of_distances(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(0, 1, (60, 5)), np.tile(rng.normal(0, 1, 5), (30, 1))])
+    ids = np.array([f"s{i}" for i in range(90)], dtype=object)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 10)
+    np.fill_diagonal(d, np.inf)
+    bound = np.sort(d, axis=1)[:, 3] + 0.5
+    parts = np.split(np.arange(90), 6)
+    rows = [(int(a), ids[p], list(x[p]), ids[q], list(x[q]), bound[p]) for a, p in enumerate(parts) for q in parts]
+    frame = pd.DataFrame(rows, columns=["block", "q_ids", "q_vecs", "t_ids", "t_vecs", "bound"])
+    monkeypatch.setattr(blocks, "distance_matrix", lambda *_: pytest.fail("all distances are taken"))
+    found = pd.concat(blocks._top(4, "euclidean")(iter([frame])))
+    want = {(ids[i], ids[j], d[i, j]) for i in range(90) for j in np.lexsort((ids, d[i]))[:4]}
+    assert set(zip(found["id"], found["neighbour"], found["distance"])) == want
+
+
+def test_tiles_are_dealt_out_to_all_tasks(spark):
+    made = [(f"0.{node}.0", 0, node, [node], [[float(node)]]) for node in range(32, 64)]
+    packed = spark.createDataFrame(made, "block string, root int, node long, ids array<long>, vecs array<array<double>>")
+    pairs = spark.createDataFrame([(a[0], b[0], [float("inf")]) for a in made for b in made], "block string, other string, bounds array<double>")
+    found = blocks.nearest_in_tiles(packed, pairs, 2, "euclidean", "id long, neighbour long, distance double")
+    assert found.count() == 64
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
