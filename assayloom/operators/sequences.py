@@ -256,6 +256,16 @@ def _exact_codes(points: np.ndarray, k: int) -> np.ndarray:
     return codes
 
 
+def _sorted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes in order, and where each was; equal ones by where they were."""
+    bits = len(codes).bit_length()
+    if len(codes) and codes.max() < 1 << (62 - bits):  # code and place fit one number: several times faster
+        both = np.sort((codes.astype(np.int64) << bits) | np.arange(len(codes)))
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(codes, kind="stable")
+    return codes[order], order
+
+
 def _merged_kmers(sequences: DataFrame, k: int, key: str, seq: str) -> DataFrame:
     def merge(rows: list[tuple], before: tuple) -> tuple[pa.RecordBatch, tuple]:
         """The merged k-mers of some parts; ``before``: the key the parts before ended with, and its k-mers."""
@@ -263,26 +273,27 @@ def _merged_kmers(sequences: DataFrame, k: int, key: str, seq: str) -> DataFrame
         number = np.cumsum([0] + [a != b for a, b in zip(names, names[1:])])
         points, starts, sizes, joined = _padded([r[2] for r in rows], k)
         takes = np.minimum(sizes, PART)
-        row = np.repeat(np.arange(len(rows)), takes)
-        i = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
-        codes = _exact_codes(points, k)[starts[row] + i]
-        order = np.argsort(codes, kind="stable")
-        codes, row, i = codes[order], row[order], i[order]
+        places = np.arange(takes.sum())
+        along = lambda x: np.repeat(x - (np.cumsum(takes) - takes), takes) + places
+        place = along(starts)
+        codes, order = _sorted(_exact_codes(points, k)[place])
+        owner = np.repeat(number, takes)[order]
         fresh = np.append(True, codes[1:] != codes[:-1])
-        # parts come key by key, so of equal k-mers those of a key lie together
-        other = fresh | np.append(True, number[row][1:] != number[row][:-1])
-        known = np.array([x is not None for x in names])
+        # parts come key by key, so of equal k-mers those of a key lie together, and the last key's at the end
+        other = fresh | np.append(True, owner[1:] != owner[:-1])
+        if None in names:
+            other &= np.repeat(np.array([x is not None for x in names]), takes)[order]
         begin = np.nonzero(fresh)[0]
-        n = np.diff(np.append(begin, len(codes)))
-        keys = np.add.reduceat((other & known[row]).astype(np.int64), begin)
-        first = np.minimum.reduceat(np.array([r[1] for r in rows], dtype=np.int64)[row] + i, begin)
-        r, i = row[begin], i[begin]
-        words = [joined[p:p + m] for p, m in zip((starts[r] + i).tolist(), np.minimum(sizes[r] - i, k).tolist())]
-        here = np.logical_or.reduceat(number[row] == number[-1], begin)
-        last = {words[j] for j in np.nonzero(here)[0].tolist()}
+        end = np.append(begin[1:], len(codes))
+        n = end - begin
+        keys = np.add.reduceat(other.astype(np.int64), begin)
+        first = np.minimum.reduceat(along(np.array([r[1] for r in rows], dtype=np.int64))[order], begin)
+        row = np.searchsorted(np.cumsum(takes), order[begin], side="right")
+        here = place[order[begin]]
+        words = [joined[p:p + m] for p, m in zip(here.tolist(), np.minimum(starts[row] + sizes[row] - here, k).tolist())]
+        last = {words[j] for j in np.nonzero(owner[end - 1] == number[-1])[0].tolist()}
         if before[0] is not None and before[0] == names[0]:
-            here = np.logical_or.reduceat(number[row] == 0, begin)
-            keys -= np.array([bool(h) and w in before[1] for h, w in zip(here.tolist(), words)], dtype=np.int64)
+            keys -= np.array([bool(h) and w in before[1] for h, w in zip((owner[begin] == 0).tolist(), words)], dtype=np.int64)
             if number[-1] == 0:
                 last |= before[1]
         made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(keys), pa.array(first)], ["kmer", "n", "keys", "first"])
@@ -301,7 +312,9 @@ def _merged_kmers(sequences: DataFrame, k: int, key: str, seq: str) -> DataFrame
         if held:
             yield merge(held, before)[0]
 
-    together = sequences.select(col(key), col(seq)).repartition(col(key)).sortWithinPartitions(col(key))
+    # by number, so tasks aren't gathered by their size: they read little and compute much
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = sequences.select(col(key), col(seq)).repartition(tasks, col(key)).sortWithinPartitions(col(key))
     return _parts(together, k, PART, key, seq).mapInArrow(found, "kmer string, n long, keys long, first long")
 
 

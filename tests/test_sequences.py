@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +299,23 @@ def test_merged_kmers_are_those_of_all_rows(spark, monkeypatch, k):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_codes_are_sorted_with_their_places():
+    rng = np.random.default_rng(3)
+    for most in (5, 1 << 40, (1 << 62) - 1):  # the largest don't fit one number with their places
+        codes = rng.integers(0, most, 3000)
+        codes[:10] = most - 1
+        found, order = sq._sorted(codes)
+        assert np.array_equal(order, np.argsort(codes, kind="stable")) and np.array_equal(found, np.sort(codes))
+    assert [len(x) for x in sq._sorted(np.zeros(0, dtype=np.int64))] == [0, 0]
+
+
+def test_kmers_are_merged_by_all_tasks_of_a_shuffle(spark):
+    docs = spark.createDataFrame([(f"p{i}", "ABC" * i) for i in range(30)], "protein_id string, seq string")
+    made = sq.kmers(docs, 5, merged=True)
+    assert {r["kmer"] for r in made.collect()} == {"ABCAB", "BCABC", "CABCA", "CABC", "ABC", "BC", "C"}
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_graphs_of_sequences_that_share_a_name(spark):
     docs = spark.createDataFrame([("P", "AB,C", 4), ("P", "AB,C", 4), ("P", "A,", 2), (None, "A,", 2)], "protein_id string, seq string, seq_len int")
     gone = spark.createDataFrame([("P", 3, 3, ",", ";", "x"), ("P", 3, 3, ",", ";", "y"), ("Q", 1, 1, ",", ";", "x"), (None, 2, 2, ",", ";", "x")], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
