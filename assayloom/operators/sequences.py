@@ -29,6 +29,7 @@ CHUNK = 256  # letters that are cut into k-mers together
 BIN = 4096  # positions of a bin in which seeds meet nodes
 PART = 16384  # letters that are shipped to Python together
 LETTERS_AT_ONCE = 1 << 20  # letters that numpy works on together
+LOOKED_UP_AT_ONCE = 1 << 17  # and those that are looked up together: what is held of them stays in a core's cache
 SLOTS = 23  # k-mers that are asked for are marked in a table of 2^23 bits, however many they are
 _PAD = 0x110000  # stands for what lies behind the end of a sequence; no letter
 #: Nodes and edges of a protein whose longest paths one task follows; larger graphs shrink in rounds.
@@ -133,11 +134,11 @@ def _slots(points: np.ndarray, k: int) -> np.ndarray:
 
 
 def _batched(parts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of parts that hold about LETTERS_AT_ONCE letters."""
+    """Ranges of parts that hold about LOOKED_UP_AT_ONCE letters."""
     first = held = 0
     for i, part in enumerate(parts):
         held += len(part)
-        if held >= LETTERS_AT_ONCE:
+        if held >= min(LOOKED_UP_AT_ONCE, LETTERS_AT_ONCE):
             yield first, i + 1
             first, held = i + 1, 0
     if first < len(parts):

@@ -316,6 +316,13 @@ def test_kmers_are_merged_by_all_tasks_of_a_shuffle(spark):
     assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_letters_are_looked_up_a_cache_full_at_a_time():
+    parts = ["A" * n for n in (5, 16000, 0, 1) * 300]
+    ranges = list(sq._batched(parts))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(len(parts)))
+    assert max(sum(map(len, parts[a:b])) for a, b in ranges) < (1 << 17) + 16000
+
+
 def test_graphs_of_sequences_that_share_a_name(spark):
     docs = spark.createDataFrame([("P", "AB,C", 4), ("P", "AB,C", 4), ("P", "A,", 2), (None, "A,", 2)], "protein_id string, seq string, seq_len int")
     gone = spark.createDataFrame([("P", 3, 3, ",", ";", "x"), ("P", 3, 3, ",", ";", "y"), ("Q", 1, 1, ",", ";", "x"), (None, 2, 2, ",", ";", "x")], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
