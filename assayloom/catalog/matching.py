@@ -12,10 +12,10 @@ from assayloom.plans.storage import cut, scratch_path
 KEYS = ["protein_id", "node_id"]
 
 
-def _sequences(spark, folder):
+def _sequences(spark, folder, dealt_out=True):
     docs = v.table(spark, folder, "documents").select("doc_id", "text").filter("text <> ''")
-    # every letter becomes a k-mer: texts are dealt out to all tasks of a shuffle, however few files they come in
-    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    if dealt_out:  # every letter becomes a k-mer: texts are dealt out to all tasks of a shuffle, however few files they come in
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return docs.select(F.col("doc_id").cast("string").alias("protein_id"), F.col("text").alias("seq"), F.length("text").alias("seq_len"))
 
 
@@ -192,9 +192,9 @@ _HITS = """sn as (select distinct p from (select unnest(string_split(text, '. ')
 
 
 def _sentence_hits(spark, folder):
-    docs = _sequences(spark, folder)
-    graph = sequences.variation_graph(docs, _no_variants(spark, folder))
-    matches = sequences.match_on_graph(sequences.seeds(docs, _sentences(spark, folder), 8), graph, 0)
+    # a graph's texts are joined by name anyway: they need no shuffle of their own before
+    graph = sequences.variation_graph(_sequences(spark, folder, dealt_out=False), _no_variants(spark, folder))
+    matches = sequences.match_on_graph(sequences.seeds(_sequences(spark, folder), _sentences(spark, folder), 8), graph, 0)
     return graph, cut(sequences.node_hits(matches))
 
 

@@ -768,6 +768,8 @@ def split_nodes(graph: Graph, merged: DataFrame) -> Graph:
     Pieces are ``<node>.<first letter>`` with ``match`` telling matched ones; edges
     run between neighbouring pieces, and from the last piece of a node to the
     first piece of its successors.  Sentinels and empty nodes stay whole.
+
+    The pieces are written once: edges read their names only, and not the graph again.
     """
     nodes = graph.nodes
     whole = F.col("kind").isin("start", "end") | (F.length("seq") == 0)
@@ -793,7 +795,7 @@ def split_nodes(graph: Graph, merged: DataFrame) -> Graph:
     kept = nodes.filter(whole).select(
         "protein_id", F.col("node_id").alias("parent"), "node_id", "pos", "seq", "kind", F.lit(None).cast("boolean").alias("match"), F.lit(0).alias("at")
     )
-    every = pieces.unionByName(kept)
+    every = written(pieces.unionByName(kept), "pieces")
     order = Window.partitionBy("protein_id", "parent").orderBy("at")
     inner = every.select("protein_id", F.col("node_id").alias("src"), F.lead("node_id").over(order).alias("dst")).filter("dst is not null")
     ends = every.groupBy("protein_id", "parent").agg(

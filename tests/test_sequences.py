@@ -335,3 +335,12 @@ def test_graphs_of_sequences_that_share_a_name(spark):
     for r in made.edges.collect():
         edges[r["src"], r["dst"]] = edges.get((r["src"], r["dst"]), 0) + 1
     assert edges == {(sq.START, "r0"): 9, ("r0", "r2"): 9, ("r0", "v2_3_;"): 3, ("r0", sq.END): 3, ("r2", "r3"): 9, ("v2_3_;", "r3"): 3, ("r3", sq.END): 6}
+
+
+def test_edges_of_pieces_do_not_read_the_graph_again(spark, graph):
+    merged = spark.createDataFrame([("p", "1", 1, 2)], "protein_id string, node_id string, first int, last int")
+    made = graph({"0": "", "1": "ABCDE", "2": ""}, [("0", "1"), ("1", "2")])
+    split = sq.split_nodes(made, merged)
+    reads = split.edges.inputFiles()
+    assert sorted((r["src"], r["dst"]) for r in split.edges.collect()) == [("0", "1.0"), ("1.0", "1.1"), ("1.1", "1.3"), ("1.3", "2")]
+    assert reads and all("pieces-" in x for x in reads)
