@@ -377,12 +377,14 @@ def variation_graph(sequences: DataFrame, kept_variants: DataFrame) -> Graph:
     without letters.  Nodes are linked where one ends and another starts.
 
     The places of a protein's variants are gathered in a row, so tables that are sorted
-    have a row per protein; nodes and edges are unfolded from them.
+    have a row per protein; nodes and edges are unfolded from them. Lengths are written once:
+    only runs read the texts again.
     """
+    sizes = cut(sequences.select("protein_id", F.length("seq").alias("length")))
     alleles = kept_variants.filter("alt is not null").groupBy("protein_id").agg(
         F.collect_set(F.struct((F.col("pos") - 1).alias("pos"), F.col("end_pos").alias("stop"), F.col("alt").alias("seq"))).alias("alleles")
     )
-    lengths = sequences.filter("protein_id is not null").groupBy("protein_id").agg(F.collect_list(F.length("seq")).alias("lengths"))
+    lengths = sizes.filter("protein_id is not null").groupBy("protein_id").agg(F.collect_list("length").alias("lengths"))
     ends = F.filter(F.concat(F.col("alleles.pos"), F.col("alleles.stop")), lambda x: x.isNotNull())
     borders = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0)), "lengths", F.coalesce(ends, F.array().cast("array<int>")))))
     placed = lengths.join(alleles, "protein_id", "left").select("protein_id", borders.alias("borders"), "lengths", "alleles")
@@ -401,11 +403,11 @@ def variation_graph(sequences: DataFrame, kept_variants: DataFrame) -> Graph:
         F.concat_ws("_", F.concat(F.lit("v"), F.col("pos").cast("string")), F.col("stop").cast("string"), "seq").alias("node_id"),
         F.when(F.col("seq") == "", "deletion").otherwise("variant").alias("kind"),
     )
-    sentinels = sequences.select(
+    sentinels = sizes.select(
         "protein_id",
         F.explode(F.array(
             F.struct(F.lit(0).alias("pos"), F.lit("").alias("seq"), F.lit(START).alias("node_id"), F.lit("start").alias("kind")),
-            F.struct(F.length("seq").alias("pos"), F.lit("").alias("seq"), F.lit(END).alias("node_id"), F.lit("end").alias("kind")),
+            F.struct(F.col("length").alias("pos"), F.lit("").alias("seq"), F.lit(END).alias("node_id"), F.lit("end").alias("kind")),
         )).alias("s"),
     ).select("protein_id", "s.*")
     nodes = runs.unionByName(variant_nodes).unionByName(sentinels)
@@ -631,7 +633,36 @@ def _differences(a: Column, b: Column, n: Column) -> Column:
     """In how many of the first ``n`` letters two texts differ."""
     letters = (F.split(F.substring(x, F.lit(1), n), "") for x in (a, b))
     differ = F.filter(F.zip_with(*letters, lambda x, y: x != y), lambda d: d)
-    return F.when(n > 0, F.size(differ)).otherwise(F.lit(0))
+    same = F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)
+    return F.when(n > 0, F.when(same, F.lit(0)).otherwise(F.size(differ))).otherwise(F.lit(0))
+
+
+def _starts(found: DataFrame, letters: DataFrame, longest: int) -> DataFrame:
+    """(peptide, protein_id, start, node_id, at, rest, there) of the node each seed starts in.
+
+    Seeds and nodes meet by bins of positions. A bin holds the node's letters that lie in
+    it, and as many behind as the longest peptide has: no long node is shipped whole to each of its
+    bins, or to each of its seeds.
+    """
+    size = max(BIN, longest)
+    stop = F.col("offset") + F.length("seq")
+    spans = letters.filter(F.length("seq") > 0).select(
+        "protein_id", "node_id", "offset", "kind", "seq", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((stop - 1) / size))).alias("bin")
+    )
+    begin = F.greatest(F.col("bin") * size - F.col("offset"), F.lit(0)).cast("int")
+    many = ((F.col("bin") + 1) * size - F.col("offset") - begin + longest).cast("int")
+    pieces = spans.select("protein_id", "node_id", "offset", "kind", "bin", begin.alias("begin"), F.substring("seq", begin + 1, many).alias("piece"))
+    seeded = found.select("protein_id", "start", "peptide", F.floor(F.col("start") / size).alias("bin"))
+    at = (F.col("start") - F.col("offset")).cast("int")
+    there = lambda n: F.substring("piece", F.col("at") - F.col("begin") + 1, n)
+    right = there(F.lit(1)) == F.substring("peptide", 1, 1)
+    met = pieces.join(seeded, ["protein_id", "bin"]).withColumn("at", at).filter("at >= 0 and at - begin < length(piece)").select(
+        "peptide", "protein_id", "start", "node_id", "at", "kind", right.alias("right"), F.col("peptide").alias("rest"), there(F.length("peptide")).alias("there")
+    )
+    # of the nodes that go on with the right letter, the first by name, those of the reference before; all texts of that name
+    first = F.min(F.when(F.col("right"), F.struct((F.col("kind") != "reference").alias("later"), F.col("node_id"), F.col("at"))))
+    chosen = met.withColumn("f", first.over(Window.partitionBy("peptide", "protein_id", "start")))
+    return chosen.filter("node_id = f.node_id and at = f.at").drop("f", "kind", "right")
 
 
 def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2, offsets: DataFrame | None = None) -> DataFrame:
@@ -646,33 +677,21 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
     if allowed_mismatches < 0:
         raise ValueError("allowed mismatches must not be negative")
     found = cut(found)
+    longest = found.agg(F.max(F.length("peptide"))).first()[0] or 0
+    # the size of a file is known: a few names are broadcast, and the texts of other proteins not shuffled
+    seeded = written(found.select("protein_id").distinct(), "seeded")
     placed = graph.nodes.withColumnRenamed("pos", "offset") if offsets is None else graph.nodes.join(offsets, ["protein_id", "node_id"])
-    placed = placed.join(found.select("protein_id"), "protein_id", "left_semi")
+    placed = placed.join(seeded, "protein_id", "left_semi")
     letters = cut(placed.select("protein_id", "node_id", "offset", F.when(F.col("kind").isin("start", "end"), F.lit("")).otherwise(F.col("seq")).alias("seq"), "kind"))
-    edges = cut(graph.edges.join(found.select("protein_id"), "protein_id", "left_semi"))
-    # a seed meets the nodes that span its position; both are joined by bins of positions
-    last = F.floor((F.col("offset") + F.length("seq") - 1) / BIN)
-    spans = letters.filter(F.length("seq") > 0).withColumn("bin", F.explode(F.sequence(F.floor(F.col("offset") / BIN), last)))
-    seeded = found.select("protein_id", F.col("start").alias("position"), "peptide", F.floor(F.col("start") / BIN).alias("bin"))
-    at = F.col("position") - F.col("offset")
-    starting = spans.join(seeded, ["protein_id", "bin"]).filter((at >= 0) & (at < F.length("seq"))).filter(
-        F.expr("substring(seq, position - offset + 1, 1) = substring(peptide, 1, 1)")
-    )
-    first = F.min(F.struct((F.col("kind") != "reference").alias("later"), F.col("node_id"), (F.col("position") - F.col("offset")).alias("at")))
-    walks = starting.groupBy("peptide", "protein_id", F.col("position").alias("start")).agg(first.alias("f")).select(
-        "peptide", "protein_id", "start", F.col("f.node_id").alias("node_id"), F.col("f.at").alias("at"),
-        F.lit(0).alias("done"), F.lit(0).alias("mismatches"),
-        F.array().cast("array<struct<node_id:string,first:int,last:int>>").alias("path"),
+    here = _starts(found, letters, longest).select(
+        "*", F.lit(0).alias("done"), F.lit(0).alias("mismatches"), F.array().cast("array<struct<node_id:string,first:int,last:int>>").alias("path")
     )
-    finished = None
+    finished = edges = None
     while True:
-        here = walks.join(letters.select("protein_id", "node_id", "seq"), ["protein_id", "node_id"])
-        rest = F.expr("substring(peptide, done + 1)")
-        there = F.expr("substring(seq, at + 1)")
-        n = F.least(F.length(rest), F.length(there))
+        n = F.least(F.length("rest"), F.length("there"))
         stepped = (
             here.withColumn("n", n)
-            .withColumn("mismatches", F.col("mismatches") + _differences(rest, there, F.col("n")))
+            .withColumn("mismatches", F.col("mismatches") + _differences(F.col("rest"), F.col("there"), F.col("n")))
             .filter(F.col("mismatches") <= allowed_mismatches)
             .withColumn("done", F.col("done") + F.col("n"))
             .withColumn(
@@ -694,8 +713,12 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
         open_walks = stepped.filter(F.col("done") < F.length("peptide"))
         if open_walks.isEmpty():
             break
-        walks = open_walks.join(edges.withColumnRenamed("src", "node_id"), ["protein_id", "node_id"]).select(
-            "peptide", "protein_id", "start", F.col("dst").alias("node_id"), F.lit(0).alias("at"), "done", "mismatches", "path"
+        if edges is None:  # walks go on in their protein, and from the first letter of a node
+            walked = written(open_walks.select("protein_id").distinct(), "walked")
+            edges = cut(graph.edges.join(walked, "protein_id", "left_semi").withColumnRenamed("src", "node_id"))
+            heads = cut(letters.join(walked, "protein_id", "left_semi").select("protein_id", "node_id", F.substring("seq", 1, longest).alias("there")))
+        here = open_walks.join(edges, ["protein_id", "node_id"]).drop("node_id").withColumnRenamed("dst", "node_id").join(heads, ["protein_id", "node_id"]).select(
+            "peptide", "protein_id", "start", "node_id", F.lit(0).alias("at"), F.expr("substring(peptide, done + 1)").alias("rest"), "there", "done", "mismatches", "path"
         )
     best = F.min_by(F.struct("mismatches", "path"), F.struct("mismatches", "path"))
     return finished.groupBy("peptide", "protein_id", "start").agg(best.alias("b")).select("peptide", "protein_id", "start", "b.mismatches", "b.path")

@@ -344,3 +344,25 @@ def test_edges_of_pieces_do_not_read_the_graph_again(spark, graph):
     reads = split.edges.inputFiles()
     assert sorted((r["src"], r["dst"]) for r in split.edges.collect()) == [("0", "1.0"), ("1.0", "1.1"), ("1.1", "1.3"), ("1.3", "2")]
     assert reads and all("pieces-" in x for x in reads)
+
+
+def test_long_nodes_are_cut_into_bins_and_edges_wait_for_walks(spark, monkeypatch):
+    monkeypatch.setattr(sq, "BIN", 8)
+    rng = random.Random(3)
+    texts = {p: "".join(rng.choice("ABÑ😀") for _ in range(n)) for p, n in (("a", 200), ("b", 37), ("c", 8), ("d", 3))}
+    docs = spark.createDataFrame([(p, s, len(s)) for p, s in texts.items()], "protein_id string, seq string, seq_len int")
+    peptides = sorted({s[i:i + n] for s in texts.values() for i in (0, 1, 7, 30) for n in (2, 5, 23) if len(s) >= i + n})
+    none = spark.createDataFrame([], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
+    found = sq.seeds(docs, spark.createDataFrame([(p,) for p in peptides], "peptide string"), 2)
+    made = sq.variation_graph(docs, none)
+    # no walk leaves its node, so nothing asks for an edge
+    unread = made.edges.withColumn("dst", F.raise_error(F.lit("edges were read")).cast("string"))
+    got = sq.match_on_graph(found, sq.Graph(made.nodes, unread), 1)
+    want = [
+        (x, p, i, m) for p, s in texts.items() for x in peptides for i in range(len(s) - len(x) + 1)
+        if s[i:i + 2] == x[:2] and (m := sum(a != b for a, b in zip(x, s[i:]))) <= 1
+    ]
+    assert sorted((r["peptide"], r["protein_id"], r["start"], r["mismatches"]) for r in got.collect()) == sorted(want)
+    assert all(r["path"][0].asDict() == {"node_id": "r0", "first": r["start"], "last": r["start"] + len(r["peptide"]) - 1} for r in got.collect())
+    there = sq._starts(found, made.nodes.withColumnRenamed("pos", "offset"), 23).select("peptide", "there").collect()
+    assert there and all(len(r["there"]) <= len(r["peptide"]) for r in there)
