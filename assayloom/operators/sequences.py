@@ -11,7 +11,7 @@ with ``pos`` the 0-based reference position a node starts at.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +39,8 @@ GRAPH_AT_ONCE = 500_000
 class Graph(NamedTuple):
     nodes: DataFrame
     edges: DataFrame
+    #: The same graph of the proteins of a table only, built of nothing else; without it, nodes and edges are filtered.
+    of: Callable[[DataFrame], Graph] | None = None
 
 
 # --------------------------------------------------------------- flat files
@@ -378,9 +380,17 @@ def variation_graph(sequences: DataFrame, kept_variants: DataFrame) -> Graph:
 
     The places of a protein's variants are gathered in a row, so tables that are sorted
     have a row per protein; nodes and edges are unfolded from them. Lengths are written once:
-    only runs read the texts again.
+    only runs read the texts again. Spark filters no proteins below what unfolds them, so ``of`` does.
     """
     sizes = cut(sequences.select("protein_id", F.length("seq").alias("length")))
+
+    def some(names: DataFrame) -> Graph:
+        return _unfolded(*(x.join(names.select("protein_id"), "protein_id", "left_semi") for x in (sequences, sizes, kept_variants)))
+
+    return _unfolded(sequences, sizes, kept_variants)._replace(of=some)
+
+
+def _unfolded(sequences: DataFrame, sizes: DataFrame, kept_variants: DataFrame) -> Graph:
     alleles = kept_variants.filter("alt is not null").groupBy("protein_id").agg(
         F.collect_set(F.struct((F.col("pos") - 1).alias("pos"), F.col("end_pos").alias("stop"), F.col("alt").alias("seq"))).alias("alleles")
     )
@@ -680,8 +690,8 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
     longest = found.agg(F.max(F.length("peptide"))).first()[0] or 0
     # the size of a file is known: a few names are broadcast, and the texts of other proteins not shuffled
     seeded = written(found.select("protein_id").distinct(), "seeded")
-    placed = graph.nodes.withColumnRenamed("pos", "offset") if offsets is None else graph.nodes.join(offsets, ["protein_id", "node_id"])
-    placed = placed.join(seeded, "protein_id", "left_semi")
+    part = graph.of(seeded) if graph.of else Graph(*(x.join(seeded, "protein_id", "left_semi") for x in (graph.nodes, graph.edges)))
+    placed = part.nodes.withColumnRenamed("pos", "offset") if offsets is None else part.nodes.join(offsets, ["protein_id", "node_id"])
     letters = cut(placed.select("protein_id", "node_id", "offset", F.when(F.col("kind").isin("start", "end"), F.lit("")).otherwise(F.col("seq")).alias("seq"), "kind"))
     here = _starts(found, letters, longest).select(
         "*", F.lit(0).alias("done"), F.lit(0).alias("mismatches"), F.array().cast("array<struct<node_id:string,first:int,last:int>>").alias("path")
@@ -715,7 +725,7 @@ def match_on_graph(found: DataFrame, graph: Graph, allowed_mismatches: int = 2,
             break
         if edges is None:  # walks go on in their protein, and from the first letter of a node
             walked = written(open_walks.select("protein_id").distinct(), "walked")
-            edges = cut(graph.edges.join(walked, "protein_id", "left_semi").withColumnRenamed("src", "node_id"))
+            edges = cut(part.edges.join(walked, "protein_id", "left_semi").withColumnRenamed("src", "node_id"))
             heads = cut(letters.join(walked, "protein_id", "left_semi").select("protein_id", "node_id", F.substring("seq", 1, longest).alias("there")))
         here = open_walks.join(edges, ["protein_id", "node_id"]).drop("node_id").withColumnRenamed("dst", "node_id").join(heads, ["protein_id", "node_id"]).select(
             "peptide", "protein_id", "start", "node_id", F.lit(0).alias("at"), F.expr("substring(peptide, done + 1)").alias("rest"), "there", "done", "mismatches", "path"

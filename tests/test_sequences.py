@@ -366,3 +366,16 @@ def test_long_nodes_are_cut_into_bins_and_edges_wait_for_walks(spark, monkeypatc
     assert all(r["path"][0].asDict() == {"node_id": "r0", "first": r["start"], "last": r["start"] + len(r["peptide"]) - 1} for r in got.collect())
     there = sq._starts(found, made.nodes.withColumnRenamed("pos", "offset"), 23).select("peptide", "there").collect()
     assert there and all(len(r["there"]) <= len(r["peptide"]) for r in there)
+
+
+def test_a_graph_of_some_proteins_is_built_of_them_alone(spark):
+    docs = spark.createDataFrame([("P", "AB,C", 4), ("P", "A,", 2), ("Q", "D,E", 3), (None, "F", 1)], "protein_id string, seq string, seq_len int")
+    gone = spark.createDataFrame([("P", 3, 3, ",", ";", "x"), ("Q", 2, 2, ",", "", "y")], "protein_id string, pos int, end_pos int, ref string, alt string, note string")
+    made = sq.variation_graph(docs, gone)
+    names = spark.createDataFrame([("P",), ("R",), (None,)], "protein_id string")
+    part = made.of(names)
+    rows = lambda df: sorted(map(tuple, df.filter("protein_id = 'P'").collect()))
+    assert rows(part.nodes) == rows(made.nodes) and rows(part.edges) == rows(made.edges)
+    assert part.nodes.filter("protein_id <=> 'P'").count() == part.nodes.count() and part.edges.filter("protein_id <=> 'P'").count() == part.edges.count()
+    plan = part.nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("LeftSemi")
