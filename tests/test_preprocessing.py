@@ -242,6 +242,21 @@ def test_grid_is_unfolded_as_the_last_step(spark, monkeypatch):
     assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
 
 
+def test_grid_keeps_all_samples_next_to_a_null_one(spark):
+    rows = [(f"s{i}", f"p{j}", float(i + j)) for i in range(6) for j in range(3) if i != j] + [(None, "p1", 5.0)]
+    found = [tuple(r) for r in reshape.complete_grid(spark.createDataFrame(rows, LONG)).collect()]
+    held = {(s, p): x for s, p, x in rows if s}
+    assert sorted(map(str, found)) == sorted(str((s, p, held.get((s, p)))) for s in [None, *(f"s{i}" for i in range(6))] for p in ("p0", "p1", "p2"))
+
+
+def test_grid_stays_small_in_files(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('sample', id % 2000) as Sample", "concat('protein', (id * 7919) % 500) as `Protein ID`", "id / 2 as Intensity")
+    reshape.complete_grid(rows).write.parquet(str(tmp_path / "grid"))
+    size = sum(f.stat().st_size for f in (tmp_path / "grid").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "grid")).count() == 2000 * 500 + 2000
+    assert size < 1e6, size  # below a byte a row: the same samples come again and again
+
+
 def test_identifiers(spark):
     df = spark.createDataFrame([("S", "P1-2;P1_VAR;Q7;P1", 1.0)], LONG)
     assert reshape.with_clean_groups(df).first()["Protein ID"] == "P1;Q7;P1"
