@@ -156,6 +156,12 @@ def test_pairs_of_balls_grow_slower_than_all_pairs(spark):
     assert pairs[1] < pairs[0] * 8 ** 1.5, pairs  # all pairs would be 64 times as many
 
 
+def test_plans_of_pairs_do_not_grow_with_the_tree(spark):
+    df = spark.range(64).selectExpr("id", "array(double(id * id)) as vec")
+    size = lambda per_block: blocks.neighbour_blocks(df, 2, "euclidean", per_block)[1]._jdf.queryExecution().optimizedPlan().toString().count(" div ")
+    assert size(4) == size(16)  # four levels and two: conditions of a level say nothing about the next
+
+
 def test_cells_are_even_but_for_copies(spark):
     x = [(i, [float(i % 50), float(i * i % 97)]) for i in range(600)] + [(1000 + i, [3.0, 3.0]) for i in range(100)]
     df = spark.createDataFrame(x, "id long, vec array<double>").withColumn("root", F.lit(0))
