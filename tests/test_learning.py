@@ -127,6 +127,18 @@ def two_pairs(long):
     return long({"Protein1": [5, 1, 100, 100], "Protein2": [2, 3, 50, 50], "Protein3": [4, 2, 80, 80]})
 
 
+def test_outlier_factors_over_a_tree_keep_plans_small(spark, monkeypatch):
+    from assayloom.plans import blocks
+
+    df = spark.range(64).selectExpr("id", "array(double(id * id)) as vec")
+    scores = lambda: {r["id"]: round(r["anomaly_score"], 9) for r in outliers.local_outlier_factor(df, 3).collect()}
+    whole, seen = scores(), []
+    monkeypatch.setattr(blocks, "FEW_BLOCKS", 0)
+    monkeypatch.setattr(blocks, "neighbour_blocks", lambda plain, k, plane, real=blocks.neighbour_blocks: seen.append(real(plain, k, plane, 4)) or seen[-1])
+    assert scores() == whole
+    assert seen[0][1]._jdf.queryExecution().optimizedPlan().toString().count(" div ") < 100
+
+
 def test_outlier_methods_refuse_missing_values(long):
     table = long({"A": [None, 1, 2], "B": [1, 2, 3]})
     for method in (outliers.by_isolation_forest, outliers.by_local_outlier_factor, outliers.by_pca):
