@@ -140,6 +140,57 @@ def _contracted(labels: DataFrame, best: DataFrame) -> DataFrame:
             return written(labels.join(ends, "c", "left").select("n", F.coalesce("end", "c").alias("c")), "labels")
 
 
+def _row_by_row(a, b, n, m, cn, cm) -> list[np.ndarray]:
+    """Edges (c, d, lo, hi) that hold the shortest way out of each component, whatever the numbers."""
+    out = []
+    # what is best so far for each row of b
+    best = np.full(len(m), np.inf), np.full(len(m), -1), np.full(len(m), -1)
+    for i in range(len(n)):
+        apart = np.flatnonzero(cm != cn[i])
+        if not len(apart):
+            continue
+        d = ((b[apart] - a[i]) ** 2).sum(axis=1)
+        lo, hi = np.minimum(m[apart], n[i]), np.maximum(m[apart], n[i])
+        first = np.lexsort((hi, lo, d))[0]
+        out.append((cn[i], d[first], lo[first], hi[first]))
+        bd, bl, bh = (x[apart] for x in best)
+        less = (d < bd) | (d == bd) & ((lo < bl) | (lo == bl) & (hi < bh))
+        for held, new in zip(best, (d, lo, hi)):
+            held[apart[less]] = new[less]
+    out += [(c, *e) for c, *e in zip(cm, *best) if e[1] >= 0]
+    return [np.array(x) for x in zip(*out)] if out else []
+
+
+def _by_products(a, b, n, m, cn, cm) -> list[np.ndarray] | None:
+    """As ``_row_by_row``: products with a bound on their error tell which pairs may be the shortest, and only those are measured.
+
+    None where the numbers don't allow it.
+    """
+    if a.dtype != np.float64 or b.dtype != np.float64 or a.ndim != 2 or b.ndim != 2:
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = (a.mean(axis=0) + b.mean(axis=0)) / 2
+        x, y = a - centre, b - centre
+        lengths = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+        squared = lengths - 2.0 * (x @ y.T)
+    if not np.isfinite(squared).all() or not 1e-200 < lengths.max() < 1e200:
+        return None
+    lengths *= 2.0**-50 * (a.shape[1] + 8)  # from here on the error of the squares, with room to spare
+    alike = cn[:, None] == cm[None, :]
+    squared[alike] = np.inf
+    most = squared + lengths
+    # of either row of a pair, what its shortest way out is not beyond
+    limits = np.maximum(most.min(axis=1)[:, None], most.min(axis=0)[None, :])
+    limits[alike] = -np.inf
+    i, j = np.nonzero(squared - lengths <= limits)
+    d = np.empty(len(i))
+    for start in range(0, len(i), 8192):
+        part = slice(start, start + 8192)
+        d[part] = ((b[j[part]] - a[i[part]]) ** 2).sum(axis=1)
+    lo, hi = np.minimum(n[i], m[j]), np.maximum(n[i], m[j])
+    return [np.concatenate(both) for both in ((cn[i], cm[j]), (d, d), (lo, lo), (hi, hi))]
+
+
 def _nearest_outside(pairs: DataFrame) -> DataFrame:
     """(c, d, lo, hi): per pair of blocks the shortest way out of each component, from differences, not products."""
 
@@ -150,35 +201,23 @@ def _nearest_outside(pairs: DataFrame) -> DataFrame:
                 n, m, cn, cm = (np.asarray(x, dtype=np.int64) for x in (row.na, row.nb, row.ca, row.cb))
                 if cn.min() == cn.max() == cm.min() == cm.max():
                     continue
-                a, b = np.stack(row.va), np.stack(row.vb)
-                # what is best so far for each row of b
-                best = np.full(len(m), np.inf), np.full(len(m), -1), np.full(len(m), -1)
-                for i in range(len(n)):
-                    apart = np.flatnonzero(cm != cn[i])
-                    if not len(apart):
-                        continue
-                    d = ((b[apart] - a[i]) ** 2).sum(axis=1)
-                    lo, hi = np.minimum(m[apart], n[i]), np.maximum(m[apart], n[i])
-                    first = np.lexsort((hi, lo, d))[0]
-                    out.append((cn[i], d[first], lo[first], hi[first]))
-                    bd, bl, bh = (x[apart] for x in best)
-                    less = (d < bd) | (d == bd) & ((lo < bl) | (lo == bl) & (hi < bh))
-                    for held, new in zip(best, (d, lo, hi)):
-                        held[apart[less]] = new[less]
-                out += [(c, *e) for c, *e in zip(cm, *best) if e[1] >= 0]
-                out = _least(out) if out else out
+                given = np.stack(row.va), np.stack(row.vb), n, m, cn, cm
+                edges = _by_products(*given)
+                edges = _row_by_row(*given) if edges is None else edges
+                if len(edges) and len(edges[0]):
+                    out.append(_least(edges))
             if out:
-                yield pd.DataFrame(_least(out), columns=["c", "d", "lo", "hi"])
+                yield pd.DataFrame(dict(zip(["c", "d", "lo", "hi"], _least([np.concatenate(x) for x in zip(*out)]))))
 
     return pairs.mapInPandas(found, "c long, d double, lo long, hi long")
 
 
-def _least(edges: list) -> list:
+def _least(edges: list[np.ndarray]) -> list[np.ndarray]:
     """Of edges (c, d, lo, hi) the first of each component."""
-    c, d, lo, hi = (np.array(x) for x in zip(*edges))
+    c, d, lo, hi = edges
     order = np.lexsort((hi, lo, d, c))
     first = order[np.r_[True, c[order][1:] != c[order][:-1]]]
-    return list(zip(c[first], d[first], lo[first], hi[first]))
+    return [x[first] for x in edges]
 
 
 def spanning_tree(vectors: DataFrame) -> DataFrame:
@@ -189,16 +228,19 @@ def spanning_tree(vectors: DataFrame) -> DataFrame:
     so rounds are logarithmic, each over all pairs of blocks that aren't one component.
     Equal distances are taken by the order of the ids' numbers, so results repeat.
     """
+    vectors = written(vectors.select("id", "vec"), "vectors")  # read three times
     numbers = written(numbered(vectors, "id", "n"), "numbers")
     packed = vectors.join(numbers, "id").groupBy(F.expr(f"n div {ROWS_OF_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "vec"))).alias("rows"))
     blocks = written(packed.select("block", F.col("rows.n").alias("n"), F.col("rows.vec").alias("v")), "blocks")
     labels, tree = numbers.select("n", F.col("n").alias("c")), None
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes here become much work
     while True:
         parts = labels.groupBy(F.expr(f"n div {ROWS_OF_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("rows"))
         held = written(blocks.join(parts.select("block", F.col("rows.c").alias("c")), "block"), "held")
-        a, b = (held.select(F.col("block").alias(f"b{x}"), *[F.col(y).alias(f"{y}{x}") for y in "nvc"]) for x in "ab")
-        # a stated all-pairs comparison, block by block
-        pairs = a.join(b, F.col("ba") <= F.col("bb"))
+        a, b = (held.select(F.col("block").alias(f"b{x}"), *[F.col(y).alias(f"{y}{x}") for y in "nvc"], F.array_min("c").alias(f"f{x}"), F.array_max("c").alias(f"l{x}")) for x in "ab")
+        # a stated all-pairs comparison, block by block, but for blocks of one component
+        one = (F.col("fa") == F.col("la")) & (F.col("fb") == F.col("lb")) & (F.col("fa") == F.col("fb"))
+        pairs = a.repartition(tasks, "ba").join(b, (F.col("ba") <= F.col("bb")) & ~one).drop("fa", "la", "fb", "lb")
         best = _nearest_outside(pairs).groupBy("c").agg(F.min(F.struct("d", "lo", "hi")).alias("e")).select("c", "e.*")
         best = written(best, "best")
         if best.isEmpty():

@@ -221,6 +221,31 @@ def test_single_linkage_is_that_of_brute_force(spark, monkeypatch, block):
         cluster.hierarchical(df, 4, linkage="ward")
 
 
+def test_spanning_trees_take_no_row_by_itself(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    a, b = (rng.normal(0, 1, (40, 5)) * 1e-3 + 1e6 for _ in "ab")
+    b[3], a[7] = a[5], a[5]  # copies, and ties
+    whole = np.concatenate([a, b])
+    labels = rng.integers(0, 6, 80)
+    frame = pd.DataFrame([(0, np.arange(40), list(a), labels[:40], 1, np.arange(40, 80), list(b), labels[40:])], columns=["ba", "na", "va", "ca", "bb", "nb", "vb", "cb"])
+
+    class Pairs:
+        mapInPandas = staticmethod(lambda run, schema: pd.concat(run(iter([frame]))))
+
+    monkeypatch.setattr(cluster, "_row_by_row", lambda *_: pytest.fail("rows are compared one by one"))
+    found = {r.c: (r.d, r.lo, r.hi) for r in cluster._nearest_outside(Pairs).itertuples()}
+    edges = [(((whole[i] - whole[j]) ** 2).sum(), i, j) for i in range(40) for j in range(40, 80) if labels[i] != labels[j]]
+    assert found == {c: min(e for e in edges if c in (labels[e[1]], labels[e[2]])) for c in set(labels)}
+
+
+def test_spanning_trees_of_rows_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(i, [float(x), 0.0]) for i, x in enumerate([0, 1, 3, float("nan"), 1e200])], "id long, vec array<double>")
+    heights = sorted(str(r["height"]) for r in cluster.spanning_tree(df).collect())
+    assert heights == ["1.0", "2.0", "None", "inf"]
+
+
 def _scores(found, k):
     return found.scores.orderBy("id").toPandas()[[f"component_{i + 1}" for i in range(k)]].to_numpy()
 
